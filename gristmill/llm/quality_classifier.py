@@ -1,7 +1,7 @@
 """Quality classifier: naive Bayes support vectors over n-gram indicators.
 
-Features are indicators of byte bigrams, hashed byte trigrams and hashed patterns of three words (their order-free
-repetition shape: AAA, AAB, ABA, ABB, ABC). Each is scaled by its class log-count ratio; a linear hinge-loss model is
+Features are indicators of byte bigrams, hashed byte trigrams and shapes of word n-grams (which of 2 or 4 neighbouring
+words are equal, as AAAA or AABB, and the share of the document's n-grams with that shape). Each is scaled by its class log-count ratio; a linear hinge-loss model is
 fitted on the scaled indicators by dual coordinate descent; the weights are interpolated with their mean magnitude, and
 a logistic curve over margins of rows that the descent did not see turns margins into probabilities.
 
@@ -23,11 +23,27 @@ from pyspark.sql import functions as F
 from gristmill.llm.common import chunks, held_out, join_small, durable
 
 MAX_ROWS = 6000
-#: Number of hashed features: 2**16 bigrams, 2**16 - 8 trigrams, 8 word shapes.
-SIZE = 1 << 17
+#: Features: 2**16 byte bigrams, 2**16 - SHAPES hashed byte trigrams, and shapes of word n-grams by how often they occur.
+SIZE, SHAPES = 1 << 17, 64
+#: A shape's features say that it makes up more than each of these parts of the document's n-grams.
+LEVELS = (0.0, 1 / 16, 1 / 4, 1 / 2)
 ALPHA, COST, BETA, EPOCHS = 1.0, 1.0, 0.25, 12
 
 
+def word_shapes(n: int, wdoc: np.ndarray, equal: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document, feature) from which neighbouring words are equal; ``same``: both belong to one document."""
+    out = []
+    for first, width in ((0, 3), (8, 1)):
+        if (m := len(equal) - width + 1) <= 0:
+            continue
+        inside = np.logical_and.reduce([same[i : i + m] for i in range(width)])
+        code = sum(equal[i : i + m].astype(np.int64) << i for i in range(width))[inside]
+        counts = np.bincount(wdoc[:m][inside] * 8 + code, minlength=n * 8).reshape(n, 8)
+        share = counts / np.maximum(counts.sum(1, keepdims=True), 1)
+        out += [np.stack([d, SIZE - SHAPES + (first + c) * len(LEVELS) + k]) for k, level in enumerate(LEVELS) for d, c in [np.nonzero(share[:, : 1 << width] > level)]]
+    return tuple(np.concatenate(out, 1)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
 def features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(rows of the batch, document in these rows, feature) with distinct features of each document, for some texts at a time."""
     for c in chunks(texts):
@@ -35,17 +51,15 @@ def features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
         n = len(c.rows)
         doc = np.repeat(np.arange(n, dtype=np.uint32), c.end - c.begin)  # the space after a text is its own
         two = (b[:-1] << np.uint32(8)) | b[1:]
-        three = ((two[:-1] * np.uint32(0x9E3779B1) + b[2:] * np.uint32(0x85EBCA77)) >> np.uint32(16)) % np.uint32((1 << 16) - 8) + np.uint32(1 << 16)
+        three = ((two[:-1] * np.uint32(0x9E3779B1) + b[2:] * np.uint32(0x85EBCA77)) >> np.uint32(16)) % np.uint32((1 << 16) - SHAPES) + np.uint32(1 << 16)
         wdoc, _, _, h = c.words(lower=False)
-        a, m, z = h[:-2], h[1:-1], h[2:]
-        shape = (a == m).astype(np.uint32) + np.uint32(2) * (m == z) + np.uint32(4) * (a == z)
-        same = wdoc[:-2] == wdoc[2:] if len(h) > 2 else np.zeros(0, bool)
+        same = wdoc[1:] == wdoc[:-1] if len(h) > 1 else np.zeros(0, bool)
+        shapes = word_shapes(n, wdoc, same & (h[1:] == h[:-1]) if len(h) > 1 else same, same)
         inside2, inside3 = doc[:-1] == doc[1:], doc[:-2] == doc[2:]
         key = np.concatenate([(doc[:-1][inside2] << np.uint32(17)) | two[inside2], (doc[:-2][inside3] << np.uint32(17)) | three[inside3]]) if n < 1 << 15 else None
         if key is None:  # very many tiny texts in one step
             key = np.concatenate([(doc[:-1][inside2].astype(np.uint64) << np.uint64(17)) | two[inside2], (doc[:-2][inside3].astype(np.uint64) << np.uint64(17)) | three[inside3]])
-        if same.any():
-            key = np.concatenate([key, ((wdoc[:-2][same].astype(key.dtype) << key.dtype.type(17)) | (shape[same] + np.uint32(SIZE - 8)).astype(key.dtype))])
+        key = np.concatenate([key, (shapes[0].astype(key.dtype) << key.dtype.type(17)) | shapes[1].astype(key.dtype)])
         key.sort()
         if len(key):
             key = key[np.concatenate([[True], key[1:] != key[:-1]])]
