@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.llm import ngram_join, quality_classifier, quality_rules, secret_scan, sharding
+from gristmill.llm import decontaminate, ngram_join, quality_classifier, quality_rules, secret_scan, sharding
 from gristmill.llm.common import table
 from gristmill.llm.oracles import ORACLES  # noqa: F401
 
@@ -29,4 +29,8 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.query(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op3_quality_rules, op6_sharding, op7_secret_scan, op9_ngram_join)}
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op3_quality_rules, op6_sharding, op7_secret_scan, op9_ngram_join, op10_decontaminate)}
