@@ -66,11 +66,12 @@ def features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
         yield c.rows, (key >> key.dtype.type(17)).astype(np.int64), (key & key.dtype.type(SIZE - 1)).astype(np.int64)
 
 
-def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, size: int, cost: float = COST, epochs: int = EPOCHS, seed: int = 7) -> np.ndarray:
-    """Weights (the last is the bias) of min |w|^2/2 + cost * sum of hinge losses, rows weighted so that both classes count alike."""
+def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, size: int, cost: float = COST, epochs: int = EPOCHS, seed: int = 7, times: np.ndarray | None = None) -> np.ndarray:
+    """Weights (the last is the bias) of min |w|^2/2 + cost * sum of hinge losses, rows (each ``times`` as often) weighted so that both classes count alike."""
+    times = np.ones(len(y)) if times is None else times
     w, alpha, rng = np.zeros(size + 1), np.zeros(len(y)), np.random.default_rng(seed)
     norm = np.array([v @ v + 1 for v in values])
-    upper = np.where(y > 0, cost * len(y) / (2 * max(1, (y > 0).sum())), cost * len(y) / (2 * max(1, (y < 0).sum())))
+    upper = cost * times * np.where(y > 0, times.sum() / (2 * max(1, times[y > 0].sum())), times.sum() / (2 * max(1, times[y < 0].sum())))
     for _ in range(epochs):
         moved = 0.0
         for i in rng.permutation(len(y)):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.llm import decontaminate, ngram_join, quality_classifier, quality_rules, secret_scan, sharding
+from gristmill.llm import decontaminate, ngram_join, quality_classifier, quality_rules, secret_scan, sharding, toxicity
 from gristmill.llm.common import table
 from gristmill.llm.oracles import ORACLES  # noqa: F401
 
@@ -33,4 +33,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op3_quality_rules, op6_sharding, op7_secret_scan, op9_ngram_join, op10_decontaminate)}
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_toxicity, op3_quality_rules, op6_sharding, op7_secret_scan, op9_ngram_join, op10_decontaminate)}
