@@ -88,7 +88,7 @@ class Chunk:
         power, inverse = _power_tables(len(data) + 1)
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
-        h = mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64))
+        h = mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
         return np.searchsorted(self.end, s, side="right"), s, e, h
 
 

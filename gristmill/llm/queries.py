@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.llm import decontaminate, ngram_join, quality_classifier, quality_rules, secret_scan, sharding, toxicity
+from gristmill.llm import decontaminate, ngram_join, packing, quality_classifier, quality_rules, secret_scan, sentencepieces, sharding, toxicity
 from gristmill.llm.common import table
 from gristmill.llm.oracles import ORACLES  # noqa: F401
 
@@ -37,4 +37,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_toxicity, op3_quality_rules, op6_sharding, op7_secret_scan, op9_ngram_join, op10_decontaminate)}
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.query(table(spark, sf_dir, "documents"))
+
+
+def op8_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.query(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_toxicity, op3_quality_rules, op4_packing, op6_sharding, op7_secret_scan, op8_sentencepieces, op9_ngram_join, op10_decontaminate)}
