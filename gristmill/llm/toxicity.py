@@ -18,6 +18,7 @@ scored each; labels other than 0 and 1 are not used; without both classes all sc
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -195,7 +196,7 @@ def fit(texts: list[str], y: np.ndarray) -> tuple[list[bytes], np.ndarray, float
     odds = np.log((df1 + 0.5) / (n1 + 1)) - np.log((df0 + 0.5) / (n0 + 1))
     tells = np.where([len(w) >= 3 for w in words], odds * np.sqrt(df1) * (df1 >= 3), 0)
     marks: list[int] = []
-    pool = [i for i in np.argsort(-tells)[:600] if tells[i] > 0]
+    pool = [i for i in np.argsort(-tells, kind="stable")[:200] if tells[i] > 0]
     profile = Landmarks([words[i] for i in pool]) if pool else None
     if profile is not None:
         gram = np.clip(profile.table.T @ profile.table, 0, 1)
@@ -264,8 +265,15 @@ def fit(texts: list[str], y: np.ndarray) -> tuple[list[bytes], np.ndarray, float
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES):
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     known = durable(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
-    got = join_small(docs.select("doc_id", "text").where(F.octet_length("text") <= max_bytes), known, "doc_id").toPandas().sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
-    return fit(got["text"].tolist(), np.where(got["y"].to_numpy() == 1, 1, -1) if len(got) else np.zeros(0))
+    rows = join_small(docs.select("doc_id", "text").where(F.octet_length("text") <= max_bytes), known, "doc_id").select("doc_id", "text", F.col("y").cast("int").alias("y"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted({d: (d, t or "", y) for b in batches for d, t, y in sorted(zip(*(b.column(n).to_pylist() for n in ("doc_id", "text", "y"))), key=lambda x: x[1] or "")}.values())
+        model = fit([t for _, t, _ in got], np.array([1 if y == 1 else -1 for *_, y in got], np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    # One task of at most max_rows rows, on an executor: the driver holds only the landmarks.
+    return pickle.loads(rows.repartition(1).mapInArrow(run, "model binary").first()[0])
 
 
 def score(docs: DataFrame, model) -> DataFrame:
