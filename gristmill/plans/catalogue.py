@@ -237,9 +237,9 @@ def sample_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense_ids(_t(spark, sf_dir, "conversations").select("conv_id").distinct(), ["conv_id"], "sample_id")
 
 
-@query("select doc_id from documents where doc_id >= 500")
+@query("select doc_id from documents where doc_id >= 100")
 def resume_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inc.resume(_t(spark, sf_dir, "documents").select("doc_id"), "doc_id", 500)
+    return inc.resume(_t(spark, sf_dir, "documents").select("doc_id"), "doc_id", 100)
 
 
 @query("select doc_id, cast(floor((row_number() over (order by doc_id) - 1) / 10) as bigint) as batch from documents")
