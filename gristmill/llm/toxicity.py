@@ -100,11 +100,29 @@ class Landmarks:
         weight = np.bincount(at, np.concatenate([x for _, x in parts]))
         word, code = key // CODES, key % CODES
         norm = np.sqrt(np.bincount(word, weight**2, minlength=len(ids)))
-        k = np.add.reduceat(self.table[code] * weight[:, None].astype(np.float32), np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])), axis=0)
-        k = k / norm[:, None]
+        begin = np.searchsorted(word, np.arange(len(ids) + 1))
+        k = np.zeros((len(ids), len(self.words)), np.float32)
+        for x in range(0, len(ids), 1000):  # some words' table rows at a time
+            y = min(x + 1000, len(ids))
+            part = slice(begin[x], begin[y])
+            k[x:y] = np.add.reduceat(self.table[code[part]] * weight[part, None].astype(np.float32), begin[x:y] - begin[x], axis=0)
+        k /= norm[:, None]
         return ids, np.where(k >= CUT, k, 0) ** POWER
 
 
+def kernels_of(words: list[bytes], marks: Landmarks, step: int = 10_000) -> tuple[np.ndarray, np.ndarray]:
+    """Landmarks.kernels of any number of words, some at a time."""
+    ids, values = [np.zeros(0, np.int64)], [np.zeros((0, len(marks.words)))]
+    for a in range(0, len(words), step):
+        part = words[a : a + step]
+        end = np.cumsum([len(w) for w in part])
+        i, k = marks.kernels(Words(np.frombuffer(b"".join(part), np.uint8), end - [len(w) for w in part], end))
+        some = k.any(axis=1)
+        ids.append(i[some] + a)
+        values.append(k[some])
+    return np.concatenate(ids), np.concatenate(values)
+
+
 def sentence_words(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(document, sentence, first byte, end byte, hash) of each word; single letters in a row are one word."""
     doc, s, e, h = c.words()
@@ -190,9 +208,10 @@ def fit(texts: list[str], y: np.ndarray) -> tuple[list[bytes], np.ndarray, float
     words = list(place)
     word = np.array([place[w] for w in spelled], np.int64)[np.searchsorted(u, hashes)]
     # How much a word tells: log odds of its document frequencies, shrunk, times the share of toxic documents with it.
-    pair = np.unique(np.stack([doc, word]), axis=1)
-    toxic, n1, n0 = y[pair[0]] > 0, (y > 0).sum(), (y < 0).sum()
-    df1, df0 = (np.bincount(pair[1][m], minlength=len(words)) for m in (toxic, ~toxic))
+    pair = np.unique(doc * len(words) + word)
+    toxic, n1, n0 = y[pair // len(words)] > 0, (y > 0).sum(), (y < 0).sum()
+    df1, df0 = (np.bincount(pair[m] % len(words), minlength=len(words)) for m in (toxic, ~toxic))
+    del pair, toxic
     odds = np.log((df1 + 0.5) / (n1 + 1)) - np.log((df0 + 0.5) / (n0 + 1))
     tells = np.where([len(w) >= 3 for w in words], odds * np.sqrt(df1) * (df1 >= 3), 0)
     marks: list[int] = []
@@ -208,28 +227,25 @@ def fit(texts: list[str], y: np.ndarray) -> tuple[list[bytes], np.ndarray, float
             left[i] = 0
     if not marks:
         return float((y > 0).mean())
-    end = np.cumsum([len(w) for w in words])
-    everything = Words(np.frombuffer(b"".join(words), np.uint8), end - [len(w) for w in words], end)
-    ids, k = Landmarks([words[i] for i in marks]).kernels(everything)
+    ids, k = kernels_of(words, Landmarks([words[i] for i in marks]))
     plain = ids[np.argsort(-(k.max(1) * np.log1p(df0[ids]) * (df1[ids] * n0 < 3 * df0[ids] * n1)), kind="stable")[: 4 * ORDINARY]]
     marks += [i for i in plain.tolist() if i not in marks and df0[i] > 0][:ORDINARY]
     final = Landmarks([words[i] for i in marks])
-    ids, k = final.kernels(everything)
+    ids, k = kernels_of(words, final)
     gram = np.clip(final.table.T @ final.table, 0, 1)
     gram = np.where(gram >= CUT, gram, 0) ** POWER
     value, vector = np.linalg.eigh((gram + gram.T) / 2)
     good = value > 1e-6
     nystroem = vector[:, good] / np.sqrt(value[good])
-    feature = np.zeros((len(words), good.sum()))
-    feature[ids] = k @ nystroem
-    near = np.zeros(len(words), bool)
-    near[ids] = True
-    use = near[word]
+    feature = k @ nystroem
+    row_of = np.full(len(words), -1, np.int64)
+    row_of[ids] = np.arange(len(ids))
+    use = row_of[word] >= 0
     # Sentences as bags of near words; equal bags of harmless documents are one row with a count.
     o = np.lexsort((word[use], sent[use]))
     w_of, s_of, d_of = word[use][o], sent[use][o], doc[use][o]
     begin = np.flatnonzero(np.concatenate([[True], s_of[1:] != s_of[:-1]])) if len(s_of) else np.zeros(0, np.int64)
-    x = np.add.reduceat(feature[w_of], begin, axis=0) if len(begin) else np.zeros((0, feature.shape[1]))
+    x = np.add.reduceat(feature[row_of[w_of]], begin, axis=0) if len(begin) else np.zeros((0, feature.shape[1]))
     owner = d_of[begin]
     start = np.zeros(len(words))
     start[marks] = np.maximum(tells[marks], 0)
@@ -241,11 +257,9 @@ def fit(texts: list[str], y: np.ndarray) -> tuple[list[bytes], np.ndarray, float
     rng = np.random.default_rng(3)
     sure = [words[i] for i in marks if odds[i] > 2 and len(words[i]) >= 4]
     broken = [v[:i] + bytes([97 + int(rng.integers(26))]) + v[i:] for v in sure for i in rng.integers(1, len(v) + 1, 4).tolist()]
-    end = np.cumsum([len(v) for v in broken])
     odd = np.zeros((len(broken), feature.shape[1]))
-    if broken:
-        ids, k = final.kernels(Words(np.frombuffer(b"".join(broken), np.uint8), end - [len(v) for v in broken], end))
-        odd[ids] = k @ nystroem
+    ids, k = kernels_of(broken, final)
+    odd[ids] = k @ nystroem
     w = np.zeros(x.shape[1] + 1)
     for _ in range(ROUNDS):
         o = np.lexsort((-score, owner))
