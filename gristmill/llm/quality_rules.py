@@ -106,29 +106,28 @@ def fences(sk: DataFrame, min_group: int = MIN_GROUP, spread: int = SPREAD) -> D
     return j.groupBy("lang", "source").agg(*[F.max(F.when(F.col("measure") == k, F.col("fence"))).alias(f"f_{k}") for k in SLACK])
 
 
-def judge(docs: DataFrame, min_group: int = MIN_GROUP, spread: int = SPREAD) -> DataFrame:
-    """``docs`` with one more struct column ``rules``: base measures, base_failed, kept and the measures beyond a fence.
+def judge(docs: DataFrame, min_group: int = MIN_GROUP, spread: int = SPREAD, name: str = "rules") -> DataFrame:
+    """``docs`` with one more struct column ``name``: base measures, base_failed, beyond (measures over a fence) and kept.
 
     Two passes over the texts: sketches, then measures and verdict; the texts themselves are never shuffled as long as
     the (language, source) fences are few enough to broadcast by count.
     """
     f = durable(fences(sketches(docs), min_group, spread))
-    f = f.select(F.col("lang").alias("f_lang"), F.col("source").alias("f_source"), *[f"f_{k}" for k in SLACK])
-    d = docs.withColumn("rules", let(measures(F.col("text"), full=True), lambda m: F.struct(
-        *[m[k].alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
-        *[v.alias(k) for k, v in rates(m).items()])))
-    d = join_small(d, f, d["lang"].eqNullSafe(f["f_lang"]) & d["source"].eqNullSafe(f["f_source"]), "left")
-    r = F.col("rules")
-    failed = (r["n_words"] < 50) | (100 * r["n_repeat_words"] > 50 * r["n_words"])
-    beyond = F.filter(F.array(*[F.when(r[k] > F.col(f"f_{k}"), F.lit(k)) for k in SLACK]), lambda x: x.isNotNull())
-    cols = [c for c in docs.columns]
-    return d.select(*cols, F.struct(*[r[k].alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], failed.alias("base_failed"), beyond.alias("beyond")).alias("rules")).withColumn(
-        "rules", F.struct("rules.*", (~F.col("rules.base_failed") & (F.size("rules.beyond") == 0)).alias("kept")))
+    f = f.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), *[F.col(f"f_{k}").alias(f"__{k}") for k in SLACK])
+    base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    d = docs.withColumn("__m", let(measures(F.col("text"), full=True), lambda m: F.struct(*[m[k].alias(k) for k in base], *[v.alias(k) for k, v in rates(m).items()])))
+    d = join_small(d, f, d["lang"].eqNullSafe(f["__lang"]) & d["source"].eqNullSafe(f["__source"]), "left")
+    m = F.col("__m")
+    failed = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
+    beyond = F.filter(F.array(*[F.when(m[k] > F.col(f"__{k}"), F.lit(k)) for k in SLACK]), lambda x: x.isNotNull())
+    d = d.withColumn("__m", F.struct(*[m[k].alias(k) for k in base], failed.alias("base_failed"), beyond.alias("beyond")))
+    verdict = F.struct("__m.*", (~m["base_failed"] & (F.size(m["beyond"]) == 0)).alias("kept"))
+    return d.select(*[F.col(c) for c in docs.columns if c != name], verdict.alias(name))
 
 
 def rule_filter(docs: DataFrame) -> DataFrame:
     """The documents that pass, with their own columns."""
-    return judge(docs).where("rules.kept").drop("rules")
+    return judge(docs, name="__rules").where("__rules.kept").select(*docs.columns)
 
 
 def query(docs: DataFrame) -> DataFrame:
