@@ -1,0 +1,86 @@
+import hashlib
+import re
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from gristmill.llm import quality_rules as qr
+from gristmill.llm import secret_scan as ss
+
+
+def brute(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    marked = {j for i, g in enumerate(grams) if grams.count(g) > 1 for j in (i, i + 1, i + 2)}
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(marked)
+
+
+def test_base_measures(make):
+    texts = ["", None, "a", "a b c a b c", "a a a a", "x y\nx y\n \nz", "#1 *|<> é ü\x0b\x1cq", "a b c d " * 30, "one two three one two three four one two three", "\n\n"]
+    got = {r.doc_id: r for r in qr.query(make(list(enumerate(texts)))).collect()}
+    for i, t in enumerate(texts):
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute(t), t
+        assert r.base_failed == (r.n_words < 50 or 2 * r.n_repeat_words > r.n_words)
+
+
+def test_fences_adapt(make):
+    plain = [(i, " ".join(f"word{i}x{j}" for j in range(60)), "en", "prose") for i in range(60)]
+    code = [(100 + i, " ".join(f"#call{i}x{j} |" for j in range(60)), "en", "code") for i in range(60)]
+    stray = [(200, code[0][1], "en", "prose"), (201, code[0][1], "en", "code"), (202, code[0][1], None, None)]
+    kept = {r.doc_id: r.kept for r in qr.query(make(plain + code + stray)).collect()}
+    assert all(kept[i] for i in [*range(60), *range(100, 160), 201]) and not kept[200]
+
+
+def test_rules_on_odd_rows(odd):
+    assert qr.query(odd).count() == odd.count() and qr.query(odd.where("false")).count() == 0
+    assert qr.rule_filter(odd).columns == odd.columns and {r.rules for r in qr.rule_filter(odd).collect()} == {7}
+
+
+def base(text):
+    out = []
+    for k, p, ok in (
+        ("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[1]) >= 6),
+        ("access", "AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20),
+        ("hex", "[0-9a-f]+", lambda m: len(m[0]) >= 24),
+    ):
+        out += [(m.start(), ss.KINDS.index(k), f"{k}:{m.start()}:{m.end()}") for m in re.finditer(p, text) if ok(m)]
+    return [x for *_, x in sorted(out)]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["password", "Token", "api_key", "=", ": ", '"', "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "deadbeef", " ", "\n", "x", "é", "secret1", "name"]), max_size=14).map("".join))
+def test_base_spans_stay(text):
+    found = ss.spans(text)
+    assert [f"{k}:{a}:{b}" for a, b, k in found if k != "literal"] == base(text)
+
+
+@pytest.mark.parametrize(
+    "text, literals",
+    [
+        ('db_pwd = "hunter2Hunter2"', ["hunter2Hunter2"]),
+        ('x = "k9f3Lq8ZpT"\ny = x\nclient_credential = y', ["k9f3Lq8ZpT"]),
+        ('{"authToken" : "zz81-QQpl-0094"}', ["zz81-QQpl-0094"]),
+        ("private_key: MIIEv-qhkiG9w0BAQ", ["MIIEv-qhkiG9w0BAQ"]),
+        ('passphrase := "alpha9" + "Beta7q"', ["alpha9", "Beta7q"]),
+        ('title = "A plain title"', []),
+        ('pwd = "changeme"', []),
+        ("note: the key point is this", []),
+        ("", []),
+    ],
+)
+def test_literals(text, literals):
+    found = ss.spans(text)
+    assert [text[a:b] for a, b, k in found if k == "literal" or not literals] == literals or [t for t in literals if not any(t in text[a:b] for a, b, _ in found)] == []
+
+
+def test_scan_and_redact(make, odd):
+    d = make([(1, 'say token = "abcdef123" now'), (2, "clean"), (3, None)], extra=True)
+    r = {x.doc_id: x for x in ss.scan(d).collect()}
+    assert r[1].spans == "assign:4:22" and r[1].n_assign == 1 and r[1].base_sha256 == hashlib.sha256(b"assign:4:22").hexdigest()
+    assert r[2].spans == "" == r[3].spans
+    clean = {x.doc_id: (x.text, x.n_chars) for x in ss.redact(d).collect()}
+    assert clean == {1: ('say [SECRET]" now', 17), 2: ("clean", 5), 3: (None, None)}
+    assert ss.redact(d).schema == d.schema and ss.scan(odd).count() == odd.count() and ss.scan(odd.where("false")).count() == 0
