@@ -287,7 +287,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_byte
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
     # One task of at most max_rows rows, on an executor: the driver holds only the landmarks.
-    return pickle.loads(rows.repartition(1).mapInArrow(run, "model binary").first()[0])
+    got = rows.repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(got[0]) if got else fit([], np.zeros(0))
 
 
 def score(docs: DataFrame, model) -> DataFrame:

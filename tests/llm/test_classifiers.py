@@ -13,14 +13,14 @@ def auc(p, y):
     return np.mean((np.searchsorted(neg, pos, "left") + np.searchsorted(neg, pos, "right")) / 2 / len(neg))
 
 
-@pytest.mark.parametrize("module, label, least", [(qc, "quality", 0.97), (tox, "toxic", 0.8)])
+@pytest.mark.parametrize("module, label, least", [(qc, "quality", 0.97), (tox, "toxic", 0.9)])
 def test_held_out(spark, module, label, least):
-    d = "/root/testdata/sf0.01"
+    d = "/root/testdata/sf0.1"  # sf0.01 has too few labelled rows for words of four languages
     labels = spark.read.parquet(f"{d}/labels.parquet")
     got = module.query(spark.read.parquet(f"{d}/documents.parquet"), labels)
     assert got.columns[:4] == ["doc_id", "held_out", "score", "predicted"]
     r = got.join(labels, "doc_id", "left").toPandas()
-    assert len(r) == 1000 and r["score"].between(0, 1).all()
+    assert len(r) == 10_000 and r["score"].between(0, 1).all()
     assert (r["held_out"] == r["doc_id"].map(lambda x: zlib.crc32(str(x).encode()) % 5 == 0)).all()
     test = r[r["held_out"] & r[label].notna()]
     assert auc(test["score"].to_numpy(), test[label].to_numpy()) >= least
