@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: Rows and (estimated) bytes up to which a counted side may be broadcast.
 BROADCAST_ROWS = 1_000_000
 #: Bytes of text that one step of the vectorised code takes at a time (a single longer text is taken alone).
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -26,7 +26,7 @@ from gristmill.llm.common import _power_tables, Chunk, chunks, mix
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Bytes of text matched at a time, and units remembered between these.
-STEP_BYTES, REMEMBER = 4 << 20, 1_500_000
+STEP_BYTES, REMEMBER = 1 << 19, 400_000
 RESULT = "doc_id long, n_tokens long, ids array<int>, round_trip boolean"
 
 
@@ -151,8 +151,7 @@ def match(m: Model, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
     rows = np.lib.stride_tricks.sliding_window_view(padded, d)[:n]
     live = np.flatnonzero((text > 0) & (text < 65000))
     rows = np.ascontiguousarray(rows[live])
-    stop = np.cumsum(rows == 0, axis=1) > 0  # nothing beyond the unit
-    rows[stop] = 0
+    rows[np.logical_or.accumulate(rows == 0, axis=1)] = 0  # nothing beyond the unit
     keys = rows.view(f"S{2 * d}").ravel()
     suffix = np.argsort(keys, kind="stable")
     keys = keys[suffix]
@@ -282,11 +281,10 @@ class Encoder:
             text = [MARK + t if s[i] in begins else t for t, i in zip(text, first[new].tolist())]
             got = encode_units(self.m, text)
             count = np.array([len(x) for x in got], np.int64)
-            known = np.concatenate([self.known, u[new]])
-            begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(count) - count])
-            count = np.concatenate([self.count, count])
-            o = np.argsort(known)
-            self.known, self.begin, self.count = known[o], begin[o], count[o]
+            at_known = np.searchsorted(self.known, u[new])
+            self.begin = np.insert(self.begin, at_known, len(self.flat) + np.cumsum(count) - count)
+            self.count = np.insert(self.count, at_known, count)
+            self.known = np.insert(self.known, at_known, u[new])
             self.flat = np.concatenate([self.flat, *[x.astype(np.int32) for x in got]])
         place = np.searchsorted(self.known, u)[at]
         count = self.count[place]
