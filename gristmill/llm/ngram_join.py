@@ -32,7 +32,7 @@ from gristmill.llm.common import by_document, chunks, durable, join_small, mix,
 from gristmill.llm.components import components
 
 BLOCK = 512
-SET = "doc_id long, n_shingles long, sig binary, head binary"
+SET = "doc_id long, n_shingles long, sig binary, head array<long>"
 
 
 def set_sizes(n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,23 +62,10 @@ def document_sets(batches: Iterator[pa.RecordBatch], k: int, percent: int, full:
             one, two = (x[cut[1:]] - x[cut[:-1]] for x in sums)
             sig = np.stack([one, two + n.astype(np.uint64)], 1)
             sigs = [sig[i].tobytes() if n[i] else None for i in range(n_docs)]
-            heads = [s[cut[i] : cut[i] + head[i]].tobytes() for i in range(n_docs)]
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(c.rows)), pa.array(n, pa.int64()), pa.array(sigs, pa.binary()), pa.array(heads, pa.binary())], names=["doc_id", "n_shingles", "sig", "head"])
-
-
-def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row (token, doc_id) for each shingle of each head."""
-    for b in batches:
-        heads = b.column("head")
-        ids, n = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("n_shingles").to_numpy(zero_copy_only=False)
-        at, limit = 0, 1 << 20
-        sizes = np.array([len(x.as_buffer()) // 8 if x.is_valid else 0 for x in heads])
-        ends = np.cumsum(sizes)
-        while at < len(ids):
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right")))
-            tokens = np.frombuffer(b"".join(heads[i].as_py() or b"" for i in range(at, to)), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(np.repeat(ids[at:to], sizes[at:to])), pa.array(np.repeat(n[at:to], sizes[at:to]))], names=["token", "doc_id", "n"])
-            at = to
+            ends = np.cumsum(head)
+            first = s[np.arange(int(ends[-1])) + np.repeat(cut[:-1] - (ends - head), head)]
+            heads = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(first.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(c.rows)), pa.array(n, pa.int64()), pa.array(sigs, pa.binary()), heads], names=["doc_id", "n_shingles", "sig", "head"])
 
 
 class Lists:
@@ -170,10 +157,11 @@ def links(docs: DataFrame, k: int, percent: int, block: int = BLOCK) -> tuple[Da
     reps = sets.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"))
     of = sets.select("doc_id", "n_shingles", "sig").join(reps, "sig", "left").select("doc_id", "n_shingles", "rep")
 
-    heads = sets.where("length(head) > 0").select("doc_id", "n_shingles", "head").join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    tokens = durable(heads.mapInArrow(entries, "token long, doc_id long, n long"))
+    # Not settled once more: exploded rows take several times the room of the lists, and both uses below shuffle them at once.
+    heads = join_small(sets.where("size(head) > 0").select("doc_id", "n_shingles", "head"), durable(reps.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi")
+    tokens = heads.select(F.explode("head").alias("token"), "doc_id", F.col("n_shingles").alias("n"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    kept = tokens.join(shared, "token").groupBy("doc_id").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
+    kept = tokens.join(shared, "token").groupBy("doc_id").agg(F.first("n").alias("n"), F.array_sort(F.collect_set(F.struct("df", "token"))).alias("t"))  # a set: rows may repeat
     t, e = F.expr(f"({percent} * n + 99) div 100"), F.expr(f"({100 - percent} * n + 99) div 100")
     head = F.least(F.col("n"), F.col("n") - t + e)
     f = F.greatest(F.lit(1), F.expr(f"({percent * (100 - percent)} * n + 9999) div 10000"))
@@ -185,12 +173,12 @@ def links(docs: DataFrame, k: int, percent: int, block: int = BLOCK) -> tuple[Da
 
     # Blocks: a small cluster is one; a large one is cut by size band (sizes of partners are equal or neighbours) and salt.
     sized = cluster.join(sets.select("doc_id", "n_shingles").dropDuplicates(["doc_id"]), "doc_id")
-    total = sized.groupBy("cluster").agg(F.count("*").alias("members"))
+    total = durable(sized.groupBy("cluster").agg(F.count("*").alias("members")))
     ratio = 100 / percent * 1.000001
     band = F.floor(F.log("n_shingles") / float(np.log(ratio))).cast("int")
-    sized = sized.join(total, "cluster").withColumn("band", F.when(F.col("members") <= block, F.lit(0)).otherwise(band))
-    bands = sized.groupBy("cluster", "band").agg(F.count("*").alias("c")).withColumn("salts", F.ceil(F.col("c") / block).cast("int"))
-    dealt = durable(sized.join(bands, ["cluster", "band"]).select("doc_id", "cluster", "band", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt")))
+    sized = join_small(sized, total, "cluster").withColumn("band", F.when(F.col("members") <= block, F.lit(0)).otherwise(band))
+    bands = durable(sized.groupBy("cluster", "band").agg(F.count("*").alias("c")).withColumn("salts", F.ceil(F.col("c") / block).cast("int")))
+    dealt = durable(join_small(sized, bands, ["cluster", "band"]).select("doc_id", "cluster", "band", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt")))
     one = bands.select("cluster", F.col("band").alias("b1"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("s1"))
     two = bands.select("cluster", F.col("band").alias("b2"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("s2"), F.col("band").alias("m"))
     two = two.unionByName(two.withColumn("m", F.col("m") - 1))
