@@ -29,6 +29,8 @@ from gristmill.llm.common import chunks, durable, join_small, mix, shingles
 
 SEED, WINDOW = 16, 35
 LEAST = SEED + WINDOW - 1
+#: Kept suffixes (about 70 bytes each in a broadcast) up to which their places are broadcast to the texts, instead of joining by shuffle.
+BROADCAST_SUFFIXES = 300_000
 SPANS = "doc_id long, begin int, end int, first_doc_id long"
 
 
@@ -165,8 +167,10 @@ def repeats(docs: DataFrame) -> DataFrame:
     reps = texts.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     suffixes = reps.select("doc_id", F.explode(F.arrays_zip("seeds", "places")).alias("x")).select("doc_id", F.col("x.seeds").alias("seed"), F.col("x.places").alias("place"))
     shared = suffixes.groupBy("seed").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("seed", "first")
-    kept = durable(suffixes.join(shared, "seed").groupBy("doc_id").agg(F.collect_list(F.struct("place", "seed", "first")).alias("kept")))
-    rows = join_small(docs.select("doc_id", "text"), kept, "doc_id", rows=200_000)
+    # Durable, so that neither side of the join comes from the count's exchange: a hot seed's rows can then be split.
+    kept = durable(join_small(suffixes, durable(shared), "seed").groupBy("doc_id").agg(F.collect_list(F.struct("place", "seed", "first")).alias("kept")))
+    few = (kept.agg(F.sum(F.size("kept"))).first()[0] or 0) <= BROADCAST_SUFFIXES
+    rows = docs.select("doc_id", "text").join(F.broadcast(kept) if few else kept.hint("merge"), "doc_id")
     rows = durable(rows.mapInArrow(_contexts, "doc_id long, place int, seed long, first long, lefts binary, rights binary"))
     found = None
     for order in (("seed", "rights", "lefts"), ("seed", "lefts", "rights")):
