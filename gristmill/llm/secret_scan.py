@@ -3,7 +3,8 @@
 Three base patterns are always reported. Beyond them, source and configuration syntax is lexed into name-literal pairs
 (``name = "literal"``, ``"name": 'literal'``, ``name: literal``, ``name := a + b``, ``export NAME=literal``); a name
 bound to a literal is a constant, and a later pair whose right side is such a name gets that constant's literals
-(propagation, through chains). A literal is reported if its targets' names and the literal itself score enough together.
+(propagation, through chains). A literal is reported if its targets' names and the literal itself score enough together,
+unless one base span holds all of it.
 
 Spans are code points, end exclusive; an assign span is the whole match. Null texts are empty; an empty table gives no
 rows; repeated rows are scanned each; extra columns pass through ``redact``. Each text is scanned whole, in one task.
@@ -105,7 +106,7 @@ def spans(text: str) -> list[tuple[int, int, str]]:
         out += [(*m.span(), "access") for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
     out += [(*m.span(), "hex") for m in _HEX.finditer(text)]
     if pairs:
-        out += [(a, b, "literal") for a, b in literal_spans(text) if not any(x < b and a < y for x, y, _ in out)]
+        out += [(a, b, "literal") for a, b in literal_spans(text) if not any(x <= a and b <= y for x, y, _ in out)]
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
