@@ -1,13 +1,13 @@
-"""Repeated passages by sparse suffix arrays.
+"""Repeated passages by minimisers and the windows they stand for.
 
 A document is its lower-cased (A-Z) words. Suffixes are kept only where a run of ``SEED`` words has the least hash of
-``WINDOW`` runs in a row (minimisers), so places are chosen by content, and any passage of ``LEAST`` = SEED + WINDOW - 1
-words has a kept suffix in each of its copies. Suffixes whose seed occurs in one text only are dropped. The others are
-sorted by seed and what follows (ties: by what comes before), range-partitioned, and neighbours are compared: the match
-is extended right and left, word by word, as far as ``LEAST`` and WINDOW words; longer passages have kept suffixes all
-along, so their spans overlap and are joined. A match of LEAST words or more counts. A second sort, by what comes before,
-finds neighbours whose long common part lies to the left. Rows at the borders of partitions are compared afterwards, so
-a passage shared by a third of all documents is spread over many tasks and loses nothing.
+``WINDOW`` runs in a row (minimisers), so places are chosen by content, and each window of ``LEAST`` = SEED + WINDOW - 1
+words has one kept suffix, at the same place in each of its copies. Suffixes whose seed occurs in one text only are
+dropped. The others, each with the hashes of all windows it stands for, are sorted by seed and range-partitioned; windows
+of a seed that occur in two documents or more are repeated, wherever and however often they stand in each, and the least
+doc_id among exactly these is their first. Windows in a row become spans; longer passages have kept suffixes all along,
+so their spans overlap and are joined. Seeds at the borders of partitions are settled afterwards by an aggregation over
+their windows, so a passage shared by a third of all documents is spread over many tasks and loses nothing.
 
 Equal texts are one class first: only the least doc_id of each is searched, and copies of a text of LEAST words or more
 are repeated as a whole. Nulls and texts under LEAST words have no passage. Repeated rows give one result row each text
@@ -20,12 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from gristmill.llm.common import chunks, durable, join_small, mix, shingles
+from gristmill.llm.decontaminate import Windows
 
 SEED, WINDOW = 16, 35
 LEAST = SEED + WINDOW - 1
@@ -34,21 +34,26 @@ BROADCAST_SUFFIXES = 300_000
 SPANS = "doc_id long, begin int, end int, first_doc_id long"
 
 
-def minimisers(doc: np.ndarray, h: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, word place within it, seed hash) of the leftmost least run in each WINDOW of runs of SEED words."""
-    if len(h) < SEED:
-        return doc[:0], doc[:0], h[:0]
-    count = np.bincount(doc, minlength=n_docs)
-    begin = np.cumsum(count) - count
+def _least_runs(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin of each window of LEAST words, place of the leftmost least run of SEED words in it, hashes of all runs); places in ``h``."""
+    none = np.zeros(0, np.int64)
+    if len(h) < LEAST:
+        return none, none, h[:0]
     _, s = shingles(np.zeros(len(h), np.int64), h, 1, SEED)  # runs across documents are masked below
     m = len(s)
     ok = doc[:m] == doc[SEED - 1 : SEED - 1 + m]
     s[~ok] = np.uint64(2**64 - 1)
-    if m < WINDOW:
-        return doc[:0], doc[:0], h[:0]
     at = np.lib.stride_tricks.sliding_window_view(s, WINDOW).argmin(axis=1) + np.arange(m - WINDOW + 1)
-    inside = doc[: m - WINDOW + 1] == doc[LEAST - 1 : LEAST - 1 + m - WINDOW + 1]
-    at = np.unique(at[inside])
+    inside = np.flatnonzero(doc[: m - WINDOW + 1] == doc[LEAST - 1 : LEAST - 1 + m - WINDOW + 1])
+    return inside, at[inside], s
+
+
+def minimisers(doc: np.ndarray, h: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, word place within it, seed hash) of the leftmost least run in each WINDOW of runs of SEED words."""
+    count = np.bincount(doc, minlength=n_docs)
+    begin = np.cumsum(count) - count
+    _, at, s = _least_runs(doc, h)
+    at = np.unique(at)
     return doc[at], at - begin[doc[at]], s[at]
 
 
@@ -79,69 +84,77 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, "doc_id long, n_words int, sig binary, seeds array<long>, places array<int>")
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each kept suffix: LEAST words from it on, and WINDOW words before it, backwards, as 4-byte hashes."""
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each kept suffix: the hashes of the windows it stands for, and where the first of them begins."""
     for b in batches:
         ids = b.column("doc_id").cast(pa.int64())
         for c in chunks(b.column("text")):
             doc, _, _, h = c.words()
-            short = (h >> np.uint64(32)).astype(np.uint32) | np.uint32(1)  # 0 is beyond the text
             count = np.bincount(doc, minlength=len(c.rows))
             begin = np.cumsum(count) - count
-            rows, places, firsts, seeds, left, right = [], [], [], [], [], []
-            for i, r in enumerate(c.rows):
-                w = np.zeros(WINDOW + count[i] + LEAST, ">u4")
-                w[WINDOW : WINDOW + count[i]] = short[begin[i] : begin[i] + count[i]]
-                for x in b.column("kept")[int(r)].as_py():
-                    p = x["place"] + WINDOW
-                    rows.append(r), places.append(x["place"]), firsts.append(x["first"]), seeds.append(x["seed"])
-                    right.append(w[p : p + LEAST].tobytes())
-                    left.append(w[p - WINDOW : p][::-1].tobytes())
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows, pa.int64())), pa.array(places, pa.int32()), pa.array(seeds, pa.int64()), pa.array(firsts, pa.int64()), pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["doc_id", "place", "seed", "first", "lefts", "rights"])
-
-
-def _common(a: bytes, b: bytes, words: int) -> int:
-    """Equal words from the start on, within the texts."""
-    if a == b and b"\0\0\0\0" not in a[-4:]:
-        return words
-    x, y = np.frombuffer(a, ">u4"), np.frombuffer(b, ">u4")
-    stop = (x != y) | (x == 0)
-    return int(stop.argmax()) if stop.any() else words
-
-
-def _compare(rows: list[tuple]) -> list[tuple]:
-    """Spans (doc_id, begin, end, first) of both of two rows (seed, rights, lefts, doc_id, place, first)."""
-    a, b = rows
-    if a[0] != b[0] or a[3] == b[3]:
-        return []
-    r, k = _common(a[1], b[1], LEAST), _common(a[2], b[2], WINDOW)
-    return [(x[3], x[4] - k, x[4] + r, min(a[5], b[5])) for x in (a, b)] if k + r >= LEAST else []
-
-
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans from neighbours of a sorted partition, with its first and last row for its borders (kind 1)."""
-    task, last, edge, found = TaskContext.get().partitionId(), None, None, []
-
-    def out(rows: list[tuple], borders: list[tuple]) -> pa.RecordBatch:
-        n, m = len(rows), len(borders)
-        column = lambda a, b, kind: pa.array(a + b, kind)
-        return pa.RecordBatch.from_arrays([
-            column([x[0] for x in rows], [x[3] for x in borders], pa.int64()), column([x[1] for x in rows], [x[4] for x in borders], pa.int32()), column([x[2] for x in rows], [0] * m, pa.int32()), column([x[3] for x in rows], [x[5] for x in borders], pa.int64()),
-            column([None] * n, [2 * task + i for i in range(m)], pa.int64()), column([None] * n, [x[0] for x in borders], pa.int64()), column([None] * n, [x[1] for x in borders], pa.binary()), column([None] * n, [x[2] for x in borders], pa.binary()),
-        ], names=["doc_id", "begin", "end", "first_doc_id", "border", "seed", "rights", "lefts"])
-
+            kept = b.column("kept").slice(int(c.rows[0]), len(c.rows))
+            place, of = kept.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(c.rows)), kept.value_lengths().to_numpy(zero_copy_only=False))
+            inside = place < count[of]  # a doc_id may have texts of several lengths
+            flag = np.zeros(len(h) + 1, bool)
+            flag[begin[of[inside]] + place[inside]] = True
+            i, at, s = _least_runs(doc, h)
+            i, at = i[flag[at]], at[flag[at]]
+            cut = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else at
+            first = i[cut]
+            w = Windows(h).hashes(LEAST)[i] if len(i) else h[:0]
+            yield pa.RecordBatch.from_arrays([
+                ids.take(pa.array(c.rows[doc[first]])), pa.array(s[at[cut]].view(np.int64)), pa.array(first - begin[doc[first]], pa.int32()), pa.ListArray.from_arrays(pa.array(np.append(cut, len(i)), pa.int32()), pa.array(w.view(np.int64))),
+            ], names=["doc_id", "seed", "begin", "windows"])
+
+
+def _spans(rows: pa.Table) -> pa.RecordBatch:
+    """Spans of the windows that two documents or more of ``rows`` have: windows in a row with the same first document are one."""
+    n = pa.compute.list_value_length(rows["windows"]).to_numpy()
+    w = pa.compute.list_flatten(rows["windows"]).to_numpy()
+    owner = np.repeat(np.arange(len(n)), n)
+    doc = rows["doc_id"].to_numpy()[owner]
+    place = rows["begin"].to_numpy()[owner] + np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n)
+    o = np.argsort(w, kind="stable")
+    cut = np.flatnonzero(np.concatenate([[True], w[o][1:] != w[o][:-1]])) if len(w) else o
+    size = np.diff(np.append(cut, len(w)))
+    low, high = (f.reduceat(doc[o], cut) if len(w) else doc for f in (np.minimum, np.maximum))
+    first, shared = np.empty(len(w), np.int64), np.empty(len(w), bool)
+    first[o], shared[o] = np.repeat(low, size), np.repeat(low < high, size)
+    at = np.flatnonzero(shared)
+    new = (np.diff(at) != 1) | (np.diff(owner[at]) != 0) | (np.diff(first[at]) != 0)
+    a, z = (at[np.concatenate([[True], new])], at[np.concatenate([new, [True]])]) if len(at) else (at, at)
+    return pa.RecordBatch.from_arrays([pa.array(doc[a], pa.int64()), pa.array(place[a], pa.int32()), pa.array(place[z] + LEAST, pa.int32()), pa.array(first[a], pa.int64()), pa.nulls(len(a), pa.list_(pa.int64()))], names=["doc_id", "begin", "end", "first_doc_id", "windows"])
+
+
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans within a sorted partition; rows of its first and last seed, which neighbours may have too, as they are."""
+
+    def open_rows(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        for b in rows.combine_chunks().to_batches():
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("begin"), pa.nulls(len(b), pa.int32()), pa.nulls(len(b), pa.int64()), b.column("windows")], names=["doc_id", "begin", "end", "first_doc_id", "windows"])
+
+    held: list[pa.RecordBatch] = []  # rows of the last seed so far
+    begun = False
     for b in batches:
-        cols = [b.column(n).to_pylist() for n in ("seed", "rights", "lefts", "doc_id", "place", "first")]
-        for row in zip(*cols):
-            if last is None:
-                edge = row
-            else:
-                found += _compare([last, row])
-            last = row
-        yield out(found, [])
-        found = []
-    if last is not None:
-        yield out([], [edge, last])
+        if not b.num_rows:
+            continue
+        seed = b.column("seed").to_numpy()
+        if held and held[-1].column("seed")[0].as_py() == seed[-1]:
+            held.append(b)
+            continue
+        cut = int(np.argmax(seed == seed[-1]))
+        done = [*held, b.slice(0, cut)] if cut else held
+        held = [b.slice(cut)]
+        if done:
+            rows = pa.Table.from_batches(done)
+            if not begun:
+                seed = rows["seed"].to_numpy()
+                n = int(np.argmax(seed != seed[0])) if seed[-1] != seed[0] else len(seed)
+                yield from open_rows(rows.slice(0, n))
+                rows, begun = rows.slice(n), True
+            yield _spans(rows)
+    if held:
+        yield from open_rows(pa.Table.from_batches(held))
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,30 +179,19 @@ def repeats(docs: DataFrame) -> DataFrame:
     classes = durable(texts.groupBy("sig").agg(F.min("doc_id").alias("class_id"), F.countDistinct("doc_id").alias("copies")))
     reps = texts.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     suffixes = reps.select("doc_id", F.explode(F.arrays_zip("seeds", "places")).alias("x")).select("doc_id", F.col("x.seeds").alias("seed"), F.col("x.places").alias("place"))
-    shared = suffixes.groupBy("seed").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("seed", "first")
+    shared = suffixes.groupBy("seed").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("seed")
     # Durable, so that neither side of the join comes from the count's exchange: a hot seed's rows can then be split.
-    kept = durable(join_small(suffixes, durable(shared), "seed").groupBy("doc_id").agg(F.collect_list(F.struct("place", "seed", "first")).alias("kept")))
+    kept = durable(join_small(suffixes, durable(shared), "seed").groupBy("doc_id").agg(F.collect_list("place").alias("kept")))
     few = (kept.agg(F.sum(F.size("kept"))).first()[0] or 0) <= BROADCAST_SUFFIXES
     rows = docs.select("doc_id", "text").join(F.broadcast(kept) if few else kept.hint("merge"), "doc_id")
-    rows = durable(rows.mapInArrow(_contexts, "doc_id long, place int, seed long, first long, lefts binary, rights binary"))
-    found = None
-    for order in (("seed", "rights", "lefts"), ("seed", "lefts", "rights")):
-        by = [*order, "doc_id", "place"]
-        got = rows.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(_neighbours, "doc_id long, begin int, end int, first_doc_id long, border long, seed long, rights binary, lefts binary")
-        got = durable(got)
-        # Two rows for each partition: the last of one against the first of the next that has rows.
-        border = got.where("border is not null")
-        w = W.orderBy("border")
-        pair = border.select("*", *[F.lag(n).over(w).alias(f"p_{n}") for n in ("border", "seed", "rights", "lefts", "doc_id", "begin", "first_doc_id")]).where("border % 2 = 0 and p_border is not null and p_seed = seed")
-
-        def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                side = lambda p: zip(*(b.column(p + n).to_pylist() for n in ("seed", "rights", "lefts", "doc_id", "begin", "first_doc_id")))
-                spans = [s for x, y in zip(side("p_"), side("")) for s in _compare([x, y])]
-                yield pa.RecordBatch.from_arrays([pa.array([s[i] for s in spans], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int64()))], names=["doc_id", "begin", "end", "first_doc_id"])
-
-        got = got.where("border is null").select("doc_id", "begin", "end", "first_doc_id").unionByName(pair.mapInArrow(across, SPANS))
-        found = got if found is None else found.unionByName(got)
+    rows = durable(rows.mapInArrow(_windows, "doc_id long, seed long, begin int, windows array<long>"))
+    by = ("seed", "doc_id", "begin")
+    got = durable(rows.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(_settled, f"{SPANS}, windows array<long>"))
+    # Seeds at borders: two for each partition, and all rows of a seed that fills several.
+    apart = got.where("windows is not null").select("doc_id", "begin", F.posexplode("windows").alias("i", "w")).select("doc_id", (F.col("begin") + F.col("i")).alias("begin"), "w")
+    firsts = durable(apart.groupBy("w").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last")).where("first_doc_id < last").drop("last"))
+    across = join_small(apart, firsts, "w").select("doc_id", "begin", (F.col("begin") + LEAST).alias("end"), "first_doc_id")
+    found = got.where("windows is null").drop("windows").unionByName(across)
     spans = found.groupBy("doc_id").agg(F.collect_set(F.struct("begin", "end", "first_doc_id")).alias("spans")).mapInArrow(_joined, "doc_id long, spans array<struct<begin:int, end:int, first_doc_id:long>>")
     of = texts.select("doc_id", "n_words", "sig").distinct().join(classes, "sig").join(spans.withColumnRenamed("doc_id", "class_id"), "class_id", "left").where("copies > 1 or spans is not null")
     whole = F.array(F.struct(F.lit(0).alias("begin"), F.col("n_words").alias("end"), F.col("class_id").alias("first_doc_id")))

@@ -190,6 +190,40 @@ def test_repeats_match_brute_force(spark, make):
     assert got == brute_repeats(rows)
 
 
+def marks(df):
+    return {r.doc_id: {j for s in r.spans for j in range(s.begin, s.end)} for r in df.collect()}
+
+
+@pytest.mark.parametrize("partitions", ["1", "7"])
+def test_repeats_among_near_copies(spark, make, partitions):
+    """Windows of a passage in pieces, so that a pair's match stands far from it in every order of its suffixes."""
+    rng = np.random.default_rng(2)
+    passage = [f"p{x}" for x in range(70)]
+    rows = []
+    for d in range(60):
+        a, b = rng.integers(0, 30), rng.integers(40, 71)
+        rows.append((d, " ".join([*(f"a{d}x{i}" for i in range(20)), *passage[a:b], *(f"z{d}x{i}" for i in range(20))])))
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        assert marks(sd.repeats(make(rows))) == brute_repeats(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_repeats_pair_that_is_good_only_in_sum(make):
+    """For whichever seed the passage has: a pair of 55 words, with variants of a longer right or left part but under 50 words in all."""
+    p = [f"p{x}" for x in range(55)]
+    fresh = lambda k, n: [f"{k}f{x}" for x in range(n)]
+    rows = [(0, " ".join([*fresh("a", 60), *p, *fresh("b", 60)])), (1, " ".join([*fresh("c", 60), *p, *fresh("d", 60)]))]
+    for i in range(300):  # 49 words at most in common with the two, from either end
+        n = 36 + i % 14
+        rows.append((10 + i, " ".join([*fresh(f"l{i}", 40), *(p[:n] if i % 2 else p[-n:]), *fresh(f"r{i}", 40)])))
+    want = brute_repeats(rows)
+    assert len(want[0]) == 55
+    assert marks(sd.repeats(make(rows))) == want
+
+
 def test_repeats_on_the_data(docs):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     got = {r.doc_id: {j for s in r.spans for j in range(s.begin, s.end)} for r in sd.repeats(docs).collect()}
