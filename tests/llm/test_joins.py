@@ -224,6 +224,14 @@ def test_repeats_pair_that_is_good_only_in_sum(make):
     assert marks(sd.repeats(make(rows))) == want
 
 
+def test_repeats_within_one_text(make):
+    p = [f"p{x}" for x in range(150)]
+    line = ["over", "and", "out"] * 200
+    fresh = lambda k: [f"{k}{x}" for x in range(30)]
+    rows = [(1, " ".join([*p, *fresh("a"), *p, *fresh("b"), *p, *fresh("c"), *p, *fresh("d")])), (2, " ".join([*fresh("e"), *p])), (3, " ".join([*fresh("g"), *line])), (4, " ".join([*line, *fresh("h")]))]
+    assert marks(sd.repeats(make(rows))) == brute_repeats(rows)
+
+
 def test_repeats_on_the_data(docs):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     got = {r.doc_id: {j for s in r.spans for j in range(s.begin, s.end)} for r in sd.repeats(docs).collect()}
