@@ -10,7 +10,7 @@ so their spans overlap and are joined. Seeds at the borders of partitions are se
 their windows, so a passage shared by a third of all documents is spread over many tasks and loses nothing.
 
 Equal texts are one class first: only the least doc_id of each is searched, and copies of a text of LEAST words or more
-are repeated as a whole. Nulls and texts under LEAST words have no passage. Repeated rows give one result row each text
+are repeated as a whole, beside the passages that other texts have first. Nulls and texts under LEAST words have no passage. Repeated rows give one result row each text
 and doc_id. An empty table gives no rows; extra columns pass through ``cut_repeats``.
 """
 
@@ -24,7 +24,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import chunks, durable, join_small, mix, shingles
+from gristmill.llm.common import BROADCAST_ROWS, chunks, durable, join_small, mix, shingles
 from gristmill.llm.decontaminate import Windows
 
 SEED, WINDOW = 16, 35
@@ -107,25 +107,70 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ], names=["doc_id", "seed", "begin", "windows"])
 
 
-def _spans(rows: pa.Table) -> pa.RecordBatch:
-    """Spans of the windows that two documents or more of ``rows`` have: windows in a row with the same first document are one."""
-    n = pa.compute.list_value_length(rows["windows"]).to_numpy()
-    w = pa.compute.list_flatten(rows["windows"]).to_numpy()
+def _each_window(rows: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, document, begin, hash) of the windows of kept suffixes."""
+    n = pa.compute.list_value_length(rows["windows"]).to_numpy(zero_copy_only=False)
+    w = pa.compute.list_flatten(rows["windows"]).to_numpy(zero_copy_only=False)
     owner = np.repeat(np.arange(len(n)), n)
-    doc = rows["doc_id"].to_numpy()[owner]
-    place = rows["begin"].to_numpy()[owner] + np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n)
+    place = rows["begin"].to_numpy(zero_copy_only=False)[owner] + np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n)
+    return owner, rows["doc_id"].to_numpy(zero_copy_only=False)[owner], place, w
+
+
+def _extents(doc: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct windows, least document, greatest document; each window's place among the distinct)."""
+    if not len(w):
+        return w, doc, doc, w
     o = np.argsort(w, kind="stable")
-    cut = np.flatnonzero(np.concatenate([[True], w[o][1:] != w[o][:-1]])) if len(w) else o
-    size = np.diff(np.append(cut, len(w)))
-    low, high = (f.reduceat(doc[o], cut) if len(w) else doc for f in (np.minimum, np.maximum))
-    first, shared = np.empty(len(w), np.int64), np.empty(len(w), bool)
-    first[o], shared[o] = np.repeat(low, size), np.repeat(low < high, size)
+    new = np.concatenate([[True], w[o][1:] != w[o][:-1]])
+    cut, which = np.flatnonzero(new), np.empty(len(w), np.int64)
+    which[o] = np.cumsum(new) - 1
+    return w[o][cut], np.minimum.reduceat(doc[o], cut), np.maximum.reduceat(doc[o], cut), which
+
+
+def _runs(owner: np.ndarray, doc: np.ndarray, place: np.ndarray, first: np.ndarray, shared: np.ndarray) -> pa.RecordBatch:
+    """Spans of shared windows: those in a row with the same first document are one."""
     at = np.flatnonzero(shared)
     new = (np.diff(at) != 1) | (np.diff(owner[at]) != 0) | (np.diff(first[at]) != 0)
     a, z = (at[np.concatenate([[True], new])], at[np.concatenate([new, [True]])]) if len(at) else (at, at)
     return pa.RecordBatch.from_arrays([pa.array(doc[a], pa.int64()), pa.array(place[a], pa.int32()), pa.array(place[z] + LEAST, pa.int32()), pa.array(first[a], pa.int64()), pa.nulls(len(a), pa.list_(pa.int64()))], names=["doc_id", "begin", "end", "first_doc_id", "windows"])
 
 
+def _spans(rows: pa.Table) -> pa.RecordBatch:
+    """Spans of the windows that two documents or more of ``rows`` have."""
+    owner, doc, place, w = _each_window(rows)
+    _, low, high, which = _extents(doc, w)
+    return _runs(owner, doc, place, low[which], (low < high)[which])
+
+
+def _extent_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        _, doc, _, w = _each_window(b)
+        w, low, high, _ = _extents(doc, w)
+        yield pa.RecordBatch.from_arrays([pa.array(w, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=["w", "low", "high"])
+
+
+def _border_spans(border: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Spans of rows of seeds that several partitions have; the windows' first documents are broadcast up to ``rows``, else joined by shuffle."""
+    firsts = border.mapInArrow(_extent_rows, "w long, low long, high long").groupBy("w").agg(F.min("low").alias("first_doc_id"), F.max("high").alias("last"))
+    firsts = durable(firsts.where("first_doc_id < last").drop("last"))
+    if firsts.limit(rows + 1).count() <= rows:
+        got = firsts.orderBy("w").toArrow()  # bounded just above
+        shared = border.sparkSession.sparkContext.broadcast((got["w"].to_numpy(), got["first_doc_id"].to_numpy()))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known, first = shared.value
+            for b in batches:
+                owner, doc, place, w = _each_window(b)
+                at = np.searchsorted(known, w)
+                at[at == len(known)] = 0
+                if len(known):
+                    yield _runs(owner, doc, place, first[at], known[at] == w).drop_columns(["windows"])
+
+        return border.mapInArrow(run, SPANS)
+    apart = border.select("doc_id", "begin", F.posexplode("windows").alias("i", "w")).select("doc_id", (F.col("begin") + F.col("i")).alias("begin"), "w")
+    return apart.join(firsts.hint("merge"), "w").select("doc_id", "begin", (F.col("begin") + LEAST).alias("end"), "first_doc_id")
+
+
 def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans within a sorted partition; rows of its first and last seed, which neighbours may have too, as they are."""
 
@@ -158,23 +203,26 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Overlapping or touching spans of a document become one."""
+    """Overlapping or touching spans of a document that have the same first document become one."""
     for b in batches:
         result = []
         for spans in b.column("spans").to_pylist():
             merged: list[list[int]] = []
-            for s in sorted(spans, key=lambda x: (x["begin"], x["end"])):
-                if merged and s["begin"] <= merged[-1][1]:
-                    merged[-1][1], merged[-1][2] = max(merged[-1][1], s["end"]), min(merged[-1][2], s["first_doc_id"])
+            for s in sorted(spans, key=lambda x: (x["first_doc_id"], x["begin"], x["end"])):
+                if merged and s["first_doc_id"] == merged[-1][2] and s["begin"] <= merged[-1][1]:
+                    merged[-1][1] = max(merged[-1][1], s["end"])
                 else:
                     merged.append([s["begin"], s["end"], s["first_doc_id"]])
-            result.append([{"begin": x, "end": y, "first_doc_id": f} for x, y, f in merged])
+            result.append([{"begin": x, "end": y, "first_doc_id": f} for x, y, f in sorted(merged)])
         kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("first_doc_id", pa.int64())]))
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(result, kind)], names=["doc_id", "spans"])
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, class_id, copies, repeated_words and spans (words; begin, end, first_doc_id) of documents with a repeated passage."""
+    """doc_id, n_words, class_id, copies, repeated_words and spans (words; begin, end, first_doc_id) of documents with a repeated passage.
+
+    Spans with different first documents may overlap; repeated_words counts each word once.
+    """
     texts = durable(_texts(docs))
     classes = durable(texts.groupBy("sig").agg(F.min("doc_id").alias("class_id"), F.countDistinct("doc_id").alias("copies")))
     reps = texts.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
@@ -188,15 +236,17 @@ def repeats(docs: DataFrame) -> DataFrame:
     by = ("seed", "doc_id", "begin")
     got = durable(rows.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(_settled, f"{SPANS}, windows array<long>"))
     # Seeds at borders: two for each partition, and all rows of a seed that fills several.
-    apart = got.where("windows is not null").select("doc_id", "begin", F.posexplode("windows").alias("i", "w")).select("doc_id", (F.col("begin") + F.col("i")).alias("begin"), "w")
-    firsts = durable(apart.groupBy("w").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last")).where("first_doc_id < last").drop("last"))
-    across = join_small(apart, firsts, "w").select("doc_id", "begin", (F.col("begin") + LEAST).alias("end"), "first_doc_id")
+    across = _border_spans(got.where("windows is not null").select("doc_id", "begin", "windows"))
     found = got.where("windows is null").drop("windows").unionByName(across)
     spans = found.groupBy("doc_id").agg(F.collect_set(F.struct("begin", "end", "first_doc_id")).alias("spans")).mapInArrow(_joined, "doc_id long, spans array<struct<begin:int, end:int, first_doc_id:long>>")
     of = texts.select("doc_id", "n_words", "sig").distinct().join(classes, "sig").join(spans.withColumnRenamed("doc_id", "class_id"), "class_id", "left").where("copies > 1 or spans is not null")
     whole = F.array(F.struct(F.lit(0).alias("begin"), F.col("n_words").alias("end"), F.col("class_id").alias("first_doc_id")))
-    of = of.withColumn("spans", F.when(F.col("copies") > 1, whole).otherwise(F.col("spans")))
-    return of.select("doc_id", "n_words", "class_id", "copies", F.aggregate("spans", F.lit(0), lambda a, x: a + x["end"] - x["begin"]).alias("repeated_words"), "spans")
+    # Beside the whole text, passages that another class has first; those that its own class has first lie within it.
+    others = F.coalesce(F.filter("spans", lambda x: x["first_doc_id"] != F.col("class_id")), F.array().cast("array<struct<begin:int, end:int, first_doc_id:long>>"))
+    of = of.withColumn("spans", F.when(F.col("copies") > 1, F.array_sort(F.concat(whole, others))).otherwise(F.col("spans")))
+    upto = F.struct(F.lit(0).alias("to"), F.lit(0).alias("n"))
+    add = lambda a, x: F.struct(F.greatest(a["to"], x["end"]).alias("to"), (a["n"] + F.greatest(x["end"] - F.greatest(a["to"], x["begin"]), F.lit(0))).alias("n"))
+    return of.select("doc_id", "n_words", "class_id", "copies", F.aggregate("spans", upto, add, lambda a: a["n"]).alias("repeated_words"), "spans")
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
@@ -216,8 +266,8 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
                     _, s, e, _ = c.words()
                     parts, at = [], 0
                     for x in cut:
-                        parts.append(raw[at : s[x["begin"]]])
-                        at = e[x["end"] - 1]
+                        parts.append(raw[at : max(at, s[x["begin"]])])
+                        at = max(at, e[x["end"] - 1])
                     texts[i] = (b"".join(parts) + raw[at:]).decode("utf-8", "ignore")
             cols = {n: b.column(n) for n in names} | {"text": pa.array(texts, b.schema.field("text").type)}
             if "n_chars" in names:

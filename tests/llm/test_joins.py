@@ -244,3 +244,27 @@ def test_cut_repeats(odd, make):
     got = {r.doc_id: (r.text, r.n_chars) for r in sd.cut_repeats(d).collect()}
     assert got == {1: ("a " + p + " b", len("a " + p + " b")), 2: ("c  d", 4), 3: ("short", 5), 4: (None, None)}
     assert sd.cut_repeats(odd).count() == odd.count() and sd.query(odd).count() == 0 and sd.query(odd.where("false")).count() == 0
+
+
+def test_first_documents_are_those_of_the_passage(make):
+    fresh = lambda k, n: [f"{k}{x}" for x in range(n)]
+    p, q, r = fresh("p", 60), fresh("q", 60), fresh("r", 60)
+    line = p[5:54]  # too short for a passage, and holds its seed
+    rows = [(3, [*fresh("a", 30), *line, *fresh("b", 30)]), (5, [*fresh("c", 30), *p]), (7, [*q, *fresh("d", 9)]), (8, [*r, *q, *fresh("e", 9)]), (9, [*p, *fresh("f", 30)]), (10, [*r, *q, *fresh("e", 9)]), (11, [*fresh("g", 9), *r, *fresh("h", 9)])]
+    d = make([(i, " ".join(w)) for i, w in rows])
+    got = {x.doc_id: (x.repeated_words, [tuple(s) for s in x.spans]) for x in sd.repeats(d).collect()}
+    assert got == {
+        5: (60, [(30, 90, 5)]), 7: (60, [(0, 60, 7)]), 8: (129, [(0, 129, 8), (60, 120, 7)]), 9: (60, [(0, 60, 5)]), 10: (129, [(0, 129, 8), (60, 120, 7)]), 11: (60, [(9, 69, 8)]),
+    }
+    # each passage stays once, in the first document that has it
+    cut = {x.doc_id: x.text.split() for x in sd.cut_repeats(d).collect()}
+    assert cut == {3: rows[0][1], 5: rows[1][1], 7: rows[2][1], 8: [*r, *fresh("e", 9)], 9: fresh("f", 30), 10: [], 11: [*fresh("g", 9), *fresh("h", 9)]}
+
+
+def test_touching_passages_keep_their_first_documents(make):
+    fresh = lambda k, n: [f"{k}{x}" for x in range(n)]
+    p, q = fresh("p", 60), fresh("q", 60)
+    d = make([(1, " ".join([*fresh("a", 9), *p])), (2, " ".join([*p, *q])), (3, " ".join([*q, *fresh("b", 9)]))])
+    got = {x.doc_id: [tuple(s) for s in x.spans] for x in sd.repeats(d).collect()}
+    assert got == {1: [(9, 69, 1)], 2: [(0, 60, 1), (60, 120, 2)], 3: [(0, 60, 2)]}
+    assert [x.text.split() for x in sd.cut_repeats(d).orderBy("doc_id").collect()] == [[*fresh("a", 9), *p], q, fresh("b", 9)]
