@@ -1,7 +1,8 @@
 """Benchmark decontamination by greedy string tiling.
 
-Tests and documents are lower-cased (A-Z) words ``[^\\x20\\x09-\\x0D]+``. A document and a test that share a seed (five
-words in a row, or the whole test if it is shorter) are tiled: the longest matches of the test in the document that
+Tests and documents are lower-cased (A-Z) words ``[^\\x20\\x09-\\x0D]+``. A seed is as many words in a row as
+the least tile has, or the whole test if it is shorter. A tile of k words holds k / seed of the test's seeds at least, so
+a document with fewer of them than the threshold asks for can't be a leak; all other pairs are tiled: the longest matches of the test in the document that
 overlap no earlier tile are marked first, found with running Karp-Rabin (window hashes at a search length that jumps up
 when a much longer match turns up and then halves down to the least tile). The part of the test's words under tiles is
 its coverage, so a test whose sentences were put in another order still counts. From ``threshold`` on it is a leak.
@@ -15,6 +16,7 @@ a row for each of its ids. Empty tables: no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import chunks, durable, join_small, mix, shingles
+from gristmill.llm.common import by_document, chunks, durable, join_small, mix, shingles
 
-SEED, LEAST_TILE, THRESHOLD, FIRST_LENGTH = 5, 3, 0.5, 20
+LEAST_TILE, THRESHOLD, FIRST_LENGTH = 3, 0.5, 20
 BROADCAST_WORDS = 4_000_000
 RESULT = "doc_id long, item_id long, coverage double, n_tiles long, tiles array<struct<item_word:int, doc_word:int, words:int>>"
 _ODD = np.uint64(0xD6E8FEB86659FD93)
@@ -97,40 +99,51 @@ def tile(test: np.ndarray, text: np.ndarray, least: int = LEAST_TILE) -> list[tu
     return sorted(tiles)
 
 
+def seeds_needed(n: int, k: int, threshold: float) -> int:
+    """Seeds of k words that a document of enough coverage has at least, of a test of n words."""
+    return max(1, math.ceil(threshold * n / k - 1e-6))
+
+
 class Benchmark:
     """The tests' word hashes, and their seeds in order."""
 
-    def __init__(self, ids: list[int], texts: pa.Array):
+    def __init__(self, ids: list[int], texts: pa.Array, threshold: float = THRESHOLD, least: int = LEAST_TILE):
         self.words: dict[int, list[np.ndarray]] = {}
-        seeds: dict[int, list[tuple[np.ndarray, int]]] = {}
+        self.needed: dict[int, dict[int, int]] = {}
+        seeds: dict[int, list[tuple[np.ndarray, np.ndarray, int]]] = {}
         for c in chunks(texts):
             doc, _, _, h = c.words()
             for i, row in enumerate(c.rows):
                 w = h[doc == i]
                 if len(w) and ids[row] is not None:
-                    k = min(SEED, len(w))
+                    k = max(1, min(least, len(w)))
                     self.words.setdefault(ids[row], []).append(w)
-                    seeds.setdefault(k, []).append((np.unique(shingles(np.zeros(len(w), np.int64), w, 1, k)[1]), ids[row]))
+                    needed = self.needed.setdefault(k, {})
+                    needed[ids[row]] = min(needed.get(ids[row], len(w)), seeds_needed(len(w), k, threshold))
+                    seeds.setdefault(k, []).append((*np.unique(shingles(np.zeros(len(w), np.int64), w, 1, k)[1], return_counts=True), ids[row]))
         self.seeds = {}
         for k, each in seeds.items():
-            h, item = np.concatenate([x for x, _ in each]), np.concatenate([np.full(len(x), i) for x, i in each])
+            h, times, item = np.concatenate([x for x, *_ in each]), np.concatenate([n for _, n, _ in each]), np.concatenate([np.full(len(x), i) for x, _, i in each])
             o = np.argsort(h, kind="stable")
             mask = np.zeros(1 << 16, bool)
             mask[(h & np.uint64(0xFFFF)).astype(np.int64)] = True
-            self.seeds[k] = (h[o], item[o], mask)
+            self.seeds[k] = (h[o], times[o], item[o], mask)
 
     def meet(self, doc: np.ndarray, h: np.ndarray, n_docs: int) -> set[tuple[int, int]]:
-        """(document, item) that share a seed."""
+        """(document, item) that share seeds enough."""
         out = set()
-        for k, (seed, item, mask) in self.seeds.items():
+        for k, (seed, times, item, mask) in self.seeds.items():
             if len(h) < k:
                 continue
             d, s = shingles(doc, h, n_docs, k)
             keep = mask[(s & np.uint64(0xFFFF)).astype(np.int64)]
-            d, s = d[keep], s[keep]
+            d, s = by_document(d[keep], s[keep])
             lo, hi = np.searchsorted(seed, s, "left"), np.searchsorted(seed, s, "right")
+            shared: dict[tuple[int, int], int] = {}
             for i in np.flatnonzero(hi > lo).tolist():
-                out |= {(int(d[i]), int(x)) for x in item[lo[i] : hi[i]]}
+                for x, n in zip(item[lo[i] : hi[i]].tolist(), times[lo[i] : hi[i]].tolist()):
+                    shared[int(d[i]), x] = shared.get((int(d[i]), x), 0) + n
+            out |= {p for p, n in shared.items() if n >= self.needed[k][p[1]]}
         return out
 
 
@@ -153,7 +166,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, l
     size = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // 2
     if size <= broadcast_words:
         rows = bench.orderBy("item_id", "text").collect()  # bounded just above
-        shared = spark.sparkContext.broadcast(Benchmark([r["item_id"] for r in rows], pa.array([r["text"] for r in rows], pa.string())))
+        shared = spark.sparkContext.broadcast(Benchmark([r["item_id"] for r in rows], pa.array([r["text"] for r in rows], pa.string()), threshold, least))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             b = shared.value
@@ -170,7 +183,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, l
 
         return docs.select("doc_id", "text").mapInArrow(run, RESULT)
 
-    lengths = sorted(x[0] for x in bench.select(F.least(F.lit(SEED), F.size(F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")))).distinct().collect() if x[0])
+    lengths = sorted(x[0] for x in bench.select(F.least(F.lit(max(1, least)), F.size(F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")))).distinct().collect() if x[0])
 
     def seeds(name: str, pick: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,15 +195,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, l
                     for k in lengths:
                         d, s = shingles(doc, h, len(c.rows), k)
                         if pick:
-                            keep = np.minimum(count, SEED)[d] == k
+                            keep = np.minimum(count, max(1, least))[d] == k
                             d, s = d[keep], s[keep]
-                        yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), ids.take(pa.array(c.rows[d]))], names=["seed", name])
+                            needed = pa.array([seeds_needed(n, k, threshold) for n in count[d].tolist()], pa.int64())
+                        else:
+                            d, s = by_document(d, s)
+                            needed = pa.nulls(len(d), pa.int64())
+                        yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), ids.take(pa.array(c.rows[d])), needed], names=["seed", name, "needed"])
 
         return run
 
-    item_seeds = bench.mapInArrow(seeds("item_id", True), "seed long, item_id long").distinct()
-    doc_seeds = docs.select("doc_id", "text").mapInArrow(seeds("doc_id", False), "seed long, doc_id long")
-    meet = durable(doc_seeds.join(item_seeds, "seed").select("doc_id", "item_id").distinct())
+    item_seeds = bench.mapInArrow(seeds("item_id", True), "seed long, item_id long, needed long").groupBy("seed", "item_id").agg(F.count("*").alias("times"), F.min("needed").alias("needed"))
+    doc_seeds = docs.select("doc_id", "text").mapInArrow(seeds("doc_id", False), "seed long, doc_id long, needed long").drop("needed")
+    meet = doc_seeds.join(item_seeds, "seed").groupBy("doc_id", "item_id").agg(F.sum("times").alias("n"), F.min("needed").alias("needed"))
+    meet = durable(meet.where("n >= needed").select("doc_id", "item_id"))
     texts = join_small(docs.select("doc_id", "text"), meet, "doc_id").join(bench.withColumnRenamed("text", "item"), "item_id").select("doc_id", "item_id", "text", "item")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -268,3 +268,15 @@ def test_touching_passages_keep_their_first_documents(make):
     got = {x.doc_id: [tuple(s) for s in x.spans] for x in sd.repeats(d).collect()}
     assert got == {1: [(9, 69, 1)], 2: [(0, 60, 1), (60, 120, 2)], 3: [(0, 60, 2)]}
     assert [x.text.split() for x in sd.cut_repeats(d).orderBy("doc_id").collect()] == [[*fresh("a", 9), *p], q, fresh("b", 9)]
+
+
+def test_leaks_without_five_words_in_a_row(spark, make):
+    w = [f"t{i}" for i in range(40)]
+    moved = [x for i in (9, 2, 7, 0, 5, 3, 8, 1, 6, 4) for x in w[4 * i : 4 * i + 4]]
+    changed = [f"c{i}" if i % 5 == 4 else x for i, x in enumerate(w)]
+    few = [x for i in range(6) for x in [*w[6 * i : 6 * i + 3], f"c{i}"]]  # 18 of 40 words
+    bench = spark.createDataFrame([(1, " ".join(w))], "item_id long, text string")
+    rows = [(1, moved), (2, changed), (3, few), (4, w[::-1])]
+    for limit in (dc.BROADCAST_WORDS, 0):
+        got = {(r.doc_id, r.coverage) for r in dc.leaks(make([(i, " ".join(x)) for i, x in rows]), bench, broadcast_words=limit).collect()}
+        assert got == {(i, sum(brute_tiles(w, x, 3)) / 40) for i, x in rows if 2 * sum(brute_tiles(w, x, 3)) >= 40} == {(1, 1.0), (2, 0.8)}
