@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows and (estimated) bytes up to which a counted side may be broadcast.
-BROADCAST_ROWS = 1_000_000
+#: Bytes up to which a measured side may be broadcast.
+BROADCAST_BYTES = 32 << 20
 #: Bytes of text that one step of the vectorised code takes at a time (a single longer text is taken alone).
 CHUNK_BYTES = 1 << 19
 
@@ -20,19 +20,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; one of its own only where the session names none and all is one machine (tests)."""
+    sc = spark.sparkContext
+    if (named := spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()) is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named := tempfile.mkdtemp(prefix="gristmill-"))
+    elif sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(named)
+    return named
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the shared folder; sets a folder only where the session names none (tests)."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gristmill-"))
+    """Cut the lineage with a checkpoint in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join without moving ``big`` if ``small`` (already durable, so cheap to count) has at most ``rows`` rows; else an ordinary shuffled join."""
-    if small.limit(rows + 1).count() <= rows:
-        return big.join(F.broadcast(small), on, how)
-    return big.join(small.hint("merge"), on, how)
+def row_bytes(df: DataFrame) -> Column:
+    """About what a row takes in memory: 8 bytes for the row and each column, and what strings and lists hold."""
+    total = F.lit(8 + 8 * len(df.columns)).cast("long")
+    for f in df.schema.fields:
+        if f.dataType.typeName() in ("string", "binary"):
+            total += F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif f.dataType.typeName() == "array":
+            total += 8 * len(getattr(f.dataType.elementType, "fields", "1")) * F.greatest(F.size(f.name), F.lit(0))
+    return total
+
+
+def is_small(df: DataFrame, most: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` (already durable, so cheap to read) takes ``most`` bytes or less."""
+    return (df.agg(F.sum(row_bytes(df))).first()[0] or 0) <= most
+
+
+def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", most: int = BROADCAST_BYTES) -> DataFrame:
+    """Join without moving ``big`` if ``small`` (already durable) takes at most ``most`` bytes; else an ordinary shuffled join."""
+    return big.join(F.broadcast(small) if is_small(small, most) else small.hint("merge"), on, how)
 
 
 def let(value: Column, body) -> Column:

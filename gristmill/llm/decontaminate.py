@@ -227,9 +227,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, l
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without those that leak a test; one pass finds them, and their ids are taken away."""
     gone = durable(leaks(docs, benchmark).select("doc_id").distinct())
-    if gone.limit(1_000_001).count() <= 1_000_000:
-        return docs.join(F.broadcast(gone), "doc_id", "left_anti")
-    return docs.join(gone, "doc_id", "left_anti")
+    return join_small(docs, gone, "doc_id", "left_anti")
 
 
 def query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

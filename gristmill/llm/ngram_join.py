@@ -2,70 +2,108 @@
 
 A document is the set of its k-word shingles (64-bit hashes). Two link when ``100 * |A and B| >= percent * |A or B|``.
 
-1. Documents with the same set are one class (its least doc_id speaks for it); everything below works on classes.
+1. Rows with the same set are one class; one of its rows stands for it and everything below works on classes.
 2. A class of n shingles must share ``t = ceil(percent * n / 100)`` with any partner. Of its shingles in hash order, the
-   first ``n - t + e`` (e = ceil((100 - percent) * n / 100)) hold at least ``f = ceil(percent * (100 - percent) * n /
-   10000)`` of those they share, so all but the ``f - 1`` most frequent of these are inverted-list candidates: long lists are left out, as
-   T-occurrence allows, and shingles of one class alone are dropped. No frequency is estimated; no list is cut.
-3. Classes that meet in a list are put into one cluster (components over list leaders: linear in the lists' lengths).
-   Every link lies within a cluster. Clusters are dealt out in blocks of up to ``BLOCK`` classes by size; blocks are
-   searched against those blocks only whose sizes allow a link, so a huge cluster is many bounded tasks.
-4. A task indexes one block's full sets and searches each set of the other with DivideSkip: merge the short lists
-   (sorted runs), keep classes found ``T - L`` times or more, probe the L long lists by binary search, keep ``T``.
-   It returns a spanning forest of the links, and link counts, never all pairs.
-5. Components of those links give the result.
-
-Nulls and texts without words have the empty set and link with nothing. A null doc_id stays a row of its own component
-(null). Repeated rows are returned each. Empty table: no rows. Extra columns are ignored.
-"""
+   first ``n - t + e`` (e = ceil((100 - percent) * n / 100)), its head, hold at least ``T = ceil(percent * (100 - percent)
+   * n / 10000)`` of those they share. This is a T-occurrence problem over the heads' inverted lists; DivideSkip leaves
+   the ``L = T - 1`` longest lists of each head unmerged, so partners meet in one short list at least. Shingles of one
+   class alone are dropped. No frequency is estimated; no list is cut.
+3. Classes that meet in a short list are put into one cluster (components over list leaders: linear in the lists'
+   lengths); every link lies within a cluster. A cluster of up to ``BLOCK`` classes is searched whole, many to a task.
+4. A larger cluster is searched in the way that compares less, by the lists' lengths. Dense (near copies of one text):
+   blocks of up to ``BLOCK`` classes, against those blocks whose sizes allow a link, so that a pair meets once. Sparse
+   (texts that quote each other): list by list; a task holds the heads of some lists' members, a list over ``BLOCK`` is
+   split into pairs of blocks; T-occurrence over the heads gives candidates, each from the first list they share, and
+   their full sets are compared afterwards. So work follows the squares of the short lists' lengths.
+5. A search is DivideSkip over full sets (heads in step 4's lists): merge the short lists (sorted runs), keep classes
+   found ``T - L`` times or more, probe the L long lists by binary search, keep those with the overlap. Tasks return
+   spanning forests of the links, and link counts, never all pairs.
+6. Components of those links give the result.
 
+Nulls and texts without words have the empty set and link with nothing. A row without a doc_id gets the component of the
+rows with its set that have one (null if there are none; such a set links with nothing). Rows that share a doc_id are
+judged each by its own text. Repeated rows are returned each. Empty table: no rows. Extra columns are ignored. Very long
+texts are taken whole: a class is in memory with its full set in one task for each block it is searched against.
+"""
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gristmill.llm.common import by_document, chunks, durable, join_small, mix, shingles
-from gristmill.llm.components import components
+from gristmill.llm.common import by_document, chunks, durable, is_small, join_small, mix, shingles
+from gristmill.llm.components import components, forest
 
-BLOCK = 512
-SET = "doc_id long, n_shingles long, sig binary, head array<long>"
+#: Classes that are searched against each other at once, and shingles that small clusters in one task have together.
+BLOCK, TASK_SHINGLES = 512, 1_000_000
+#: A large cluster is searched list by list if that meets so many times fewer pairs.
+SPARSE = 4
+SET = "row long, doc_id long, n_shingles long, sig binary, head array<long>"
+FULL = "row long, doc_id long, n_shingles long, shingles binary"
 
 
 def set_sizes(n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles in hash order that are looked at, shingles of these that become list entries) of sets of n."""
+    """(length of the head, shingles of the head that any partner shares) of sets of n; no head where only an equal set could link."""
     t = -(-percent * n // 100)
     e = -(-(100 - percent) * n // 100)
     f = np.maximum(1, -(-percent * (100 - percent) * n // 10000))
-    head = np.where((t >= n) & (100 * n // percent <= n), 0, np.minimum(n, n - t + e))  # 0: only an equal set could link
-    return head, np.maximum(0, head - f + 1)
-
-
-def document_sets(batches: Iterator[pa.RecordBatch], k: int, percent: int, full: bool) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        ids = b.column("doc_id").cast(pa.int64())
-        for c in chunks(b.column("text")):
-            n_docs = len(c.rows)
-            wdoc, _, _, h = c.words()
-            doc, s = by_document(*shingles(wdoc, h, n_docs, k))
-            n = np.bincount(doc, minlength=n_docs)
-            cut = np.concatenate([[0], np.cumsum(n)])
-            if full:
-                out = [s[cut[i] : cut[i + 1]].tobytes() for i in range(n_docs)]
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(c.rows)), pa.array(out, pa.binary())], names=["doc_id", "shingles"])
-                continue
-            head, _ = set_sizes(n, percent)
-            sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(s ^ np.uint64(x)))]) for x in (0x243F6A8885A308D3, 0x13198A2E03707344)]
-            one, two = (x[cut[1:]] - x[cut[:-1]] for x in sums)
-            sig = np.stack([one, two + n.astype(np.uint64)], 1)
-            sigs = [sig[i].tobytes() if n[i] else None for i in range(n_docs)]
-            ends = np.cumsum(head)
-            first = s[np.arange(int(ends[-1])) + np.repeat(cut[:-1] - (ends - head), head)]
-            heads = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(first.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(c.rows)), pa.array(n, pa.int64()), pa.array(sigs, pa.binary()), heads], names=["doc_id", "n_shingles", "sig", "head"])
+    return np.where((t >= n) & (100 * n // percent <= n), 0, np.minimum(n, n - t + e)), f
+
+
+def signatures(s: np.ndarray, cut: np.ndarray) -> list[bytes | None]:
+    """128 bits of each set; None for the empty one."""
+    n = np.diff(cut)
+    sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(s ^ np.uint64(x)))]) for x in (0x243F6A8885A308D3, 0x13198A2E03707344)]
+    one, two = (x[cut[1:]] - x[cut[:-1]] for x in sums)
+    sig = np.stack([one, two + n.astype(np.uint64)], 1)
+    return [x.tobytes() if k else None for x, k in zip(sig, n.tolist())]
+
+
+def text_sets(texts: pa.Array, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, shingles in order by row, where each row's begin and the last ends) for some whole texts at a time."""
+    for c in chunks(texts):
+        wdoc, _, _, h = c.words()
+        doc, s = by_document(*shingles(wdoc, h, len(c.rows), k))
+        yield c.rows, s, np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(c.rows)))])
+
+
+def row_sets(k: int, percent: int):
+    """A row for each document: a number of its own, its set's size, signature and head."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() << 40
+        for b in batches:
+            ids = b.column("doc_id").cast(pa.int64())
+            for rows, s, cut in text_sets(b.column("text"), k):
+                n = np.diff(cut)
+                head, _ = set_sizes(n, percent)
+                ends = np.cumsum(head)
+                first = s[np.arange(int(ends[-1])) + np.repeat(cut[:-1] - (ends - head), head)]
+                heads = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(first.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(at + np.arange(len(rows))), ids.take(pa.array(rows)), pa.array(n, pa.int64()), pa.array(signatures(s, cut), pa.binary()), heads], names=["row", "doc_id", "n_shingles", "sig", "head"])
+                at += len(rows)
+
+    return run
+
+
+def full_sets(k: int):
+    """The full sets of (doc_id, text, row, sig), where the text's signature is sig."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            wanted = b.column("sig").to_pylist()
+            for rows, s, cut in text_sets(b.column("text"), k):
+                keep = [i for i, x in enumerate(signatures(s, cut)) if x is not None and x == wanted[rows[i]]]
+                at = pa.array(rows[keep], pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column("row").take(at), b.column("doc_id").take(at).cast(pa.int64()), pa.array(np.diff(cut)[keep], pa.int64()), pa.array([s[cut[i] : cut[i + 1]].tobytes() for i in keep], pa.binary())], names=["row", "doc_id", "n_shingles", "shingles"])
+
+    return run
 
 
 class Lists:
@@ -80,131 +118,238 @@ class Lists:
         self.tokens, self.begin = np.unique(tokens[o], return_index=True)
         self.end = np.append(self.begin[1:], len(o)).astype(np.int64)
 
-    def search(self, query: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """(sets, shared) of all sets that reach the required overlap with the query, by DivideSkip."""
-        q = len(query)
-        low, high = -(-percent * q // 100), 100 * q // percent
-        t = -(-percent * q // 100)  # the least overlap with any partner
+    def occur(self, query: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
+        """(sets, shared) of all sets that share ``t`` shingles or more with the query, by DivideSkip."""
+        none = np.zeros(0, np.int64)
         at = np.searchsorted(self.tokens, query)
-        at = at[at < len(self.tokens)] if len(at) and at[-1] >= len(self.tokens) else at
-        at = at[self.tokens[at] == query[: len(at)]] if len(at) else at
+        at = at[: np.searchsorted(at, len(self.tokens))]  # both are sorted
+        at = at[self.tokens[at] == query[: len(at)]]
         if len(at) < t:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return none, none
         size = self.end[at] - self.begin[at]
         o = np.argsort(size, kind="stable")
         at, size = at[o], size[o]
         # L: as many of the longest lists as pay, at most t - 1 (the paper's estimate t / (mu log2 M + 1), mu = 1/16)
         n_long = min(t - 1, int(t / (np.log2(size[-1] + 1) / 16 + 1)))
         short, long = at[: len(at) - n_long], at[len(at) - n_long :]
-        runs = np.concatenate([self.owner[a:b] for a, b in zip(self.begin[short], self.end[short])]) if len(short) else self.owner[:0]
+        size = size[: len(short)]
+        runs = self.owner[np.arange(int(size.sum())) + np.repeat(self.begin[short] - (np.cumsum(size) - size), size)]
         runs = np.sort(runs, kind="stable")  # merges sorted runs
-        first = np.flatnonzero(np.concatenate([[True], runs[1:] != runs[:-1]])) if len(runs) else np.zeros(0, np.int64)
+        first = np.flatnonzero(np.concatenate([[True], runs[1:] != runs[:-1]])) if len(runs) else none
         found, count = runs[first], np.diff(np.append(first, len(runs)))
-        ok = (count >= t - n_long) & (self.n[found] >= low) & (self.n[found] <= high)
+        ok = count >= t - n_long
         found, count = found[ok], count[ok]
         if len(found):
-            for a, b in zip(self.begin[long], self.end[long]):
+            for a, b in zip(self.begin[long].tolist(), self.end[long].tolist()):
                 p = np.searchsorted(self.owner[a:b], found)
                 count = count + (self.owner[a:b][np.minimum(p, b - a - 1)] == found)
+        ok = count >= t
+        return found[ok], count[ok]
+
+    def search(self, query: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """(sets, shared) of all sets that link with the query."""
+        q = len(query)
+        found, count = self.occur(query, max(1, -(-percent * q // 100)))
         ok = 100 * count >= percent * (q + self.n[found] - count)
         return found[ok], count[ok]
 
 
 def search_blocks(percent: int):
+    """Links between side 0 and side 1, or within side 0 if there is no other: a spanning forest (a, b, 0) and counts (a, a, links), by doc_id."""
+
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        side, ids, sets = [], [], []
-        for b in batches:
-            side += b.column("side").to_pylist()
-            ids += b.column("doc_id").to_pylist()
-            sets += [np.frombuffer(x.as_py(), np.uint64) for x in b.column("shingles")]
-        # one task of a block with itself has only side 0; of two blocks, side 0 is searched in side 1
-        o = sorted(range(len(ids)), key=lambda i: (side[i], ids[i]))
-        left, right = [i for i in o if side[i] == 0], [i for i in o if side[i] == 1]
-        within = not right
-        right = left if within else right
-        lists = Lists([sets[i] for i in right])
-        parent = {i: i for i in o}
-        degree = dict.fromkeys(o, 0)
-
-        def root(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        edges = []
-        for i in left:
-            for j in lists.search(sets[i], percent)[0].tolist():
-                j = right[j]
-                if i == j:
-                    continue
-                degree[i] += 1
-                if not within:
-                    degree[j] += 1
-                if (x := root(i)) != (y := root(j)):
-                    parent[x] = y
-                    edges.append((ids[i], ids[j], 0))
-        edges += [(ids[i], ids[i], n) for i, n in degree.items() if n]
-        yield pa.RecordBatch.from_arrays([pa.array([e[x] for e in edges], pa.int64()) for x in range(3)], names=["a", "b", "links"])
+        t = pa.Table.from_batches(list(batches)).sort_by([("side", "ascending"), ("row", "ascending")])
+        ids, cut = t["doc_id"].to_pylist(), int(pa.compute.sum(pa.compute.equal(t["side"], 0)).as_py() or 0)
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in t["shingles"]]
+        within = cut == len(ids)
+        lists = Lists(sets if within else sets[cut:])
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in range(cut):
+            j = lists.search(sets[i], percent)[0] + (0 if within else cut)
+            a.append(np.full(len(j), i))
+            b.append(j)
+        a, b = np.concatenate(a), np.concatenate(b)
+        own = a != b
+        a, b = a[own], b[own]
+        degree = np.bincount(a, minlength=len(ids)) + (0 if within else np.bincount(b, minlength=len(ids)))
+        node, least = forest(a, b)
+        node, least = node[node != least], least[node != least]
+        some = np.flatnonzero(degree)
+        ids = np.array(ids, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids[node], ids[some]])), pa.array(np.concatenate([ids[least], ids[some]])), pa.array(np.concatenate([np.zeros(len(node), np.int64), degree[some]]))], names=["a", "b", "links"])
 
     return run
 
 
+def search_heads(percent: int):
+    """(a, b) of classes whose heads share as many shingles as a link asks for, from the task of the first list that both are in."""
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches)).sort_by([("side", "ascending"), ("row", "ascending")])
+        rows, n, cut = t["row"].to_numpy(), t["n_shingles"].to_numpy(), int(pa.compute.sum(pa.compute.equal(t["side"], 0)).as_py() or 0)
+        heads, listed, own = ([x.values.to_numpy() for x in t[name]] for name in ("head", "listed", "own"))
+        heads = [x.view(np.uint64) for x in heads]
+        _, need = set_sizes(n, percent)
+        offset = 0 if cut == len(rows) else cut
+        lists = Lists(heads[offset:])
+        a, b = [], []
+        for i in range(cut):
+            j, count = lists.occur(heads[i], int(need[i]))
+            j = j + offset
+            ok = (count >= need[j]) & (percent * n[j] <= 100 * n[i]) & (percent * n[i] <= 100 * n[j]) & ((j > i) | (offset > 0))
+            for x in j[ok].tolist():
+                both = np.intersect1d(listed[i], listed[x])
+                if len(both) and both[0] in own[i]:
+                    a.append(rows[i])
+                    b.append(rows[x])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def compare(percent: int):
+    """Those of (a, b, one, two), doc_ids and full sets, that link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            keep = []
+            for one, two in zip(x.column("one"), x.column("two")):
+                one, two = np.frombuffer(one.as_py(), np.uint64), np.frombuffer(two.as_py(), np.uint64)
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                keep.append(100 * both >= percent * (len(one) + len(two) - both))
+            yield x.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def sparse_links(listed: DataFrame, lists: DataFrame, heads: DataFrame, full: DataFrame, percent: int, block: int) -> DataFrame:
+    """(a, b, links) as of ``search_blocks`` for clusters that are searched list by list.
+
+    ``listed(row, cluster, token)`` and ``lists(cluster, token, m, entries)``, m members of as many entries in all, are of
+    these clusters; a task takes lists of some ``8 * block`` entries together.
+    """
+    some = F.pmod(F.xxhash64("token"), F.ceil(F.col("entries") / (8 * block)))
+    lists = lists.select("cluster", "token", F.ceil(F.col("m") / block).cast("int").alias("salts"), some.cast("long").alias("some"))
+    of = listed.join(lists, ["cluster", "token"])
+    whole = of.where("salts = 1").select("row", "cluster", F.col("some").alias("list"), F.lit(0).alias("s1"), F.lit(0).alias("s2"), F.lit(0).alias("side"), "token")
+    salt = F.pmod(F.xxhash64("row"), F.col("salts")).cast("int")
+    parts = of.where("salts > 1").select("row", "cluster", F.col("token").alias("list"), salt.alias("s"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("o"), "token")
+    parts = parts.select("row", "cluster", "list", F.least("s", "o").alias("s1"), (F.greatest("s", "o") + 1).alias("s2"), (F.col("s") > F.col("o")).cast("int").alias("side"), "token")
+    key = ["cluster", "list", "s1", "s2"]
+    tasks = whole.unionByName(parts).groupBy(*key, "side", "row").agg(F.collect_list("token").alias("own"))
+    own = listed.groupBy("row").agg(F.collect_list("token").alias("listed")).join(heads, "row")
+    pairs = durable(tasks.join(own, "row").groupBy(*key).applyInArrow(search_heads(percent), "a long, b long"))
+    one, two = (full.select(F.col("row").alias(r), F.col("doc_id").alias(d), F.col("shingles").alias(v)) for r, d, v in (("a", "da", "one"), ("b", "db", "two")))
+    sets = pairs.join(one, "a").join(two, "b").select(F.col("da").alias("a"), F.col("db").alias("b"), "one", "two")
+    found = durable(sets.mapInArrow(compare(percent), "a long, b long"))
+    degree = found.select("a").unionAll(found.select("b")).groupBy("a").agg(F.count("*").alias("links"))
+    return found.select("a", "b", F.lit(0).cast("long").alias("links")).unionByName(degree.select("a", F.col("a").alias("b"), "links"))
+
+
+def dense_tasks(sized: DataFrame, percent: int, block: int) -> DataFrame:
+    """(row, task, side) of clusters cut into blocks by size band (sizes of partners are equal or neighbours) and salt."""
+    band = F.floor(F.log("n_shingles") / float(np.log(100 / percent * 1.000001))).cast("int")
+    sized = sized.withColumn("band", band)
+    bands = durable(sized.groupBy("cluster", "band").agg(F.count("*").alias("c")).withColumn("salts", F.ceil(F.col("c") / block).cast("int")))
+    salted = join_small(sized, bands, ["cluster", "band"]).select("row", "cluster", "band", F.pmod(F.xxhash64("row"), F.col("salts")).cast("int").alias("salt"))
+    one = bands.select("cluster", F.col("band").alias("b1"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("s1"))
+    two = bands.select("cluster", F.col("band").alias("b2"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("s2"), F.col("band").alias("m"))
+    two = two.unionByName(two.withColumn("m", F.col("m") - 1))
+    pairs = one.join(two, (one["cluster"] == two["cluster"]) & (one["b1"] == two["m"])).select(one["cluster"], "b1", "s1", "b2", "s2").where("b2 > b1 or s2 >= s1")
+    key = F.struct("cluster", "b1", "s1", "b2", "s2").alias("task")
+    left = pairs.select("cluster", F.col("b1").alias("band"), F.col("s1").alias("salt"), key, F.lit(0).alias("side"))
+    right = pairs.where("b1 <> b2 or s1 <> s2").select("cluster", F.col("b2").alias("band"), F.col("s2").alias("salt"), key, F.lit(1).alias("side"))
+    return salted.join(left.unionByName(right), ["cluster", "band", "salt"]).select("row", "task", "side")
+
+
 def links(docs: DataFrame, k: int, percent: int, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, rep) of every document, and (node, component, links) of the classes that have a link."""
-    cols = docs.select("doc_id", "text")
-    sets = durable(cols.mapInArrow(lambda b: document_sets(b, k, percent, False), SET))
-    reps = sets.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"))
-    of = sets.select("doc_id", "n_shingles", "sig").join(reps, "sig", "left").select("doc_id", "n_shingles", "rep")
+    """(row, doc_id, n_shingles, sig, rep) of every row, rep being its class's least doc_id, and (node, component, links) of the doc_ids that stand for a class with a link."""
+    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sets = durable(cols.mapInArrow(row_sets(k, percent), SET))
+    reps = durable(sets.where("sig is not null").groupBy("sig").agg(F.min("row").alias("class"), F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
+    many = durable(reps.where("copies > 1").select("sig", "class", "rep"))
+    of = join_small(sets, many, "sig", "left").withColumn("class", F.coalesce("class", "row")).withColumn("rep", F.coalesce("rep", "doc_id"))
 
     # Not settled once more: exploded rows take several times the room of the lists, and both uses below shuffle them at once.
-    heads = join_small(sets.where("size(head) > 0").select("doc_id", "n_shingles", "head"), durable(reps.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi")
-    tokens = heads.select(F.explode("head").alias("token"), "doc_id", F.col("n_shingles").alias("n"))
+    tokens = of.where("class = row and rep is not null").select(F.explode("head").alias("token"), "row", F.col("n_shingles").alias("n"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    kept = tokens.join(shared, "token").groupBy("doc_id").agg(F.first("n").alias("n"), F.array_sort(F.collect_set(F.struct("df", "token"))).alias("t"))  # a set: rows may repeat
+    kept = tokens.join(shared, "token").groupBy("row").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
     t, e = F.expr(f"({percent} * n + 99) div 100"), F.expr(f"({100 - percent} * n + 99) div 100")
     head = F.least(F.col("n"), F.col("n") - t + e)
     f = F.greatest(F.lit(1), F.expr(f"({percent * (100 - percent)} * n + 9999) div 10000"))
     room = head - f + 1 - (head - F.size("t"))  # shingles of one class come first in rarity, and take room
-    listed = durable(kept.where(room > 0).select("doc_id", F.explode(F.slice("t", 1, room.cast("int"))).alias("x")).select("doc_id", "x.token"))
-    lead = listed.groupBy("token").agg(F.min("doc_id").alias("lead"), F.count("*").alias("c")).where("c > 1").drop("c")
-    meet = listed.join(lead, "token").where("doc_id <> lead").select(F.col("doc_id").alias("a"), F.col("lead").alias("b")).distinct()
-    cluster = durable(components(meet).withColumnsRenamed({"node": "doc_id", "component": "cluster"}))
-
-    # Blocks: a small cluster is one; a large one is cut by size band (sizes of partners are equal or neighbours) and salt.
-    sized = cluster.join(sets.select("doc_id", "n_shingles").dropDuplicates(["doc_id"]), "doc_id")
-    total = durable(sized.groupBy("cluster").agg(F.count("*").alias("members")))
-    ratio = 100 / percent * 1.000001
-    band = F.floor(F.log("n_shingles") / float(np.log(ratio))).cast("int")
-    sized = join_small(sized, total, "cluster").withColumn("band", F.when(F.col("members") <= block, F.lit(0)).otherwise(band))
-    bands = durable(sized.groupBy("cluster", "band").agg(F.count("*").alias("c")).withColumn("salts", F.ceil(F.col("c") / block).cast("int")))
-    dealt = durable(join_small(sized, bands, ["cluster", "band"]).select("doc_id", "cluster", "band", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt")))
-    one = bands.select("cluster", F.col("band").alias("b1"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("s1"))
-    two = bands.select("cluster", F.col("band").alias("b2"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("s2"), F.col("band").alias("m"))
-    two = two.unionByName(two.withColumn("m", F.col("m") - 1))
-    pairs = one.join(two, (one["cluster"] == two["cluster"]) & (one["b1"] == two["m"])).select(one["cluster"], "b1", "s1", "b2", "s2").where("b2 > b1 or s2 >= s1")
-    left = pairs.select("cluster", F.col("b1").alias("band"), F.col("s1").alias("salt"), F.struct("cluster", "b1", "s1", "b2", "s2").alias("pair"), F.lit(0).alias("side"))
-    right = pairs.where("b1 <> b2 or s1 <> s2").select("cluster", F.col("b2").alias("band"), F.col("s2").alias("salt"), F.struct("cluster", "b1", "s1", "b2", "s2").alias("pair"), F.lit(1).alias("side"))
-    tasks = dealt.join(left.unionByName(right), ["cluster", "band", "salt"]).select("doc_id", "pair", "side")
-    # Small tasks ride together: a cluster in one block needs no pair key of its own, but grouping by pair is the same.
-    full = durable(join_small(cols, cluster.select("doc_id"), "doc_id").dropDuplicates(["doc_id"]).mapInArrow(lambda b: document_sets(b, k, percent, True), "doc_id long, shingles binary"))
-    found = durable(tasks.join(full, "doc_id").groupBy("pair").applyInArrow(search_blocks(percent), "a long, b long, links long"))
+    listed = durable(kept.where(room > 0).select("row", "n", F.explode(F.slice("t", 1, room.cast("int"))).alias("x")).select("row", F.col("n").alias("n_shingles"), "x.token"))
+    lead = listed.groupBy("token").agg(F.min("row").alias("lead"), F.count("*").alias("c")).where("c > 1").drop("c")
+    cluster = components(listed.join(lead, "token").where("row <> lead").select(F.col("row").alias("a"), F.col("lead").alias("b"))).withColumnsRenamed({"node": "row", "component": "cluster"})
+
+    sized = durable(cluster.join(of.select("row", "doc_id", "rep", "n_shingles", "sig"), "row"))
+    large = durable(sized.groupBy("cluster").agg(F.count("*").alias("members")).where(F.col("members") > block))
+    total = sized.agg(F.sum("n_shingles")).first()[0] or 0
+    wanted = sized.select("row", F.col("rep").alias("doc_id"), "sig")
+    full = durable((cols.join(F.broadcast(wanted), "doc_id") if is_small(wanted) else cols.join(wanted, "doc_id")).mapInArrow(full_sets(k), FULL).dropDuplicates(["row"]))
+    group = F.struct(F.lit(-1).cast("long").alias("cluster"), F.lit(0).alias("b1"), F.pmod(F.xxhash64("cluster"), F.lit(max(1, total // TASK_SHINGLES))).cast("int").alias("s1"), F.lit(0).alias("b2"), F.lit(0).alias("s2"))
+    if large.isEmpty():
+        tasks, found = sized.select("row", group.alias("task"), F.lit(0).alias("side")), None
+    else:
+        mine = durable(join_small(listed, durable(join_small(sized.select("row", "cluster"), large.select("cluster"), "cluster")), "row").select("row", "cluster", "token"))
+        lists = durable(mine.groupBy("cluster", "token").agg(F.count("*").alias("m")).where("m > 1"))
+        way = durable(lists.groupBy("cluster").agg(F.sum(F.col("m") * F.col("m")).alias("met"), F.sum("m").alias("entries")).join(large, "cluster").select("cluster", "entries", (SPARSE * F.col("met") < F.col("members") * F.col("members")).alias("sparse")))
+        sized = join_small(sized, way.drop("entries"), "cluster", "left")
+        tasks = sized.where("sparse is null").select("row", group.alias("task"), F.lit(0).alias("side")).unionByName(dense_tasks(sized.where("not sparse"), percent, block))
+        sparse = durable(way.where("sparse").select("cluster", "entries"))
+        found = None
+        if not sparse.isEmpty():
+            mine, lists = join_small(mine, sparse.select("cluster"), "cluster"), join_small(lists, sparse, "cluster")
+            heads = of.select("row", "n_shingles", "head").join(sized.where("sparse").select("row"), "row", "left_semi")
+            found = sparse_links(mine, lists, heads, full, percent, block)
+    blocks = tasks.join(full, "row").groupBy("task").applyInArrow(search_blocks(percent), "a long, b long, links long")
+    found = durable(blocks if found is None else blocks.unionByName(found))
     degree = found.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
-    return of, components(found.where("a <> b").select("a", "b")).join(degree, "node")
+    comp = components(found.where("a <> b").select("a", "b")).join(degree, "node")
+    return of.select("row", "doc_id", "n_shingles", "sig", "rep"), durable(comp)
+
+
+def joined(docs: DataFrame, k: int, percent: int, block: int = BLOCK) -> DataFrame:
+    """Every row's row, sig, doc_id, n_shingles, component_id, links (of its class to other classes) and class_id."""
+    of, comp = links(docs, k, percent, block)
+    return join_small(of, comp.withColumnRenamed("node", "rep"), "rep", "left").select("row", "sig", "doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"), F.col("rep").alias("class_id"))
 
 
 def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles, component_id, links (of its class to other classes) and class_id of every document."""
-    of, comp = links(docs, k, percent)
-    return of.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"), F.coalesce("rep", "doc_id").alias("class_id"))
+    """doc_id, n_shingles, component_id, links and class_id of every document."""
+    return joined(docs, k, percent).drop("row", "sig")
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without all but the least doc_id of each component (and one of rows with that same doc_id stays)."""
-    gone = durable(join(docs, k, percent).where("component_id <> doc_id").select("doc_id").distinct())
-    if gone.limit(1_000_001).count() <= 1_000_000:
-        return docs.join(F.broadcast(gone), "doc_id", "left_anti")
-    return docs.join(gone, "doc_id", "left_anti")
+    """``docs`` with one row of each component: that with the least doc_id.
+
+    Of repeated rows one stays, of texts that only rows without a doc_id have too; texts without words all stay.
+    """
+    rows = durable(joined(docs, k, percent).where("sig is not null").select("doc_id", "sig", "component_id"))
+    again = durable(rows.groupBy("doc_id").agg(F.count("*").alias("_c")).where("_c > 1 or doc_id is null").select("doc_id", F.lit(True).alias("_again")))
+    gone = durable(rows.where("component_id <> doc_id").select("doc_id").distinct())
+    if again.isEmpty():
+        return join_small(docs, gone, "doc_id", "left_anti")
+    # Rows that doc_id alone doesn't tell apart: by their set too.
+    names, key = docs.columns, F.struct("doc_id", "sig")
+    odd = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).withColumn("id", F.coalesce("doc_id", F.lit(0))).join(again.withColumn("id", F.coalesce("doc_id", F.lit(0))).drop("doc_id"), "id")
+    stay = odd.where("doc_id is not null").groupBy("doc_id").agg(F.min("sig").alias("sig")).unionByName(odd.where("doc_id is null").select("doc_id", "sig").distinct())
+    flagged = docs.join(F.broadcast(again) if is_small(again) else again, docs["doc_id"].eqNullSafe(again["doc_id"]), "left").drop(again["doc_id"])
+    single = join_small(flagged.where("_again is null").select(*names), gone, "doc_id", "left_anti")
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sigs: list = [None] * b.num_rows
+            for part, s, cut in text_sets(b.column("text"), k):
+                for i, x in zip(part.tolist(), signatures(s, cut)):
+                    sigs[i] = x
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sigs, pa.binary())], names=[*b.schema.names, "_sig"])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("_sig", T.BinaryType())])
+    marked = flagged.where("_again").select(*names).mapInArrow(mark, schema)
+    stay = durable(stay.select(F.col("doc_id").alias("_id"), F.col("sig").alias("_s")))
+    left = marked.where("_sig is not null").join(stay, marked["doc_id"].eqNullSafe(stay["_id"]) & (marked["_sig"] == stay["_s"]), "left_semi").dropDuplicates(["doc_id", "_sig"])
+    return single.unionByName(left.select(*names)).unionByName(marked.where("_sig is null").select(*names))
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import BROADCAST_ROWS, chunks, durable, join_small, mix, shingles
+from gristmill.llm.common import BROADCAST_BYTES, chunks, durable, is_small, join_small, mix, shingles
 from gristmill.llm.decontaminate import Windows
 
 SEED, WINDOW = 16, 35
@@ -149,11 +149,11 @@ def _extent_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(w, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=["w", "low", "high"])
 
 
-def _border_spans(border: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Spans of rows of seeds that several partitions have; the windows' first documents are broadcast up to ``rows``, else joined by shuffle."""
+def _border_spans(border: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Spans of rows of seeds that several partitions have; the windows' first documents are broadcast up to ``most`` bytes, else joined by shuffle."""
     firsts = border.mapInArrow(_extent_rows, "w long, low long, high long").groupBy("w").agg(F.min("low").alias("first_doc_id"), F.max("high").alias("last"))
     firsts = durable(firsts.where("first_doc_id < last").drop("last"))
-    if firsts.limit(rows + 1).count() <= rows:
+    if is_small(firsts, most):
         got = firsts.orderBy("w").toArrow()  # bounded just above
         shared = border.sparkSession.sparkContext.broadcast((got["w"].to_numpy(), got["first_doc_id"].to_numpy()))
 

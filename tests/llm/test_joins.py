@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gristmill.llm import decontaminate as dc
 from gristmill.llm import ngram_join as nj
 from gristmill.llm import suffix_dedup as sd
-from gristmill.llm.components import components
+from gristmill.llm.components import components, forest
 
 
 def words(t):
@@ -94,12 +94,74 @@ def test_join_on_odd_rows(odd, make):
     assert {x.doc_id: (x.component_id, x.links) for x in nj.join(d, 1, 80).collect()} == {0: (0, 1), 1: (0, 1), 2: (0, 1)}
 
 
+def quotes(n, pool, seed=5):
+    """Texts of three passages each, from a shared pool, so that nearly all meet in some list; a few near copies among them."""
+    rng = np.random.default_rng(seed)
+    passages = [[f"p{i}x{x}" for x in range(32)] for i in range(pool)]
+    rows = []
+    for d in range(n):
+        t = [x for i in rng.permutation(pool)[:3] for x in passages[i]]
+        if d % 10 == 9:  # one word of an earlier text changed
+            t = rows[-3][1].split()
+            t[rng.integers(len(t))] = f"v{d}"
+        rows.append((d, " ".join(t)))
+    return rows
+
+
+@pytest.mark.parametrize("k, percent, pool, block", [(3, 90, 60, 40), (5, 80, 60, 40), (3, 90, 3, 16)])
+def test_texts_that_quote_each_other(make, k, percent, pool, block):
+    rows = quotes(600, pool)
+    got = nj.joined(make(rows), k, percent, block)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_components(rows, k, percent)
+    sets = shingle_sets(rows, k)
+    reps = {frozenset(s): d for d, s in reversed(list(sets.items()))}
+    linked = {d: sum(100 * len(s & o) >= percent * len(s | o) for o in reps) - 1 for s, d in reps.items()}
+    assert {r.doc_id: r.links for r in got.collect()} == {d: linked[reps[frozenset(s)]] for d, s in sets.items()}
+
+
+def test_quotes_are_searched_by_list(make, monkeypatch):
+    """16,000 texts in one cluster: no block is compared with another."""
+    met = []
+    monkeypatch.setattr(nj, "dense_tasks", lambda sized, *a: met.append(sized.count()) or sized.select("row", nj.F.lit(None).cast("struct<cluster:bigint,b1:int,s1:int,b2:int,s2:int>").alias("task"), nj.F.lit(0).alias("side")).limit(0))
+    rows = quotes(16_000, 1000)
+    comp = {r.doc_id: r.component_id for r in nj.query(make(rows)).collect()}
+    assert met == [0] and comp[9] == comp[6] and sum(d == c for d, c in comp.items()) >= 14_000
+
+
+def test_keep_one_on_repeated_rows_and_missing_ids(make):
+    t, u = "some words of a text that is here more than once in all", "other words that only rows without an id have"
+    rows = [(7, t), (7, t), (None, t), (None, u), (None, u), (9, "a text of its own"), (9, "another text of the same id"), (5, ""), (5, None), (None, "")]
+    d = make(rows, extra=True)
+    kept = sorted(((r.doc_id, r.text) for r in nj.keep_one(d).collect()), key=str)
+    assert [x for x in kept if x[0] != 9] == sorted([(7, t), (None, u), (5, ""), (5, None), (None, "")], key=str)
+    assert len([x for x in kept if x[0] == 9]) == 1 and nj.keep_one(d).columns == d.columns
+    by = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in nj.query(d).collect()), key=str)
+    assert by.count((7, 11, 7)) == 2 and (None, 11, 7) in by and by.count((None, 7, None)) == 2
+
+
 def test_components_of_a_chain(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 101), (5, 5), (None, 3)], "a long, b long")
     got = {r.node: r.component for r in components(e).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
-    assert components(e.where("false")).count() == 0
+    assert {r.node: r.component for r in components(e.repartition(7), one_task=0).collect()} == got
+    assert components(e.where("false")).count() == 0 and components(e.where("false"), one_task=-1).count() == 0
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(-9, 30), st.integers(-9, 30)), max_size=60))
+def test_forest(edges):
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
 
+    for a, b in edges:
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    node, least = forest(np.array([a for a, _ in edges], np.int64), np.array([b for _, b in edges], np.int64))
+    assert dict(zip(node.tolist(), least.tolist())) == {x: root(x) for x in parent}
 
 def brute_tiles(test, text, least):
     """Greedy string tiling as first stated: mark the longest match of unmarked words, again and again."""
