@@ -6,13 +6,12 @@ stage's docs. All but the last return the columns of documents.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from gristmill.llm import decontaminate, ngram_join, quality_rules, secret_scan, sentencepieces
-from gristmill.llm.common import table
+from gristmill.llm.common import shared_dir, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,11 +46,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gristmill-")
-    docs = table(spark, sf_dir, "documents")
+    """Ids of what all stages keep. A stage's files go once the stage after the next one is written."""
+    base, docs = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs.write.parquet(path := f"{base}/pipeline-{uuid.uuid4().hex}/{i}")
-            docs = spark.read.parquet(path)
+            docs.write.parquet(f"{base}/{i}")
+            docs = spark.read.parquet(f"{base}/{i}")
+            if i:
+                old = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{i - 1}")
+                old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
     return docs
