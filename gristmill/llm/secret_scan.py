@@ -1,10 +1,16 @@
 """Secret scan by assignment-aware lexing.
 
-Three base patterns are always reported. Beyond them, source and configuration syntax is lexed into name-literal pairs
-(``name = "literal"``, ``"name": 'literal'``, ``name: literal``, ``name := a + b``, ``export NAME=literal``); a name
-bound to a literal is a constant, and a later pair whose right side is such a name gets that constant's literals
-(propagation, through chains). A literal is reported if its targets' names and the literal itself score enough together,
-unless one base span holds all of it.
+Three base patterns are always reported. Beyond them, source and configuration syntax is lexed from left to right into
+name-literal pairs: a name (bare, quoted, in brackets, dotted, with a type) before ``=``, ``:``, ``:=`` or ``=>``, and
+what stands behind: quoted, triple-quoted and back-quoted strings, bare values, pieces joined by ``+``, here-documents and
+indented blocks (``name: |``); values end at comments. Elements ``<name>value</name>`` and PEM blocks are pairs too. A
+name bound to a value is a constant; a later pair that refers to it passes its own sensitivity on to the constant's
+literals, through chains. A literal is reported if the most sensitive name that reaches it and the literal itself score
+enough together, unless one base span holds all of it.
+
+Names and values are looked for around operators alone, each character is read a bounded number of times, and constants
+are nodes of a graph that is walked once, so work grows in proportion to the text. Within a bare value that holds
+operators (``a=b=c``) the first pair has the whole value, later ones what lies up to the next operator's name.
 
 Spans are code points, end exclusive; an assign span is the whole match. Null texts are empty; an empty table gives no
 rows; repeated rows are scanned each; extra columns pass through ``redact``. Each text is scanned whole, in one task.
@@ -15,11 +21,14 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
 
 #: Kinds, in the order in which they are listed.
 KINDS = ("assign", "access", "hex", "literal")
@@ -35,14 +44,20 @@ NAME_WEIGHT = {
 NOT_SECRET = re.compile(r"(?i)^(?:x+|\*+|\.+|null|none|true|false|nil|undefined|changeme|example.*|your[_-].*|test|dummy|redacted|placeholder.*|<.*>|\$\{.*\}|\{\{.*\}\}|%\(.*|https?://[^:@]*)$")
 THRESHOLD = 0.5
 
-_NAME = r"""(?P<q>["'`]?)(?P<name>[A-Za-z_$][\w$]*(?:[.\-][A-Za-z_$][\w$]*)*)(?P=q)\]?"""
-_PIECE = r"""(?:[rbfuRBFU]{0,2}(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`)|[^\s"'`,;(){}\[\]+]+(?:\+[^\s"'`,;(){}\[\]+]+)*)"""
-_PAIR = re.compile(rf"{_NAME}(?:[ \t]*:[ \t]*[A-Za-z_][\w.]*(?=[ \t]*=))?[ \t]*(?:=>|:=|[:=](?![=>]))[ \t]*(?P<rhs>{_PIECE}(?:[ \t]*\+[ \t]*{_PIECE})*)", re.A)
-_EACH = re.compile(_PIECE, re.A)
-_IDENT = re.compile(r"[A-Za-z_$][\w$]*(?:[.\-][A-Za-z_$][\w$]*)*\Z", re.A)
+_OPERATOR = re.compile(r"=>|:=|[:=]")
+_IDENT = re.compile(r"[A-Za-z_$][\w$]*+(?:[.\-][A-Za-z_$][\w$]*+)*+", re.A)
+_TYPE = re.compile(r"[ \t]*+[A-Za-z_][\w.]*+[ \t]*+=(?![=>])", re.A)
+_SPACES = re.compile(r"[ \t]*+")
+_BARE = re.compile(r"""[^\s"'`,;(){}\[\]+&][^\s"'`,;(){}\[\]&]*+""")
+_STRING = {q: re.compile(rf"{q}(?:[^{q}\\\n]|\\.)*+{q}") for q in "\"'"} | {"`": re.compile(r"`(?:[^`\\]|\\.)*+`", re.S)}
+_HERE = re.compile(r"""(?:\$\([ \t]*+cat[ \t]++)?<<[-~]?[ \t]*+["']?([A-Za-z_]\w*+)["']?""", re.A)
+_BLOCK = re.compile(r"[|>][+-]?\d?[+-]?[ \t]*+(?:#[^\n]*+)?\n")
+_ELEMENT = re.compile(r"<([A-Za-z_][\w.:-]*+)>([^<>\n]++)</", re.A)
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]++)-----")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 
+@lru_cache(10_000)
 def name_score(name: str) -> float:
     parts = [p.lower() for p in _PARTS.findall(name)]
     if "api" in parts and "key" in parts:
@@ -55,58 +70,209 @@ def literal_score(s: str, quoted: bool) -> float:
     if len(s) < 6 or NOT_SECRET.match(s) or " " in s.strip() and not quoted:
         return 0.0
     n = len(s)
-    entropy = -sum(c / n * math.log2(c / n) for c in (s.count(x) for x in set(s)))
+    entropy = -sum(c / n * math.log2(c / n) for c in Counter(s).values())
     kinds = sum(bool(re.search(p, s)) for p in ("[a-z]", "[A-Z]", "[0-9]", r"[^A-Za-z0-9\s]"))
     if not quoted and (kinds < 2 or not re.search("[0-9]", s)):
         return 0.0
     return min(1.0, entropy / 3.0) * (1.0 if kinds >= 2 else 0.7)
 
 
-def lex_pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int, bool]], list[str]]]:
-    """(target name, literal spans with whether quoted, names referred to) of each pair, in order."""
-    at = 0
-    while m := _PAIR.search(text, at):
-        literals, names = [], []
-        for p in _EACH.finditer(text, m.start("rhs"), m.end("rhs")):
-            piece = p.group()
-            body = piece.lstrip("rbfuRBFU") if piece[-1:] in "\"'`" else piece
-            if body[:1] in ("'", '"', "`") and len(body) >= 2:
-                literals.append((p.end() - len(body) + 1, p.end() - 1, True))
-            elif _IDENT.match(piece):
-                names.append(piece)
-                literals.append((p.start(), p.end(), False))
+class Lexer:
+    """Pairs of one text: (names of the target, literal spans with whether quoted, names referred to), by place."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.bare_end = 0  # up to here lies a bare value that was taken
+        self.body_end = 0  # up to here lies a value of several lines; it is lexed too, but no other begins in it
+        self.open: dict[str, int] = {}  # up to here a kind of quote has no partner
+        self.lines: dict[str, list[int]] | None = None
+
+    def name_before(self, at: int, least: int) -> tuple[int, str] | None:
+        """(begin, name) of what ends before ``at``: an identifier, in quotes or not, with or without a closing bracket."""
+        t, i = self.text, at
+        while i > least and t[i - 1] in " \t":
+            i -= 1
+        if i > least and t[i - 1] == "]":
+            i -= 1
+        quote = t[i - 1] if i > least and t[i - 1] in "\"'`" else ""
+        i -= len(quote)
+        end = i
+        while i > least and (t[i - 1].isascii() and t[i - 1].isalnum() or t[i - 1] in "_$.-"):
+            i -= 1
+        if quote and (i <= 0 or t[i - 1] != quote):
+            return None
+        while i < end and not (t[i].isalpha() or t[i] in "_$"):  # 2x.y-z: from a letter on
+            i += 1
+        m = _IDENT.match(t, i, end)
+        while m and m.end() < end:  # a.-b: what follows the last odd mark
+            i = m.end() + 1
+            while i < end and not (t[i].isalpha() or t[i] in "_$"):
+                i += 1
+            m = _IDENT.match(t, i, end)
+        return (i, m[0]) if m else None
+
+    def string(self, at: int) -> tuple[int, int, int] | None:
+        """(begin, end, place after) of the string whose quote is at ``at``; None if it has no partner."""
+        t, q = self.text, self.text[at]
+        if t.startswith(q * 3, at) and at >= max(self.body_end, self.open.get(q * 3, 0)):
+            end = t.find(q * 3, at + 3)
+            if end >= 0:
+                return at + 3, end, end + 3
+            self.open[q * 3] = len(t)
+        if at < max(self.open.get(q, 0), self.body_end if q == "`" else 0):
+            return None
+        if m := _STRING[q].match(t, at):
+            return at + 1, m.end() - 1, m.end()
+        line = t.find("\n", at) if q != "`" else -1
+        self.open[q] = line if line >= 0 else len(t)  # the rest of the line's quotes of this kind stand alone
+        return None
+
+    def here(self, word: str, at: int) -> tuple[int, int] | None:
+        """The lines from the next one on up to one that is ``word``."""
+        if self.lines is None:
+            self.lines, place = {}, 0
+            for line in self.text.split("\n"):
+                self.lines.setdefault(line.strip(" \t\r"), []).append(place)
+                place += len(line) + 1
+        begin = self.text.find("\n", at) + 1
+        ends = self.lines.get(word, [])
+        i = bisect_left(ends, begin)
+        return (begin, max(begin, ends[i] - 1)) if begin and i < len(ends) else None
+
+    def block(self, name: int, at: int) -> tuple[int, int]:
+        """The lines from ``at`` on that are indented deeper than the name's."""
+        t, line = self.text, self.text.rfind("\n", 0, name) + 1
+        depth = _SPACES.match(t, line).end() - line
+        begin = end = at
+        while at < len(t):
+            stop = t.find("\n", at)
+            stop = len(t) if stop < 0 else stop
+            inside = _SPACES.match(t, at, stop).end()
+            if inside < stop:
+                if inside - at <= depth:
+                    break
+                begin = inside if end == begin else begin
+                end = stop
+            at = stop + 1
+        return begin, end
+
+    def value(self, at: int, name: int) -> tuple[list[tuple[int, int, bool]], list[str], int]:
+        """(literals, names referred to, place after) of what stands behind an operator; place 0: lex on in it."""
+        t, literals, names = self.text, [], []
+        at = _SPACES.match(t, at).end()
+        if at >= self.body_end:
+            body = None
+            if m := _HERE.match(t, at):
+                body = self.here(m[1], m.end())
+            elif m := _BLOCK.match(t, at):
+                body = self.block(name, m.end())
+            if body and body[1] > body[0]:
+                self.body_end = body[1]
+                return [(*body, True)], [], 0
+        after = 0
+        while at < len(t):
+            i = at
+            while i < min(len(t), at + 2) and t[i] in "rbfuRBFU":
+                i += 1
+            i = i if i < len(t) and t[i] in "\"'`" else at
+            if t[i] in "\"'`":
+                if not (s := self.string(i)):
+                    break
+                literals.append((s[0], s[1], True))
+                at = after = s[2]
+                if t.find("\n", s[0], s[1]) >= 0:
+                    self.body_end, after = s[1], 0
+            elif t[at] == "#" or t.startswith(("//", "/*"), at) or not (m := _BARE.match(t, at)):
+                break
+            else:
+                end = m.end() - (len(m[0]) - len(m[0].rstrip("+")))
+                self.bare_end = m.end()
+                literals.append((at, end, False))
+                if _IDENT.fullmatch(t, at, end):
+                    names.append(t[at:end])
+                at, after = end, 0
+            i = _SPACES.match(t, at).end()
+            if not t.startswith("+", i):
+                break
+            at = _SPACES.match(t, i + 1).end()
+        return literals, names, after
+
+    def pairs(self) -> Iterator[tuple[str, list[tuple[int, int, bool]], list[str]]]:
+        t, least, after = self.text, 0, 0
+        typed: tuple[int, tuple[int, str]] | None = None  # where the value of a name with a type begins
+        inner: tuple[str, int, int] | None = None  # a pair within a bare value, and where that ends
+
+        def close(end: int) -> Iterator[tuple[str, list[tuple[int, int, bool]], list[str]]]:
+            if inner is not None and end > inner[1]:
+                yield inner[0], [(inner[1], end, False)], [t[inner[1] : end]] if _IDENT.fullmatch(t, inner[1], end) else []
+
+        for m in _OPERATOR.finditer(t):
+            a, z = m.span()
+            if a < after or m[0] in "=:" and (t[z : z + 1] == m[0] or a and t[a - 1] in "=!<>:"):
+                continue
+            name = typed[1] if typed and typed[0] == a else self.name_before(a, max(least, after))
+            least, within = z, a < self.bare_end
+            if inner is not None and (name or not within):
+                yield from close(name[0] if name and within else inner[2])
+                inner = None
+            if name is None:
+                continue
+            if m[0] == ":" and (kind := _TYPE.match(t, z)):
+                typed = (kind.end() - 1, name)
+            elif within:
+                inner = (name[1], z, self.bare_end)
             else:
-                literals.append((p.start(), p.end(), False))
-        yield m["name"], literals, names
-        # "type: name = value" and "a: b: c" may nest: go on inside a bare right side that could be a name itself
-        at = m.end() if literals and literals[0][2] else max(m.start("rhs"), m.start() + 1)
+                literals, names, after_it = self.value(z, name[0])
+                after = max(after, after_it)
+                if literals:
+                    yield name[1], literals, names
+        if inner is not None:
+            yield from close(inner[2])
+        if "</" in t:
+            for m in _ELEMENT.finditer(t):
+                yield m[1], [(*m.span(2), True)], []
+        if "-----BEGIN " in t:
+            at = 0
+            for m in _PEM.finditer(t):
+                if m.start() >= at:
+                    if (end := t.find("-----END ", m.end())) < 0:
+                        break
+                    stop = t.find("-----", end + 9)
+                    at = stop + 5 if stop >= 0 else len(t)
+                    yield m[1], [(m.start(), at, True)], []
 
 
 def literal_spans(text: str) -> list[tuple[int, int]]:
-    constants: dict[str, list[tuple[int, int, bool]]] = {}
-    found = set()
-    for name, literals, names in lex_pairs(text):
-        known = [x for n in names for x in constants.get(n, constants.get(n.rpartition(".")[2], []))]
-        own = [x for x in literals if x[2] or not any(text[x[0] : x[1]] == n and (n in constants or n.rpartition(".")[2] in constants) for n in names)]
-        values = own + known
-        for key in {name, name.rpartition(".")[2]}:
-            constants[key] = values
-        if (s := name_score(name)) > 0:
-            found |= {(a, b) for a, b, q in values if s * literal_score(text[a:b], q) >= THRESHOLD}
-    return sorted(found)
+    constants: dict[str, int] = {}
+    nodes: list[tuple[list[tuple[int, int, bool]], list[int]]] = []  # literals, and earlier nodes referred to
+    best: list[float] = []
+    for name, literals, names in Lexer(text).pairs():
+        known = {n: x for n in names if (x := constants.get(n, constants.get(n.rpartition(".")[2]))) is not None}
+        nodes.append(([x for x in literals if x[2] or text[x[0] : x[1]] not in known], list(known.values())))
+        constants[name] = constants[name.rpartition(".")[2]] = len(best)
+        best.append(name_score(name))
+    found: dict[tuple[int, int, bool], float] = {}
+    for i in range(len(nodes) - 1, -1, -1):  # a node is referred to by later ones only
+        if best[i] > 0:
+            for x in nodes[i][1]:
+                best[x] = max(best[x], best[i])
+            for x in nodes[i][0]:
+                found[x] = max(found.get(x, 0.0), best[i])
+    return sorted({(a, b) for (a, b, q), s in found.items() if s >= THRESHOLD and s * literal_score(text[a:b], q) >= THRESHOLD})
 
 
 def spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind), by start, then kind as listed."""
     out = []
-    pairs = ":" in text or "=" in text
-    if pairs:
+    if ":" in text or "=" in text:
         out += [(*m.span(), "assign") for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
     if "AKIA" in text:
         out += [(*m.span(), "access") for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
     out += [(*m.span(), "hex") for m in _HEX.finditer(text)]
-    if pairs:
-        out += [(a, b, "literal") for a, b in literal_spans(text) if not any(x <= a and b <= y for x, y, _ in out)]
+    if ":" in text or "=" in text or "</" in text or "-----BEGIN " in text:
+        out.sort()
+        starts, ends = [x for x, _, _ in out], list(accumulate((y for _, y, _ in out), max))
+        out += [(a, b, "literal") for a, b in literal_spans(text) if not ((i := bisect_right(starts, a)) and ends[i - 1] >= b)]
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
@@ -114,7 +280,7 @@ def joined(found: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in found)
 
 
-RESULT = T.StructType([T.StructField("doc_id", T.LongType())] + [T.StructField(f"n_{k}", T.LongType()) for k in KINDS] + [T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())])
+RESULT = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_literal long"
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -127,8 +293,8 @@ def scan(docs: DataFrame) -> DataFrame:
                 found = spans(t.as_py() or "")
                 base = [x for x in found if x[2] != "literal"]
                 rows.append(([sum(x[2] == k for x in found) for k in KINDS], hashlib.sha256(joined(base).encode()).hexdigest(), joined(found)))
-            counts = [pa.array([r[0][i] for r in rows], pa.int64()) for i in range(len(KINDS))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *counts, pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], names=RESULT.names)
+            *counts, literals = [pa.array([r[0][i] for r in rows], pa.int64()) for i in range(len(KINDS))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *counts, pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string()), literals], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_literal"])
 
     return docs.select("doc_id", "text").mapInArrow(run, RESULT)
 

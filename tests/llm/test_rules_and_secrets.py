@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -99,3 +100,63 @@ def test_scan_and_redact(make, odd):
 def test_literals_that_a_base_span_cuts(make, text, literal, clean):
     assert [text[a:b] for a, b, k in ss.spans(text) if k == "literal"] == ([literal] if literal else [])
     assert ss.redact(make([(1, text)])).first().text == clean
+
+
+@pytest.mark.parametrize(
+    "text, literals",
+    [
+        ('pwd: str = "Qw3rty-99x"', ["Qw3rty-99x"]),
+        ("cfg['db_pwd'] = 'Qw3rty-99x'", ["Qw3rty-99x"]),
+        ('pwd = """line One 9\nline two 8x"""', ["line One 9\nline two 8x"]),
+        ("pwd: |\n  Abc9 def8\n\n  ghi7-X\nnext: 1", ["Abc9 def8\n\n  ghi7-X"]),
+        ("run: |\n  export CREDS=Abc9-def8\n", ["Abc9-def8"]),
+        ("export CREDS=$(cat <<EOF\nAbc9-def8\nEOF\n)", ["Abc9-def8"]),
+        ("<dbPwd>Zx9-Qw8-rt</dbPwd>", ["Zx9-Qw8-rt"]),
+        ("k:\n-----BEGIN RSA PRIVATE KEY-----\nMIIEpA7x\n-----END RSA PRIVATE KEY-----\n", ["-----BEGIN RSA PRIVATE KEY-----\nMIIEpA7x\n-----END RSA PRIVATE KEY-----"]),
+        ("url?pwd=abcDEF123&x=1", ["abcDEF123"]),
+        ("a=pwd=Qw3rty99", ["Qw3rty99"]),
+        ("pwd = # Qw3rty99\nother = 1", []),
+        ('# pwd = "Qw3rty-99x"', ["Qw3rty-99x"]),
+        ('a = "part-One9"\nb = a + "two-8Xx"\npwd = b', ["part-One9", "two-8Xx"]),
+        ('conf.pin = "Abcd-1234"\nauth_cookie = conf.pin', ["Abcd-1234"]),
+        ("if pwd == 'Qw3rty-99x': pass", []),
+        ('pwd = "Qw3rty-99x', []),
+    ],
+)
+def test_syntax(text, literals):
+    assert [text[a:b] for a, b, k in ss.spans(text) if k == "literal"] == literals
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["a", "b", "c", "pwd", "client_creds", "salt"]), st.lists(st.one_of(st.sampled_from(["a", "b", "c", "pwd"]), st.integers(0, 10**6).map(lambda x: f'"Xy-{x:07d}"')), min_size=1, max_size=3)), max_size=12))
+def test_propagation(lines):
+    """Against sets of literals that are copied along, line by line."""
+    text, known, want = "", {}, set()
+    for name, parts in lines:
+        text += f"{name} = "
+        values = set()
+        for i, x in enumerate(parts):
+            text += " + " if i else ""
+            if x[0] == '"':
+                values.add((len(text) + 1, len(text) + len(x) - 1, True))
+            elif x in known:
+                values |= known[x]
+            else:
+                values.add((len(text), len(text) + len(x), False))
+            text += x
+        text += "\n"
+        known[name] = values
+        want |= {(a, b) for a, b, q in values if ss.name_score(name) * ss.literal_score(text[a:b], q) >= ss.THRESHOLD}
+    assert ss.literal_spans(text) == sorted(want)
+
+
+def test_long_texts_take_time_in_proportion():
+    run = "aB3x" * 250_000
+    texts = {
+        "base64": run + "==", "of a name": f"pwd = {run}==", "name": run + " = 1", "doubled": 'a0 = "Xx9-abcde"\n' + "".join(f"a{i + 1} = a{i} + a{i}\n" for i in range(1000)) + "pwd = a1000", "pairs": "token=" * 160_000,
+        "open quotes": 'x = "\\"' * 160_000, "open bodies": "token=<<A\n" * 100_000 + "A\n", "blocks": "token: |\n " * 100_000, "blocks of keys": "-----BEGIN A-----" * 50_000 + "-----END", "spaces": "=" + " " * 10**6, "same constant": f'k = "{run}"\n' + "pwd = k\n" * 50_000,
+    }
+    for name, t in texts.items():
+        began = time.process_time()
+        ss.spans(t)
+        assert time.process_time() - began < 8, name
