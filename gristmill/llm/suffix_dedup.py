@@ -10,8 +10,11 @@ so their spans overlap and are joined. Seeds at the borders of partitions are se
 their windows, so a passage shared by a third of all documents is spread over many tasks and loses nothing.
 
 Equal texts are one class first: only the least doc_id of each is searched, and copies of a text of LEAST words or more
-are repeated as a whole, beside the passages that other texts have first. Nulls and texts under LEAST words have no passage. Repeated rows give one result row each text
-and doc_id. An empty table gives no rows; extra columns pass through ``cut_repeats``.
+are repeated as a whole, beside the passages that other texts have first. Nulls and texts under LEAST words have no
+passage. Rows that share a doc_id are one document (a result row for each of its texts): passages that only these have in
+common are no repeats. Rows without a doc_id can't be told apart: they take no part, and ``cut_repeats`` leaves them as
+they are. An empty table gives no rows; extra columns pass through ``cut_repeats``. Very long texts are taken whole: a
+task holds one with 8 bytes for each word and window.
 """
 
 from __future__ import annotations
@@ -29,8 +32,6 @@ from gristmill.llm.decontaminate import Windows
 
 SEED, WINDOW = 16, 35
 LEAST = SEED + WINDOW - 1
-#: Kept suffixes (about 70 bytes each in a broadcast) up to which their places are broadcast to the texts, instead of joining by shuffle.
-BROADCAST_SUFFIXES = 300_000
 SPANS = "doc_id long, begin int, end int, first_doc_id long"
 
 
@@ -149,26 +150,31 @@ def _extent_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(w, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=["w", "low", "high"])
 
 
-def _border_spans(border: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
-    """Spans of rows of seeds that several partitions have; the windows' first documents are broadcast up to ``most`` bytes, else joined by shuffle."""
+def _all_spans(got: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """The spans of ``_settled``, with those of its open rows: their windows' first documents are broadcast up to ``most`` bytes, else joined by shuffle."""
+    border = got.where("windows is not null").select("doc_id", "begin", "windows")
     firsts = border.mapInArrow(_extent_rows, "w long, low long, high long").groupBy("w").agg(F.min("low").alias("first_doc_id"), F.max("high").alias("last"))
     firsts = durable(firsts.where("first_doc_id < last").drop("last"))
     if is_small(firsts, most):
-        got = firsts.orderBy("w").toArrow()  # bounded just above
-        shared = border.sparkSession.sparkContext.broadcast((got["w"].to_numpy(), got["first_doc_id"].to_numpy()))
+        table = firsts.orderBy("w").toArrow()  # bounded just above
+        shared = got.sparkSession.sparkContext.broadcast((table["w"].to_numpy(), table["first_doc_id"].to_numpy()))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known, first = shared.value
             for b in batches:
-                owner, doc, place, w = _each_window(b)
-                at = np.searchsorted(known, w)
-                at[at == len(known)] = 0
-                if len(known):
+                done = pa.compute.is_null(b.column("windows"))
+                yield b.filter(done).drop_columns(["windows"])
+                rest = b.filter(pa.compute.invert(done))
+                if len(known) and rest.num_rows:
+                    owner, doc, place, w = _each_window(rest)
+                    at = np.searchsorted(known, w)
+                    at[at == len(known)] = 0
                     yield _runs(owner, doc, place, first[at], known[at] == w).drop_columns(["windows"])
 
-        return border.mapInArrow(run, SPANS)
+        return got.mapInArrow(run, SPANS)
     apart = border.select("doc_id", "begin", F.posexplode("windows").alias("i", "w")).select("doc_id", (F.col("begin") + F.col("i")).alias("begin"), "w")
-    return apart.join(firsts.hint("merge"), "w").select("doc_id", "begin", (F.col("begin") + LEAST).alias("end"), "first_doc_id")
+    apart = apart.join(firsts.hint("merge"), "w").select("doc_id", "begin", (F.col("begin") + LEAST).alias("end"), "first_doc_id")
+    return got.where("windows is null").drop("windows").unionByName(apart)
 
 
 def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,15 +236,12 @@ def repeats(docs: DataFrame) -> DataFrame:
     shared = suffixes.groupBy("seed").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("seed")
     # Durable, so that neither side of the join comes from the count's exchange: a hot seed's rows can then be split.
     kept = durable(join_small(suffixes, durable(shared), "seed").groupBy("doc_id").agg(F.collect_list("place").alias("kept")))
-    few = (kept.agg(F.sum(F.size("kept"))).first()[0] or 0) <= BROADCAST_SUFFIXES
-    rows = docs.select("doc_id", "text").join(F.broadcast(kept) if few else kept.hint("merge"), "doc_id")
+    rows = join_small(docs.select("doc_id", "text"), kept, "doc_id")
     rows = durable(rows.mapInArrow(_windows, "doc_id long, seed long, begin int, windows array<long>"))
     by = ("seed", "doc_id", "begin")
     got = durable(rows.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(_settled, f"{SPANS}, windows array<long>"))
-    # Seeds at borders: two for each partition, and all rows of a seed that fills several.
-    across = _border_spans(got.where("windows is not null").select("doc_id", "begin", "windows"))
-    found = got.where("windows is null").drop("windows").unionByName(across)
-    spans = found.groupBy("doc_id").agg(F.collect_set(F.struct("begin", "end", "first_doc_id")).alias("spans")).mapInArrow(_joined, "doc_id long, spans array<struct<begin:int, end:int, first_doc_id:long>>")
+    # Open are seeds at borders: two for each partition, and all rows of a seed that fills several.
+    spans = _all_spans(got).groupBy("doc_id").agg(F.collect_set(F.struct("begin", "end", "first_doc_id")).alias("spans")).mapInArrow(_joined, "doc_id long, spans array<struct<begin:int, end:int, first_doc_id:long>>")
     of = texts.select("doc_id", "n_words", "sig").distinct().join(classes, "sig").join(spans.withColumnRenamed("doc_id", "class_id"), "class_id", "left").where("copies > 1 or spans is not null")
     whole = F.array(F.struct(F.lit(0).alias("begin"), F.col("n_words").alias("end"), F.col("class_id").alias("first_doc_id")))
     # Beside the whole text, passages that another class has first; those that its own class has first lie within it.
