@@ -33,9 +33,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from gristmill.llm.common import by_document, chunks, durable, is_small, join_small, mix, shingles
 from gristmill.llm.components import components, forest
@@ -45,7 +46,8 @@ BLOCK, TASK_SHINGLES = 512, 1_000_000
 #: A large cluster is searched list by list if that meets so many times fewer pairs.
 SPARSE = 4
 SET = "row long, doc_id long, n_shingles long, sig binary, head array<long>"
-FULL = "row long, doc_id long, n_shingles long, shingles binary"
+TASK = "struct<cluster:bigint,b1:int,s1:int,b2:int,s2:int>"
+FULL = f"row long, doc_id long, task {TASK}, shingles binary"
 
 
 def set_sizes(n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,19 +95,37 @@ def row_sets(k: int, percent: int):
 
 
 def full_sets(k: int):
-    """The full sets of (doc_id, text, row, sig), where the text's signature is sig."""
+    """The full sets of (doc_id, text, row, sig, task), where the text's signature is sig; one of each row in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
-            wanted = b.column("sig").to_pylist()
+            wanted, number = b.column("sig").to_pylist(), b.column("row").to_pylist()
             for rows, s, cut in text_sets(b.column("text"), k):
-                keep = [i for i, x in enumerate(signatures(s, cut)) if x is not None and x == wanted[rows[i]]]
+                keep = []
+                for i, x in enumerate(signatures(s, cut)):
+                    if x is not None and x == wanted[rows[i]] and number[rows[i]] not in seen:
+                        seen.add(number[rows[i]])
+                        keep.append(i)
                 at = pa.array(rows[keep], pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column("row").take(at), b.column("doc_id").take(at).cast(pa.int64()), pa.array(np.diff(cut)[keep], pa.int64()), pa.array([s[cut[i] : cut[i + 1]].tobytes() for i in keep], pa.binary())], names=["row", "doc_id", "n_shingles", "shingles"])
+                sets = pa.array([s[cut[i] : cut[i + 1]].tobytes() for i in keep], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column("row").take(at), b.column("doc_id").take(at).cast(pa.int64()), b.column("task").take(at), sets], names=["row", "doc_id", "task", "shingles"])
 
     return run
 
 
+def of_sides(batches: Iterator[pa.RecordBatch]) -> tuple[pa.Table, int, bool]:
+    """(rows of a task by side and number, each once; how many are looked up; whether among themselves).
+
+    Side 0 is looked up in side 1; a task of side -1 alone compares its rows with each other.
+    """
+    t = pa.Table.from_batches(list(batches)).sort_by([("side", "ascending"), ("row", "ascending")])
+    side, row = t["side"].to_numpy(), t["row"].to_numpy()
+    t = t.filter(pa.array(np.concatenate([[True], (side[1:] != side[:-1]) | (row[1:] != row[:-1])])))
+    side = t["side"].to_numpy()
+    return t, int((side <= 0).sum()), bool(side[0] < 0)
+
+
 class Lists:
     """Inverted lists over some sets."""
 
@@ -155,13 +175,11 @@ class Lists:
 
 
 def search_blocks(percent: int):
-    """Links between side 0 and side 1, or within side 0 if there is no other: a spanning forest (a, b, 0) and counts (a, a, links), by doc_id."""
+    """Links between side 0 and side 1, or within side -1: a spanning forest (a, b, 0) and counts (a, a, links), by doc_id."""
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches)).sort_by([("side", "ascending"), ("row", "ascending")])
-        ids, cut = t["doc_id"].to_pylist(), int(pa.compute.sum(pa.compute.equal(t["side"], 0)).as_py() or 0)
-        sets = [np.frombuffer(x.as_py(), np.uint64) for x in t["shingles"]]
-        within = cut == len(ids)
+        t, cut, within = of_sides(batches)
+        ids, sets = t["doc_id"].to_numpy(), [np.frombuffer(x.as_py(), np.uint64) for x in t["shingles"]]
         lists = Lists(sets if within else sets[cut:])
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in range(cut):
@@ -175,7 +193,6 @@ def search_blocks(percent: int):
         node, least = forest(a, b)
         node, least = node[node != least], least[node != least]
         some = np.flatnonzero(degree)
-        ids = np.array(ids, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids[node], ids[some]])), pa.array(np.concatenate([ids[least], ids[some]])), pa.array(np.concatenate([np.zeros(len(node), np.int64), degree[some]]))], names=["a", "b", "links"])
 
     return run
@@ -185,18 +202,18 @@ def search_heads(percent: int):
     """(a, b) of classes whose heads share as many shingles as a link asks for, from the task of the first list that both are in."""
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches)).sort_by([("side", "ascending"), ("row", "ascending")])
-        rows, n, cut = t["row"].to_numpy(), t["n_shingles"].to_numpy(), int(pa.compute.sum(pa.compute.equal(t["side"], 0)).as_py() or 0)
+        t, cut, within = of_sides(batches)
+        rows, n = t["row"].to_numpy(), t["n_shingles"].to_numpy()
         heads, listed, own = ([x.values.to_numpy() for x in t[name]] for name in ("head", "listed", "own"))
         heads = [x.view(np.uint64) for x in heads]
         _, need = set_sizes(n, percent)
-        offset = 0 if cut == len(rows) else cut
+        offset = 0 if within else cut
         lists = Lists(heads[offset:])
         a, b = [], []
         for i in range(cut):
             j, count = lists.occur(heads[i], int(need[i]))
             j = j + offset
-            ok = (count >= need[j]) & (percent * n[j] <= 100 * n[i]) & (percent * n[i] <= 100 * n[j]) & ((j > i) | (offset > 0))
+            ok = (count >= need[j]) & (percent * n[j] <= 100 * n[i]) & (percent * n[i] <= 100 * n[j]) & (~np.bool_(within) | (j > i))
             for x in j[ok].tolist():
                 both = np.intersect1d(listed[i], listed[x])
                 if len(both) and both[0] in own[i]:
@@ -208,7 +225,7 @@ def search_heads(percent: int):
 
 
 def compare(percent: int):
-    """Those of (a, b, one, two), doc_ids and full sets, that link."""
+    """Those of (ra, rb, a, b, one, two), rows, doc_ids and full sets, that link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -217,7 +234,7 @@ def compare(percent: int):
                 one, two = np.frombuffer(one.as_py(), np.uint64), np.frombuffer(two.as_py(), np.uint64)
                 both = len(np.intersect1d(one, two, assume_unique=True))
                 keep.append(100 * both >= percent * (len(one) + len(two) - both))
-            yield x.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield x.select(["ra", "rb", "a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -231,35 +248,55 @@ def sparse_links(listed: DataFrame, lists: DataFrame, heads: DataFrame, full: Da
     some = F.pmod(F.xxhash64("token"), F.ceil(F.col("entries") / (8 * block)))
     lists = lists.select("cluster", "token", F.ceil(F.col("m") / block).cast("int").alias("salts"), some.cast("long").alias("some"))
     of = listed.join(lists, ["cluster", "token"])
-    whole = of.where("salts = 1").select("row", "cluster", F.col("some").alias("list"), F.lit(0).alias("s1"), F.lit(0).alias("s2"), F.lit(0).alias("side"), "token")
+    whole = of.where("salts = 1").select("row", "cluster", F.col("some").alias("list"), F.lit(0).alias("s1"), F.lit(0).alias("s2"), F.lit(-1).alias("side"), "token")
     salt = F.pmod(F.xxhash64("row"), F.col("salts")).cast("int")
     parts = of.where("salts > 1").select("row", "cluster", F.col("token").alias("list"), salt.alias("s"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("o"), "token")
-    parts = parts.select("row", "cluster", "list", F.least("s", "o").alias("s1"), (F.greatest("s", "o") + 1).alias("s2"), (F.col("s") > F.col("o")).cast("int").alias("side"), "token")
+    parts = parts.select("row", "cluster", "list", F.least("s", "o").alias("s1"), (F.greatest("s", "o") + 1).alias("s2"), side("s", "o").alias("side"), "token")
     key = ["cluster", "list", "s1", "s2"]
     tasks = whole.unionByName(parts).groupBy(*key, "side", "row").agg(F.collect_list("token").alias("own"))
     own = listed.groupBy("row").agg(F.collect_list("token").alias("listed")).join(heads, "row")
     pairs = durable(tasks.join(own, "row").groupBy(*key).applyInArrow(search_heads(percent), "a long, b long"))
-    one, two = (full.select(F.col("row").alias(r), F.col("doc_id").alias(d), F.col("shingles").alias(v)) for r, d, v in (("a", "da", "one"), ("b", "db", "two")))
-    sets = pairs.join(one, "a").join(two, "b").select(F.col("da").alias("a"), F.col("db").alias("b"), "one", "two")
-    found = durable(sets.mapInArrow(compare(percent), "a long, b long"))
+    one, two = (full.select(F.col("row").alias(r), F.col("doc_id").alias(d), F.col("shingles").alias(v)) for r, d, v in (("ra", "a", "one"), ("rb", "b", "two")))
+    sets = pairs.withColumnsRenamed({"a": "ra", "b": "rb"}).join(one, "ra").join(two, "rb").select("ra", "rb", "a", "b", "one", "two")
+    found = durable(sets.mapInArrow(compare(percent), "ra long, rb long, a long, b long").dropDuplicates(["ra", "rb"]))
     degree = found.select("a").unionAll(found.select("b")).groupBy("a").agg(F.count("*").alias("links"))
     return found.select("a", "b", F.lit(0).cast("long").alias("links")).unionByName(degree.select("a", F.col("a").alias("b"), "links"))
 
 
-def dense_tasks(sized: DataFrame, percent: int, block: int) -> DataFrame:
-    """(row, task, side) of clusters cut into blocks by size band (sizes of partners are equal or neighbours) and salt."""
-    band = F.floor(F.log("n_shingles") / float(np.log(100 / percent * 1.000001))).cast("int")
-    sized = sized.withColumn("band", band)
-    bands = durable(sized.groupBy("cluster", "band").agg(F.count("*").alias("c")).withColumn("salts", F.ceil(F.col("c") / block).cast("int")))
-    salted = join_small(sized, bands, ["cluster", "band"]).select("row", "cluster", "band", F.pmod(F.xxhash64("row"), F.col("salts")).cast("int").alias("salt"))
-    one = bands.select("cluster", F.col("band").alias("b1"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("s1"))
-    two = bands.select("cluster", F.col("band").alias("b2"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("s2"), F.col("band").alias("m"))
-    two = two.unionByName(two.withColumn("m", F.col("m") - 1))
-    pairs = one.join(two, (one["cluster"] == two["cluster"]) & (one["b1"] == two["m"])).select(one["cluster"], "b1", "s1", "b2", "s2").where("b2 > b1 or s2 >= s1")
-    key = F.struct("cluster", "b1", "s1", "b2", "s2").alias("task")
-    left = pairs.select("cluster", F.col("b1").alias("band"), F.col("s1").alias("salt"), key, F.lit(0).alias("side"))
-    right = pairs.where("b1 <> b2 or s1 <> s2").select("cluster", F.col("b2").alias("band"), F.col("s2").alias("salt"), key, F.lit(1).alias("side"))
-    return salted.join(left.unionByName(right), ["cluster", "band", "salt"]).select("row", "task", "side")
+def side(own: str, other: str) -> Column:
+    """Of a row of one salt in the task of its salt and another one."""
+    return F.when(F.col(own) == F.col(other), -1).otherwise((F.col(own) > F.col(other)).cast("int"))
+
+
+def size_bands(sized: DataFrame, percent: int) -> DataFrame:
+    """``sized`` with band: partners' sizes are in the same or a neighbouring one."""
+    return sized.withColumn("band", F.floor(F.log("n_shingles") / float(np.log(100 / percent * 1.000001))).cast("int"))
+
+
+def dense_tasks(sized: DataFrame, bands: DataFrame, block: int) -> DataFrame:
+    """(row, task, side) of clusters cut into groups of neighbouring size bands, some ``block`` rows each, and salts where a band has more.
+
+    ``bands(cluster, band, c)`` counts the rows, so its windows are over some hundred rows of a cluster, however large that
+    is. A row is in its group's tasks; those at a group's edge are also compared with the neighbouring band.
+    """
+    by = W.partitionBy("cluster").orderBy("band")
+    bands = bands.withColumn("g", F.floor((F.sum("c").over(by) - F.col("c")) / block))
+    groups = bands.groupBy("cluster", "g").agg(F.min("band").alias("low"), F.max("band").alias("high"), F.ceil(F.sum("c") / block).cast("int").alias("salts"))
+    by = W.partitionBy("cluster").orderBy("g")
+    for way, f in (("next", F.lead), ("prior", F.lag)):
+        for name in ("g", "low", "high", "salts"):
+            groups = groups.withColumn(f"{way}_{name}", f(name).over(by))
+    groups = durable(bands.select("cluster", "band", "g").join(groups, ["cluster", "g"]))
+    d = join_small(sized, groups, ["cluster", "band"]).withColumn("s", F.pmod(F.xxhash64("row"), F.col("salts")).cast("int"))
+
+    def task(g1: str, g2: str, s1: Column, s2: Column) -> Column:
+        return F.struct("cluster", F.col(g1).cast("int").alias("b1"), s1.alias("s1"), F.col(g2).cast("int").alias("b2"), s2.alias("s2")).alias("task")
+
+    salts = lambda x: F.explode(F.sequence(F.lit(0), F.col(x) - 1)).alias("o")
+    own = d.select("*", salts("salts")).select("row", task("g", "g", F.least("s", "o"), F.greatest("s", "o")), side("s", "o").alias("side"))
+    up = d.where("band = high and next_low = high + 1").select("*", salts("next_salts")).select("row", task("g", "next_g", F.col("s"), F.col("o")), F.lit(0).alias("side"))
+    down = d.where("band = low and prior_high = low - 1").select("*", salts("prior_salts")).select("row", task("prior_g", "g", F.col("o"), F.col("s")), F.lit(1).alias("side"))
+    return own.unionByName(up).unionByName(down)
 
 
 def links(docs: DataFrame, k: int, percent: int, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
@@ -284,25 +321,30 @@ def links(docs: DataFrame, k: int, percent: int, block: int = BLOCK) -> tuple[Da
 
     sized = durable(cluster.join(of.select("row", "doc_id", "rep", "n_shingles", "sig"), "row"))
     large = durable(sized.groupBy("cluster").agg(F.count("*").alias("members")).where(F.col("members") > block))
-    total = sized.agg(F.sum("n_shingles")).first()[0] or 0
-    wanted = sized.select("row", F.col("rep").alias("doc_id"), "sig")
-    full = durable((cols.join(F.broadcast(wanted), "doc_id") if is_small(wanted) else cols.join(wanted, "doc_id")).mapInArrow(full_sets(k), FULL).dropDuplicates(["row"]))
-    group = F.struct(F.lit(-1).cast("long").alias("cluster"), F.lit(0).alias("b1"), F.pmod(F.xxhash64("cluster"), F.lit(max(1, total // TASK_SHINGLES))).cast("int").alias("s1"), F.lit(0).alias("b2"), F.lit(0).alias("s2"))
-    if large.isEmpty():
-        tasks, found = sized.select("row", group.alias("task"), F.lit(0).alias("side")), None
-    else:
-        mine = durable(join_small(listed, durable(join_small(sized.select("row", "cluster"), large.select("cluster"), "cluster")), "row").select("row", "cluster", "token"))
+    none = large.isEmpty()
+    rows, total = sized.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
+    group = F.struct(F.lit(-1).cast("long").alias("cluster"), F.lit(0).alias("b1"), F.pmod(F.xxhash64("cluster"), F.lit(max(1, total // TASK_SHINGLES, rows // (2 * block)))).cast("int").alias("s1"), F.lit(0).alias("b2"), F.lit(0).alias("s2"))
+    sized = sized.withColumn("task", group) if none else join_small(sized, large, "cluster", "left").withColumn("task", F.when(F.col("members").isNull(), group)).drop("members")
+    wanted = durable(sized.select("row", F.col("rep").alias("doc_id"), "sig", "task"))
+    full = durable(join_small(cols, wanted, "doc_id").mapInArrow(full_sets(k), FULL))
+    blocks, found = full.where("task is not null").withColumn("side", F.lit(-1)), None
+    if not none:
+        sized = durable(size_bands(sized.where("task is null").select("row", "cluster", "n_shingles"), percent))
+        mine = durable(join_small(listed, sized.select("row", "cluster"), "row").select("row", "cluster", "token"))
         lists = durable(mine.groupBy("cluster", "token").agg(F.count("*").alias("m")).where("m > 1"))
-        way = durable(lists.groupBy("cluster").agg(F.sum(F.col("m") * F.col("m")).alias("met"), F.sum("m").alias("entries")).join(large, "cluster").select("cluster", "entries", (SPARSE * F.col("met") < F.col("members") * F.col("members")).alias("sparse")))
-        sized = join_small(sized, way.drop("entries"), "cluster", "left")
-        tasks = sized.where("sparse is null").select("row", group.alias("task"), F.lit(0).alias("side")).unionByName(dense_tasks(sized.where("not sparse"), percent, block))
-        sparse = durable(way.where("sparse").select("cluster", "entries"))
-        found = None
+        bands = durable(sized.groupBy("cluster", "band").agg(F.count("*").alias("c")))
+        near = bands.alias("x").join(bands.alias("y"), F.expr("x.cluster = y.cluster and y.band between x.band - 1 and x.band + 1")).groupBy(F.col("x.cluster").alias("cluster")).agg(F.sum(F.expr("x.c * y.c")).alias("all"))
+        way = lists.groupBy("cluster").agg(F.sum(F.col("m") * F.col("m")).alias("met"), F.sum("m").alias("entries")).join(near, "cluster")
+        way = durable(way.select("cluster", "entries", (SPARSE * F.col("met") < F.col("all")).alias("sparse")))
+        dense, sparse = way.where("not sparse").select("cluster"), way.where("sparse").select("cluster", "entries")
+        large = full.where("task is null").drop("task")
+        tasks = dense_tasks(join_small(sized, dense, "cluster"), join_small(bands, dense, "cluster"), block)
+        blocks = blocks.unionByName(tasks.join(large, "row").select(*blocks.columns))
         if not sparse.isEmpty():
-            mine, lists = join_small(mine, sparse.select("cluster"), "cluster"), join_small(lists, sparse, "cluster")
-            heads = of.select("row", "n_shingles", "head").join(sized.where("sparse").select("row"), "row", "left_semi")
-            found = sparse_links(mine, lists, heads, full, percent, block)
-    blocks = tasks.join(full, "row").groupBy("task").applyInArrow(search_blocks(percent), "a long, b long, links long")
+            own = join_small(sized, sparse.select("cluster"), "cluster").select("row")
+            heads = of.select("row", "n_shingles", "head").join(own, "row", "left_semi")
+            found = sparse_links(join_small(mine, sparse.select("cluster"), "cluster"), join_small(lists, sparse, "cluster"), heads, large, percent, block)
+    blocks = blocks.groupBy("task").applyInArrow(search_blocks(percent), "a long, b long, links long")
     found = durable(blocks if found is None else blocks.unionByName(found))
     degree = found.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     comp = components(found.where("a <> b").select("a", "b")).join(degree, "node")

@@ -122,7 +122,7 @@ def test_texts_that_quote_each_other(make, k, percent, pool, block):
 def test_quotes_are_searched_by_list(make, monkeypatch):
     """16,000 texts in one cluster: no block is compared with another."""
     met = []
-    monkeypatch.setattr(nj, "dense_tasks", lambda sized, *a: met.append(sized.count()) or sized.select("row", nj.F.lit(None).cast("struct<cluster:bigint,b1:int,s1:int,b2:int,s2:int>").alias("task"), nj.F.lit(0).alias("side")).limit(0))
+    monkeypatch.setattr(nj, "dense_tasks", lambda sized, *a: met.append(sized.count()) or sized.select("row", nj.F.lit(None).cast(nj.TASK).alias("task"), nj.F.lit(0).alias("side")).limit(0))
     rows = quotes(16_000, 1000)
     comp = {r.doc_id: r.component_id for r in nj.query(make(rows)).collect()}
     assert met == [0] and comp[9] == comp[6] and sum(d == c for d, c in comp.items()) >= 14_000
