@@ -24,6 +24,8 @@ def parse(argv: list[str] | None = None) -> argparse.Namespace:
         v.add_argument("--max-tokens", type=int, default=d.max_tokens)
         v.add_argument("--temperature", type=float, default=d.temperature)
         v.add_argument("--files-in-flight", type=int, default=d.files_in_flight)
+        v.add_argument("--model-tasks", type=int, default=d.model_tasks)
+        v.add_argument("--by-repo", action="store_true", help="one commit for each repository; a stopped run goes on where it was")
     e = verbs.add_parser("export", parents=[common], help="write conversations in a template")
     e.add_argument("--template", choices=TEMPLATES, required=True)
     e.add_argument("--output-file", required=True)

@@ -57,3 +57,18 @@ def resume(rows: DataFrame, key: str, saved: str | None) -> DataFrame:
 
 def kept_skipped(listing: DataFrame) -> DataFrame:
     return listing.groupBy("repo").agg(F.count_if("kept").alias("kept"), F.count_if(~F.col("kept")).alias("skipped"))
+
+
+def distinct_contents(files: DataFrame) -> DataFrame:
+    """Different contents and files of each repository."""
+    return files.groupBy("repo").agg(F.count_distinct("content").alias("distinct_texts"), F.count("*").alias("n"))
+
+
+def newest(rows: DataFrame, order: list, keep: int) -> DataFrame:
+    """The first ``keep`` rows in ``order``, all others to be removed."""
+    return rows.orderBy(*order).limit(keep)
+
+
+def with_previous(turns: DataFrame, of: str, order: str, value: str) -> DataFrame:
+    """Each turn with the value of the one before it in its conversation."""
+    return turns.withColumn("before", F.lag(value).over(W.partitionBy(of).orderBy(order)))

@@ -1,15 +1,18 @@
 """Versioned Parquet tables.
 
-A version of a table is a manifest: the list of its part folders and the highest id ever given out. Appending adds a
-folder; upserts and deletes write one new folder. A manifest is written under a temporary name and then renamed to its
-number, which fails if another writer took that number, so a version appears whole or not at all and readers keep the
-version they began with. All files go through Spark's file systems, so any shared store does.
+A version of the store is one manifest for all tables: the list of each table's part folders and the highest id ever given
+out. Appending adds a folder; upserts and deletes write one new folder. What is done within ``unit()`` becomes visible to
+others by one manifest, so a file's samples, turns, hash and failures appear together or not at all; a unit sees its own
+changes. A manifest is written under a temporary name and then renamed to its number, which fails if another writer took
+that number; readers keep the version they began with. All files go through Spark's file systems, so any shared store does.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,14 +24,17 @@ from gristmill.operators.incremental import latest, upsert
 from gristmill.schemas import TABLES, struct
 from gristmill.settings import MODEL_TYPE
 
+#: What the state holds before anything is saved.
+FRESH_STATE = {"current_repo_name": None, "processed_repos_count": 0, "current_file_path_in_repo": None, "processed_files_count_in_repo": 0}
+
 
 class TableStore:
     def __init__(self, spark: SparkSession, root: str, now=None):
         """``now``: a column for times of writing (tests give a constant)."""
         self.spark, self.root, self.now = spark, root.rstrip("/"), now if now is not None else F.current_timestamp()
-        for t in TABLES:
-            if self._version(t) < 0:
-                self._commit(t, [], 0, -1)
+        self._open: dict | None = None
+        if self._version() < 0:
+            self._commit({"tables": {t: {"parts": [], "top": 0} for t in TABLES}, "epochs": {}}, -1)
 
     # files -----------------------------------------------------------------------------------------------------------
     def _path(self, p: str):
@@ -36,24 +42,38 @@ class TableStore:
         path = jvm.org.apache.hadoop.fs.Path(p)
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def _version(self, table: str) -> int:
-        path, fs = self._path(f"{self.root}/{table}/manifests")
+    def _version(self) -> int:
+        path, fs = self._path(f"{self.root}/manifests")
         return max([int(f.getPath().getName()) for f in fs.listStatus(path) if f.getPath().getName().isdigit()], default=-1) if fs.exists(path) else -1
 
-    def _manifest(self, table: str) -> tuple[int, dict]:
-        v = self._version(table)
-        text = self.spark.read.text(f"{self.root}/{table}/manifests/{v}", wholetext=True).first()[0]
-        return v, json.loads(text)
+    def _manifest(self) -> tuple[int, dict]:
+        v = self._version()
+        return v, json.loads(self.spark.read.text(f"{self.root}/manifests/{v}", wholetext=True).first()[0])
 
-    def _commit(self, table: str, parts: list[str], top: int, seen: int) -> None:
-        tmp, fs = self._path(f"{self.root}/{table}/manifests/tmp-{uuid.uuid4().hex}")
+    def _commit(self, manifest: dict, seen: int) -> None:
+        tmp, fs = self._path(f"{self.root}/manifests/tmp-{uuid.uuid4().hex}")
         out = fs.create(tmp, False)
-        out.write(bytearray(json.dumps({"parts": parts, "top": top}).encode()))
+        out.write(bytearray(json.dumps(manifest).encode()))
         out.close()
-        to, _ = self._path(f"{self.root}/{table}/manifests/{seen + 1}")
+        to, _ = self._path(f"{self.root}/manifests/{seen + 1}")
         if fs.exists(to) or not fs.rename(tmp, to):
             fs.delete(tmp, False)
-            raise RuntimeError(f"{table}: version {seen + 1} was written by another")
+            raise RuntimeError(f"version {seen + 1} was written by another")
+
+    @contextmanager
+    def unit(self) -> Iterator[dict]:
+        """One commit for all that is done within; a unit within a unit belongs to the outer one. Gives the manifest to be."""
+        if self._open is not None:
+            yield self._open
+            return
+        seen, self._open = self._manifest()
+        before = json.dumps(self._open)
+        try:
+            yield self._open
+            if json.dumps(self._open) != before:
+                self._commit(self._open, seen)
+        finally:
+            self._open = None
 
     def _write(self, table: str, df: DataFrame) -> str:
         part = uuid.uuid4().hex
@@ -63,35 +83,46 @@ class TableStore:
 
     # tables ----------------------------------------------------------------------------------------------------------
     def read(self, table: str) -> DataFrame:
-        _, m = self._manifest(table)
+        m = (self._open or self._manifest()[1])["tables"][table]
         if not m["parts"]:
             return self.spark.createDataFrame([], struct(table))
         return self.spark.read.schema(struct(table)).parquet(*[f"{self.root}/{table}/{p}" for p in m["parts"]])
 
     def append(self, table: str, df: DataFrame, id_column: str | None = None, order: list[str] | None = None) -> DataFrame:
         """Append and return the rows as written; ``id_column`` gets ids above any ever given out (also to deleted rows)."""
-        seen, m = self._manifest(table)
-        top = m["top"]
-        if id_column:
-            df = settle(dense_ids(df, order or df.columns, id_column, top + 1))
-            top += df.count()
-        part = self._write(table, df)
-        self._commit(table, [*m["parts"], part], top, seen)
+        with self.unit() as u:
+            m = u["tables"][table]
+            if id_column:
+                df = settle(dense_ids(df, order or df.columns, id_column, m["top"] + 1))
+                m["top"] += df.count()
+            part = self._write(table, df)
+            m["parts"].append(part)
         return self.spark.read.schema(struct(table)).parquet(f"{self.root}/{table}/{part}") if not id_column else df
 
     def replace(self, table: str, df: DataFrame) -> None:
-        seen, m = self._manifest(table)
-        self._commit(table, [self._write(table, df)], m["top"], seen)
+        with self.unit() as u:
+            u["tables"][table]["parts"] = [self._write(table, df)]
 
     def upsert(self, table: str, new: DataFrame, key: list[str]) -> None:
-        self.replace(table, upsert(self.read(table), settle(new.select(*struct(table).names)), key))
+        with self.unit():
+            self.replace(table, upsert(self.read(table), settle(new.select(*struct(table).names)), key))
+
+    def first_time(self, stream: str, epoch: int) -> bool:
+        """Whether this epoch of a stream was not committed yet; if so, it is, with the unit that this is asked in."""
+        if self._open is None:
+            raise RuntimeError("epochs are asked for within a unit")
+        if self._open["epochs"].get(stream, -1) >= epoch:
+            return False
+        self._open["epochs"][stream] = epoch
+        return True
 
     # what the pipeline stores ----------------------------------------------------------------------------------------
     def add_pairs(self, pairs: DataFrame) -> DataFrame:
         """Store (file_path, place, question, answer) as samples with two turns each; returns them with sample_id."""
         rows = pairs.select("file_path", "place", "question", "answer", source_tag(F.col("file_path")).alias("dataset_source"), self.now.alias("creation_date"), F.lit(MODEL_TYPE).alias("model_type_intended"), F.lit(None).cast("double").alias("sample_quality_score"), F.lit(False).alias("is_multiturn"))
-        with_ids = self.append("training_samples", rows, "sample_id", ["file_path", "place"])
-        self.append("conversation_turns", turns_of_pairs(with_ids), "turn_id", ["sample_id", "turn_index"])
+        with self.unit():
+            with_ids = self.append("training_samples", rows, "sample_id", ["file_path", "place"])
+            self.append("conversation_turns", turns_of_pairs(with_ids), "turn_id", ["sample_id", "turn_index"])
         return with_ids
 
     def save_hashes(self, hashes: DataFrame) -> None:
@@ -102,26 +133,28 @@ class TableStore:
 
     def file_hashes(self, paths: DataFrame) -> DataFrame:
         """Look-up of many paths: file_path and content_hash, null if not stored."""
-        return paths.select("file_path").join(self.read("file_hashes").select("file_path", "content_hash"), "file_path", "left")
+        return looked_up(paths, self.read("file_hashes"))
 
     def add_failures(self, failures: DataFrame) -> None:
         self.append("failed_files", failures.select("file_path", "reason", self.now.alias("failed_at")), "failed_id", ["file_path", "reason"])
 
     def remove(self, table: str, paths: DataFrame) -> None:
         """Delete a table's rows of these paths."""
-        self.replace(table, self.read(table).join(settle(paths.select("file_path").distinct()), "file_path", "left_anti"))
+        with self.unit():
+            self.replace(table, self.read(table).join(settle(paths.select("file_path").distinct()), "file_path", "left_anti"))
 
     def delete_samples(self, paths: DataFrame, prefix: bool = False) -> int:
         """Delete the samples of these files, turns first; returns how many. ``prefix``: also of longer paths that begin so."""
-        samples, p = self.read("training_samples"), paths.select("file_path").distinct()
-        if prefix:
-            ids = samples.join(F.broadcast(settle(p)) if p.count() <= 10_000 else p, source_like(F.col("dataset_source"), F.col("file_path"))).select("sample_id").distinct()
-        else:
-            ids = samples.join(p.select(source_tag(F.col("file_path")).alias("dataset_source")), "dataset_source", "left_semi").select("sample_id")
-        ids = settle(ids)
-        if n := ids.count():
-            self.replace("conversation_turns", self.read("conversation_turns").join(ids, "sample_id", "left_anti"))
-            self.replace("training_samples", samples.join(ids, "sample_id", "left_anti"))
+        with self.unit():
+            samples, p = self.read("training_samples"), paths.select("file_path").distinct()
+            if prefix:
+                ids = samples.join(F.broadcast(settle(p)) if p.count() <= 10_000 else p, source_like(F.col("dataset_source"), F.col("file_path"))).select("sample_id").distinct()
+            else:
+                ids = samples_of(samples, p).select("sample_id")
+            ids = settle(ids)
+            if n := ids.count():
+                self.replace("conversation_turns", without(self.read("conversation_turns"), ids))
+                self.replace("training_samples", without(samples, ids))
         return n
 
     # state -----------------------------------------------------------------------------------------------------------
@@ -140,9 +173,22 @@ class TableStore:
         return {k: value(v) for k, v in self.read("pipeline_state").collect()}  # a few keys
 
     def reset_state(self) -> None:
-        self.save_state({"current_repo_name": None, "processed_repos_count": 0, "current_file_path_in_repo": None, "processed_files_count_in_repo": 0})
+        self.save_state(FRESH_STATE)
 
     def load_state(self) -> dict:
-        return {"current_repo_name": None, "processed_repos_count": 0, "current_file_path_in_repo": None, "processed_files_count_in_repo": 0} | self.state()
+        return FRESH_STATE | self.state()
+
+
+def samples_of(samples: DataFrame, paths: DataFrame) -> DataFrame:
+    """The samples of these files."""
+    return samples.join(paths.select(source_tag(F.col("file_path")).alias("dataset_source")), "dataset_source", "left_semi")
+
+
+def without(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` without those of the given samples."""
+    return rows.join(ids.select("sample_id"), "sample_id", "left_anti")
 
 
+def looked_up(paths: DataFrame, hashes: DataFrame) -> DataFrame:
+    """file_path and stored content_hash of each path, null where none is stored."""
+    return paths.select("file_path").join(hashes.select("file_path", "content_hash"), "file_path", "left")

@@ -9,14 +9,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gristmill.functions import chat, html, questions, text, urls
 from gristmill.operators import conversations as conv
 from gristmill.operators import incremental as inc
+from gristmill.operators import store
 from gristmill.operators.ids import dense_ids
+from gristmill.plans import pipeline
 from gristmill.settings import DEFAULT_SYSTEM, TRUNCATE_MARK
+from gristmill.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -113,13 +115,16 @@ def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "documents").select("doc_id", text.sha256(F.col("text")).alias("content_hash"))
 
 
-@query("select doc_id::varchar as file_path, source as repo, n_chars <= 5000 and not suffix(text, 'a.') and not starts_with(text, 'T') as kept from documents")
+_KEPT = "n_chars <= 5000 and not suffix(text, 'a.') and not suffix(text, 'e.') and not starts_with(regexp_replace(text, '(?s)^.*/', ''), '.')"
+
+
+@query(f"select doc_id::varchar as file_path, source as repo, {_KEPT} as kept from documents")
 def file_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = F.col("content")
-    return _files(spark, sf_dir).select("file_path", "repo", ((F.col("size") <= 5000) & ~c.endswith("a.") & ~c.startswith("T")).alias("kept"))
+    """Texts stand for names: suffixes, size and a leading dot."""
+    return _files(spark, sf_dir).select("file_path", "repo", files.wanted(F.col("content"), F.col("size"), 5000, ("a.", "e.")).alias("kept"))
 
 
-@query("select source as repo, count(*) filter (where n_chars <= 5000 and not suffix(text, 'a.') and not starts_with(text, 'T')) as kept, count(*) filter (where not (n_chars <= 5000 and not suffix(text, 'a.') and not starts_with(text, 'T'))) as skipped from documents group by 1")
+@query(f"select source as repo, count(*) filter (where {_KEPT}) as kept, count(*) filter (where not ({_KEPT})) as skipped from documents group by 1")
 def kept_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inc.kept_skipped(file_filter(spark, sf_dir))
 
@@ -137,7 +142,7 @@ def files_to_process(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"select c.file_path, s.content_hash from (select doc_id::varchar as file_path from documents) c left join {_STORED} s on c.file_path = s.file_path")
 def hash_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _files(spark, sf_dir).select("file_path").join(_stored(spark, sf_dir), "file_path", "left")
+    return store.looked_up(_files(spark, sf_dir), _stored(spark, sf_dir))
 
 
 @query(f"select file_path from {_STORED} where file_path not in (select doc_id::varchar from documents)")
@@ -177,9 +182,8 @@ def prefix_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"select sample_id, turn::int as turn_index from {_SAMPLES} s join conversations c on s.sample_id = c.conv_id where dataset_source not in ('repo_file:f1', 'repo_file:f2')")
 def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gone = spark.createDataFrame([("f1",), ("f2",)], "file_path string").select(text.source_tag(F.col("file_path")).alias("dataset_source"))
-    ids = _samples(spark, sf_dir).join(F.broadcast(gone), "dataset_source", "left_semi").select("sample_id")
-    return _turns(spark, sf_dir).join(ids, "sample_id", "left_anti").select("sample_id", "turn_index")
+    gone = spark.createDataFrame([("f1",), ("f2",)], "file_path string")
+    return store.without(_turns(spark, sf_dir), store.samples_of(_samples(spark, sf_dir), gone)).select("sample_id", "turn_index")
 
 
 @query("select user_id, count(*) as failures, max(event_id) as last_event from events where event_type = 'error' and user_id not in (select user_id from events where event_type = 'purchase' and value > 90) group by user_id")
@@ -187,7 +191,7 @@ def failed_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The queue without those that succeeded since, each once."""
     e = _t(spark, sf_dir, "events")
     done = e.where("event_type = 'purchase' and value > 90").select("user_id")
-    return e.where("event_type = 'error'").join(done, "user_id", "left_anti").groupBy("user_id").agg(F.count("*").alias("failures"), F.max("event_id").alias("last_event"))
+    return pipeline.without_done(e.where("event_type = 'error'"), done, "user_id").groupBy("user_id").agg(F.count("*").alias("failures"), F.max("event_id").alias("last_event"))
 
 
 @query("""select doc_id, generate_subscripts(q, 1) - 1 as place, unnest(q) as question from (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: suffix(x, '.')) as q from documents) where len(q) > 0""")
@@ -250,7 +254,7 @@ def batch_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select 'f' || (conv_id % 50) as file_path, count(*) as qa_count from conversations where role = 'user' group by 1")
 def qa_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _turns(spark, sf_dir).where("role = 'user'").groupBy(F.concat(F.lit("f"), F.col("sample_id") % 50).alias("file_path")).agg(F.count("*").alias("qa_count"))
+    return pipeline.qa_counts(_turns(spark, sf_dir).where("role = 'user'").select(F.concat(F.lit("f"), F.col("sample_id") % 50).alias("file_path")))
 
 
 @query("select conv_id, nullif(trim(replace(replace('Answer: ' || a.text || ' ' || q.text, 'Answer:', ''), q.text, '')), '') as answer, a.turn::bigint as turn from conversations a join conversations q using (conv_id) where a.role = 'assistant' and q.role = 'user' and q.turn = a.turn - 1")
@@ -284,7 +288,7 @@ def memo_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select source as repo, sum(n_chars)::bigint as bytes, count(*) as files from documents group by 1")
 def repo_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _files(spark, sf_dir).groupBy("repo").agg(F.sum("size").alias("bytes"), F.count("*").alias("files"))
+    return files.sizes(_files(spark, sf_dir), "repo")
 
 
 @query("select page_id, url, string_split(url, '/')[-1] as base, regexp_replace(url, '/[^/]*$', '') as folder from pages")
@@ -301,14 +305,14 @@ def model_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select event_id, event_type from (select event_id, event_type, ts, row_number() over (order by ts desc, event_id desc) as n from events) where n <= 5")
 def newest_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Retention: the five newest (a top-k is the feature)."""
-    return _t(spark, sf_dir, "events").orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(5).select("event_id", "event_type")
+    return inc.newest(_t(spark, sf_dir, "events"), [F.col("ts").desc(), F.col("event_id").desc()], 5).select("event_id", "event_type")
 
 
 @query("""select source as repo, count(distinct text) as distinct_texts, count(*) as n from documents group by 1""")
 def distinct_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _files(spark, sf_dir).groupBy("repo").agg(F.count_distinct("content").alias("distinct_texts"), F.count("*").alias("n"))
+    return inc.distinct_contents(_files(spark, sf_dir))
 
 
 @query("select conv_id, turn, lag(role) over (partition by conv_id order by turn) as before from conversations")
 def turn_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.lag("role").over(W.partitionBy("conv_id").orderBy("turn")).alias("before"))
+    return inc.with_previous(_t(spark, sf_dir, "conversations"), "conv_id", "turn", "role").select("conv_id", "turn", "before")

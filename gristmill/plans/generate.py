@@ -9,19 +9,23 @@ import time
 import urllib.request
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from http.client import HTTPException
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from gristmill.functions.questions import parse_questions
+from gristmill.functions.text import memo_key, sha256
+from gristmill.operators.ids import settle
 from gristmill.settings import TRUNCATE_KEEP, TRUNCATE_MARK, TRUNCATE_OVER, Settings
 
 log = logging.getLogger(__name__)
 
 ASK = "You write training questions about source code and text. Write questions that the given content alone answers, of different kinds and difficulty, one on each line, and nothing else."
-REPLY = "You answer questions about source code and text. Use the given content first; add general knowledge where it does not suffice, and let the content decide where they disagree."
+REPLY = "Reply to one training question. The content that comes with it is the authority: whatever it says counts, even against common belief, and you fill gaps with what is generally known. Give the answer and nothing around it."
 
 
 def ask_prompt(content: str) -> list[dict]:
@@ -83,6 +87,10 @@ def last_lines_text(lines: Iterator[str]) -> str | None:
     return "".join(text).strip() or None
 
 
+#: Model lists by server, with the time of asking.
+_MODELS: dict[tuple, tuple[float, list[str]]] = {}
+
+
 @dataclass
 class HttpGenerator:
     """An OpenAI-style chat server, read as a stream; retried with a fixed delay, with a fresh buffer each time."""
@@ -90,18 +98,19 @@ class HttpGenerator:
     settings: Settings
     loose: bool = False  # free text instead of one question a line
     opener: Callable = urllib.request.urlopen
-    _models: tuple[float, list[str]] | None = field(default=None, repr=False)
 
     def models(self) -> list[str]:
-        if self._models and time.time() - self._models[0] < self.settings.model_list_ttl:
-            return self._models[1]
+        """The server's models; asked for once in ``model_list_ttl`` seconds by all tasks of a process."""
+        key = (self.settings.base_url, self.opener)
+        if key in _MODELS and time.time() - _MODELS[key][0] < self.settings.model_list_ttl:
+            return _MODELS[key][1]
         try:
             with self.opener(f"{self.settings.base_url}/v1/models", timeout=30) as r:
                 ids = [m["id"] for m in json.loads(r.read()).get("data", [])]
         except (OSError, ValueError, KeyError, TypeError) as e:
             log.error("model list: %s", e)
             return []
-        self._models = (time.time(), ids)
+        _MODELS[key] = (time.time(), ids)
         return ids
 
     def model(self) -> str:
@@ -122,7 +131,7 @@ class HttpGenerator:
                 request = urllib.request.Request(f"{self.settings.base_url}/v1/chat/completions", body, {"Content-Type": "application/json"})
                 with self.opener(request, timeout=self.settings.request_timeout) as r:
                     return last_lines_text(x.decode("utf-8", "replace").rstrip("\r\n") for x in r)
-            except OSError as e:
+            except (OSError, HTTPException) as e:  # no connection, or a stream that broke off
                 log.warning("attempt %d: %s", attempt + 1, e)
         return None
 
@@ -155,30 +164,42 @@ def _guarded(f: Callable, *args) -> tuple:
         return None, str(e)
 
 
-def ask(files: DataFrame, g: Generator, s: Settings) -> DataFrame:
-    """file_path, content, questions, error: a model call for each file, up to ``files_in_flight`` at a time in a task."""
+def _called(prompts: DataFrame, call: Callable, args: list[str], result: str, s: Settings) -> DataFrame:
+    """``prompts(_memo, ...)`` with each prompt once, dealt to ``model_tasks`` tasks, with result and error of its call.
+
+    Without the explicit count, as many tasks would call as adaptive execution leaves, often one.
+    """
+    tasks = s.model_tasks or prompts.sparkSession.sparkContext.defaultParallelism
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with ThreadPoolExecutor(max(1, s.files_in_flight)) as pool:
             for b in batches:
-                got = list(pool.map(lambda c: _guarded(g.questions, c, s.temperature, s.max_tokens), b["content"]))
-                yield pd.DataFrame({"file_path": b["file_path"], "content": b["content"], "questions": pd.Series([x for x, _ in got], dtype=object, index=b.index), "error": pd.Series([e for _, e in got], dtype=object, index=b.index)})
+                got = list(pool.map(lambda *x: _guarded(call, *x, s.temperature, s.max_tokens), *(b[a] for a in args)))
+                yield pd.DataFrame({"_memo": b["_memo"], "result": pd.Series([x for x, _ in got], dtype=object, index=b.index), "error": pd.Series([e for _, e in got], dtype=object, index=b.index)})
 
-    return files.select("file_path", "content").mapInPandas(run, "file_path string, content string, questions array<string>, error string")
+    return prompts.select("_memo", *args).dropDuplicates(["_memo"]).repartition(tasks).mapInPandas(run, f"_memo string, result {result}, error string")
 
 
-def answer(asked: DataFrame, g: Generator, s: Settings) -> DataFrame:
-    """``asked(file_path, place, question, content)`` with answer and error, in step with its rows."""
+def _memo(s: Settings, *args: str) -> Column:
+    """Names a generation by all that it depends on."""
+    return memo_key(F.concat_ws("_", *[sha256(F.col(a)) for a in args]), F.lit(s.temperature), F.lit(s.max_tokens))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with ThreadPoolExecutor(max(1, s.files_in_flight)) as pool:
-            for b in batches:
-                got = list(pool.map(lambda q, c: _guarded(g.answer, q, c, s.temperature, s.max_tokens), b["question"], b["content"]))
-                out = b[["file_path", "place", "question"]].copy()
-                out["answer"], out["error"] = pd.Series([x for x, _ in got], dtype=object, index=b.index), pd.Series([e for _, e in got], dtype=object, index=b.index)
-                yield out
 
-    return asked.select("file_path", "place", "question", "content").mapInPandas(run, "file_path string, place int, question string, answer string, error string")
+def ask(files: DataFrame, g: Generator, s: Settings) -> DataFrame:
+    """file_path, content, questions, error: a model call for each different content, up to ``files_in_flight`` at a time in a task.
+
+    Calls are settled before they are joined, as they can't be repeated.
+    """
+    files = files.select("file_path", "content").withColumn("_memo", _memo(s, "content"))
+    got = settle(_called(files, g.questions, ["content"], "array<string>", s))
+    return files.join(got, "_memo").select("file_path", "content", F.col("result").alias("questions"), "error")
+
+
+def answer(asked: DataFrame, g: Generator, s: Settings) -> DataFrame:
+    """``asked(file_path, place, question, content)`` with answer and error; a model call for each different question and content."""
+    asked = asked.select("file_path", "place", "question", "content").withColumn("_memo", _memo(s, "question", "content"))
+    got = settle(_called(asked, g.answer, ["question", "content"], "string", s))
+    return asked.join(got, "_memo").select("file_path", "place", "question", F.col("result").alias("answer"), "error")
 
 
 def answers_batch(g: Generator, pairs: list[tuple[str, str]], s: Settings) -> list[str | None]:

@@ -29,8 +29,8 @@ def scrape(spark: SparkSession, settings: Settings, list_path: str = "repos.txt"
 def process(files: DataFrame, store: TableStore, g: Generator, settings: Settings) -> DataFrame:
     """Ask, answer and store for ``files(file_path, content_hash, content, error)``; returns file_path, success, qa_count.
 
-    A file's pairs are stored only if all its new questions were answered; then its hash is stored and its failures go.
-    Blank files and files without new questions succeed with none, and store no hash unless ``mark_seen``. Model calls are
+    A file's pairs are stored only if all its new questions were answered; then its hash is stored and its failures go, all
+    in one commit of the store. Blank files and files without new questions succeed with none, and store no hash unless ``mark_seen``. Model calls are
     settled before they are used twice, as they can't be repeated.
     """
     files = settle(files.select("file_path", "content_hash", "content", "error"))
@@ -39,29 +39,41 @@ def process(files: DataFrame, store: TableStore, g: Generator, settings: Setting
     asked = settle(ask(full, g, settings))
     silent = asked.where("questions is null").select("file_path", F.coalesce("error", F.lit(NO_QUESTIONS)).alias("reason"))
     each = asked.where("questions is not null").select("file_path", "content", F.posexplode("questions").alias("place", "question"))
-    fresh = new_questions(each, processed_hashes(store.read("training_samples"), store.read("conversation_turns")))
-    answered = settle(answer(fresh, g, settings))
-    unanswered = answered.where("answer is null").select("file_path", F.coalesce("error", F.lit(NO_ANSWER)).alias("reason"))
-    by_file = settle(answered.groupBy("file_path").agg(F.count("*").alias("n"), F.count_if(F.col("answer").isNull()).alias("bad")))
-    good = by_file.where("bad = 0")
-    store.add_failures(unread.unionByName(silent).unionByName(unanswered))
-    stored = store.add_pairs(answered.join(good, "file_path", "left_semi"))
-    done = files.join(good, "file_path", "left_semi")
-    if settings.mark_seen:
-        done = files.join(unread.unionByName(silent).unionByName(unanswered).select("file_path"), "file_path", "left_anti")
-    store.save_hashes(done)
-    store.remove("failed_files", good)
-    counts = stored.groupBy("file_path").agg(F.count("*").alias("qa_count"))
+    with store.unit():
+        fresh = new_questions(each, processed_hashes(store.read("training_samples"), store.read("conversation_turns")))
+        answered = settle(answer(fresh, g, settings))
+        unanswered = answered.where("answer is null").select("file_path", F.coalesce("error", F.lit(NO_ANSWER)).alias("reason"))
+        by_file = settle(answered.groupBy("file_path").agg(F.count("*").alias("n"), F.count_if(F.col("answer").isNull()).alias("bad")))
+        good = by_file.where("bad = 0")
+        failures = unread.unionByName(silent).unionByName(unanswered)
+        store.add_failures(failures)
+        stored = store.add_pairs(answered.join(good, "file_path", "left_semi"))
+        done = files.join(good, "file_path", "left_semi")
+        if settings.mark_seen:
+            done = files.join(failures.select("file_path"), "file_path", "left_anti")
+        store.save_hashes(done)
+        store.remove("failed_files", good)
     bad = unread.unionByName(silent).select("file_path").distinct().withColumn("success", F.lit(False))
-    return files.select("file_path").join(bad, "file_path", "left").join(counts, "file_path", "left").select("file_path", F.coalesce("success", F.lit(True)).alias("success"), F.coalesce("qa_count", F.lit(0)).cast("long").alias("qa_count"))
+    return files.select("file_path").join(bad, "file_path", "left").join(qa_counts(stored), "file_path", "left").select("file_path", F.coalesce("success", F.lit(True)).alias("success"), F.coalesce("qa_count", F.lit(0)).cast("long").alias("qa_count"))
+
+
+def qa_counts(pairs: DataFrame) -> DataFrame:
+    """Pairs of each file."""
+    return pairs.groupBy("file_path").agg(F.count("*").alias("qa_count"))
+
+
+def without_done(failed: DataFrame, done: DataFrame, key: str = "file_path") -> DataFrame:
+    """Failures of what has not succeeded since."""
+    return failed.join(done.select(key), key, "left_anti")
 
 
 def forget_removed(store: TableStore, listing: DataFrame) -> int:
     """Drop samples and hashes of tracked files that are gone; returns how many files."""
     gone = settle(removed_files(store.read("file_hashes"), listing))
     if n := gone.count():
-        store.delete_samples(gone)
-        store.remove("file_hashes", gone)
+        with store.unit():
+            store.delete_samples(gone)
+            store.remove("file_hashes", gone)
     return n
 
 
@@ -71,7 +83,19 @@ def prepare(spark: SparkSession, settings: Settings, store: TableStore | None =
     corpus = file_corpus(spark, settings)
     forget_removed(store, corpus)
     kept = corpus.where("kept")
-    return process(to_process(kept, store.read("file_hashes")), store, g, settings)
+    if not settings.by_repo:
+        return process(to_process(kept, store.read("file_hashes")), store, g, settings)
+    # One commit for each repository, in order, and its place kept: a run that ends early goes on with the one it was at.
+    repos, state, done = find_repos(settings.repos_dir) or [settings.repos_dir], store.load_state(), None
+    at = state["current_repo_name"]
+    for i, repo in enumerate(repos):
+        if at in repos and repo < at:
+            continue
+        store.save_state({"current_repo_name": repo, "processed_repos_count": i})
+        result = settle(process(to_process(kept.where(F.col("repo") == repo), store.read("file_hashes")), store, g, settings))
+        done = result if done is None else done.unionByName(result)
+    store.reset_state()
+    return done
 
 
 def retry(spark: SparkSession, settings: Settings, store: TableStore | None = None, g: Generator | None = None) -> DataFrame:
@@ -82,7 +106,7 @@ def retry(spark: SparkSession, settings: Settings, store: TableStore | None = No
     top = store.read("failed_files").agg(F.max("failed_id")).first()[0] or 0
     result = settle(process(corpus.where("kept"), store, g, settings))
     left = store.read("failed_files")  # whoever failed again has a newer row
-    store.replace("failed_files", settle(left.where(F.col("failed_id") > top).unionByName(left.where(F.col("failed_id") <= top).join(failed, "file_path", "left_anti"))))
+    store.replace("failed_files", settle(left.where(F.col("failed_id") > top).unionByName(without_done(left.where(F.col("failed_id") <= top), failed))))
     return result
 
 

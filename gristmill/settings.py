@@ -18,9 +18,12 @@ NO_QUESTIONS, NO_ANSWER, READ_TIMEOUT = "LLM failed to generate questions", "LLM
 
 @dataclass
 class Settings:
-    """What a run can be told; every flag of the command line lands here."""
+    """What a run can be told; every flag of the command line lands here.
 
-    base_url: str = "http://localhost:11454"
+    ``files_in_flight`` calls are made at a time in each of ``model_tasks`` tasks (0: one for each core).
+    """
+
+    base_url: str = "http://localhost:8000"
     model: str = ""
     backend: str = "stub"
     retries: int = 3
@@ -33,7 +36,8 @@ class Settings:
     repos_dir: str = "repos"
     max_file_size: int = MAX_FILE_SIZE
     files_in_flight: int = 1
-    batch_size: int = 10
+    model_tasks: int = 0
+    read_timeout: float = 300.0
+    by_repo: bool = False
     max_log_files: int = 5
     mark_seen: bool = False
-    exact_sources: bool = True

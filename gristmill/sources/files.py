@@ -1,26 +1,32 @@
 """File trees as a Spark data source.
 
-``spark.read.format("gristmill_files").option("root", ...)`` has one partition for each repository folder (a folder that
-holds a ``.git`` folder; without any, the root itself), walked on the executors. Spark's own file sources leave out empty
-files and names that begin with an underscore, which source code has many of. Hidden files and folders are left out;
-files over ``maxSize`` bytes or with an excluded suffix (case counts) are listed with kept = false and not read.
+``spark.read.format("gristmill_files").option("root", ...)`` reads each repository folder (a folder that holds a ``.git``
+folder; without any, the root itself) on the executors. A repository is split by folders, two levels deep, so that a large
+one is many partitions. Spark's own file sources leave out empty files and names that begin with an underscore, which
+source code has many of. Hidden folders are left out; hidden files, what isn't a regular file, files over ``maxSize`` bytes
+or with an excluded suffix (case counts) are listed with kept = false and not read. A file that isn't read within
+``timeout`` seconds gets that as its error.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
-from collections.abc import Iterator
+import threading
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from gristmill.functions.text import base_name, cache_dir_model, human_size
 from gristmill.schemas import CORPUS
-from gristmill.settings import EXCLUDED_SUFFIXES, MAX_FILE_SIZE, Settings
+from gristmill.settings import EXCLUDED_SUFFIXES, MAX_FILE_SIZE, READ_TIMEOUT, Settings
 
 _CHUNK = 1 << 16
+#: Partitions of one read; beyond it, folders share them.
+MOST_PARTITIONS = 20_000
 
 
 def find_repos(root: str) -> list[str]:
@@ -33,16 +39,48 @@ def find_repos(root: str) -> list[str]:
     return sorted(found)
 
 
-def list_files(root: str, max_size: int = MAX_FILE_SIZE, suffixes: tuple[str, ...] = EXCLUDED_SUFFIXES) -> Iterator[tuple[str, int, bool]]:
-    """(path, size, kept) of visible regular files."""
+def wanted(name: Column, size: Column, max_size: int = MAX_FILE_SIZE, suffixes: tuple[str, ...] = EXCLUDED_SUFFIXES) -> Column:
+    """``is_wanted`` as a column."""
+    odd = F.lit(False)
+    for x in suffixes:
+        odd = odd | name.endswith(x)
+    return (size <= max_size) & ~odd & ~base_name(name).startswith(".")
+
+
+def is_wanted(name: str, size: int, max_size: int = MAX_FILE_SIZE, suffixes: tuple[str, ...] = EXCLUDED_SUFFIXES) -> bool:
+    return size <= max_size and not name.endswith(tuple(suffixes)) and not os.path.basename(name).startswith(".")
+
+
+def list_files(root: str, max_size: int = MAX_FILE_SIZE, suffixes: tuple[str, ...] = EXCLUDED_SUFFIXES, deep: bool = True) -> Iterator[tuple[str, int, bool]]:
+    """(path, size, kept) of the files under a folder, or right in it; hidden folders are left out."""
     for folder, names, files in os.walk(root):
-        names[:] = sorted(n for n in names if not n.startswith("."))
+        names[:] = sorted(n for n in names if deep and not n.startswith("."))
         for name in sorted(files):
             path = os.path.join(folder, name)
-            if name.startswith(".") or not os.path.isfile(path):
-                continue
-            size = os.path.getsize(path)
-            yield path, size, size <= max_size and not path.endswith(tuple(suffixes))
+            regular = os.path.isfile(path)
+            size = os.path.getsize(path) if regular else 0
+            yield path, size, regular and is_wanted(path, size, max_size, suffixes)
+
+
+def folders(root: str, levels: int = 2) -> Iterator[tuple[str, bool]]:
+    """(folder, whether with all below it) such that each file of the tree is in one."""
+    with os.scandir(root) as entries:
+        below = sorted(e.path for e in entries if e.is_dir(follow_symlinks=False) and not e.name.startswith("."))
+    if not below or not levels:
+        yield root, True
+        return
+    yield root, False
+    for x in below:
+        yield from folders(x, levels - 1)
+
+
+def within(seconds: float, f: Callable, *args):
+    """``f(*args)``, or None if it takes longer; the thread that is stuck is left to itself."""
+    got: list = []
+    t = threading.Thread(target=lambda: got.append(f(*args)), daemon=True)
+    t.start()
+    t.join(seconds)
+    return got[0] if got else None
 
 
 def read_file(path: str) -> tuple[str | None, str | None, str | None]:
@@ -76,26 +114,33 @@ class FileReader(DataSourceReader):
         self.max_size = int(options.get("maxSize", MAX_FILE_SIZE))
         self.suffixes = tuple(options["suffixes"].split(",")) if options.get("suffixes") else EXCLUDED_SUFFIXES
         self.content = options.get("content", "true") == "true"
+        self.timeout = float(options.get("timeout", Settings.read_timeout))
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(r) for r in find_repos(self.root) or [self.root]]
+        each = [(repo, folder, deep) for repo in find_repos(self.root) or [self.root] for folder, deep in folders(repo)]
+        n = min(len(each), MOST_PARTITIONS)
+        return [InputPartition(each[i::n]) for i in range(n)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        for path, size, kept in list_files(partition.value, self.max_size, self.suffixes):
-            digest, text, error = read_file(path) if kept and self.content else (None, None, None)
-            yield partition.value, path, size, kept, digest, text, error
+        for repo, folder, deep in partition.value:
+            for path, size, kept in list_files(folder, self.max_size, self.suffixes, deep):
+                digest, text, error = (within(self.timeout, read_file, path) or (None, None, READ_TIMEOUT)) if kept and self.content else (None, None, None)
+                yield repo, path, size, kept, digest, text, error
 
 
 def file_corpus(spark: SparkSession, settings: Settings, content: bool = True) -> DataFrame:
     spark.dataSource.register(FileSource)
-    return spark.read.format("gristmill_files").option("root", settings.repos_dir).option("maxSize", settings.max_file_size).option("content", str(content).lower()).load()
+    return spark.read.format("gristmill_files").option("root", settings.repos_dir).option("maxSize", settings.max_file_size).option("content", str(content).lower()).option("timeout", settings.read_timeout).load()
 
 
 def model_cache(spark: SparkSession, root: str) -> DataFrame:
     """Local model folders (``models--a--b`` with weights) with name, path, files and bytes."""
-    from gristmill.functions.text import base_name, cache_dir_model, human_size
-
     rows = [(os.path.join(root, d), os.path.join(f, n), os.path.getsize(os.path.join(f, n))) for d in sorted(os.listdir(root)) if d.startswith("models--") for f, _, names in os.walk(os.path.join(root, d)) for n in names] if os.path.isdir(root) else []
     files = spark.createDataFrame(rows, "path string, file string, size long")
-    g = files.groupBy("path").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"), F.bool_or(F.col("file").endswith(".safetensors") | F.col("file").endswith(".bin")).alias("weights"))
+    g = sizes(files, "path", F.bool_or(F.col("file").endswith(".safetensors") | F.col("file").endswith(".bin")).alias("weights"))
     return g.where("weights").select(cache_dir_model(base_name(F.col("path"))).alias("name"), "path", "files", "bytes", human_size(F.col("bytes")).alias("size"))
+
+
+def sizes(files: DataFrame, by: str, *more: Column) -> DataFrame:
+    """Files and bytes of each folder."""
+    return files.groupBy(by).agg(F.sum("size").alias("bytes"), F.count("*").alias("files"), *more)

@@ -43,13 +43,22 @@ def new_log(folder: str, keep: int = 5, prefix: str = "pipeline_log", now: float
     return os.path.join(folder, f"{prefix}_{time.strftime('%Y%m%d_%H%M%S', time.localtime(now))}.log")
 
 
+class BesideProgress(logging.StreamHandler):
+    """Writes above a progress bar that draws on the same line: clears the line first."""
+
+    def emit(self, record: logging.LogRecord) -> None:
+        if getattr(self.stream, "isatty", lambda: False)():
+            self.stream.write("\r\x1b[K")
+        super().emit(record)
+
+
 def route_logs(path: str, console_level: int = logging.INFO) -> None:
     """Everything from INFO on into the file; the console from its own level on."""
     root = logging.getLogger()
     for h in list(root.handlers):
         root.removeHandler(h)
     root.setLevel(logging.INFO)
-    for h, level in ((logging.FileHandler(path), logging.INFO), (logging.StreamHandler(), console_level)):
+    for h, level in ((logging.FileHandler(path), logging.INFO), (BesideProgress(), console_level)):
         h.setLevel(level)
         h.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(message)s"))
         root.addHandler(h)

@@ -14,13 +14,18 @@ from gristmill.plans.pipeline import process
 from gristmill.settings import Settings
 
 
-def prepare_stream(files: DataFrame, store: TableStore, g: Generator, settings: Settings, checkpoint: str) -> StreamingQuery:
-    """Process a stream of (file_path, content_hash, content, error). The checkpoint is where a stopped run goes on; a
-    batch that runs again finds its hashes stored and does nothing, so it is exactly once."""
+def prepare_stream(files: DataFrame, store: TableStore, g: Generator, settings: Settings, checkpoint: str, name: str = "files") -> StreamingQuery:
+    """Process a stream of (file_path, content_hash, content, error). The checkpoint is where a stopped run goes on.
+
+    A batch's pairs, hashes and failures are committed together with its number, so a batch that ran before a crash is
+    left alone when it comes again, and one that did not get to its commit left nothing: each counts exactly once.
+    """
 
     def batch(df: DataFrame, epoch: int) -> None:
-        newest = latest(df, ["file_path"], [F.col("content_hash").desc_nulls_last()])
-        process(to_process(newest, store.read("file_hashes")), store, g, settings)
+        with store.unit():
+            if store.first_time(name, epoch):
+                newest = latest(df, ["file_path"], [F.col("content_hash").desc_nulls_last()])
+                process(to_process(newest, store.read("file_hashes")), store, g, settings)
 
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -1,10 +1,13 @@
 import hashlib
 import os
+import time
 
 import pytest
 
-from gristmill.settings import Settings
-from gristmill.sources.files import file_corpus, find_repos, list_files, model_cache
+from gristmill.operators.incremental import kept_skipped
+from gristmill.settings import READ_TIMEOUT, Settings
+from gristmill.sources import files as sources
+from gristmill.sources.files import file_corpus, find_repos, folders, list_files, model_cache, within
 from gristmill.sources.sinks import new_log, write_count
 
 
@@ -27,7 +30,7 @@ def test_repos_do_not_nest(tree):
 
 def test_listing(tree):
     got = {os.path.relpath(p, tree / "o/r"): kept for p, _, kept in list_files(str(tree / "o/r"), 100)}
-    assert got == {"P.PNG": True, "__init__.py": True, "_p/x.py": True, "a.py": True, "big.txt": False, "edge.txt": True, "inner/z.py": True, "p.png": False}
+    assert got == {".hidden": False, "P.PNG": True, "__init__.py": True, "_p/x.py": True, "a.py": True, "big.txt": False, "edge.txt": True, "inner/z.py": True, "p.png": False}
 
 
 def test_corpus(spark, tree):
@@ -52,3 +55,25 @@ def test_logs_and_count(tmp_path):
     new_log(str(tmp_path), keep=3)
     assert sorted(os.listdir(tmp_path)) == ["pipeline_log_4.log", "pipeline_log_5.log"]
     assert open(write_count(3, str(tmp_path / "d"))).read() == "3"
+
+
+def test_skipped_files_are_counted(spark, tree):
+    os.mkfifo(tree / "o/s/pipe")
+    got = {os.path.basename(r.repo): (r.kept, r.skipped) for r in kept_skipped(file_corpus(spark, Settings(repos_dir=str(tree), max_file_size=100))).collect()}
+    assert got == {"r": (6, 3), "s": (2, 1)}  # hidden, png and large; the pipe
+
+
+def test_folders_cover_a_tree_once(tree):
+    want = sorted(p for p, *_ in list_files(str(tree / "o/r")))
+    for levels in range(4):
+        parts = list(folders(str(tree / "o/r"), levels))
+        assert sorted(p for f, deep in parts for p, *_ in list_files(f, deep=deep)) == want
+    assert len(parts) == 3
+
+
+def test_a_read_that_hangs_is_a_failure(spark, tree, monkeypatch):
+    assert within(0.05, time.sleep, 5) is None and within(5, lambda: "x") == "x"
+    monkeypatch.setattr(sources, "read_file", lambda path: time.sleep(5))
+    reader = sources.FileReader({"root": str(tree / "o/s"), "timeout": "0.05"})
+    [row] = [r for p in reader.partitions() for r in reader.read(p) if r[1].endswith("b.py")]
+    assert row[-1] == READ_TIMEOUT and row[3]

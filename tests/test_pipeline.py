@@ -1,6 +1,8 @@
 import json
 import os
 import sys
+import uuid
+from http.client import IncompleteRead
 
 import pytest
 from pyspark import cloudpickle
@@ -12,7 +14,7 @@ from gristmill.operators import incremental as inc
 from gristmill.operators.ids import dense_ids
 from gristmill.operators.store import TableStore
 from gristmill.plans import pipeline
-from gristmill.plans.generate import HttpGenerator, StubGenerator, answers_batch, generator
+from gristmill.plans.generate import HttpGenerator, StubGenerator, answers_batch, ask, generator
 from gristmill.settings import NO_ANSWER, NO_QUESTIONS, Settings
 from gristmill.sources.repos import clone_or_update, repo_list, targets
 from gristmill.sources.sinks import write_export
@@ -149,6 +151,62 @@ def test_http_backend():
         generator(Settings(backend="no"))
 
 
+def test_a_broken_stream_is_tried_again():
+    tries = []
+
+    def opener(request, timeout=None):
+        if isinstance(request, str):
+            return Reply(b'{"data":[{"id":"m"}]}')
+        tries.append(1)
+        if len(tries) == 1:
+            raise IncompleteRead(b"")
+        return Reply(b'data: {"choices":[{"delta":{"content":"Why?"}}]}\n')
+
+    assert HttpGenerator(Settings(retry_delay=0), opener=opener).questions("t", 0.7, 500) == ["Why?"] and len(tries) == 2
+
+
+def test_models_are_asked_for_once_by_all_tasks_of_a_process():
+    asked = []
+
+    def opener(request, timeout=None):
+        asked.append(1)
+        return Reply(b'{"data":[{"id":"m"}]}')
+
+    for _ in range(3):
+        assert HttpGenerator(Settings(base_url="http://x"), opener=opener).model() == "m"
+    assert len(asked) == 1
+
+
+class Counting(StubGenerator):
+    def questions(self, content, temperature, max_tokens):
+        open(f"{self.fail}/{uuid.uuid4().hex}", "w").close()
+        return ["Same?", "Same?"]
+
+    answer = lambda self, q, c, t, n: open(f"{self.fail}/{uuid.uuid4().hex}", "w").close() or "yes"
+
+
+def test_equal_prompts_are_asked_once(spark, tmp_path):
+    (tmp_path / "calls").mkdir()
+    files = spark.createDataFrame([(f"f{i}", "1", "one content", None) for i in range(5)] + [("g", "2", "another", None)], "file_path string, content_hash string, content string, error string")
+    store = TableStore(spark, f"file://{tmp_path}/store")
+    got = pipeline.process(files, store, Counting(fail=str(tmp_path / "calls")), Settings(model_tasks=3)).collect()
+    assert len(got) == 6 and all(r.qa_count == 2 for r in got) and len(os.listdir(tmp_path / "calls")) == 4
+    asked = ask(files, StubGenerator(), Settings(model_tasks=5))
+    assert {r.file_path: r.questions for r in asked.collect()}["f3"] == ["What does one mean here?", "What does content mean here?"]
+
+
+def test_prepare_by_repo_keeps_its_place(spark, world):
+    s, store, repo = world
+    other = repo.parent / "q"
+    (other / ".git").mkdir(parents=True)
+    (other / "z.py").write_text("zeta")
+    s.by_repo = True
+    store.save_state({"current_repo_name": str(repo)})  # q is done
+    assert set(names(pipeline.prepare(spark, s, store, StubGenerator(fail="BAD")).collect())) == {"a.py", "b.py", "c.py", "empty.py"}
+    assert store.load_state()["current_repo_name"] is None
+    assert set(names(pipeline.prepare(spark, s, store, StubGenerator(fail="BAD")).collect())) == {"b.py", "empty.py", "z.py"}
+
+
 def test_cli():
     a = settings_of(parse(["prepare", "--max-file-size", "5", "--temperature", "0.1"]))
     assert (a.max_file_size, a.temperature, a.max_tokens) == (5, 0.1, 500)

@@ -68,8 +68,37 @@ def test_state_round_trip(store):
 
 
 def test_two_writers_do_not_overwrite(spark, store):
-    seen, m = store._manifest("failed_files")
+    seen, m = store._manifest()
     store.add_failures(spark.createDataFrame([("a", "r")], "file_path string, reason string"))
     with pytest.raises(RuntimeError):
-        store._commit("failed_files", [], 0, seen)
+        store._commit(m, seen)
     assert store.read("failed_files").count() == 1
+
+
+def test_a_unit_appears_whole_or_not_at_all(spark, store):
+    f = spark.createDataFrame([("a", "r")], "file_path string, reason string")
+    other = TableStore(spark, store.root)
+    with pytest.raises(ValueError):
+        with store.unit():
+            store.add_failures(f)
+            store.add_pairs(pairs(spark, ("a.py", 0, "q", "a")))
+            raise ValueError
+    assert store.read("failed_files").count() == store.read("training_samples").count() == 0
+    with store.unit():
+        store.add_failures(f)
+        store.add_pairs(pairs(spark, ("a.py", 0, "q", "a")))
+        store.remove("failed_files", paths(spark, "a"))
+        assert store.read("conversation_turns").count() == 2 and other.read("conversation_turns").count() == 0
+    assert other.read("conversation_turns").count() == 2 and other.read("failed_files").count() == 0
+
+
+def test_epochs_count_once(store):
+    for want in (True, False):
+        with store.unit():
+            assert store.first_time("s", 0) == want
+    with pytest.raises(ValueError):
+        with store.unit():
+            assert store.first_time("s", 1)
+            raise ValueError
+    with store.unit():
+        assert store.first_time("s", 1) and store.first_time("other", 0)
