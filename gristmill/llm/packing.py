@@ -7,17 +7,26 @@ the least room that takes it, found in a segment tree over rooms that counts ope
 A packed row has: ``ids`` (little-endian uint16, or uint32 for vocabularies over 65,536 ids; ``row_len`` of them, padded
 with the end mark), ``cu_seqlens`` (cumulative segment lengths from 0), ``positions`` (uint32 for long rows, else uint16,
 per id, from 0 anew in each segment; padding counts from 0 too) and ``segments`` (doc_id, first id within the document,
-length). ``unpack`` gives the texts back. A null text has no ids and no segment; an empty one is its end mark. Repeated
-rows are packed each and told apart by ``copy``. Empty table: no rows. Memory: a block of ids and one row for each bin.
+length). ``unpack`` gives the texts back; ``save`` and ``load`` keep the matrices as binary files with an index.
+
+A null text has no ids and no segment; an empty one is its end mark. Repeated rows are packed each and told apart by
+``copy``; a null doc_id is carried along. Ties in size go by place. Empty table: no rows. Extra columns are ignored. A very
+long text is cut into rows without loss. Memory: a block of ids and one row for each bin. Blocks are packed each by itself,
+so which documents share a row depends on how the table is read, and the last rows of a block may be less full; no id is
+lost or repeated either way.
 """
 
 from __future__ import annotations
 
 import base64
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+import pyarrow.dataset
+import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,10 +39,14 @@ BLOCK_IDS = 4_000_000
 RESULT = "task long, row long, n_ids int, cu_seqlens array<int>, segments array<struct<doc_id:long, copy:long, begin:long, length:int>>, ids binary, positions binary"
 
 
-def encoder(ranks: str = DEFAULT_RANKS, pattern: str = PATTERN):
+def rank_table(ranks: str = DEFAULT_RANKS) -> dict[bytes, int]:
+    with open(ranks, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
+def encoder(table: dict[bytes, int], pattern: str = PATTERN):
     import tiktoken
 
-    table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks, "rb"))}
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
 
@@ -90,6 +103,7 @@ def best_fit_decreasing(sizes: np.ndarray, row_len: int) -> list[list[int]]:
 
 def pack(docs: DataFrame, row_len: int = ROW_LEN, ranks: str = DEFAULT_RANKS, end: int = END, block_ids: int = BLOCK_IDS) -> DataFrame:
     kind = np.dtype("<u2") if end < 1 << 16 else np.dtype("<u4")
+    table = docs.sparkSession.sparkContext.broadcast(rank_table(ranks))  # as large as the vocabulary
     place = np.dtype("<u2") if row_len <= 1 << 16 else np.dtype("<u4")
 
     def rows_of(items: list[tuple[int, int, np.ndarray]], task: int, base: int) -> tuple[pa.RecordBatch, int]:
@@ -114,7 +128,7 @@ def pack(docs: DataFrame, row_len: int = ROW_LEN, ranks: str = DEFAULT_RANKS, en
         return pa.RecordBatch.from_arrays([pa.array([task] * len(rows), pa.int64()), pa.array(np.arange(base, base + len(rows)), pa.int64()), pa.array(used, pa.int32()), pa.array(cu, pa.list_(pa.int32())), pa.array(segments, pa.list_(segment)), pa.array(matrix, pa.binary()), pa.array(positions, pa.binary())], names=["task", "row", "n_ids", "cu_seqlens", "segments", "ids", "positions"]), base + len(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, task, base, held, waiting = encoder(ranks), TaskContext.get().partitionId(), 0, 0, []
+        code, task, base, held, waiting = encoder(table.value), TaskContext.get().partitionId(), 0, 0, []
         seen = 0
         for b in batches:
             for d, t in zip(b.column("doc_id").to_pylist(), b.column("text")):
@@ -141,10 +155,11 @@ def unpack(packed: DataFrame, ranks: str = DEFAULT_RANKS, end: int = END) -> Dat
     kind = np.dtype("<u2") if end < 1 << 16 else np.dtype("<u4")
     s = packed.select("ids", F.posexplode("segments").alias("i", "s"), "cu_seqlens")
     s = s.select("s.doc_id", "s.copy", "s.begin", F.expr(f"substring(ids, {kind.itemsize} * cu_seqlens[i] + 1, {kind.itemsize} * s.length)").alias("part"))
+    table = packed.sparkSession.sparkContext.broadcast(rank_table(ranks))
     whole = s.groupBy("doc_id", "copy").agg(F.array_sort(F.collect_list(F.struct("begin", "part"))).alias("p"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(ranks)
+        code = encoder(table.value)
         for b in batches:
             ids = [np.frombuffer(b"".join(x["part"] for x in p), kind)[:-1].tolist() for p in b.column("p").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([code.decode(x) for x in ids], pa.string())], names=["doc_id", "text"])
@@ -152,5 +167,41 @@ def unpack(packed: DataFrame, ranks: str = DEFAULT_RANKS, end: int = END) -> Dat
     return whole.select("doc_id", "p").mapInArrow(run, "doc_id long, text string")
 
 
+INDEX = "file string, task long, row long, n_ids int, cu_seqlens array<int>, segments array<struct<doc_id:long, copy:long, begin:long, length:int>>"
+
+
+def save(packed: DataFrame, folder: str) -> None:
+    """Write packed rows as binary matrices, one file of ids and one of positions for each task, and an index of their rows.
+
+    ``folder`` is an address that all executors write to (any of Arrow's file systems). Files are named at random and count
+    only once the index, written last, names them, so what a lost task left behind is never read.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, path = pa.fs.FileSystem.from_uri(folder)
+        fs.create_dir(path, recursive=True)
+        name, place = uuid.uuid4().hex, 0
+        with fs.open_output_stream(f"{path}/{name}.ids") as ids, fs.open_output_stream(f"{path}/{name}.positions") as positions:
+            for b in batches:
+                for out, column in ((ids, "ids"), (positions, "positions")):
+                    for x in b.column(column):
+                        out.write(x.as_buffer())
+                rows = pa.array(np.arange(place, place + b.num_rows))
+                place += b.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array([name] * b.num_rows, pa.string()), b.column("task"), rows, b.column("n_ids"), b.column("cu_seqlens"), b.column("segments")], names=["file", "task", "row", "n_ids", "cu_seqlens", "segments"])
+
+    packed.mapInArrow(run, INDEX).write.parquet(f"{folder}/index")
+
+
+def load(folder: str, row_len: int = ROW_LEN, end: int = END) -> Iterator[tuple[np.ndarray, np.ndarray, list[list[int]]]]:
+    """(ids, positions, cumulative segment lengths of each row) of each file: matrices of ``row_len`` columns, in order of name."""
+    kinds = (np.dtype("<u2") if end < 1 << 16 else np.dtype("<u4"), np.dtype("<u2") if row_len <= 1 << 16 else np.dtype("<u4"))
+    fs, path = pa.fs.FileSystem.from_uri(folder)
+    index = pa.dataset.dataset(f"{path}/index", filesystem=fs, format="parquet").to_table(["file", "row", "cu_seqlens"]).sort_by([("file", "ascending"), ("row", "ascending")])
+    for name in index["file"].unique().to_pylist():
+        ids, positions = (np.frombuffer(fs.open_input_file(f"{path}/{name}.{x}").read(), kind).reshape(-1, row_len) for x, kind in zip(("ids", "positions"), kinds))
+        yield ids, positions, index.filter(pa.compute.equal(index["file"], name))["cu_seqlens"].to_pylist()
+
+
 def query(docs: DataFrame) -> DataFrame:
     return pack(docs)

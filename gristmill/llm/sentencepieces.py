@@ -7,14 +7,17 @@ lattice, sorted by end, and are relaxed from left to right. In a BPE model an ed
 before it if and only if merging the two pieces' text alone gives just these two; exactly one edge then reaches each
 place, and the path to the end is the encoding that merging by scores gives. Characters in no piece become bytes.
 
-Units with pieces of tied scores (runs of spaces) or spelled with the space mark itself are merged one by one instead.
+Units with runs of spaces or of the space mark itself (whose pieces have tied scores) are merged by a heap instead.
 Decoding looks pieces' bytes up and takes the leading space away; it gives back every text without U+2581 exactly.
 
-Null texts have null ids; empty texts none. Repeated rows are encoded each; extra columns are ignored; no text is cut.
+Null texts have null ids; empty texts none. Repeated rows are encoded each; extra columns are ignored; an empty table
+gives no rows. No text is cut: a long one is a step of its own, and a unit of n characters takes time in proportion to n
+(n log n where it is merged by a heap).
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +28,8 @@ from gristmill.llm.common import _power_tables, Chunk, chunks, mix
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Bytes of text matched at a time, and units remembered between these.
-STEP_BYTES, REMEMBER = 1 << 19, 400_000
+#: Bytes of text matched at a time, and units remembered between these (some 50 bytes each).
+STEP_BYTES, REMEMBER = 1 << 19, 1_000_000
 RESULT = "doc_id long, n_tokens long, ids array<int>, round_trip boolean"
 
 
@@ -66,6 +69,8 @@ class Model:
         key = np.array(left, np.int64) * n + np.array(right, np.int64)
         o = np.argsort(key)
         self.pair_key, self.pair_rank = key[o], self.rank[np.array(whole, np.int64)[o]]
+        self.pair_of: dict[int, int] | None = None
+        self.asked, self.answer = np.full(1 << 20, -1, np.int64), np.zeros(1 << 20, bool)
         # The last merge that makes each piece; pieces that merging does not give back as one are never used.
         self.first, self.second = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
         self.usable = np.zeros(n, bool)
@@ -86,6 +91,7 @@ class Model:
         spelled = [self.coded(np.frombuffer(p.encode("utf-32-le"), np.uint32)).astype(">u2").tobytes() for p in pieces]
         self.low = np.array(spelled, f"S{2 * self.longest}")
         self.high = np.array([x + b"\xff" * (2 * self.longest - len(x)) for x in spelled], f"S{2 * self.longest}")
+        self.width = np.append([len(self.text.get(i, "?")) for i in range(n)], 1)
         out = [(self.piece[i].replace(MARK, " ").encode() if not special[i] else bytes([int(self.piece[i][3:5], 16)]) if m.is_byte(i) else b"") for i in range(size)]
         self.out_size = np.array([len(x) for x in out], np.int64)
         self.out_begin = np.cumsum(self.out_size) - self.out_size
@@ -97,19 +103,35 @@ class Model:
         return np.where(self.chars[at] == code_points, at + 1, 65000)
 
     def merge(self, text: str) -> tuple[list[int], tuple[int, int]]:
-        """Merge by score, leftmost first among equals: (symbols, the last merge). Characters in no piece are -code point."""
-        parts, last = [text[i : i + 1] for i in range(len(text))], (-1, -1)
-        while len(parts) > 1:
-            best = None
-            for i in range(len(parts) - 1):
-                w = self.id.get(parts[i] + parts[i + 1])
-                if w is not None and w < self.size and (best is None or self.rank[w] < best[0]):
-                    best = (self.rank[w], i)
-            if best is None:
-                break
-            i = best[1]
-            last = (self.id[parts[i]], self.id[parts[i + 1]])
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        """Merge by score, leftmost first among equals: (symbols, the last merge). Characters in no piece are -code point.
+
+        Neighbours wait in a heap by (rank, place); a symbol is known by its place and end.
+        """
+        n, last = len(text), (-1, -1)
+        end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the symbol that begins at a place
+        waiting: list[tuple[int, int, int, int]] = []
+
+        def meet(i: int) -> None:
+            if i >= 0 and end[i] < n:
+                w = self.id.get(text[i : end[end[i]]])
+                if w is not None and w < self.size:
+                    heapq.heappush(waiting, (int(self.rank[w]), i, end[i], end[end[i]]))
+
+        for i in range(n - 1):
+            meet(i)
+        while waiting:
+            _, i, j, k = heapq.heappop(waiting)
+            if end[i] == j and j < n and end[j] == k:
+                last = (self.id[text[i:j]], self.id[text[j:k]])
+                end[i], end[j] = k, -1
+                if k < n:
+                    before[k] = i
+                meet(before[i])
+                meet(i)
+        parts, i = [], 0
+        while i < n:
+            parts.append(text[i : end[i]])
+            i = end[i]
         return [self.id.get(p, -ord(p[0])) for p in parts], last
 
     def ids(self, symbols: list[int], text_of: dict[int, str]) -> list[int]:
@@ -127,7 +149,38 @@ class Model:
         return np.where(self.pair_key[at] == key, self.pair_rank[at], np.iinfo(np.int64).max)
 
     def may_follow(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether the text of pieces a and b merges to just a and b: undo the later merge at the border, again and again."""
+        """Whether the text of pieces a and b merges to just a and b; answers are remembered, each at one place that its key names."""
+        key = a * self.n + b
+        at = (mix(key.astype(np.uint64)) & np.uint64(len(self.asked) - 1)).astype(np.int64)
+        out = self.answer[at]
+        new = np.flatnonzero(self.asked[at] != key)
+        if len(new):
+            k, first, which = np.unique(key[new], return_index=True, return_inverse=True)
+            first = new[first]
+            got = self.find_may_follow(a[first], b[first])
+            out[new] = got[which]
+            self.asked[at[first]], self.answer[at[first]] = k, got  # of two keys with one place the last stays, in both
+        return out
+
+    def follows(self, a: int, b: int) -> bool:
+        """``find_may_follow`` of one pair."""
+        if self.pair_of is None:
+            self.pair_of = dict(zip(self.pair_key.tolist(), self.pair_rank.tolist()))
+            self.lists = self.rank.tolist(), self.first.tolist(), self.second.tolist()
+        (rank, first, second), limit = self.lists, 1 << 62
+        while True:
+            if self.pair_of.get(a * self.n + b, limit) < limit:
+                return False
+            ra, rb = rank[a], rank[b]
+            if ra < 0 and rb < 0:
+                return True
+            if ra > rb:
+                limit, a = ra, second[a]
+            else:
+                limit, b = rb + 1, first[b]
+
+    def find_may_follow(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Undo the later merge at the border, again and again, and look for one across it that would have come before."""
         good = np.ones(len(a), bool)
         live = np.arange(len(a))
         limit = np.full(len(a), np.iinfo(np.int64).max - 1)
@@ -162,93 +215,113 @@ def match(m: Model, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return live[suffix[at]], m.piece_len[piece], m.pieces[piece]
 
 
-def encode_units(m: Model, units: list[str]) -> list[np.ndarray]:
-    out: list[np.ndarray | None] = [None] * len(units)
-    slow = [i for i, u in enumerate(units) if MARK in u[1:] and MARK in u.lstrip(MARK) or u.startswith(MARK * 2)]
-    odd = set(slow)
-    fast = [i for i in range(len(units)) if i not in odd and units[i]]
-    if fast:
-        joined = "\0".join(units[i] for i in fast)
-        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-        size = np.array([len(units[i]) for i in fast])
-        begin = np.cumsum(size + 1) - size - 1
-        code = m.coded(points)
-        edge = np.ones(len(points), bool)
-        edge[begin[1:] - 1] = False
-        code[~edge] = 0
-        where, length, piece = match(m, code)
-        unit = np.repeat(np.arange(len(fast)), size + 1)[: len(points)]
-        # Characters in no piece are edges of their own, with a symbol that joins with nothing.
-        lost = np.flatnonzero(code == 65000)
-        where, length, piece = np.concatenate([where, lost]), np.concatenate([length, np.ones(len(lost), np.int64)]), np.concatenate([piece, np.full(len(lost), m.n)])
-        end = where + length
-        step = end - begin[unit[where]]
-        o = np.lexsort((-length, end, step))
-        where, end, piece, step = where[o], end[o], piece[o], step[o]
-        cut = np.flatnonzero(np.concatenate([[True], step[1:] != step[:-1], [True]]))
-        last = np.full(len(points) + 2, -1, np.int64)
-        first_place = np.zeros(len(points) + 2, bool)
-        first_place[begin] = True
-        for x, y in zip(cut[:-1].tolist(), cut[1:].tolist()):
-            w, e, p = where[x:y], end[x:y], piece[x:y]
-            before = last[np.maximum(w - 1, 0)]
-            free = first_place[w] | (before == m.n) | (p == m.n)
-            ok = free & (first_place[w] | (before >= 0))
-            check = np.flatnonzero(~free & (before >= 0))
-            ok[check] = m.may_follow(before[check], p[check])
-            last[e[ok][::-1] - 1] = p[ok][::-1]
-        # Walk back from each unit's end, all units at once.
-        length_of = np.append([len(m.text.get(i, "?")) for i in range(m.n)], 1)
-        at = begin + size
-        alive = np.arange(len(fast))
-        back: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        while len(alive):
-            p = last[at[alive] - 1]
-            bad = p < 0
-            if bad.any():  # not to be met; merging one by one is always right
-                slow += [fast[i] for i in alive[bad].tolist()]
-                alive, p = alive[~bad], p[~bad]
-            at[alive] -= length_of[p]
-            back.append((alive, p, at[alive]))
-            alive = alive[at[alive] > begin[alive]]
-        u, p, w = (np.concatenate([b[k] for b in back]) for k in range(3))
-        o = np.lexsort((w, u))
-        u, p, w = u[o], p[o], w[o]
-        if (lone := p >= m.size).any():  # to bytes
-            reps = np.ones(len(p), np.int64)
-            spelled = {i: [m.bytes_at[b] for b in chr(int(points[w[i]])).encode("utf-8", "surrogatepass")] for i in np.flatnonzero(lone).tolist()}
-            for i, x in spelled.items():
-                reps[i] = len(x)
-            u = np.repeat(u, reps)
-            begin_at = np.cumsum(reps) - reps
-            p = np.repeat(p, reps)
-            for i, x in spelled.items():
-                p[begin_at[i] : begin_at[i] + len(x)] = x
-        bounds = np.searchsorted(u, np.arange(len(fast) + 1))
-        for k, i in enumerate(fast):
-            out[i] = p[bounds[k] : bounds[k + 1]]
-    for i in slow:
-        symbols, _ = m.merge(units[i])
-        out[i] = np.array(m.ids(symbols, {s: chr(-s) if s < 0 else m.text[s] for s in symbols}), np.int64)
-    return [np.zeros(0, np.int64) if x is None else x for x in out]
+#: Edges that end after as many characters of their units; from here on they are relaxed together.
+TOGETHER = 24
+
+
+def relax(m: Model, where: np.ndarray, end: np.ndarray, piece: np.ndarray, step: np.ndarray, begins: np.ndarray, n: int) -> np.ndarray:
+    """The piece that ends each place's prefix of its unit (-1: none); edges in order of step, end and falling length."""
+    cut = np.flatnonzero(np.concatenate([[True], step[1:] != step[:-1], [True]]))
+    last = np.full(n, -1, np.int64)
+    for x, y in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        w, e, p = where[x:y], end[x:y], piece[x:y]
+        if y - x < TOGETHER:  # the rest of some long units
+            for at, to, now in zip(w.tolist(), e.tolist(), p.tolist()):
+                if last[to - 1] >= 0:
+                    continue
+                if not (ok := bool(begins[at])) and (prior := int(last[at - 1])) >= 0:
+                    ok = prior == m.n or now == m.n or m.follows(prior, now)
+                if ok:
+                    last[to - 1] = now
+            continue
+        fresh, before = begins[w], last[np.maximum(w - 1, 0)]
+        ok = fresh | (before == m.n) | ((p == m.n) & (before >= 0))
+        check = np.flatnonzero(~ok & (before >= 0))
+        ok[check] = m.may_follow(before[check], p[check])
+        last[e[ok][::-1] - 1] = p[ok][::-1]
+    return last
+
+
+def encode_units(m: Model, points: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of ids of each unit, all ids) of units of ``size`` code points, each followed by one that is not part of it."""
+    begin = np.cumsum(size + 1) - size - 1
+    unit = np.repeat(np.arange(len(size)), size + 1)
+    inside = np.ones(len(points), bool)
+    inside[begin + size] = False
+    mark = (points == ord(MARK)) & inside
+    leading = (size > 0) & mark[begin]
+    slow = np.bincount(unit, mark, minlength=len(size)) > leading  # runs of marks: their merges tie
+    code = m.coded(points)
+    code[~inside | slow[unit]] = 0
+    where, length, piece = match(m, code)
+    # Characters in no piece are edges of their own, with a symbol that joins with nothing.
+    lost = np.flatnonzero(code == 65000)
+    where, length, piece = np.concatenate([where, lost]), np.concatenate([length, np.ones(len(lost), np.int64)]), np.concatenate([piece, np.full(len(lost), m.n)])
+    end = where + length
+    step = end - begin[unit[where]]
+    bits = [int(x).bit_length() for x in (len(points) + 1, m.longest)]
+    o = np.argsort((((step << bits[0]) | end) << bits[1]) | (m.longest - length))
+    begins = np.zeros(len(points) + 1, bool)
+    begins[begin] = True
+    last = relax(m, where[o], end[o], piece[o], step[o], begins, len(points) + 1)
+    # Walk back from each unit's end, all units at once.
+    at = begin + size
+    alive = np.flatnonzero(~slow & (size > 0))
+    back: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    while len(alive):
+        p = last[at[alive] - 1]
+        if (bad := p < 0).any():  # not to be met; merging one by one is always right
+            slow[alive[bad]] = True
+            alive, p = alive[~bad], p[~bad]
+        at[alive] -= m.width[p]
+        back.append((alive, p, at[alive]))
+        alive = alive[at[alive] > begin[alive]]
+    none = np.zeros(0, np.int64)
+    u, p, w = (np.concatenate([none, *(b[k] for b in back)]) for k in range(3))
+    apart = [(none, none, none)]
+    for i in np.flatnonzero(slow).tolist():
+        text = points[begin[i] : begin[i] + size[i]].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+        symbols = np.array([m.n if x < 0 else x for x in m.merge(text)[0]], np.int64)
+        apart.append((np.full(len(symbols), i), symbols, begin[i] + np.cumsum(m.width[symbols]) - m.width[symbols]))
+    u, p, w = (np.concatenate([x[~slow[u]], *(b[k] for b in apart)]) for k, x in enumerate((u, p, w)))
+    o = np.argsort(w)
+    u, p, w = u[o], p[o], w[o]
+    if (lone := np.flatnonzero(p >= m.size)).size:  # to bytes
+        spelled = [[m.bytes_at[b] for b in chr(x).encode("utf-8", "surrogatepass")] for x in points[w[lone]].tolist()]
+        reps = np.ones(len(p), np.int64)
+        reps[lone] = [len(x) for x in spelled]
+        begin_at = np.cumsum(reps) - reps
+        u, p = np.repeat(u, reps), np.repeat(p, reps)
+        for i, x in zip(begin_at[lone].tolist(), spelled):
+            p[i : i + len(x)] = x
+    return np.bincount(u, minlength=len(size)), p
 
 
 class Encoder:
-    """Encodes and decodes chunks, remembering units."""
+    """Encodes and decodes chunks, remembering units: those of long ago and those of late, each in order of hash."""
 
     def __init__(self, m: Model):
         self.m = m
         self.forget()
 
     def forget(self) -> None:
-        self.known, self.begin, self.count, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        none = np.zeros(0, np.int64)
+        self.old = self.late = (none.astype(np.uint64), none, none)  # hashes, place of the ids, number of ids
+        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
 
-    def units(self, c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def units(self, c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(document, first byte, end byte, hash, whether it begins a text) of each unit."""
         b = c.data
         own = np.zeros(len(b), bool)
         own[c.end - 1] = True  # the space after each text is not part of it
         starts = np.zeros(len(b) + 1, bool)
-        starts[1:-1] = (b[1:] == 32) & (b[:-1] != 32)
+        space = b == 32
+        spelled = np.flatnonzero((b[:-2] == 0xE2) & (b[1:-1] == 0x96) & (b[2:] == 0x81)) if len(b) > 2 else np.zeros(0, np.int64)  # the mark itself
+        space[spelled] = True
+        starts[1:-1] = space[1:] & ~space[:-1]
+        starts[spelled[space[spelled - 1] & (spelled > 0)]] = False
+        after = spelled[spelled + 3 < len(b)] + 3
+        starts[after] &= ~space[after]
         if self.m.breaks_at_lines:
             starts[:-1] |= b == 10
             starts[1:] |= b == 10
@@ -264,32 +337,60 @@ class Encoder:
         first = np.zeros(len(b) + 1, bool)
         first[c.begin] = True
         h = mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + first[s] * np.uint64(0xD1B54A32D192ED03))
-        return np.searchsorted(c.end, s, side="right"), s, e, h
+        return np.searchsorted(c.end, s, side="right"), s, e, h, first[s]
+
+    def find(self, known: tuple[np.ndarray, np.ndarray, np.ndarray], u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether known, place in ``known``)."""
+        if not len(known[0]):
+            return np.zeros(len(u), bool), np.zeros(len(u), np.int64)
+        at = np.minimum(np.searchsorted(known[0], u), len(known[0]) - 1)
+        return known[0][at] == u, at
+
+    def learn(self, c: Chunk, u: np.ndarray, s: np.ndarray, e: np.ndarray, begins: np.ndarray) -> None:
+        """Encode units (hashes in order, bytes, whether at the begin of a text) that are not known."""
+        # Their bytes, with a space before those that begin a text and a line feed after each.
+        n = e - s + begins + 1
+        at = np.cumsum(n) - n
+        data = np.full(int(n.sum()), 10, np.uint8)
+        data[at[begins]] = 32
+        size = e - s
+        data[np.arange(int(size.sum())) + np.repeat(at + begins - (np.cumsum(size) - size), size)] = c.data[np.arange(int(size.sum())) + np.repeat(s - (np.cumsum(size) - size), size)]
+        heads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+        points = np.frombuffer(data.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+        points[points == 32] = ord(MARK)
+        count, ids = encode_units(self.m, points, heads[at + n] - heads[at] - 1)
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(len(ids), len(self.flat)), np.int32)])
+        place = self.used + np.cumsum(count) - count
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.late = self.joined(self.late, (u, place, count))
+        if 8 * len(self.late[0]) > len(self.old[0]):
+            self.old, self.late = self.joined(self.old, self.late), (u[:0], place[:0], count[:0])
+
+    @staticmethod
+    def joined(a: tuple, b: tuple) -> tuple:
+        at = np.searchsorted(a[0], b[0])
+        return tuple(np.insert(x, at, y) for x, y in zip(a, b))
 
     def encode(self, c: Chunk) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids of each text, all ids)."""
-        doc, s, e, h = self.units(c)
+        doc, s, e, h, begins = self.units(c)
         u, first, at = np.unique(h, return_index=True, return_inverse=True)
-        new = ~np.isin(u, self.known, assume_unique=True)
+        new = ~(self.find(self.old, u)[0] | self.find(self.late, u)[0])
         if new.any():
-            if len(self.known) > REMEMBER:
+            if len(self.old[0]) + len(self.late[0]) > REMEMBER:
                 self.forget()
                 new[:] = True
-            begins = set(c.begin.tolist())
-            raw = c.data.tobytes()
-            text = [raw[s[i] : e[i]].decode("utf-8", "surrogatepass").replace(" ", MARK) for i in first[new].tolist()]
-            text = [MARK + t if s[i] in begins else t for t, i in zip(text, first[new].tolist())]
-            got = encode_units(self.m, text)
-            count = np.array([len(x) for x in got], np.int64)
-            at_known = np.searchsorted(self.known, u[new])
-            self.begin = np.insert(self.begin, at_known, len(self.flat) + np.cumsum(count) - count)
-            self.count = np.insert(self.count, at_known, count)
-            self.known = np.insert(self.known, at_known, u[new])
-            self.flat = np.concatenate([self.flat, *[x.astype(np.int32) for x in got]])
-        place = np.searchsorted(self.known, u)[at]
-        count = self.count[place]
+            x = first[new]
+            self.learn(c, u[new], s[x], e[x], begins[x])
+        place, count = np.zeros(len(u), np.int64), np.zeros(len(u), np.int64)
+        for known in (self.old, self.late):
+            ok, where = self.find(known, u)
+            place[ok], count[ok] = known[1][where[ok]], known[2][where[ok]]
+        place, count = place[at], count[at]
         total = np.bincount(doc, count, minlength=len(c.rows)).astype(np.int64)
-        index = np.arange(int(count.sum())) + np.repeat(self.begin[place] - (np.cumsum(count) - count), count)
+        index = np.arange(int(count.sum())) + np.repeat(place - (np.cumsum(count) - count), count)
         return total, self.flat[index]
 
     def decode(self, ids: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -313,7 +414,8 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(Model(model))  # as large as the model's vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Encoder(shared.value)
+        # A worker's tasks share what one has learnt: ids of a unit are the same for all.
+        coder = shared.value.coder = getattr(shared.value, "coder", None) or Encoder(shared.value)
         for b in batches:
             texts = b.column("text")
             ids, valid = b.column("doc_id"), texts.is_valid().to_numpy(zero_copy_only=False)
