@@ -6,8 +6,9 @@ source is pre-aggregated in each task, and the outcome depends neither on partit
 when a measure lies beyond its group's upper fence ``q75 + max(slack, spread * (q75 - q25))``. Groups of fewer than
 ``min_group`` documents take the fence of the merged sketches of their language, and then of all.
 
-Nulls: a null text has no words (base_failed); null languages and sources are groups of their own. Empty table: no rows.
-Repeated rows are measured and returned each. Extra columns pass through ``rule_filter`` untouched.
+Nulls: a null text has no words (base_failed); null languages and sources are groups of their own; a null doc_id is
+returned as it is. Empty table: no rows. Repeated rows are measured and returned each. Extra columns pass through
+``rule_filter`` untouched. Texts are measured whole, one row at a time.
 """
 
 from __future__ import annotations
@@ -71,18 +72,20 @@ def rates(m: Column) -> dict[str, Column]:
 def to_bin(v: Column) -> Column:
     """Log-linear bin of a whole number of 0 or more: 0 to 63 exactly, then the top six bits and the octave."""
     shift = F.length(F.bin(v)) - 6
-    return F.when(v < 64, v).otherwise(shift * 32 + F.expr("shiftright(v, length(bin(v)) - 6)")).cast("long")
+    return F.when(v < 64, v).otherwise(shift * 32 + F.call_function("shiftright", v, shift)).cast("long")
 
 
 def from_bin(b: Column) -> Column:
     """Least value of a bin."""
-    return F.when(b < 64, b).otherwise(F.expr("shiftleft(b - (div(b, 32) - 1) * 32, cast(div(b, 32) - 1 as int))".replace("div(b, 32)", "(b div 32)"))).cast("long")
+    shift = F.floor(b / 32).cast("int") - 1
+    return F.when(b < 64, b).otherwise(F.call_function("shiftleft", b - shift * 32, shift)).cast("long")
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """(lang, source, measure, b, n): the histogram of each group's measures, over documents of 50 words or more."""
-    m = docs.select("lang", "source", measures(F.col("text")).alias("m")).where("m.n_words >= 50")
-    long = m.select("lang", "source", F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), v.alias("v")) for k, v in rates(F.col("m")).items()])).alias("x")).select("lang", "source", "x.measure", F.col("x.v").alias("v"))
+def sketches(measured: DataFrame) -> DataFrame:
+    """(lang, source, measure, b, n): the histogram of each group's measures ``m``, over documents of 50 words or more."""
+    m = measured.where("m.n_words >= 50")
+    of = {k: F.col(f"m.{k}") for k in SLACK} if set(SLACK) <= set(m.schema["m"].dataType.names) else rates(F.col("m"))
+    long = m.select("lang", "source", F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), v.alias("v")) for k, v in of.items()])).alias("x")).select("lang", "source", "x.measure", F.col("x.v").alias("v"))
     return long.select("lang", "source", "measure", to_bin(F.col("v")).alias("b")).groupBy("lang", "source", "measure", "b").agg(F.count("*").alias("n"))
 
 
@@ -106,25 +109,36 @@ def fences(sk: DataFrame, min_group: int = MIN_GROUP, spread: int = SPREAD) -> D
     return j.groupBy("lang", "source").agg(*[F.max(F.when(F.col("measure") == k, F.col("fence"))).alias(f"f_{k}") for k in SLACK])
 
 
-def judge(docs: DataFrame, min_group: int = MIN_GROUP, spread: int = SPREAD, name: str = "rules") -> DataFrame:
-    """``docs`` with one more struct column ``name``: base measures, base_failed, beyond (measures over a fence) and kept.
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
-    Two passes over the texts: sketches, then measures and verdict; the texts themselves are never shuffled as long as
-    the (language, source) fences are few enough to broadcast by count.
-    """
-    f = durable(fences(sketches(docs), min_group, spread))
+
+def with_measures(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a struct of the base measures and rates of its text."""
+    return docs.withColumn(name, let(measures(F.col("text"), full=True), lambda m: F.struct(*[m[k].alias(k) for k in BASE], *[v.alias(k) for k, v in rates(m).items()])))
+
+
+def verdicts(d: DataFrame, f: DataFrame, name: str) -> DataFrame:
+    """``d``, with measures in ``__m``, by the fences ``f`` (durable): that column gives way to ``name``, the verdict."""
     f = f.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), *[F.col(f"f_{k}").alias(f"__{k}") for k in SLACK])
-    base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    d = docs.withColumn("__m", let(measures(F.col("text"), full=True), lambda m: F.struct(*[m[k].alias(k) for k in base], *[v.alias(k) for k, v in rates(m).items()])))
+    names = [c for c in d.columns if c not in ("__m", name)]
     d = join_small(d, f, d["lang"].eqNullSafe(f["__lang"]) & d["source"].eqNullSafe(f["__source"]), "left")
     m = F.col("__m")
     failed = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
     beyond = F.filter(F.array(*[F.when(m[k] > F.col(f"__{k}"), F.lit(k)) for k in SLACK]), lambda x: x.isNotNull())
-    d = d.withColumn("__m", F.struct(*[m[k].alias(k) for k in base], failed.alias("base_failed"), beyond.alias("beyond")))
+    d = d.withColumn("__m", F.struct(*[m[k].alias(k) for k in BASE], failed.alias("base_failed"), beyond.alias("beyond")))
     # One predicate over both sides: a filter on it can't be split and pushed below the join, where it would measure again.
     kept = F.size(F.concat(F.when(m["base_failed"], F.array(F.lit("base"))).otherwise(F.array().cast("array<string>")), m["beyond"])) == 0
-    verdict = F.struct("__m.*", kept.alias("kept"))
-    return d.select(*[F.col(c) for c in docs.columns if c != name], verdict.alias(name))
+    return d.select(*names, F.struct("__m.*", kept.alias("kept")).alias(name))
+
+
+def judge(docs: DataFrame, min_group: int = MIN_GROUP, spread: int = SPREAD, name: str = "rules") -> DataFrame:
+    """``docs`` with one more struct column ``name``: base measures, base_failed, beyond (measures over a fence) and kept.
+
+    A column of ``docs`` that has that name already gives way. Two passes over the texts: sketches, then measures and
+    verdict; the texts themselves are never shuffled as long as the (language, source) fences are small enough to broadcast.
+    """
+    narrow = docs.select("lang", "source", measures(F.col("text")).alias("m"))
+    return verdicts(with_measures(docs, "__m"), durable(fences(sketches(narrow), min_group, spread)), name)
 
 
 def rule_filter(docs: DataFrame) -> DataFrame:
@@ -133,4 +147,8 @@ def rule_filter(docs: DataFrame) -> DataFrame:
 
 
 def query(docs: DataFrame) -> DataFrame:
-    return judge(docs.select("doc_id", "text", "lang", "source")).select("doc_id", "rules.*")
+    """Measures and verdict of each row: the texts are read once, their measures (some numbers a row) settled and used twice."""
+    d = durable(with_measures(docs.select("doc_id", "lang", "source", "text"), "__m").drop("text"))
+    narrow = d.select("lang", "source", "__m.n_words", *[F.col(f"__m.{k}") for k in SLACK])
+    f = durable(fences(sketches(narrow.select("lang", "source", F.struct("n_words", *SLACK).alias("m"))), MIN_GROUP, SPREAD))
+    return verdicts(d, f, "rules").select("doc_id", "rules.*")
