@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 #: Bytes up to which a measured side may be broadcast.
 BROADCAST_BYTES = 32 << 20
@@ -69,6 +70,23 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, max_bytes: int, total_bytes: int) -> DataFrame:
+    """(doc_id, text, y) to learn ``label`` (0 or 1) from: a sample of bounded size, the same for any partitioning.
+
+    Labels of held-out rows and others than 0 and 1 are left out; of several labels of a doc_id the largest counts, of
+    several texts the least. The ``max_rows`` rows with the least hashes of their doc_ids, without texts of over
+    ``max_bytes`` bytes, are taken in that order up to ``total_bytes`` bytes in all. Repeated rows are made one before
+    they move.
+    """
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    known = labels.where(F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    known = durable(known.orderBy(*order).limit(max_rows))
+    rows = join_small(docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= max_bytes), known, "doc_id")
+    rows = durable(rows.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.max("y").alias("y")))
+    upto = rows.select("doc_id", F.sum(F.octet_length("text")).over(W.orderBy(*order)).alias("upto"))  # max_rows numbers
+    return rows.join(upto.where(F.col("upto") <= total_bytes).select("doc_id"), "doc_id", "left_semi")
+
+
 # --- vectorised text -----------------------------------------------------------------------------------------------
 
 _LOWER = np.arange(256, dtype=np.uint8)

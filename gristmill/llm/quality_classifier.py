@@ -5,10 +5,12 @@ words are equal, as AAAA or AABB, and the share of the document's n-grams with t
 fitted on the scaled indicators by dual coordinate descent; the weights are interpolated with their mean magnitude, and
 a logistic curve over margins of rows that the descent did not see turns margins into probabilities.
 
-Labels are read from rows that ``held_out`` leaves, at most ``MAX_ROWS`` of them (least hash of doc_id; stated bound).
-The fit takes those rows' feature lists on the driver: at most MAX_ROWS lists of at most 2**17 numbers, some KB each.
-Null and empty texts have no features and get the score of the bias. Unknown labels (null, not 0 or 1) are not used.
-Repeated rows are scored each. With no usable labels of both classes every score is the share of label 1, or 0.5.
+Labels are read from rows that ``held_out`` leaves, at most ``MAX_ROWS`` of them (least hash of doc_id), of at most
+``MAX_BYTES`` bytes each and ``TOTAL_BYTES`` in all (stated bounds); every whole text is scored. The fit takes those rows'
+feature lists on the driver: two numbers of 4 bytes for each byte of text at most, a fifth of that as measured.
+Null and empty texts have no features and get the score of the bias. Unknown labels (null, not 0 or 1) are not used; of
+repeated labelled rows one counts. Repeated rows are scored each. With no usable labels of both classes every score is the
+share of label 1, or 0.5. Empty table: no rows. Extra columns are ignored. Very long texts are a step of their own.
 """
 
 from __future__ import annotations
@@ -20,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import chunks, held_out, join_small, durable
+from gristmill.llm.common import chunks, held_out, labelled_sample
 
-MAX_ROWS = 6000
+MAX_ROWS, MAX_BYTES, TOTAL_BYTES = 6000, 200_000, 32 << 20
 #: Features: 2**16 byte bigrams, 2**16 - SHAPES hashed byte trigrams, and shapes of word n-grams by how often they occur.
 SIZE, SHAPES = 1 << 17, 64
 #: A shape's features say that it makes up more than each of these parts of the document's n-grams.
@@ -104,6 +106,12 @@ def logistic(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return p[0] / scale, p[1]
 
 
+def log_count_ratios(rows: list[np.ndarray], y: np.ndarray, size: int) -> np.ndarray:
+    """Of each feature: log of its smoothed share of the positive rows' indicators over that of the negative rows'."""
+    counts = {s: ALPHA + np.bincount(np.concatenate([x for x, z in zip(rows, y) if z == s]), minlength=size).astype(float) for s in (1, -1)}
+    return np.log((counts[1] / counts[1].sum()) / (counts[-1] / counts[-1].sum()))
+
+
 def fit(rows: list[np.ndarray], y: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, float]:
     """Weights for indicators, such that the logistic of their sum plus the offset is the probability of +1."""
     if len(set(y.tolist())) < 2:
@@ -113,8 +121,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, size: int = SIZE) -> tuple[np.nda
     if len(set(y[late].tolist())) < 2 or len(set(y[~late].tolist())) < 2:
         late[:] = False
     train = np.flatnonzero(~late)
-    counts = {s: ALPHA + np.bincount(np.concatenate([rows[i] for i in train if y[i] == s]), minlength=size).astype(float) for s in (1, -1)}
-    ratio = np.log((counts[1] / counts[1].sum()) / (counts[-1] / counts[-1].sum()))
+    ratio = log_count_ratios([rows[i] for i in train], y[train], size)
     w = dual_coordinate_descent([rows[i] for i in train], [ratio[rows[i]] / np.sqrt(len(rows[i]) + 1.0) for i in train], y[train], size)
     bias, w = w[-1], w[:-1]
     mean = np.abs(w).mean()
@@ -125,10 +132,8 @@ def fit(rows: list[np.ndarray], y: np.ndarray, size: int = SIZE) -> tuple[np.nda
     return a * w, float(a * bias + b)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str, max_rows: int = MAX_ROWS) -> tuple[np.ndarray, float]:
-    """Fit on at most ``max_rows`` labelled rows outside the held-out part."""
-    known = labels.where(F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col(label).cast("int").alias("y")).groupBy("doc_id").agg(F.max("y").alias("y"))
-    known = durable(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
+def train(docs: DataFrame, labels: DataFrame, label: str, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, total_bytes: int = TOTAL_BYTES) -> tuple[np.ndarray, float]:
+    """Fit on a bounded sample of labelled rows outside the held-out part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -136,8 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, max_rows: int = MAX_RO
                 cut = np.searchsorted(doc, np.arange(len(rows) + 1))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(rows)).cast(pa.int64()), b.column("y").take(pa.array(rows)).cast(pa.int32()), pa.array([f[i:j].astype("<u4").tobytes() for i, j in zip(cut, cut[1:])], pa.binary())], names=["doc_id", "y", "f"])
 
-    got = join_small(docs.select("doc_id", "text"), known, "doc_id").select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, f binary").toPandas()
-    got = got.sort_values(["doc_id", "f"]).drop_duplicates("doc_id")
+    got = labelled_sample(docs, labels, label, max_rows, max_bytes, total_bytes).mapInArrow(run, "doc_id long, y int, f binary").toPandas().sort_values("doc_id")
     order = np.random.default_rng(0).permutation(len(got))
     return fit([np.frombuffer(got["f"].iloc[i], "<u4").astype(np.int64) for i in order], np.where(got["y"].to_numpy()[order] == 1, 1, -1) if len(got) else np.zeros(0))
 

@@ -11,9 +11,11 @@ negative; in a toxic document the sentence that now scores highest is positive (
 model over these is folded into one weight per landmark. A document scores by its worst sentence, through a logistic
 curve fitted on training documents.
 
-At most ``MAX_ROWS`` labelled rows outside the held-out part, of at most ``MAX_BYTES`` bytes each, are fitted on (both
-stated bounds); every whole text is scored. Nulls and empty texts score as a document without words. Repeated rows are
-scored each; labels other than 0 and 1 are not used; without both classes all scores are the share of label 1, or 0.5.
+At most ``MAX_ROWS`` labelled rows outside the held-out part, of at most ``MAX_BYTES`` bytes each and ``TOTAL_BYTES`` in
+all, are fitted on (stated bounds), in one task; every whole text is scored. Nulls and empty texts score as a document
+without words. Repeated rows are scored each, and count once in the fit; labels other than 0 and 1 are not used; without
+both classes all scores are the share of label 1, or 0.5. Empty table: no rows. Extra columns are ignored. Very long texts
+are a step of their own.
 """
 
 from __future__ import annotations
@@ -26,13 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import Chunk, chunks, durable, held_out, join_small
+from gristmill.llm.common import Chunk, chunks, held_out, labelled_sample
 from gristmill.llm.quality_classifier import logistic
 
-MAX_ROWS, MAX_BYTES = 6000, 200_000
+MAX_ROWS, MAX_BYTES, TOTAL_BYTES = 6000, 200_000, 32 << 20
 DECAY, SPAN, CUT, POWER = 0.8, 7, 0.4, 3
 LANDMARKS, ORDINARY, ROUNDS, HARD, COST = 40, 16, 4, 8000, 1.0
 CODES = 1 << 15
+#: Words whose values a task remembers (16 bytes each).
+REMEMBER = 2_000_000
 GAPS = [(a, b) for a in range(1, SPAN) for b in range(1, SPAN - a)]
 
 _LETTER = np.zeros(256, np.uint16)
@@ -140,17 +144,40 @@ def sentence_words(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return doc, np.cumsum(fresh) - 1, s, e, h
 
 
-def document_margins(c: Chunk, marks: Landmarks, weight: np.ndarray) -> np.ndarray:
+class Values:
+    """Each word's part of a margin, by hash; those met before are remembered, up to ``REMEMBER``."""
+
+    def __init__(self, marks: Landmarks, weight: np.ndarray):
+        self.marks, self.weight = marks, weight
+        self.known, self.value = np.zeros(0, np.uint64), np.zeros(0)
+
+    def of(self, c: Chunk, h: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        u, first, at = np.unique(h, return_index=True, return_inverse=True)
+        place = np.searchsorted(self.known, u)
+        old = np.zeros(len(u), bool)
+        if len(self.known):
+            old = self.known[np.minimum(place, len(self.known) - 1)] == u
+        value = np.zeros(len(u))
+        value[old] = self.value[place[old]]
+        x = first[~old]
+        ids, k = self.marks.kernels(Words(c.data, s[x], e[x]))
+        fresh = np.zeros(len(x))
+        fresh[ids] = k @ self.weight
+        value[~old] = fresh
+        if len(self.known) > REMEMBER:
+            self.known, self.value = u, value
+        else:
+            self.known, self.value = np.insert(self.known, place[~old], u[~old]), np.insert(self.value, place[~old], fresh)
+        return value[at]
+
+
+def document_margins(c: Chunk, values: Values) -> np.ndarray:
     """The largest sum over a sentence's words, for each document (0 where no word is near a landmark)."""
     doc, sent, s, e, h = sentence_words(c)
     out = np.zeros(len(c.rows))
     if not len(s):
         return out
-    _, first, at = np.unique(h, return_index=True, return_inverse=True)
-    ids, k = marks.kernels(Words(c.data, s[first], e[first]))
-    value = np.zeros(len(first))
-    value[ids] = k @ weight
-    value = value[at]
+    value = values.of(c, h, s, e)
     use = np.flatnonzero(value)
     total = np.bincount(sent[use], value[use], minlength=sent[-1] + 1)
     owner = doc[np.flatnonzero(np.concatenate([[True], sent[1:] != sent[:-1]]))]
@@ -276,17 +303,15 @@ def fit(texts: list[str], y: np.ndarray) -> tuple[list[bytes], np.ndarray, float
     return [words[i] for i in marks], nystroem @ w[:-1], float(slope), float(offset)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES):
-    known = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
-    known = durable(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
-    rows = join_small(docs.select("doc_id", "text").where(F.octet_length("text") <= max_bytes), known, "doc_id").select("doc_id", "text", F.col("y").cast("int").alias("y"))
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, total_bytes: int = TOTAL_BYTES):
+    rows = labelled_sample(docs, labels, "toxic", max_rows, max_bytes, total_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = sorted({d: (d, t or "", y) for b in batches for d, t, y in sorted(zip(*(b.column(n).to_pylist() for n in ("doc_id", "text", "y"))), key=lambda x: x[1] or "")}.values())
+        got = sorted(x for b in batches for x in zip(*(b.column(n).to_pylist() for n in ("doc_id", "text", "y"))))
         model = fit([t for _, t, _ in got], np.array([1 if y == 1 else -1 for *_, y in got], np.int64))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
-    # One task of at most max_rows rows, on an executor: the driver holds only the landmarks.
+    # One task of a bounded sample, on an executor: the driver holds only the landmarks.
     got = rows.repartition(1).mapInArrow(run, "model binary").first()
     return pickle.loads(got[0]) if got else fit([], np.zeros(0))
 
@@ -298,11 +323,11 @@ def score(docs: DataFrame, model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((words, weight))  # LANDMARKS + ORDINARY words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks, w = Landmarks(shared.value[0]), shared.value[1]
+        values = Values(Landmarks(shared.value[0]), shared.value[1])
         for b in batches:
             out = np.zeros(b.num_rows)
             for c in chunks(b.column("text")):
-                out[c.rows] = document_margins(c, marks, w)
+                out[c.rows] = document_margins(c, values)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(slope * out + offset, -30, 30))))], names=["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")

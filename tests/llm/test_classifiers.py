@@ -69,3 +69,82 @@ def test_dual_coordinate_descent_separates():
     y = np.where(x @ np.array([1, -2, 0.5, 0, 0]) > 0, 1, -1)
     w = qc.dual_coordinate_descent([np.arange(5)] * 200, list(x), y, 5, cost=10, epochs=200)
     assert ((x @ w[:-1] + w[-1] > 0) == (y > 0)).mean() > 0.97
+
+
+def hinge(w, x, y, c):
+    return w @ w / 2 + (c * np.maximum(0, 1 - y * (x @ w))).sum()
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_dual_descent_against_a_dense_solver(seed):
+    """The dual by projected gradient steps on the whole matrix."""
+    rng = np.random.default_rng(seed)
+    n, size = 60, 25
+    rows = [np.sort(rng.choice(size, rng.integers(1, 9), replace=False)) for _ in range(n)]
+    values, y = [rng.normal(size=len(r)) for r in rows], np.where(rng.random(n) < 0.3, 1, -1)
+    x = np.zeros((n, size + 1))
+    for i, (r, v) in enumerate(zip(rows, values)):
+        x[i, r] = v
+    x[:, -1] = 1
+    upper = np.where(y > 0, n / (2 * (y > 0).sum()), n / (2 * (y < 0).sum()))
+    q = (x * y[:, None]) @ (x * y[:, None]).T
+    a, step = np.zeros(n), 1 / np.linalg.eigvalsh(q).max()
+    for _ in range(20_000):
+        a = np.clip(a + step * (1 - q @ a), 0, upper)
+    best = hinge((a * y) @ x, x, y, upper)
+    w = qc.dual_coordinate_descent(rows, values, y, size, epochs=3000)
+    assert best - 1e-6 <= hinge(w, x, y, upper) <= best * 1.01 + 1e-3
+
+
+def test_features_ratios_and_scores_against_plain_ones(make):
+    import pyarrow as pa
+
+    texts = ["abc abc abc", "", "zé zé q", "one two one two three", "x", None, "aa bb cc"]
+    [(rows, doc, f)] = list(qc.features(pa.array(texts)))
+    lists = [f[doc == i] for i in range(len(texts))]
+    for t, got in zip(texts, lists):
+        b = (t or "").encode() + b" "  # a text ends in a space
+        two = {b[i] << 8 | b[i + 1] for i in range(len(b) - 1)}
+        three = {(((b[i] << 8 | b[i + 1]) * 0x9E3779B1 + b[i + 2] * 0x85EBCA77) % 2**32 >> 16) % (2**16 - qc.SHAPES) + 2**16 for i in range(len(b) - 2)}
+        assert {x for x in got.tolist() if x < qc.SIZE - qc.SHAPES} == two | three and len(set(got.tolist())) == len(got)
+    y = np.array([1, 1, -1, 1, -1, -1, -1])
+    ratio = qc.log_count_ratios(lists, y, qc.SIZE)
+    count = {s: [1 + sum(k in set(x.tolist()) for x, z in zip(lists, y) if z == s) for k in (97 << 8 | 98, 98 << 8 | 99, 5)] for s in (1, -1)}
+    total = {s: qc.SIZE + sum(len(x) for x, z in zip(lists, y) if z == s) for s in (1, -1)}
+    assert np.allclose(ratio[[97 << 8 | 98, 98 << 8 | 99, 5]], [np.log(p / total[1] / (m / total[-1])) for p, m in zip(count[1], count[-1])])
+    w = np.random.default_rng(0).normal(size=qc.SIZE).astype(np.float32)
+    got = {r.doc_id: r.score for r in qc.score(make(list(enumerate(texts))), (w, 0.25)).collect()}
+    for i, x in enumerate(lists):
+        assert abs(got[i] - 1 / (1 + np.exp(-(0.25 + sum(float(w[k]) for k in x) / np.sqrt(len(x) + 1.0))))) < 1e-5
+
+
+def test_a_document_scores_by_its_worst_sentence(make):
+    """Every word's kernel with every landmark by itself, summed by sentence."""
+    words = [b"idiot", b"clown", b"water"]
+    marks, weight = tox.Landmarks(words), np.array([2.0, 1.0, -0.5])
+    texts = ["You idiot. What a clown, you id1ot!\nWater is fine", "cloown idiot water. i d i o t", "nothing here", "", None, "water water water"]
+
+    def value(word):
+        ids, k = tox.kernels_of([word], marks)
+        return float(k[0] @ weight) if len(ids) else 0.0
+
+    def margin(sentences):
+        each = [sum(value(w) for w in s) for s in sentences]
+        return max(each) if each else 0.0
+
+    split = [[[b"you", b"idiot."], [b"what", b"a", b"clown,", b"you", b"id1ot!"], [b"water", b"is", b"fine"]], [[b"cloown", b"idiot", b"water."], [b"idiot"]], [[b"nothing", b"here"]], [], [], [[b"water"] * 3]]
+    got = {r.doc_id: r.score for r in tox.score(make(list(enumerate(texts))), (words, weight, 1.5, -1.0)).collect()}
+    for i, s in enumerate(split):
+        assert abs(got[i] - 1 / (1 + np.exp(-(1.5 * margin(s) - 1.0)))) < 1e-5, texts[i]
+
+
+def test_labelled_sample_is_bounded_and_distinct(spark, make):
+    from gristmill.llm.common import held_out, labelled_sample
+
+    d = make([(i % 500, f"text {i}" * (1 + i % 3)) for i in range(1000)] + [(600, "x" * 1000), (None, "y")])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(700)] * 2 + [(None, 1), (1, None)], "doc_id long, y int")
+    got = labelled_sample(d, labels, "y", 300, 500, 2000).toPandas()
+    assert got["doc_id"].is_unique and len(got) <= 300 and got["text"].str.len().sum() <= 2000 and 600 not in set(got["doc_id"])
+    assert not d.where(held_out(F.col("doc_id")) & F.col("doc_id").isin(got["doc_id"].tolist())).count()
+    again = labelled_sample(d.repartition(7), labels.repartition(3), "y", 300, 500, 2000).toPandas()
+    assert sorted(map(tuple, again.itertuples(index=False))) == sorted(map(tuple, got.itertuples(index=False)))
