@@ -52,4 +52,21 @@ z as (select q.*, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_fa
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, beyond, not base_failed and len(beyond) = 0 as kept from z"""
 
 
-ORACLES = {"op3_quality_rules": rules_sql()}
+def join_sql(k: int = 3, percent: int = 90) -> str:
+    """ngram_join.join, by joining all classes on each shingle."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    gram = " || ' ' || ".join(f"w[i + {j}]" for j in range(k))
+    return f"""with recursive w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{upper}', '{lower}'), '{_SPACE}'), lambda x: x <> '') as w from documents),
+s as (select doc_id, case when len(w) = 0 then [] when len(w) < {k} then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - {k - 2}), lambda i: {gram})) end as s from w),
+n as (select doc_id, s, len(s) as n, case when len(s) > 0 then md5(array_to_string(list_sort(s), chr(10))) end as sig from s),
+c as (select doc_id, s, n, case when sig is null then doc_id else min(doc_id) over (partition by sig) end as class_id from n),
+g as (select doc_id, n, unnest(s) as g from c where doc_id = class_id),
+p as (select a.doc_id as a, b.doc_id as b from g a join g b on a.g = b.g and a.doc_id < b.doc_id group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
+l as (select a, b from p union all select b, a from p),
+t as (select a, b from l union select t.a, l.b from t join l on t.b = l.a),
+m as (select a, least(a, min(b)) as component from t group by a),
+d as (select a, count(*) as links from l group by a)
+select doc_id, n as n_shingles, coalesce(component, class_id) as component_id, coalesce(links, 0) as links, class_id from c left join m on class_id = m.a left join d on class_id = d.a"""
+
+
+ORACLES = {"op3_quality_rules": rules_sql(), "op9_ngram_join": join_sql()}
