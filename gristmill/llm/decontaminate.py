@@ -10,8 +10,11 @@ its coverage, so a test whose sentences were put in another order still counts.
 If the benchmark has up to ``BROADCAST_WORDS`` words (counted first), its seeds and words are broadcast and one pass over
 the documents finds and tiles; else seeds are joined by shuffle, and only documents with a shared seed are tiled.
 
-Nulls and texts without words match nothing. Repeated rows of documents give repeated results; a test listed twice gives
-a row for each of its ids. Empty tables: no rows. Extra columns are ignored.
+Nulls and texts without words match nothing. Rows without a doc_id are tiled as others and reported with a null one.
+Repeated rows of documents (doc_id and text) give one result, and ``clean`` judges each row by its text; a test listed
+under two ids gives a row for each, an id with several texts counts by the one that is covered most; tests without an id
+are left out. Ties between matches go to the earlier words. Empty tables: no rows. Extra columns are ignored. Very long
+texts are tiled whole.
 """
 
 from __future__ import annotations
@@ -21,14 +24,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import by_document, chunks, durable, join_small, mix, shingles
 
 LEAST_TILE, THRESHOLD, FIRST_LENGTH = 3, 0.5, 20
 BROADCAST_WORDS = 4_000_000
-RESULT = "doc_id long, item_id long, coverage double, n_tiles long, tiles array<struct<item_word:int, doc_word:int, words:int>>"
+RESULT = "key long, doc_id long, item_id long, coverage double, n_tiles long, tiles array<struct<item_word:int, doc_word:int, words:int>>"
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -148,9 +152,10 @@ class Benchmark:
 
 
 def _batch(found: list[tuple]) -> pa.RecordBatch:
+    """Rows of RESULT from (key, doc_id, item_id, coverage, tiles)."""
     kind = pa.list_(pa.struct([("item_word", pa.int32()), ("doc_word", pa.int32()), ("words", pa.int32())]))
-    tiles = [[{"item_word": p, "doc_word": t, "words": k} for p, t, k in x[3]] for x in found]
-    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.float64()), pa.array([len(x[3]) for x in found], pa.int64()), pa.array(tiles, kind)], names=["doc_id", "item_id", "coverage", "n_tiles", "tiles"])
+    tiles = [[{"item_word": p, "doc_word": t, "words": k} for p, t, k in x[4]] for x in found]
+    return pa.RecordBatch.from_arrays([*(pa.array([x[i] for x in found], pa.int64()) for i in range(3)), pa.array([x[3] for x in found], pa.float64()), pa.array([len(x[4]) for x in found], pa.int64()), pa.array(tiles, kind)], names=["key", "doc_id", "item_id", "coverage", "n_tiles", "tiles"])
 
 
 def covers(words: list[np.ndarray], text: np.ndarray, least: int) -> tuple[float, list]:
@@ -159,30 +164,34 @@ def covers(words: list[np.ndarray], text: np.ndarray, least: int) -> tuple[float
     return max(each, key=lambda x: x[0])
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, least: int = LEAST_TILE, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
-    """A row for each document and test with coverage of ``threshold`` or more: coverage, and the tiles in words."""
-    spark = docs.sparkSession
+def _key() -> Column:
+    """Names a row by doc_id and text; rows of one key are all tiled each by itself."""
+    return F.xxhash64("doc_id", "text").alias("key")
+
+
+def _benchmark(benchmark: DataFrame, threshold: float, least: int, broadcast_words: int) -> tuple[DataFrame, Broadcast | None]:
+    """The tests, and what a task needs of them if they are few (measured first)."""
     bench = durable(benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text"))
     size = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // 2
-    if size <= broadcast_words:
-        rows = bench.orderBy("item_id", "text").collect()  # bounded just above
-        shared = spark.sparkContext.broadcast(Benchmark([r["item_id"] for r in rows], pa.array([r["text"] for r in rows], pa.string()), threshold, least))
+    if size > broadcast_words:
+        return bench, None
+    rows = bench.orderBy("item_id", "text").collect()  # bounded just above
+    return bench, bench.sparkSession.sparkContext.broadcast(Benchmark([r["item_id"] for r in rows], pa.array([r["text"] for r in rows], pa.string()), threshold, least))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            b = shared.value
-            for batch in batches:
-                ids, found = batch.column("doc_id").to_pylist(), []
-                for c in chunks(batch.column("text")):
-                    doc, _, _, h = c.words()
-                    for d, item in sorted(b.meet(doc, h, len(c.rows))):
-                        x, y = np.searchsorted(doc, [d, d + 1])
-                        coverage, tiles = covers(b.words[item], h[x:y], least)
-                        if coverage >= threshold:
-                            found.append((ids[c.rows[d]], item, coverage, tiles))
-                yield _batch(found)
 
-        return docs.select("doc_id", "text").mapInArrow(run, RESULT)
+def _found(b: Benchmark, texts: pa.Array, threshold: float, least: int) -> Iterator[tuple[int, int, float, list]]:
+    """(row, item, coverage, tiles) of the leaks among some texts."""
+    for c in chunks(texts):
+        doc, _, _, h = c.words()
+        for d, item in sorted(b.meet(doc, h, len(c.rows))):
+            x, y = np.searchsorted(doc, [d, d + 1])
+            coverage, tiles = covers(b.words[item], h[x:y], least)
+            if coverage >= threshold:
+                yield int(c.rows[d]), item, coverage, tiles
 
+
+def _joined(docs: DataFrame, bench: DataFrame, threshold: float, least: int) -> DataFrame:
+    """RESULT by a shuffled join of seeds, for a benchmark that can't be broadcast; ``docs`` has key, doc_id and text."""
     lengths = sorted(x[0] for x in bench.select(F.least(F.lit(max(1, least)), F.size(F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")))).distinct().collect() if x[0])
 
     def seeds(name: str, pick: bool):
@@ -205,29 +214,55 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, l
 
         return run
 
-    item_seeds = bench.mapInArrow(seeds("item_id", True), "seed long, item_id long, needed long").groupBy("seed", "item_id").agg(F.count("*").alias("times"), F.min("needed").alias("needed"))
-    doc_seeds = docs.select("doc_id", "text").mapInArrow(seeds("doc_id", False), "seed long, doc_id long, needed long").drop("needed")
-    meet = doc_seeds.join(item_seeds, "seed").groupBy("doc_id", "item_id").agg(F.sum("times").alias("n"), F.min("needed").alias("needed"))
-    meet = durable(meet.where("n >= needed").select("doc_id", "item_id"))
-    texts = join_small(docs.select("doc_id", "text"), meet, "doc_id").join(bench.withColumnRenamed("text", "item"), "item_id").select("doc_id", "item_id", "text", "item")
+    # Durable, so that neither side of the join comes from an aggregation's exchange: a hot seed's rows can be split.
+    item_seeds = durable(bench.mapInArrow(seeds("item_id", True), "seed long, item_id long, needed long").groupBy("seed", "item_id").agg(F.count("*").alias("times"), F.min("needed").alias("needed")))
+    doc_seeds = docs.select("key", "text").mapInArrow(seeds("key", False), "seed long, key long, needed long").select("seed", "key")  # a repeated row counts double, which only asks for more tiling
+    meet = doc_seeds.join(item_seeds.hint("merge"), "seed").groupBy("key", "item_id").agg(F.sum("times").alias("n"), F.min("needed").alias("needed"))
+    meet = durable(meet.where("n >= needed").select("key", "item_id"))
+    texts = join_small(docs, meet, "key").join(bench.withColumnRenamed("text", "item"), "item_id").select("key", "doc_id", "item_id", "text", "item")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for i in range(batch.num_rows):
                 w = [next(iter(chunks(batch.column(n).slice(i, 1)))).words()[3] for n in ("item", "text")]
-                coverage, tiles = covers([w[0]], w[1], least)
+                coverage, tiles = covers([w[0]], w[1], least) if len(w[0]) else (0.0, [])
                 if coverage >= threshold:
-                    found.append((batch.column("doc_id")[i].as_py(), batch.column("item_id")[i].as_py(), coverage, tiles))
+                    found.append((*(batch.column(n)[i].as_py() for n in ("key", "doc_id", "item_id")), coverage, tiles))
             yield _batch(found)
 
     return texts.mapInArrow(each, RESULT)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without those that leak a test; one pass finds them, and their ids are taken away."""
-    gone = durable(leaks(docs, benchmark).select("doc_id").distinct())
-    return join_small(docs, gone, "doc_id", "left_anti")
+def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, least: int = LEAST_TILE, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+    """A row for each document and test with coverage of ``threshold`` or more: coverage, and the tiles in words."""
+    bench, shared = _benchmark(benchmark, threshold, least, broadcast_words)
+    rows = docs.select(_key(), F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, ids = batch.column("key"), batch.column("doc_id")
+            yield _batch([(keys[i].as_py(), ids[i].as_py(), *x) for i, *x in _found(shared.value, batch.column("text"), threshold, least)])
+
+    found = _joined(rows, bench, threshold, least) if shared is None else rows.mapInArrow(run, RESULT)
+    best = found.groupBy("key", "doc_id", "item_id").agg(F.max(F.struct("coverage", "n_tiles", "tiles")).alias("best"))
+    return best.select("doc_id", "item_id", "best.*")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, least: int = LEAST_TILE, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+    """``docs`` without rows that leak a test: found and left out in one pass if the benchmark is broadcast."""
+    bench, shared = _benchmark(benchmark, threshold, least, broadcast_words)
+    if shared is None:
+        gone = durable(_joined(docs.select(_key(), F.col("doc_id").cast("long").alias("doc_id"), "text"), bench, threshold, least).select(F.col("key").alias("_key")).distinct())
+        return join_small(docs.withColumn("_key", _key()), gone, "_key", "left_anti").drop("_key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            keep[[i for i, *_ in _found(shared.value, batch.column("text"), threshold, least)]] = False
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

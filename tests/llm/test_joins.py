@@ -204,6 +204,33 @@ def test_reordered_passages_are_covered(order, n):
     assert sum(k for *_, k in dc.tile(np.array(test, np.uint64), np.array(text, np.uint64), 3)) == len(test)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.permutations(range(24)), st.lists(st.integers(1, 7), min_size=1, max_size=8))
+def test_tiles_of_texts_without_repeats(order, cuts):
+    """Each word once: the tiles are the common runs, whichever way they are found."""
+    test, text, at = list(range(24)), [], 0
+    for n, c in zip(cuts, order):
+        text += [*range(c, min(24, c + n)), 100 + c]
+    text = list(dict.fromkeys(text))
+    assert sorted(k for *_, k in dc.tile(np.array(test, np.uint64), np.array(text, np.uint64), 3)) == sorted(brute_tiles(test, text, 3))
+
+
+def test_leaks_are_those_of_all_pairs(spark, docs, sf_dir):
+    """Every document tiled with every test, without seeds."""
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    number = {}
+    code = lambda t: np.array([number.setdefault(w, len(number)) for w in words(t)], np.uint64)
+    tests = [(r.item_id, code(r.text)) for r in bench.collect()]
+    want = {}
+    for r in docs.collect():
+        w = code(r.text)
+        for item, x in tests:
+            if len(x) and (share := sum(k for *_, k in dc.tile(x, w, 3)) / len(x)) >= 0.3:
+                want[r.doc_id, item] = round(share, 6)
+    got = {(r.doc_id, r.item_id): round(r.coverage, 6) for r in dc.leaks(docs, bench, 0.3).collect()}
+    assert got == want and want
+
+
 def test_leaks(spark, make):
     test = "alpha beta gamma delta epsilon. zeta eta theta iota kappa lambda. mu nu xi omikron pi rho"
     moved = "mu nu xi omikron pi rho filler words here zeta eta theta iota kappa lambda. and alpha beta gamma delta epsilon."
@@ -212,6 +239,12 @@ def test_leaks(spark, make):
     for limit in (dc.BROADCAST_WORDS, 0):
         got = {(r.doc_id, r.item_id): round(r.coverage, 3) for r in dc.leaks(d, bench, broadcast_words=limit).collect()}
         assert got == {(1, 1): 1.0, (2, 1): 1.0, (6, 2): 1.0}
+    odd = make([(1, test), (1, test), (1, "clean"), (None, moved), (None, "clean"), (2, "two words")], extra=True)
+    twice = bench.unionByName(spark.createDataFrame([(1, "alpha beta gamma unlike the rest of it all here"), (9, test)], "item_id long, text string"))
+    for limit in (dc.BROADCAST_WORDS, 0):
+        got = sorted(((r.doc_id, r.item_id, r.coverage) for r in dc.leaks(odd, twice, broadcast_words=limit).collect()), key=str)
+        assert got == sorted([(1, 1, 1.0), (1, 9, 1.0), (None, 1, 1.0), (None, 9, 1.0), (2, 2, 1.0)], key=str)
+        assert sorted((str(r.doc_id), r.text) for r in dc.clean(odd, twice, broadcast_words=limit).collect()) == [("1", "clean"), ("None", "clean")]
     assert {r.doc_id for r in dc.clean(d, bench).collect()} == {3, 4, 5, 7} and dc.clean(d, bench).columns == d.columns
     assert dc.leaks(d, bench.where("false")).count() == 0 and dc.leaks(d.where("false"), bench).count() == 0
 

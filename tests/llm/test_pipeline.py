@@ -22,12 +22,13 @@ def plain(sf_dir):
     comp = brute_components(rows, 5, 80)
     rows = [r for r in rows if comp[r[0]][1] == r[0]]
     tests = [words(t) for _, t in con.sql("select item_id, text from benchmark").fetchall()]
-    seeds = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in tests]
+    runs = lambda w, k: {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
     clean = []
     for d, t in rows:
         w = words(t)
-        own = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
-        if not any(own & s and 2 * sum(brute_tiles(x, w, 3)) >= len(x) for x, s in zip(tests, seeds)):
+        own = {k: runs(w, k) for k in (1, 2, 3)}
+        # without a run as long as the least tile there is no tile at all
+        if not any(own[min(3, len(x))] & runs(x, min(3, len(x))) and 2 * sum(brute_tiles(x, w, 3)) >= len(x) for x in tests if x):
             clean.append((d, t))
     out = {}
     for d, t in clean:
