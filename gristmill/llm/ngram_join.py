@@ -42,7 +42,7 @@ from gristmill.llm.common import by_document, chunks, durable, is_small, join_sm
 from gristmill.llm.components import components, forest
 
 #: Classes that are searched against each other at once, and shingles that small clusters in one task have together.
-BLOCK, TASK_SHINGLES = 512, 1_000_000
+BLOCK, TASK_SHINGLES = 512, 500_000
 #: A large cluster is searched list by list if that meets so many times fewer pairs.
 SPARSE = 4
 SET = "row long, doc_id long, n_shingles long, sig binary, head array<long>"
