@@ -57,8 +57,13 @@ _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]++)-----")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 
-@lru_cache(10_000)
 def name_score(name: str) -> float:
+    """How sensitive a name is; scores of names of usual length are remembered."""
+    return _name_score(name) if len(name) < 200 else _name_score.__wrapped__(name)
+
+
+@lru_cache(10_000)
+def _name_score(name: str) -> float:
     parts = [p.lower() for p in _PARTS.findall(name)]
     if "api" in parts and "key" in parts:
         return 1.0
