@@ -209,19 +209,38 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Overlapping or touching spans of a document that have the same first document become one."""
+    """One row for each document of rows in order of document, first document and begin: overlapping or touching spans with one first document become one."""
+    kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("first_doc_id", pa.int64())]))
+
+    def rows(t: pa.Table) -> pa.RecordBatch:
+        doc, first, begin, end = (t[n].to_numpy().astype(np.int64) for n in ("doc_id", "first_doc_id", "begin", "end"))
+        group = np.cumsum(np.concatenate([[True], (doc[1:] != doc[:-1]) | (first[1:] != first[:-1])])) - 1
+        shift = group << 32
+        upto = np.maximum.accumulate(end + shift) - shift  # the furthest end so far in the group
+        new = np.concatenate([[True], (group[1:] != group[:-1]) | (begin[1:] > upto[:-1])])
+        at = np.flatnonzero(new)
+        doc, first, begin, end = doc[at], first[at], begin[at], np.maximum.reduceat(end, at)
+        o = np.lexsort((first, end, begin, doc))
+        doc, first, begin, end = doc[o], first[o], begin[o], end[o]
+        cut = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1], [True]]))
+        each = pa.StructArray.from_arrays([pa.array(begin, pa.int32()), pa.array(end, pa.int32()), pa.array(first)], names=["begin", "end", "first_doc_id"])
+        return pa.RecordBatch.from_arrays([pa.array(doc[cut[:-1]]), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), each).cast(kind)], names=["doc_id", "spans"])
+
+    held: list[pa.RecordBatch] = []  # of the last document so far
     for b in batches:
-        result = []
-        for spans in b.column("spans").to_pylist():
-            merged: list[list[int]] = []
-            for s in sorted(spans, key=lambda x: (x["first_doc_id"], x["begin"], x["end"])):
-                if merged and s["first_doc_id"] == merged[-1][2] and s["begin"] <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], s["end"])
-                else:
-                    merged.append([s["begin"], s["end"], s["first_doc_id"]])
-            result.append([{"begin": x, "end": y, "first_doc_id": f} for x, y, f in sorted(merged)])
-        kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("first_doc_id", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(result, kind)], names=["doc_id", "spans"])
+        if not b.num_rows:
+            continue
+        doc = b.column("doc_id").to_numpy()
+        cut = int(np.searchsorted(doc, doc[-1]))
+        if cut == 0 and held and held[-1].column("doc_id")[0].as_py() == doc[0]:
+            held.append(b)
+            continue
+        done = [*held, b.slice(0, cut)] if cut else held
+        if done:
+            yield rows(pa.Table.from_batches(done))
+        held = [b.slice(cut)]
+    if held:
+        yield rows(pa.Table.from_batches(held))
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -241,7 +260,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     by = ("seed", "doc_id", "begin")
     got = durable(rows.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(_settled, f"{SPANS}, windows array<long>"))
     # Open are seeds at borders: two for each partition, and all rows of a seed that fills several.
-    spans = _all_spans(got).groupBy("doc_id").agg(F.collect_set(F.struct("begin", "end", "first_doc_id")).alias("spans")).mapInArrow(_joined, "doc_id long, spans array<struct<begin:int, end:int, first_doc_id:long>>")
+    spans = _all_spans(got).repartition("doc_id").sortWithinPartitions("doc_id", "first_doc_id", "begin", "end").mapInArrow(_joined, "doc_id long, spans array<struct<begin:int, end:int, first_doc_id:long>>")
     of = texts.select("doc_id", "n_words", "sig").distinct().join(classes, "sig").join(spans.withColumnRenamed("doc_id", "class_id"), "class_id", "left").where("copies > 1 or spans is not null")
     whole = F.array(F.struct(F.lit(0).alias("begin"), F.col("n_words").alias("end"), F.col("class_id").alias("first_doc_id")))
     # Beside the whole text, passages that another class has first; those that its own class has first lie within it.
