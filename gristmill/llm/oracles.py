@@ -1,5 +1,6 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from gristmill.llm.fill_in_middle import MARKS, RATE, SEED, SPM
 from gristmill.llm.quality_rules import MIN_GROUP, SLACK, SPREAD
 
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -69,4 +70,18 @@ d as (select a, count(*) as links from l group by a)
 select doc_id, n as n_shingles, coalesce(component, class_id) as component_id, coalesce(links, 0) as links, class_id from c left join m on class_id = m.a left join d on class_id = d.a"""
 
 
-ORACLES = {"op3_quality_rules": rules_sql(), "op9_ngram_join": join_sql()}
+def fim_sql(seed: int = SEED, rate: int = RATE, spm: int = SPM, marks: tuple[str, str, str] = MARKS) -> str:
+    """fill_in_middle.query, from lists of lines."""
+    p, s, m = marks
+    h = ", ".join(f"('0x' || substr(h, {8 * i + 1}, 8))::bigint as h{i + 1}" for i in range(4))
+    part = lambda of: f"array_to_string({of}, '')"
+    return f"""with d as (select doc_id, coalesce(text, '') as t, sha256('{seed}:' || coalesce(doc_id::varchar, '')) as h from documents),
+u as (select doc_id, t, {h}, case when t = '' then [] else regexp_extract_all(t, '[^\n]*\n|[^\n]+') end as u from d),
+c as (select *, len(u) as n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) as a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) as b,
+        case when t = '' or {" or ".join(f"contains(t, '{x}')" for x in marks)} or h3 % 100 >= {rate} then 'plain' when h4 % 100 < {spm} then 'spm' else 'psm' end as form from u),
+x as (select doc_id, t, n, form, {part("u[:a]")} as p, {part("u[a + 1:b]")} as m, {part("u[b + 1:]")} as s from c)
+select doc_id, n, form, case when form <> 'plain' then length(p) end as prefix_chars, case when form <> 'plain' then length(m) end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '{p}' || p || '{s}' || s || '{m}' || m else '{s}' || s || '{p}' || p || '{m}' || m end) as output_sha256, sha256(t) as restored_sha256 from x"""
+
+
+ORACLES = {"op11_fill_in_middle": fim_sql(), "op3_quality_rules": rules_sql(), "op9_ngram_join": join_sql()}
