@@ -2,9 +2,9 @@
 
 1. Identical texts are one entry of the index. Rows meet by the SHA-256 of their text, and an entry's texts are compared
    with each other: two different ones under one digest end the job, so no entry ever stands for two contents.
-2. An entry's line ends are found once and kept as an Elias-Fano list (the low bits of each end packed, the high bits in
-   unary), about ``2 + log2(mean line length)`` bits a line.
-3. Documents are joined back as (digest, members). Each member's two seeded cuts are selected from the entry's list; the
+2. Documents are joined back to their entry as (digest, members), one row for each entry.
+3. An entry's line ends are found once and kept as an Elias-Fano list (the low bits of each end packed, the high bits in
+   unary), about ``2 + log2(mean line length)`` bits a line. Each member's two seeded cuts are selected from this list; the
    pieces and the output are then made by built-in functions.
 
 A text goes through one shuffle, and only once from each task that has it, however many copies there are. A text with
@@ -105,11 +105,11 @@ def draws(doc_id: Column, seed: int) -> Column:
 
 
 def text_index(docs: DataFrame, heavy: DataFrame, key=digest) -> DataFrame:
-    """(key, part, text, lines): each distinct text once in each of its parts, with the list of its line ends."""
+    """(key, part, text): each distinct text once in each of its parts."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("key", key(F.col("text")))
     rows = join_small(rows, heavy, "key", "left").select("key", part_of().alias("part"), "text")
     same = F.when(F.size("texts") == 1, F.get("texts", F.lit(0))).otherwise(F.raise_error(F.lit("different texts have the same digest")).cast("string"))
-    return rows.groupBy("key", "part").agg(F.collect_set("text").alias("texts")).select("key", "part", same.alias("text")).select("key", "part", "text", boundaries("text").alias("lines"))
+    return rows.groupBy("key", "part").agg(F.collect_set("text").alias("texts")).select("key", "part", same.alias("text"))
 
 
 def part_of() -> Column:
@@ -123,7 +123,9 @@ def transform(docs: DataFrame, seed: int = SEED, rate: int = RATE, spm: int = SP
     heavy = durable(own.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > group).select("key", F.ceil(F.col("n") / group).alias("parts")))
     members = join_small(own, heavy, "key", "left").select("key", part_of().alias("part"), F.struct("doc_id", "copies", draws(F.col("doc_id"), seed).alias("h")).alias("member"))
     members = members.groupBy("key", "part").agg(F.collect_list("member").alias("members"))  # about ``group`` at most
-    x = members.join(text_index(docs, heavy, key), ["key", "part"])
+    # One row for each entry meets one of members. The lists come after this join, as Spark forgets a partitioning at Python
+    # functions and would move the texts again.
+    x = members.join(text_index(docs, heavy, key), ["key", "part"]).withColumn("lines", boundaries("text"))
 
     n = F.col("lines")["n"]
     lines = lambda pick: F.transform("members", lambda m: pick(F.pmod(m["h"][0], n + 1), F.pmod(m["h"][1], n + 1)))
