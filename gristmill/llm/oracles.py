@@ -2,6 +2,7 @@
 
 from gristmill.llm.fill_in_middle import MARKS, RATE, SEED, SPM
 from gristmill.llm.quality_rules import MIN_GROUP, SLACK, SPREAD
+from gristmill.llm.spelling import DROP_EVERY, MIN_CHARS, MIN_COUNT, RATIO
 
 _SPACE = r"[\x20\x09-\x0D]+"
 
@@ -84,4 +85,30 @@ select doc_id, n, form, case when form <> 'plain' then length(p) end as prefix_c
   sha256(case form when 'plain' then t when 'psm' then '{p}' || p || '{s}' || s || '{m}' || m else '{s}' || s || '{p}' || p || '{m}' || m end) as output_sha256, sha256(t) as restored_sha256 from x"""
 
 
-ORACLES = {"op11_fill_in_middle": fim_sql(), "op3_quality_rules": rules_sql(), "op9_ngram_join": join_sql()}
+def crc32_sql(text: str) -> str:
+    """CRC-32 of a string's UTF-8 bytes, byte by byte with the table ``t`` of 256 values, a column."""
+    data = f"list_transform(range(1, octet_length(encode({text})) + 1), lambda i: ('0x' || substr(hex(encode({text})), 2 * i - 1, 2))::bigint)"
+    return f"xor(list_reduce({data}, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::bigint), 4294967295)"
+
+
+def spelling_sql(drop_every: int = DROP_EVERY, min_chars: int = MIN_CHARS, min_count: int = MIN_COUNT, ratio: int = RATIO) -> str:
+    """spelling.query, with words meeting by what is left of them without one code point."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    step = "case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end"
+    return f"""with recursive crc_bits as (select i as i, i::bigint as c, 0 as k from range(256) x(i) union all select i, {step}, k + 1 from crc_bits where k < 8),
+crc_table as materialized (select list(c order by i) as t from crc_bits where k = 8),
+r as (select doc_id, unnest(regexp_extract_all(translate(text, '{upper}', '{lower}'), '[a-zÀ-ÿ]+')) as w from documents),
+g as (select doc_id, w, count(*) as n from r group by doc_id, w),
+h as (select w, n, {crc32_sql("coalesce(doc_id::varchar, '') || ':' || w")} as h from g, crc_table),
+d as (select case when h % {drop_every} = 0 then left(w, (h % length(w))::int) || substr(w, (h % length(w))::int + 2) else w end as w, n from h),
+v as materialized (select w, sum(n)::bigint as n from d where length(w) >= {min_chars} group by w having sum(n) >= {min_count}),
+x as materialized (select w, i, left(w, i) || substr(w, i + 2) as s from (select w, unnest(range(length(w))) as i from v)),
+p as (select a.w as a, b.w as b from x a join x b on a.s = b.s and a.i = b.i and a.w <> b.w union select w, s from x where s in (select w from v) union select s, w from x where s in (select w from v)),
+b as (select a, count(*) as n_near, first(b order by n desc, b) as f, max(n) as form_n from p join v on b = v.w group by a),
+f as materialized (select v.w, v.n, coalesce(n_near, 0) as n_near, case when form_n >= {ratio} * v.n then f end as form, case when form_n >= {ratio} * v.n then form_n end as form_n from v left join b on v.w = a),
+t as (select w, form as r from f where form is not null union all select t.w, f.form from t join f on t.r = f.w where f.form is not null),
+z as (select t.w, t.r from t join f on t.r = f.w where f.form is null)
+select f.w as word, form, coalesce(z.r, f.w) as root, n, n_near, form_n from f left join z on f.w = z.w"""
+
+
+ORACLES = {"op11_fill_in_middle": fim_sql(), "op12_spelling_variants": spelling_sql(), "op3_quality_rules": rules_sql(), "op9_ngram_join": join_sql()}
