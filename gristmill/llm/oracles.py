@@ -111,4 +111,15 @@ z as (select t.w, t.r from t join f on t.r = f.w where f.form is null)
 select f.w as word, form, coalesce(z.r, f.w) as root, n, n_near, form_n from f left join z on f.w = z.w"""
 
 
-ORACLES = {"op11_fill_in_middle": fim_sql(), "op12_spelling_variants": spelling_sql(), "op3_quality_rules": rules_sql(), "op9_ngram_join": join_sql()}
+def warc_sql(least_bytes: int = 0) -> str:
+    """warc.query; base32 takes five bits of the digest at a time, four from each five hex digits."""
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    digit = f"substr('{alphabet}', ((('0x' || substr(h, 5 * (i // 4) + 1, 5))::bigint >> (15 - 5 * (i % 4))::int) & 31)::int + 1, 1)"
+    return f"""with p as (select page_id, coalesce(html, '') as t, sha1(coalesce(html, '')) as h from pages),
+f as (select t, min(page_id) as first from p where octet_length(encode(t)) >= {least_bytes} group by t),
+x as (select p.*, case when first <> page_id or page_id is null then first end as refers_to from p left join f on p.t = f.t)
+select page_id, octet_length(encode(t))::bigint as payload_bytes, array_to_string(list_transform(range(32), lambda i: {digit}), '') as payload_digest,
+  case when refers_to is null then 'response' else 'revisit' end as record_type, refers_to from x"""
+
+
+ORACLES = {"op11_fill_in_middle": fim_sql(), "op12_spelling_variants": spelling_sql(), "op13_warc": warc_sql(), "op3_quality_rules": rules_sql(), "op9_ngram_join": join_sql()}

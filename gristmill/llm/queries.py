@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.llm import decontaminate, fill_in_middle, ngram_join, packing, quality_classifier, quality_rules, secret_scan, sentencepieces, sharding, spelling, suffix_dedup, toxicity
+from gristmill.llm import decontaminate, fill_in_middle, ngram_join, packing, quality_classifier, quality_rules, secret_scan, sentencepieces, sharding, spelling, suffix_dedup, toxicity, warc
 from gristmill.llm.common import table
 from gristmill.llm.oracles import ORACLES  # noqa: F401
 
@@ -57,4 +57,8 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.query(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_toxicity, op3_quality_rules, op4_packing, op5_suffix_dedup, op6_sharding, op7_secret_scan, op8_sentencepieces, op9_ngram_join, op10_decontaminate, op11_fill_in_middle, op12_spelling_variants)}
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.query(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_toxicity, op3_quality_rules, op4_packing, op5_suffix_dedup, op6_sharding, op7_secret_scan, op8_sentencepieces, op9_ngram_join, op10_decontaminate, op11_fill_in_middle, op12_spelling_variants, op13_warc)}
