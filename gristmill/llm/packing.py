@@ -19,6 +19,7 @@ lost or repeated either way.
 from __future__ import annotations
 
 import base64
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -34,6 +35,9 @@ from pyspark.sql import functions as F
 DEFAULT_RANKS, END, ROW_LEN = "/opt/tokenizers/byte_bpe_50k.tiktoken", 50256, 2048
 #: Word pattern that belongs to the rank file (a fixed value of that public vocabulary).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: A long run of white space (what ``\s`` is in that pattern). The pattern takes all of it but the last character, or all at
+#: the end of a text, as one word; a run of a million would be beyond the regular expression's stack.
+LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
 #: Ids that are packed together: a block's bound on memory.
 BLOCK_IDS = 4_000_000
 RESULT = "task long, row long, n_ids int, cu_seqlens array<int>, segments array<struct<doc_id:long, copy:long, begin:long, length:int>>, ids binary, positions binary"
@@ -50,6 +54,16 @@ def encoder(table: dict[bytes, int], pattern: str = PATTERN):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
 
+def encode_whole(code, one_word, text: str) -> np.ndarray:
+    """The ids of a text of any length; long runs of white space are given to ``one_word``, an encoder without a word pattern."""
+    parts, at = [], 0
+    for m in LONG_SPACE.finditer(text):
+        end = m.end() - (m.end() < len(text))
+        parts += [code.encode_to_numpy(text[at : m.start()]), one_word.encode_to_numpy(text[m.start() : end])] if m.start() > at else [one_word.encode_to_numpy(text[m.start() : end])]
+        at = end
+    return np.concatenate([*parts, code.encode_to_numpy(text[at:])] if at < len(text) else parts or [np.zeros(0, np.uint32)])
+
+
 class RoomTree:
     """How many open rows have each room, and the least room of at least some size."""
 
@@ -128,14 +142,14 @@ def pack(docs: DataFrame, row_len: int = ROW_LEN, ranks: str = DEFAULT_RANKS, en
         return pa.RecordBatch.from_arrays([pa.array([task] * len(rows), pa.int64()), pa.array(np.arange(base, base + len(rows)), pa.int64()), pa.array(used, pa.int32()), pa.array(cu, pa.list_(pa.int32())), pa.array(segments, pa.list_(segment)), pa.array(matrix, pa.binary()), pa.array(positions, pa.binary())], names=["task", "row", "n_ids", "cu_seqlens", "segments", "ids", "positions"]), base + len(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, task, base, held, waiting = encoder(table.value), TaskContext.get().partitionId(), 0, 0, []
+        code, one_word, task, base, held, waiting = encoder(table.value), encoder(table.value, r"[\s\S]+"), TaskContext.get().partitionId(), 0, 0, []
         seen = 0
         for b in batches:
             for d, t in zip(b.column("doc_id").to_pylist(), b.column("text")):
                 seen += 1
                 if not t.is_valid:
                     continue
-                ids = np.append(code.encode_to_numpy(t.as_py()).astype(kind) if len(t.as_py()) else np.zeros(0, kind), kind.type(end))
+                ids = np.append(encode_whole(code, one_word, t.as_py()).astype(kind), kind.type(end))
                 waiting.append((d, (task << 40) + seen, ids))
                 held += len(ids)
                 if held >= block_ids:

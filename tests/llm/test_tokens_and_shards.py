@@ -30,6 +30,19 @@ def test_best_fit_decreasing(sizes):
     assert len(rows) == len(rooms)
 
 
+def test_long_white_space_is_taken_whole(spark, make):
+    """Runs of 20,000 as the library takes them; of 10 MB, which are beyond its regular expression, by their round trip."""
+    from gristmill.llm import packing as pk
+
+    table = pk.rank_table()
+    code, one_word = pk.encoder(table), pk.encoder(table, r"[\s\S]+")
+    for run in (" " * 20_000, "\n" * 20_000, " \n\t" * 7_000, "\u3000\u2028\xa0" * 7_000):
+        for text in (run, f"a{run}", f"{run}b", f"it's{run}b 's{run}{run} c\n", f"{run}\x1f{run}x", f"x {run}", f"'{run}1{run}!"):
+            assert pk.encode_whole(code, one_word, text).tolist() == code.encode(text), text[:10]
+    big = [(1, " " * 10_000_000 + "x"), (2, "\n" * 10_000_000), (3, "a" * 1_000_000), (4, "a" + " \n" * 3_000_000)]
+    assert sorted(tuple(r) for r in pk.unpack(pk.pack(make(big))).collect()) == big
+
+
 def test_packing_is_lossless(docs, odd):
     for d in (docs, odd):
         for row_len, block in ((2048, pk.BLOCK_IDS), (64, 500)):
