@@ -41,13 +41,21 @@ def durable(df: DataFrame) -> DataFrame:
 
 def row_bytes(df: DataFrame) -> Column:
     """About what a row takes in memory: 8 bytes for the row and each column, and what strings and lists hold."""
-    total = F.lit(8 + 8 * len(df.columns)).cast("long")
-    for f in df.schema.fields:
-        if f.dataType.typeName() in ("string", "binary"):
-            total += F.coalesce(F.octet_length(f.name), F.lit(0))
-        elif f.dataType.typeName() == "array":
-            total += 8 * len(getattr(f.dataType.elementType, "fields", "1")) * F.greatest(F.size(f.name), F.lit(0))
-    return total
+
+
+    def held(name: str, kind) -> Column:
+        if kind.typeName() in ("string", "binary"):
+            return 8 + F.coalesce(F.octet_length(name), F.lit(0))
+        if kind.typeName() == "array":
+            return 8 + 8 * len(getattr(kind.elementType, "fields", "1")) * F.greatest(F.size(name), F.lit(0))
+        return sum((held(f"{name}.`{f.name}`", f.dataType) for f in kind.fields), F.lit(8)) if kind.typeName() == "struct" else F.lit(8)
+
+    return sum((held(f"`{f.name}`", f.dataType) for f in df.schema.fields), F.lit(8)).cast("long")
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """All columns as one, ``row``: what is put beside it clashes with no name that a table may have. ``row.*`` gives them back."""
+    return docs.select(F.struct("*").alias("row"))
 
 
 def is_small(df: DataFrame, most: int = BROADCAST_BYTES) -> bool:

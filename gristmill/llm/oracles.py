@@ -1,7 +1,7 @@
 """DuckDB SQL for the queries that SQL can express."""
 
 from gristmill.llm.fill_in_middle import MARKS, RATE, SEED, SPM
-from gristmill.llm.quality_rules import MIN_GROUP, SLACK, SPREAD
+from gristmill.llm.quality_rules import LOW, MIN_GROUP, SLACK, SPREAD
 from gristmill.llm.spelling import DROP_EVERY, MIN_CHARS, MIN_COUNT, RATIO
 
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -19,16 +19,18 @@ h as (select r, count(distinct j) as n_repeat_words from (select r, unnest([i, i
 m as (select d.r, doc_id, lang, source, len(w) as n_words, length(list_aggregate(list_prepend('', w), 'string_agg', '')) as word_chars,
         length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols,
         length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) as n_upper, length(text) - length(replace(text, '!', '')) as n_exclaim,
-        len(l) - len(list_distinct(l)) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words
+        len(l) as n_lines, len(l) - len(list_distinct(l)) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words
       from d left join h on d.r = h.r),
 q as (select *, 1000 * n_symbols // greatest(word_chars, 1) as m_symbols, 1000 * n_upper // greatest(word_chars, 1) as m_upper,
-        1000 * n_exclaim // greatest(word_chars, 1) as m_exclaim, 10 * word_chars // greatest(n_words, 1) as m_length from m),
+        1000 * n_exclaim // greatest(word_chars, 1) as m_exclaim, 10 * word_chars // greatest(n_words, 1) as m_length,
+        1000 * n_dup_lines // greatest(n_lines, 1) as m_dup_lines, 1000 * n_repeat_words // greatest(n_words, 1) as m_repeats from m),
 """
 
 
 def rules_sql() -> str:
     """quality_rules.query: the sketches' bins are whole numbers, so that SQL finds the same fences."""
-    slack = " ".join(f"when '{k}' then {v}" for k, v in SLACK.items())
+    slack, low = (" ".join(f"when '{k}' then {v}" for k, v in of.items()) for of in (SLACK, LOW))
+    q = lambda p: f"min(v) filter (where upto * 100 >= total * {p})"
 
     def level(name: str, keys: str) -> str:
         by = f"{keys}, " if keys else ""
@@ -36,22 +38,22 @@ def rules_sql() -> str:
 {name}_h as (select {by}measure, b, count(*) as n from x group by {by}measure, b),
 {name}_c as (select *, sum(n) over (partition by {by}measure order by b) as upto, sum(n) over (partition by {by}measure) as total,
         case when b < 64 then b else (b - (b // 32 - 1) * 32) << (b // 32 - 1)::int end as v from {name}_h),
-{name} as (select {by}measure, max(total) as total, min(v) filter (where upto * 100 >= total * 75)
-        + greatest(case measure {slack} end, {SPREAD} * (min(v) filter (where upto * 100 >= total * 75) - min(v) filter (where upto * 100 >= total * 25))) as fence
+{name} as (select {by}measure, max(total) as total, {{'high': {q(75)} + greatest(case measure {slack} end, {SPREAD} * ({q(75)} - {q(25)})),
+          'low': case when measure in ({", ".join(f"'{k}'" for k in LOW)}) then {q(25)} - greatest(case measure {low} end, {SPREAD} * ({q(75)} - {q(25)})) end}} as fence
       from {name}_c group by {by}measure),"""
 
     return f"""with {_BASE}
-v as (select lang, source, measure, v from (select lang, source, m_symbols, m_upper, m_exclaim, m_length from q where n_words >= 50)
-      unpivot (v for measure in (m_symbols, m_upper, m_exclaim, m_length))),
+v as (select lang, source, measure, v from (select lang, source, {", ".join(SLACK)} from q where n_words >= 50)
+      unpivot (v for measure in ({", ".join(SLACK)}))),
 x as (select lang, source, measure, case when v < 64 then v else (length(bin(v)) - 6) * 32 + (v >> (length(bin(v)) - 6)::int) end as b from v),
 {level("a", "lang, source")}{level("b", "lang")}{level("c", "")}
 f as (select a.lang, a.source, a.measure, coalesce(case when a.total >= {MIN_GROUP} then a.fence end, case when b.total >= {MIN_GROUP} then b.fence end, c.fence) as fence
       from a join b on a.lang is not distinct from b.lang and a.measure = b.measure join c on a.measure = c.measure),
-t as (select lang, source, {", ".join(f"max(fence) filter (where measure = '{k}') as f_{k}" for k in SLACK)} from f group by lang, source),
+t as (select lang, source, {", ".join(f"max(fence.high) filter (where measure = '{k}') as f_{k}" for k in SLACK)}, {", ".join(f"max(fence.low) filter (where measure = '{k}') as low_{k}" for k in LOW)} from f group by lang, source),
 z as (select q.*, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
-        list_filter([{", ".join(f"case when {k} > f_{k} then '{k}' end" for k in SLACK)}], lambda x: x is not null) as beyond
+        list_filter([{", ".join([f"case when {k} > f_{k} then '{k}' end" for k in SLACK] + [f"case when {k} < low_{k} then '{k}_low' end" for k in LOW])}], lambda x: x is not null) as beyond
       from q left join t on q.lang is not distinct from t.lang and q.source is not distinct from t.source)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, beyond, not base_failed and len(beyond) = 0 as kept from z"""
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and len(beyond) = 0 as kept, beyond from z"""
 
 
 def join_sql(k: int = 3, percent: int = 90) -> str:
