@@ -2,8 +2,9 @@
 
 Writing. Each task writes its pages into archives of about ``MAX_BYTES`` in a folder that all executors share. An archive
 begins with a skippable frame that holds the (compressed) dictionary; each record is a frame of its own with a checksum.
-The dictionary is trained on a bounded sample (``SAMPLE`` pages by least hash, ``SAMPLE_BYTES`` in all); a corpus too small
-to train on is written without one. Archives have random names and count only once the table of archives, which is
+The dictionary is trained on a bounded sample (the first ``SAMPLE`` pages that Spark comes to, of ``SAMPLE_BYTES`` / 200 at
+most each and ``SAMPLE_BYTES`` in all); a corpus too small to train on is written without one. What is read back doesn't
+depend on it. Archives have random names and count only once the table of archives, which is
 checkpointed, names them, so what a lost task left behind is never read.
 
 Equal payloads (length and SHA-256) are written once: the record with the smallest page_id is the response, the others
@@ -185,9 +186,9 @@ def frames(stream) -> Iterator[tuple[int, bytes | None, str | None]]:
 
 def trained(pages: DataFrame, size: int = DICT_BYTES) -> bytes:
     """A dictionary for the pages' records; empty if the sample is too small to train on."""
-    rows = pages.select("page_id", "html").where(F.octet_length("html").between(1, SAMPLE_BYTES // 200)).orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE)
+    rows = pages.select("page_id", "html").where(F.octet_length("html").between(1, SAMPLE_BYTES // 200)).limit(SAMPLE).collect()
     samples, total = [], 0
-    for r in rows.toLocalIterator():  # ``SAMPLE`` rows at most
+    for r in rows:  # 42 MB at most
         data = record_bytes(f"urn:page:{r.page_id}", "", r.html.encode())
         if total + len(data) > SAMPLE_BYTES:
             break
