@@ -28,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import by_document, chunks, durable, join_small, mix, shingles
+from gristmill.llm.common import by_document, chunks, durable, join_small, mix, packed, shingles
 
 LEAST_TILE, THRESHOLD, FIRST_LENGTH = 3, 0.5, 20
 BROADCAST_WORDS = 4_000_000
@@ -164,9 +164,9 @@ def covers(words: list[np.ndarray], text: np.ndarray, least: int) -> tuple[float
     return max(each, key=lambda x: x[0])
 
 
-def _key() -> Column:
+def _key(of: str = "") -> Column:
     """Names a row by doc_id and text; rows of one key are all tiled each by itself."""
-    return F.xxhash64("doc_id", "text").alias("key")
+    return F.xxhash64(F.col(f"{of}doc_id").cast("long"), f"{of}text").alias("key")
 
 
 def _benchmark(benchmark: DataFrame, threshold: float, least: int, broadcast_words: int) -> tuple[DataFrame, Broadcast | None]:
@@ -253,8 +253,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, l
     """``docs`` without rows that leak a test: found and left out in one pass if the benchmark is broadcast."""
     bench, shared = _benchmark(benchmark, threshold, least, broadcast_words)
     if shared is None:
-        gone = durable(_joined(docs.select(_key(), F.col("doc_id").cast("long").alias("doc_id"), "text"), bench, threshold, least).select(F.col("key").alias("_key")).distinct())
-        return join_small(docs.withColumn("_key", _key()), gone, "_key", "left_anti").drop("_key")
+        gone = durable(_joined(docs.select(_key(), F.col("doc_id").cast("long").alias("doc_id"), "text"), bench, threshold, least).select("key").distinct())
+        return join_small(packed(docs).select("row", _key("row.")), gone, "key", "left_anti").select("row.*")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

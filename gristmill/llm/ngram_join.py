@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from gristmill.llm.common import by_document, chunks, durable, is_small, join_small, mix, shingles
+from gristmill.llm.common import by_document, chunks, durable, is_small, join_small, mix, packed, shingles
 from gristmill.llm.components import components, forest
 
 #: Classes that are searched against each other at once, and shingles that small clusters in one task have together.
@@ -368,30 +368,31 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     Of repeated rows one stays, of texts that only rows without a doc_id have too; texts without words all stay.
     """
     rows = durable(joined(docs, k, percent).where("sig is not null").select("doc_id", "sig", "component_id"))
-    again = durable(rows.groupBy("doc_id").agg(F.count("*").alias("_c")).where("_c > 1 or doc_id is null").select("doc_id", F.lit(True).alias("_again")))
+    again = durable(rows.groupBy("doc_id").agg(F.count("*").alias("_c")).where("_c > 1 or doc_id is null").select("doc_id"))
     gone = durable(rows.where("component_id <> doc_id").select("doc_id").distinct())
+    own = packed(docs).select("row", F.col("row.doc_id").cast("long").alias("doc_id"))
     if again.isEmpty():
-        return join_small(docs, gone, "doc_id", "left_anti")
+        return join_small(own, gone, "doc_id", "left_anti").select("row.*")
     # Rows that doc_id alone doesn't tell apart: by their set too.
-    names, key = docs.columns, F.struct("doc_id", "sig")
     odd = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).withColumn("id", F.coalesce("doc_id", F.lit(0))).join(again.withColumn("id", F.coalesce("doc_id", F.lit(0))).drop("doc_id"), "id")
     stay = odd.where("doc_id is not null").groupBy("doc_id").agg(F.min("sig").alias("sig")).unionByName(odd.where("doc_id is null").select("doc_id", "sig").distinct())
-    flagged = docs.join(F.broadcast(again) if is_small(again) else again, docs["doc_id"].eqNullSafe(again["doc_id"]), "left").drop(again["doc_id"])
-    single = join_small(flagged.where("_again is null").select(*names), gone, "doc_id", "left_anti")
+    flag = again.select(F.col("doc_id").alias("id"), F.lit(True).alias("again"))
+    flagged = own.join(F.broadcast(flag) if is_small(again) else flag, own["doc_id"].eqNullSafe(flag["id"]), "left").drop("id")
+    single = join_small(flagged.where("again is null").select("row", "doc_id"), gone, "doc_id", "left_anti")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sigs: list = [None] * b.num_rows
-            for part, s, cut in text_sets(b.column("text"), k):
+            for part, s, cut in text_sets(pa.compute.struct_field(b.column("row"), "text"), k):
                 for i, x in zip(part.tolist(), signatures(s, cut)):
                     sigs[i] = x
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sigs, pa.binary())], names=[*b.schema.names, "_sig"])
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.array(sigs, pa.binary())], names=["row", "doc_id", "sig"])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("_sig", T.BinaryType())])
-    marked = flagged.where("_again").select(*names).mapInArrow(mark, schema)
-    stay = durable(stay.select(F.col("doc_id").alias("_id"), F.col("sig").alias("_s")))
-    left = marked.where("_sig is not null").join(stay, marked["doc_id"].eqNullSafe(stay["_id"]) & (marked["_sig"] == stay["_s"]), "left_semi").dropDuplicates(["doc_id", "_sig"])
-    return single.unionByName(left.select(*names)).unionByName(marked.where("_sig is null").select(*names))
+    schema = T.StructType().add("row", docs.schema).add("doc_id", T.LongType()).add("sig", T.BinaryType())
+    marked = flagged.where("again").select("row", "doc_id").mapInArrow(mark, schema)
+    stay = durable(stay.select(F.col("doc_id").alias("id"), F.col("sig").alias("s")))
+    left = marked.where("sig is not null").join(stay, marked["doc_id"].eqNullSafe(stay["id"]) & (marked["sig"] == stay["s"]), "left_semi").dropDuplicates(["doc_id", "sig"])
+    return single.select("row.*").unionByName(left.select("row.*")).unionByName(marked.where("sig is null").select("row.*"))
 
 
 def query(docs: DataFrame) -> DataFrame:

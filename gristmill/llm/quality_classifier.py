@@ -159,7 +159,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
                 out[rows] = bias + np.bincount(doc, shared.value[f], minlength=len(rows)) / np.sqrt(n + 1.0)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(out, -30, 30))))], names=["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:

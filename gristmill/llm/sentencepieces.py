@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from gristmill.llm.common import _power_tables, Chunk, chunks, mix
 
@@ -436,7 +437,7 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(total)]), pa.int32()), pa.array(flat, pa.int32()), mask=pa.array(~ok))
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(c.rows)), pa.array(total, pa.int64(), mask=~ok), lists, pa.array(same, pa.bool_(), mask=~ok)], names=["doc_id", "n_tokens", "ids", "round_trip"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, RESULT)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, RESULT)
 
 
 def query(docs: DataFrame) -> DataFrame:

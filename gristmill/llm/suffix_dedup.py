@@ -27,7 +27,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import BROADCAST_BYTES, chunks, durable, is_small, join_small, mix, shingles
+from gristmill.llm.common import BROADCAST_BYTES, chunks, durable, is_small, join_small, mix, packed, shingles
 from gristmill.llm.decontaminate import Windows
 
 SEED, WINDOW = 16, 35
@@ -273,14 +273,15 @@ def repeats(docs: DataFrame) -> DataFrame:
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` without passages that an earlier document (by doc_id) has too; words around them stay as they are."""
-    again = durable(repeats(docs).select("doc_id", F.filter("spans", lambda x: x["first_doc_id"] < F.col("doc_id")).alias("_again")).where("size(_again) > 0"))
-    d = join_small(docs, again, "doc_id", "left")
+    again = durable(repeats(docs).select("doc_id", F.filter("spans", lambda x: x["first_doc_id"] < F.col("doc_id")).alias("again")).where("size(again) > 0"))
+    d = join_small(packed(docs).select("row", F.col("row.doc_id").cast("long").alias("doc_id")), again, "doc_id", "left").select("row", "again")
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column("text").to_pylist()
-            spans = b.column("_again").to_pylist()
+            own = dict(zip(names, b.column("row").flatten()))
+            texts = own["text"].to_pylist()
+            spans = b.column("again").to_pylist()
             for i, cut in enumerate(spans):
                 if cut and texts[i]:
                     raw = texts[i].encode()
@@ -291,10 +292,10 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
                         parts.append(raw[at : max(at, s[x["begin"]])])
                         at = max(at, e[x["end"] - 1])
                     texts[i] = (b"".join(parts) + raw[at:]).decode("utf-8", "ignore")
-            cols = {n: b.column(n) for n in names} | {"text": pa.array(texts, b.schema.field("text").type)}
+            cols = own | {"text": pa.array(texts, own["text"].type)}
             if "n_chars" in names:
-                old = b.column("n_chars").to_pylist()
-                cols["n_chars"] = pa.array([len(t) if cut and t is not None else o for t, cut, o in zip(texts, spans, old)], b.schema.field("n_chars").type)
+                old = own["n_chars"].to_pylist()
+                cols["n_chars"] = pa.array([len(t) if cut and t is not None else o for t, cut, o in zip(texts, spans, old)], own["n_chars"].type)
             yield pa.RecordBatch.from_arrays([cols[n] for n in names], names=names)
 
     return d.mapInArrow(run, docs.schema)

@@ -1,7 +1,7 @@
 import pytest
 
 #: Columns that no operator may trip over: names it uses inside, or that its results have.
-EXTRA = ("rules", "score", "key", "size", "seed", "spans", "n", "token", "cluster", "begin", "y", "kept", "range", "shard", "a", "b", "n_words", "ids")
+EXTRA = ("rules", "score", "key", "size", "seed", "spans", "n", "token", "cluster", "begin", "y", "kept", "range", "shard", "a", "b", "n_words", "ids", "row", "m", "v", "f", "again", "id", "s", "sig", "_sig", "_again", "_s", "_id", "_c", "__m", "__rules", "__lang", "__source", "__m_symbols", "_key", "head", "sets", "item", "one", "first", "parts", "members", "lines", "cuts", "form", "h")
 
 
 @pytest.fixture(scope="session")
