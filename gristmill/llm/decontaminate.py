@@ -2,13 +2,17 @@
 
 Tests and documents are lower-cased (A-Z) words ``[^\\x20\\x09-\\x0D]+``. A seed is as many words in a row as
 the least tile has, or the whole test if it is shorter. A tile of k words holds k / seed of the test's seeds at least, so
-a document with fewer of them than the threshold asks for can't be a leak; all other pairs are tiled: the longest matches of the test in the document that
+a document with fewer than ``needed`` of them, by the threshold, can't be a leak. One that has so many has one at least of
+any ``seeds - needed + 1`` of them: documents meet a test by its rarest ones only (in the benchmark; a choice that changes
+the work and never the result), so that phrases that a great many tests share fall away. Who meets a test is counted over
+all its seeds, and who has enough is tiled: the longest matches of the test in the document that
 overlap no earlier tile are marked first, found with running Karp-Rabin (window hashes at a search length that jumps up
 when a much longer match turns up and then halves down to the least tile). The part of the test's words under tiles is
 its coverage, so a test whose sentences were put in another order still counts. From ``threshold`` on it is a leak.
+Words that repeat are stepped over: a match is looked at from where it begins only, all its places in the text at once.
 
 If the benchmark has up to ``BROADCAST_WORDS`` words (counted first), its seeds and words are broadcast and one pass over
-the documents finds and tiles; else seeds are joined by shuffle, and only documents with a shared seed are tiled.
+the documents finds and tiles; else seeds are joined by shuffle, and only documents with enough shared seeds are tiled.
 
 Nulls and texts without words match nothing. Rows without a doc_id are tiled as others and reported with a null one.
 Repeated rows of documents (doc_id and text) give one result, and ``clean`` judges each row by its text; a test listed
@@ -27,11 +31,14 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from gristmill.llm.common import by_document, chunks, durable, join_small, mix, packed, shingles
 
 LEAST_TILE, THRESHOLD, FIRST_LENGTH = 3, 0.5, 20
 BROADCAST_WORDS = 4_000_000
+#: Words that are compared in one step.
+STEP = 1 << 22
 RESULT = "key long, doc_id long, item_id long, coverage double, n_tiles long, tiles array<struct<item_word:int, doc_word:int, words:int>>"
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
@@ -55,12 +62,24 @@ def unmarked(marked: np.ndarray, s: int) -> np.ndarray:
     return sums[s:] == sums[:-s]
 
 
+def match_lengths(test: np.ndarray, text: np.ndarray, p_marked: np.ndarray, t_marked: np.ndarray, p: int, at: np.ndarray) -> np.ndarray:
+    """How many unmarked words from ``p`` of the test on stand at each place ``at`` of the text."""
+    n = len(test) - p
+    stop = int(p_marked[p:].argmax()) if p_marked[p:].any() else n
+    places = at[:, None] + np.arange(stop)
+    inside = places < len(text)
+    places[~inside] = 0
+    same = inside & (text[places] == test[p : p + stop]) & ~t_marked[places]
+    return np.where(same.all(1), stop, same.argmin(1))
+
+
 def tile(test: np.ndarray, text: np.ndarray, least: int = LEAST_TILE) -> list[tuple[int, int, int]]:
     """Tiles (place in the test, place in the text, words), none overlapping another in either."""
     least = max(1, min(least, len(test)))
     p_marked, t_marked = np.zeros(len(test), bool), np.zeros(len(text), bool)
     p_windows, t_windows = Windows(test), Windows(text)
     tiles: list[tuple[int, int, int]] = []
+    under = 0  # words of the test
     s = max(least, min(FIRST_LENGTH, len(test)))
     while s >= least:
         matches: list[tuple[int, int, int]] = []
@@ -69,19 +88,17 @@ def tile(test: np.ndarray, text: np.ndarray, least: int = LEAST_TILE) -> list[tu
             ph, th = p_windows.hashes(s), t_windows.hashes(s)
             ps, ts = np.flatnonzero(unmarked(p_marked, s)), np.flatnonzero(unmarked(t_marked, s))
             ts = ts[np.isin(th[ts], ph[ps])]
-            where: dict[int, list[int]] = {}
-            for t in ts.tolist():
-                where.setdefault(int(th[t]), []).append(t)
-            for p in ps.tolist():
-                for t in where.get(int(ph[p]), ()):
-                    if p and t and test[p - 1] == text[t - 1] and not p_marked[p - 1] and not t_marked[t - 1]:
-                        continue  # part of the longer match that begins before
-                    n = min(len(test) - p, len(text) - t)
-                    stop = (test[p : p + n] != text[t : t + n]) | p_marked[p : p + n] | t_marked[t : t + n]
-                    k = int(stop.argmax()) if stop.any() else n
-                    if k >= s:
-                        longest = max(longest, k)
-                        matches.append((k, p, t))
+            ts = ts[np.argsort(th[ts], kind="stable")]
+            lo, hi = np.searchsorted(th[ts], ph[ps], "left"), np.searchsorted(th[ts], ph[ps], "right")
+            for p, a, b in zip(ps[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist()):
+                at = ts[a:b]
+                if p and not p_marked[p - 1]:  # leave out what is part of a longer match that begins before
+                    at = at[(at == 0) | (text[at - 1] != test[p - 1]) | t_marked[at - 1]]
+                for part in np.array_split(at, len(at) * (len(test) - p) // STEP + 1) if len(at) else ():
+                    for k, t in zip(match_lengths(test, text, p_marked, t_marked, p, part).tolist(), part.tolist()):
+                        if k >= s:
+                            longest = max(longest, k)
+                            matches.append((k, p, t))
         if longest > 2 * s:
             s = longest
             continue
@@ -91,9 +108,12 @@ def tile(test: np.ndarray, text: np.ndarray, least: int = LEAST_TILE) -> list[tu
             queue.setdefault(k, []).append((p, t))
         for k in range(longest, s - 1, -1):
             for p, t in queue.get(k, ()):
+                if under == len(test):
+                    return sorted(tiles)
                 if not p_marked[p : p + k].any() and not t_marked[t : t + k].any():
                     p_marked[p : p + k] = t_marked[t : t + k] = True
                     tiles.append((p, t, k))
+                    under += k
                 else:  # what is left free of it, if long enough, waits its turn
                     free = np.flatnonzero(np.diff(np.concatenate([[True], p_marked[p : p + k] | t_marked[t : t + k], [True]]).astype(np.int8)))
                     for a, b in zip(free[::2].tolist(), free[1::2].tolist()):
@@ -108,13 +128,23 @@ def seeds_needed(n: int, k: int, threshold: float) -> int:
     return max(1, math.ceil(threshold * n / k - 1e-6))
 
 
+def rarest(times: np.ndarray, df: np.ndarray, needed: int) -> np.ndarray:
+    """Which of a test's distinct seeds, ``times`` in it and in ``df`` tests, every document with ``needed`` of them meets: the
+    rarest, until those left out are fewer than ``needed``."""
+    o = np.argsort(df, kind="stable")
+    kept = np.zeros(len(times), bool)
+    kept[o[: int(np.searchsorted(np.cumsum(times[o]), int(times.sum()) - needed + 1)) + 1]] = True
+    return kept
+
+
 class Benchmark:
-    """The tests' word hashes, and their seeds in order."""
+    """The tests' word hashes, their seeds, and in order of hash the rarest of each test's."""
 
     def __init__(self, ids: list[int], texts: pa.Array, threshold: float = THRESHOLD, least: int = LEAST_TILE):
         self.words: dict[int, list[np.ndarray]] = {}
-        self.needed: dict[int, dict[int, int]] = {}
-        seeds: dict[int, list[tuple[np.ndarray, np.ndarray, int]]] = {}
+        each: dict[int, list[tuple[np.ndarray, np.ndarray, int, int]]] = {}
+        #: For each text of an item: the seeds' length, distinct seeds, their number each, and what a leak needs.
+        self.texts: dict[int, list[tuple[int, np.ndarray, np.ndarray, int]]] = {}
         for c in chunks(texts):
             doc, _, _, h = c.words()
             for i, row in enumerate(c.rows):
@@ -122,35 +152,47 @@ class Benchmark:
                 if len(w) and ids[row] is not None:
                     k = max(1, min(least, len(w)))
                     self.words.setdefault(ids[row], []).append(w)
-                    needed = self.needed.setdefault(k, {})
-                    needed[ids[row]] = min(needed.get(ids[row], len(w)), seeds_needed(len(w), k, threshold))
-                    seeds.setdefault(k, []).append((*np.unique(shingles(np.zeros(len(w), np.int64), w, 1, k)[1], return_counts=True), ids[row]))
+                    own = (*np.unique(shingles(np.zeros(len(w), np.int64), w, 1, k)[1], return_counts=True), seeds_needed(len(w), k, threshold))
+                    self.texts.setdefault(ids[row], []).append((k, *own))
+                    each.setdefault(k, []).append((*own, ids[row]))
         self.seeds = {}
-        for k, each in seeds.items():
-            h, times, item = np.concatenate([x for x, *_ in each]), np.concatenate([n for _, n, _ in each]), np.concatenate([np.full(len(x), i) for x, _, i in each])
+        for k, tests in each.items():
+            every, df = np.unique(np.concatenate([h for h, *_ in tests]), return_counts=True)
+            rare = [(h[kept], i) for h, times, needed, i in tests for kept in [rarest(times, df[np.searchsorted(every, h)], needed)]]
+            h, item = np.concatenate([x for x, _ in rare]), np.concatenate([np.full(len(x), i) for x, i in rare])
             o = np.argsort(h, kind="stable")
             mask = np.zeros(1 << 16, bool)
             mask[(h & np.uint64(0xFFFF)).astype(np.int64)] = True
-            self.seeds[k] = (h[o], times[o], item[o], mask)
+            self.seeds[k] = (h[o], item[o], mask)
 
     def meet(self, doc: np.ndarray, h: np.ndarray, n_docs: int) -> set[tuple[int, int]]:
         """(document, item) that share seeds enough."""
         out = set()
-        for k, (seed, times, item, mask) in self.seeds.items():
+        of: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for k, (seed, item, mask) in self.seeds.items():
             if len(h) < k:
                 continue
-            d, s = shingles(doc, h, n_docs, k)
-            keep = mask[(s & np.uint64(0xFFFF)).astype(np.int64)]
-            d, s = by_document(d[keep], s[keep])
-            lo, hi = np.searchsorted(seed, s, "left"), np.searchsorted(seed, s, "right")
-            shared: dict[tuple[int, int], int] = {}
-            for i in np.flatnonzero(hi > lo).tolist():
-                for x, n in zip(item[lo[i] : hi[i]].tolist(), times[lo[i] : hi[i]].tolist()):
-                    shared[int(d[i]), x] = shared.get((int(d[i]), x), 0) + n
-            out |= {p for p, n in shared.items() if n >= self.needed[k][p[1]]}
+            d, s = of[k] = by_document(*shingles(doc, h, n_docs, k))
+            some = np.flatnonzero(mask[(s & np.uint64(0xFFFF)).astype(np.int64)])
+            lo, hi = np.searchsorted(seed, s[some], "left"), np.searchsorted(seed, s[some], "right")
+            n = hi - lo
+            met = np.stack([np.repeat(d[some], n), item[np.arange(int(n.sum())) + np.repeat(lo - (np.cumsum(n) - n), n)]], 1)
+            for one, i in np.unique(met, axis=0).tolist():
+                if (one, i) not in out:
+                    a, b = np.searchsorted(d, [one, one + 1])
+                    if any(enough(s[a:b], *x[1:]) for x in self.texts[i] if x[0] == k):
+                        out.add((one, i))
         return out
 
 
+def enough(doc_seeds: np.ndarray, seeds: np.ndarray, times: np.ndarray, needed: int) -> bool:
+    """Whether a document with these (sorted) seeds has as many of a test's as a leak needs."""
+    if not len(doc_seeds):
+        return False
+    at = np.minimum(np.searchsorted(doc_seeds, seeds), len(doc_seeds) - 1)
+    return int(times[doc_seeds[at] == seeds].sum()) >= needed
+
+
 def _batch(found: list[tuple]) -> pa.RecordBatch:
     """Rows of RESULT from (key, doc_id, item_id, coverage, tiles)."""
     kind = pa.list_(pa.struct([("item_word", pa.int32()), ("doc_word", pa.int32()), ("words", pa.int32())]))
@@ -214,11 +256,17 @@ def _joined(docs: DataFrame, bench: DataFrame, threshold: float, least: int) ->
 
         return run
 
-    # Durable, so that neither side of the join comes from an aggregation's exchange: a hot seed's rows can be split.
-    item_seeds = durable(bench.mapInArrow(seeds("item_id", True), "seed long, item_id long, needed long").groupBy("seed", "item_id").agg(F.count("*").alias("times"), F.min("needed").alias("needed")))
-    doc_seeds = docs.select("key", "text").mapInArrow(seeds("key", False), "seed long, key long, needed long").select("seed", "key")  # a repeated row counts double, which only asks for more tiling
-    meet = doc_seeds.join(item_seeds.hint("merge"), "seed").groupBy("key", "item_id").agg(F.sum("times").alias("n"), F.min("needed").alias("needed"))
-    meet = durable(meet.where("n >= needed").select("key", "item_id"))
+    # An item id with several texts is told apart by the text's hash. Of each test's seeds the rarest are joined, as in
+    # ``rarest``. Durable, so that neither side of the join comes from an aggregation's exchange: a hot seed's rows can be split.
+    one = bench.select("item_id", "text", F.xxhash64("item_id", "text").alias("test"))
+    item_seeds = one.select("test", "text").mapInArrow(seeds("test", True), "seed long, test long, needed long").groupBy("seed", "test").agg(F.count("*").alias("times"), F.max("needed").alias("needed"))
+    item_seeds = durable(item_seeds)
+    df = durable(item_seeds.groupBy("seed").agg(F.count("*").alias("df")))
+    of = W.partitionBy("test")  # the seeds of one test
+    rare = item_seeds.join(df.hint("merge"), "seed").withColumn("before", F.sum("times").over(of.orderBy("df", "seed")) - F.col("times")).withColumn("all", F.sum("times").over(of))
+    rare = durable(rare.where("before <= all - needed").select("seed", "test"))
+    doc_seeds = docs.select("key", "text").mapInArrow(seeds("key", False), "seed long, key long, needed long").select("seed", "key")
+    meet = durable(doc_seeds.join(rare.hint("merge"), "seed").select("key", "test").distinct().join(one.select("test", "item_id"), "test").select("key", "item_id").distinct())
     texts = join_small(docs, meet, "key").join(bench.withColumnRenamed("text", "item"), "item_id").select("key", "doc_id", "item_id", "text", "item")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +274,9 @@ def _joined(docs: DataFrame, bench: DataFrame, threshold: float, least: int) ->
             found = []
             for i in range(batch.num_rows):
                 w = [next(iter(chunks(batch.column(n).slice(i, 1)))).words()[3] for n in ("item", "text")]
-                coverage, tiles = covers([w[0]], w[1], least) if len(w[0]) else (0.0, [])
+                k = max(1, min(least, len(w[0])))
+                (own, times), has = (np.unique(shingles(np.zeros(len(x), np.int64), x, 1, k)[1], return_counts=True) for x in w)
+                coverage, tiles = covers([w[0]], w[1], least) if len(w[0]) and enough(has[0], own, times, seeds_needed(len(w[0]), k, threshold)) else (0.0, [])
                 if coverage >= threshold:
                     found.append((*(batch.column(n)[i].as_py() for n in ("key", "doc_id", "item_id")), coverage, tiles))
             yield _batch(found)

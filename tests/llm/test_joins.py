@@ -1,6 +1,7 @@
 """Near duplicates, leaks, repeats: against brute force."""
 
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -215,6 +216,29 @@ def test_tiles_of_texts_without_repeats(order, cuts):
     assert sorted(k for *_, k in dc.tile(np.array(test, np.uint64), np.array(text, np.uint64), 3)) == sorted(brute_tiles(test, text, 3))
 
 
+def test_repeated_words_are_stepped_over():
+    one = np.zeros(200, np.uint64)
+    began = time.monotonic()
+    assert dc.tile(one, np.zeros(1_000_000, np.uint64)) == [(0, 0, 200)]
+    mixed = np.where(np.arange(200) % 50 < 49, 0, np.arange(200)).astype(np.uint64)
+    assert sum(k for *_, k in dc.tile(mixed, np.concatenate([np.zeros(300_000, np.uint64), mixed[100:], mixed[:100]]))) == 200
+    assert time.monotonic() - began < 10
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 4), st.integers(1, 9)), min_size=1, max_size=12), st.data())
+def test_enough_seeds_meet_one_of_the_rarest(seeds, data):
+    times, df = (np.array(x) for x in zip(*seeds))
+    needed = data.draw(st.integers(1, int(times.sum())))
+    kept = dc.rarest(times, df, needed)
+    assert int(times[~kept].sum()) < needed  # who has ``needed`` has one that is kept
+    if kept.sum() > 1:
+        o = np.argsort(df, kind="stable")
+        last = o[kept[o].nonzero()[0][-1]]
+        assert int(times[~kept].sum() + times[last]) >= needed  # and no fewer would do
+        assert df[kept].max() <= df[~kept].min(initial=99)
+
+
 def test_leaks_are_those_of_all_pairs(spark, docs, sf_dir):
     """Every document tiled with every test, without seeds."""
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
