@@ -9,9 +9,10 @@ A document is the set of its k-word shingles (64-bit hashes). Two link when ``10
    the ``L = T - 1`` longest lists of each head unmerged, so partners meet in one short list at least. Shingles of one
    class alone are dropped. No frequency is estimated; no list is cut.
 3. Classes that meet in a short list are put into one cluster (components over list leaders: linear in the lists'
-   lengths); every link lies within a cluster. A cluster of up to ``BLOCK`` classes is searched whole, many to a task.
+   lengths); every link lies within a cluster. A cluster of up to ``BLOCK`` classes and ``BLOCK_SHINGLES`` shingles is searched
+   whole, many to a task. Hot tokens, found in a sample, are counted and joined by broadcast, so that none fills a task.
 4. A larger cluster is searched in the way that compares less, by the lists' lengths. Dense (near copies of one text):
-   blocks of up to ``BLOCK`` classes, against those blocks whose sizes allow a link, so that a pair meets once. Sparse
+   blocks of some ``BLOCK`` classes or ``BLOCK_SHINGLES`` shingles, against those blocks whose sizes allow a link, so that a pair meets once. Sparse
    (texts that quote each other): list by list; a task holds the heads of some lists' members, a list over ``BLOCK`` is
    split into pairs of blocks; T-occurrence over the heads gives candidates, each from the first list they share, and
    their full sets are compared afterwards. So work follows the squares of the short lists' lengths.
@@ -43,9 +44,14 @@ from gristmill.llm.components import components, forest
 
 #: Classes that are searched against each other at once, and shingles that small clusters in one task have together.
 BLOCK, TASK_SHINGLES = 512, 500_000
+#: Shingles of a block (8 bytes each, some five times that while it is searched); a longer text is a block of its own.
+BLOCK_SHINGLES = 4_000_000
+#: Tokens that are sampled to find hot ones (or a part of all, if that is more), and occurrences in the sample that make one
+#: hot. A token that is missed or taken for hot changes the work only.
+SAMPLED, SAMPLED_PART, HOT = 2_000_000, 1e-4, 200
 #: A large cluster is searched list by list if that meets so many times fewer pairs.
 SPARSE = 4
-SET = "row long, doc_id long, n_shingles long, sig binary, head array<long>"
+SET = "row long, key long, doc_id long, n_shingles long, sig binary, head array<long>"
 TASK = "struct<cluster:bigint,b1:int,s1:int,b2:int,s2:int>"
 FULL = f"row long, doc_id long, task {TASK}, shingles binary"
 
@@ -84,11 +90,12 @@ def row_sets(k: int, percent: int):
             ids = b.column("doc_id").cast(pa.int64())
             for rows, s, cut in text_sets(b.column("text"), k):
                 n = np.diff(cut)
+                keys = b.column("key").take(pa.array(rows))
                 head, _ = set_sizes(n, percent)
                 ends = np.cumsum(head)
                 first = s[np.arange(int(ends[-1])) + np.repeat(cut[:-1] - (ends - head), head)]
                 heads = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(first.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(at + np.arange(len(rows))), ids.take(pa.array(rows)), pa.array(n, pa.int64()), pa.array(signatures(s, cut), pa.binary()), heads], names=["row", "doc_id", "n_shingles", "sig", "head"])
+                yield pa.RecordBatch.from_arrays([pa.array(at + np.arange(len(rows))), keys, ids.take(pa.array(rows)), pa.array(n, pa.int64()), pa.array(signatures(s, cut), pa.binary()), heads], names=["row", "key", "doc_id", "n_shingles", "sig", "head"])
                 at += len(rows)
 
     return run
@@ -242,11 +249,11 @@ def compare(percent: int):
 def sparse_links(listed: DataFrame, lists: DataFrame, heads: DataFrame, full: DataFrame, percent: int, block: int) -> DataFrame:
     """(a, b, links) as of ``search_blocks`` for clusters that are searched list by list.
 
-    ``listed(row, cluster, token)`` and ``lists(cluster, token, m, entries)``, m members of as many entries in all, are of
-    these clusters; a task takes lists of some ``8 * block`` entries together.
+    ``listed(row, cluster, token)`` and ``lists(cluster, token, m, load, entries)``, m members of as many entries in all, are of
+    these clusters; a list is ``load`` blocks, and a task takes lists of some ``8 * block`` entries together.
     """
     some = F.pmod(F.xxhash64("token"), F.ceil(F.col("entries") / (8 * block)))
-    lists = lists.select("cluster", "token", F.ceil(F.col("m") / block).cast("int").alias("salts"), some.cast("long").alias("some"))
+    lists = lists.select("cluster", "token", F.ceil("load").cast("int").alias("salts"), some.cast("long").alias("some"))
     of = listed.join(lists, ["cluster", "token"])
     whole = of.where("salts = 1").select("row", "cluster", F.col("some").alias("list"), F.lit(0).alias("s1"), F.lit(0).alias("s2"), F.lit(-1).alias("side"), "token")
     salt = F.pmod(F.xxhash64("row"), F.col("salts")).cast("int")
@@ -276,12 +283,12 @@ def size_bands(sized: DataFrame, percent: int) -> DataFrame:
 def dense_tasks(sized: DataFrame, bands: DataFrame, block: int) -> DataFrame:
     """(row, task, side) of clusters cut into groups of neighbouring size bands, some ``block`` rows each, and salts where a band has more.
 
-    ``bands(cluster, band, c)`` counts the rows, so its windows are over some hundred rows of a cluster, however large that
-    is. A row is in its group's tasks; those at a group's edge are also compared with the neighbouring band.
+    ``bands(cluster, band, load)`` has how many blocks its rows are, so its windows are over some hundred rows of a cluster,
+    however large that is. A row is in its group's tasks; those at a group's edge are also compared with the neighbouring band.
     """
     by = W.partitionBy("cluster").orderBy("band")
-    bands = bands.withColumn("g", F.floor((F.sum("c").over(by) - F.col("c")) / block))
-    groups = bands.groupBy("cluster", "g").agg(F.min("band").alias("low"), F.max("band").alias("high"), F.ceil(F.sum("c") / block).cast("int").alias("salts"))
+    bands = bands.withColumn("g", F.floor(F.sum("load").over(by) - F.col("load")))
+    groups = bands.groupBy("cluster", "g").agg(F.min("band").alias("low"), F.max("band").alias("high"), F.ceil(F.sum("load")).cast("int").alias("salts"))
     by = W.partitionBy("cluster").orderBy("g")
     for way, f in (("next", F.lead), ("prior", F.lag)):
         for name in ("g", "low", "high", "salts"):
@@ -299,9 +306,34 @@ def dense_tasks(sized: DataFrame, bands: DataFrame, block: int) -> DataFrame:
     return own.unionByName(up).unionByName(down)
 
 
+def blocks_of(block: int) -> Column:
+    """How many blocks some rows with ``n_shingles`` are."""
+    return F.greatest(F.count("*") / block, F.sum("n_shingles") / BLOCK_SHINGLES)
+
+
+def hot_tokens(heads: DataFrame) -> DataFrame:
+    """(token): those of the arrays ``head`` that many rows have, judged by a sample of rows."""
+    total = heads.agg(F.coalesce(F.sum(F.size("head")), F.lit(0))).first()[0]
+    some = heads.sample(fraction=min(1.0, max(SAMPLED_PART, SAMPLED / max(1, total))), seed=7)
+    return durable(some.select(F.explode("head").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") >= HOT).select("token"))
+
+
+def by_token(rows: DataFrame, hot: DataFrame, summary, condition: str) -> DataFrame:
+    """``rows(token, ...)`` with the ``summary`` (aggregates) of their token, where ``condition`` holds for it.
+
+    What is known of hot tokens is a few rows: it is joined by broadcast, and their rows stay where they are. All others
+    are joined by shuffle, where no token has many rows.
+    """
+    if hot.isEmpty():
+        return rows.join(rows.groupBy("token").agg(*summary).where(condition), "token")
+    few = durable(join_small(rows, hot, "token", "left_semi").groupBy("token").agg(*summary).where(condition))
+    cold = join_small(rows, hot, "token", "left_anti")
+    return cold.join(cold.groupBy("token").agg(*summary).where(condition), "token").unionByName(join_small(rows, few, "token"))
+
+
 def links(docs: DataFrame, k: int, percent: int, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(row, doc_id, n_shingles, sig, rep) of every row, rep being its class's least doc_id, and (node, component, links) of the doc_ids that stand for a class with a link."""
-    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", F.xxhash64("doc_id", "text"))  # a hot doc_id has many keys
     sets = durable(cols.mapInArrow(row_sets(k, percent), SET))
     reps = durable(sets.where("sig is not null").groupBy("sig").agg(F.min("row").alias("class"), F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     many = durable(reps.where("copies > 1").select("sig", "class", "rep"))
@@ -309,30 +341,31 @@ def links(docs: DataFrame, k: int, percent: int, block: int = BLOCK) -> tuple[Da
 
     # Not settled once more: exploded rows take several times the room of the lists, and both uses below shuffle them at once.
     tokens = of.where("class = row and rep is not null").select(F.explode("head").alias("token"), "row", F.col("n_shingles").alias("n"))
-    shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    kept = tokens.join(shared, "token").groupBy("row").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
+    hot = hot_tokens(of.where("class = row and rep is not null"))
+    kept = by_token(tokens, hot, [F.count("*").alias("df")], "df > 1").groupBy("row").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
     t, e = F.expr(f"({percent} * n + 99) div 100"), F.expr(f"({100 - percent} * n + 99) div 100")
     head = F.least(F.col("n"), F.col("n") - t + e)
     f = F.greatest(F.lit(1), F.expr(f"({percent * (100 - percent)} * n + 9999) div 10000"))
     room = head - f + 1 - (head - F.size("t"))  # shingles of one class come first in rarity, and take room
     listed = durable(kept.where(room > 0).select("row", "n", F.explode(F.slice("t", 1, room.cast("int"))).alias("x")).select("row", F.col("n").alias("n_shingles"), "x.token"))
-    lead = listed.groupBy("token").agg(F.min("row").alias("lead"), F.count("*").alias("c")).where("c > 1").drop("c")
-    cluster = components(listed.join(lead, "token").where("row <> lead").select(F.col("row").alias("a"), F.col("lead").alias("b"))).withColumnsRenamed({"node": "row", "component": "cluster"})
+    led = by_token(listed.select("token", "row"), hot, [F.min("row").alias("lead"), F.count("*").alias("c")], "c > 1")
+    cluster = components(led.where("row <> lead").select(F.col("row").alias("a"), F.col("lead").alias("b"))).withColumnsRenamed({"node": "row", "component": "cluster"})
 
-    sized = durable(cluster.join(of.select("row", "doc_id", "rep", "n_shingles", "sig"), "row"))
-    large = durable(sized.groupBy("cluster").agg(F.count("*").alias("members")).where(F.col("members") > block))
+    sized = durable(cluster.join(of.select("row", "key", "doc_id", "rep", "n_shingles", "sig"), "row"))
+    large = durable(sized.groupBy("cluster").agg(F.count("*").alias("members"), blocks_of(block).alias("load")).where("load > 1").drop("load"))
     none = large.isEmpty()
     rows, total = sized.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
     group = F.struct(F.lit(-1).cast("long").alias("cluster"), F.lit(0).alias("b1"), F.pmod(F.xxhash64("cluster"), F.lit(max(1, total // TASK_SHINGLES, rows // (2 * block)))).cast("int").alias("s1"), F.lit(0).alias("b2"), F.lit(0).alias("s2"))
     sized = sized.withColumn("task", group) if none else join_small(sized, large, "cluster", "left").withColumn("task", F.when(F.col("members").isNull(), group)).drop("members")
-    wanted = durable(sized.select("row", F.col("rep").alias("doc_id"), "sig", "task"))
-    full = durable(join_small(cols, wanted, "doc_id").mapInArrow(full_sets(k), FULL))
+    wanted = durable(sized.select("row", "key", "rep", "sig", "task"))
+    full = durable(join_small(cols.drop("doc_id"), wanted, "key").withColumnRenamed("rep", "doc_id").mapInArrow(full_sets(k), FULL))
     blocks, found = full.where("task is not null").withColumn("side", F.lit(-1)), None
     if not none:
         sized = durable(size_bands(sized.where("task is null").select("row", "cluster", "n_shingles"), percent))
-        mine = durable(join_small(listed, sized.select("row", "cluster"), "row").select("row", "cluster", "token"))
-        lists = durable(mine.groupBy("cluster", "token").agg(F.count("*").alias("m")).where("m > 1"))
-        bands = durable(sized.groupBy("cluster", "band").agg(F.count("*").alias("c")))
+        mine = durable(join_small(listed, sized.select("row", "cluster"), "row").select("row", "n_shingles", "cluster", "token"))
+        lists = durable(mine.groupBy("cluster", "token").agg(F.count("*").alias("m"), blocks_of(block).alias("load")).where("m > 1"))
+        mine = mine.drop("n_shingles")
+        bands = durable(sized.groupBy("cluster", "band").agg(F.count("*").alias("c"), blocks_of(block).alias("load")))
         near = bands.alias("x").join(bands.alias("y"), F.expr("x.cluster = y.cluster and y.band between x.band - 1 and x.band + 1")).groupBy(F.col("x.cluster").alias("cluster")).agg(F.sum(F.expr("x.c * y.c")).alias("all"))
         way = lists.groupBy("cluster").agg(F.sum(F.col("m") * F.col("m")).alias("met"), F.sum("m").alias("entries")).join(near, "cluster")
         way = durable(way.select("cluster", "entries", (SPARSE * F.col("met") < F.col("all")).alias("sparse")))

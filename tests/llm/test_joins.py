@@ -120,6 +120,29 @@ def test_texts_that_quote_each_other(make, k, percent, pool, block):
     assert {r.doc_id: r.links for r in got.collect()} == {d: linked[reps[frozenset(s)]] for d, s in sets.items()}
 
 
+@pytest.mark.parametrize("hot, shingles", [(2, 10**9), (12, 300), (10**9, 40)])
+def test_hot_tokens_and_long_texts_change_no_result(make, monkeypatch, hot, shingles):
+    monkeypatch.setattr(nj, "HOT", hot)
+    monkeypatch.setattr(nj, "BLOCK_SHINGLES", shingles)
+    rows = near_copies(hot % 1000 + shingles % 1000, 48) + [(1000 + d, t) for d, t in quotes(90, 30)]
+    got = nj.joined(make(rows), 3, 90, 30)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_components(rows, 3, 90)
+
+
+def test_a_hot_doc_id_costs_no_more(make):
+    """Near copies, all different, under one doc_id and under one each."""
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join([*base[: 7 * i % 120], f"v{i}", *base[7 * i % 120 + 1 :]]) for i in range(800)]
+    times, links = [], []
+    for ids in (range(800), [5] * 800):
+        began = time.monotonic()
+        rows = nj.join(make(list(zip(ids, texts))), 3, 90).collect()
+        times.append(time.monotonic() - began)
+        links.append(sorted((r.n_shingles, r.component_id > 5) for r in rows))
+        assert len(rows) == 800
+    assert links[0] == links[1] and times[1] < 1.7 * times[0] + 3
+
+
 def test_quotes_are_searched_by_list(make, monkeypatch):
     """16,000 texts in one cluster: no block is compared with another."""
     met = []
