@@ -5,6 +5,7 @@ import time
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -241,11 +242,11 @@ def test_tiles_of_texts_without_repeats(order, cuts):
 
 def test_repeated_words_are_stepped_over():
     one = np.zeros(200, np.uint64)
-    began = time.monotonic()
+    began = time.process_time()
     assert dc.tile(one, np.zeros(1_000_000, np.uint64)) == [(0, 0, 200)]
     mixed = np.where(np.arange(200) % 50 < 49, 0, np.arange(200)).astype(np.uint64)
     assert sum(k for *_, k in dc.tile(mixed, np.concatenate([np.zeros(300_000, np.uint64), mixed[100:], mixed[:100]]))) == 200
-    assert time.monotonic() - began < 10
+    assert time.process_time() - began < 15
 
 
 @settings(max_examples=300, deadline=None)
@@ -374,6 +375,32 @@ def test_repeats_within_one_text(make):
     assert marks(sd.repeats(make(rows))) == brute_repeats(rows)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([b"a", b"ab", b"b", b"a b", b"\x01"]), max_size=6), st.lists(st.sampled_from([b"a", b"ab", b"b", b"a b", b"\x01"]), max_size=6))
+def test_common_words(a, b):
+    want = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    assert sd.common_words(sd.SEPARATOR.join(a), sd.SEPARATOR.join(b)) == want
+
+
+def test_words_decide_where_hashes_collide():
+    """All suffixes under one seed: only those with equal words are repeats."""
+    rng = np.random.default_rng(4)
+    passage = [f"p{x}" for x in range(120)]
+    rows = []
+    for d in range(40):
+        cut, word = rng.integers(0, 60), rng.integers(0, 120)
+        body = [*passage[cut:word], *([f"x{d % 3}"] if d % 2 else ["Two\x00", "\x01"]), *passage[word + 1 :]] if d % 4 else passage[cut : cut + 70]
+        rows.append((d, "\n\t".join([*(f"a{d}y{i}" for i in range(9)), *body, *(f"z{d}y{i}" for i in range(40))])))
+    every = [(d, [p for _, p, _ in zip(*sd.minimisers(*(lambda c: (c.words()[0], c.words()[3], 1))(next(iter(sd.chunks(pa.array([t])))))))]) for d, t in rows]
+    docs = pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows]), pa.array([t for _, t in rows]), pa.array([[int(p) for p in k] for _, k in every], pa.list_(pa.int32()))], names=["doc_id", "text", "kept"])
+    t = pa.Table.from_batches(sd._suffixes(iter([docs])))
+    t = t.set_column(t.schema.get_field_index("seed"), "seed", pa.array([7] * t.num_rows, pa.int64())).sort_by([("seed", "ascending"), ("right", "ascending")])
+    got = defaultdict(set)
+    for s in sd._spans(t).to_pylist():
+        got[s["doc_id"]] |= set(range(s["begin"], s["end"]))
+    assert got == brute_repeats(rows) and len(got) > 20
+
+
 def test_repeats_on_the_data(docs):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     got = {r.doc_id: {j for s in r.spans for j in range(s.begin, s.end)} for r in sd.repeats(docs).collect()}
