@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -62,15 +63,10 @@ def unmarked(marked: np.ndarray, s: int) -> np.ndarray:
     return sums[s:] == sums[:-s]
 
 
-def match_lengths(test: np.ndarray, text: np.ndarray, p_marked: np.ndarray, t_marked: np.ndarray, p: int, at: np.ndarray) -> np.ndarray:
-    """How many unmarked words from ``p`` of the test on stand at each place ``at`` of the text."""
-    n = len(test) - p
-    stop = int(p_marked[p:].argmax()) if p_marked[p:].any() else n
-    places = at[:, None] + np.arange(stop)
-    inside = places < len(text)
-    places[~inside] = 0
-    same = inside & (text[places] == test[p : p + stop]) & ~t_marked[places]
-    return np.where(same.all(1), stop, same.argmin(1))
+def match_lengths(test: np.ndarray, text: np.ndarray, p: int, at: np.ndarray) -> np.ndarray:
+    """How many words from ``p`` of the test on stand at each place ``at`` of the text, which goes on for a test's length without any."""
+    same = np.lib.stride_tricks.sliding_window_view(text, len(test) - p)[at] == test[p:]
+    return np.where(same.all(1), len(test) - p, same.argmin(1))
 
 
 def tile(test: np.ndarray, text: np.ndarray, least: int = LEAST_TILE) -> list[tuple[int, int, int]]:
@@ -78,12 +74,16 @@ def tile(test: np.ndarray, text: np.ndarray, least: int = LEAST_TILE) -> list[tu
     least = max(1, min(least, len(test)))
     p_marked, t_marked = np.zeros(len(test), bool), np.zeros(len(text), bool)
     p_windows, t_windows = Windows(test), Windows(text)
+    # Words as small numbers; one that is marked, or that the test doesn't have, equals none on the other side.
+    known = np.unique(test)
+    small = np.int16 if len(known) < 1 << 15 else np.int64
+    p_code, at = np.searchsorted(known, test).astype(small), np.minimum(np.searchsorted(known, text), len(known) - 1)
+    t_code = np.append(np.where(known[at] == text, at, -1), np.full(len(test), -1)).astype(small)
     tiles: list[tuple[int, int, int]] = []
     under = 0  # words of the test
     s = max(least, min(FIRST_LENGTH, len(test)))
     while s >= least:
-        matches: list[tuple[int, int, int]] = []
-        longest = 0
+        found = [np.zeros((3, 0), np.int64)]  # lengths, places in the test, places in the text
         if s <= min(len(test), len(text)):
             ph, th = p_windows.hashes(s), t_windows.hashes(s)
             ps, ts = np.flatnonzero(unmarked(p_marked, s)), np.flatnonzero(unmarked(t_marked, s))
@@ -93,32 +93,32 @@ def tile(test: np.ndarray, text: np.ndarray, least: int = LEAST_TILE) -> list[tu
             for p, a, b in zip(ps[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist()):
                 at = ts[a:b]
                 if p and not p_marked[p - 1]:  # leave out what is part of a longer match that begins before
-                    at = at[(at == 0) | (text[at - 1] != test[p - 1]) | t_marked[at - 1]]
+                    at = at[(at == 0) | (t_code[at - 1] != p_code[p - 1])]
                 for part in np.array_split(at, len(at) * (len(test) - p) // STEP + 1) if len(at) else ():
-                    for k, t in zip(match_lengths(test, text, p_marked, t_marked, p, part).tolist(), part.tolist()):
-                        if k >= s:
-                            longest = max(longest, k)
-                            matches.append((k, p, t))
+                    k = match_lengths(p_code, t_code, p, part)
+                    found.append(np.stack([k, np.full(len(k), p), part])[:, k >= s])
+        found = np.concatenate(found, axis=1)
+        longest = int(found[0].max(initial=0))
         if longest > 2 * s:
             s = longest
             continue
-        matches.sort(key=lambda x: (-x[0], x[1], x[2]))
-        queue = {}
-        for k, p, t in matches:
-            queue.setdefault(k, []).append((p, t))
+        found = found[:, np.lexsort((found[2], found[1], -found[0]))]
+        queue: dict[int, list[tuple[int, int]]] = {}
         for k in range(longest, s - 1, -1):
-            for p, t in queue.get(k, ()):
+            a, b = np.searchsorted(-found[0], [-k, 1 - k])
+            for p, t in chain(zip(found[1, a:b].tolist(), found[2, a:b].tolist()), queue.get(k, ())):
                 if under == len(test):
                     return sorted(tiles)
                 if not p_marked[p : p + k].any() and not t_marked[t : t + k].any():
                     p_marked[p : p + k] = t_marked[t : t + k] = True
+                    p_code[p : p + k], t_code[t : t + k] = -2, -3
                     tiles.append((p, t, k))
                     under += k
                 else:  # what is left free of it, if long enough, waits its turn
                     free = np.flatnonzero(np.diff(np.concatenate([[True], p_marked[p : p + k] | t_marked[t : t + k], [True]]).astype(np.int8)))
-                    for a, b in zip(free[::2].tolist(), free[1::2].tolist()):
-                        if s <= b - a < k:
-                            queue.setdefault(b - a, []).append((p + a, t + a))
+                    for a2, b2 in zip(free[::2].tolist(), free[1::2].tolist()):
+                        if s <= b2 - a2 < k:
+                            queue.setdefault(b2 - a2, []).append((p + a2, t + a2))
         s = s // 2 if s > 2 * least else least if s > least else 0
     return sorted(tiles)
 
