@@ -1,3 +1,4 @@
+import bisect
 import time
 import zlib
 from collections import defaultdict
@@ -8,6 +9,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from gristmill.llm import packing as pk
 from gristmill.llm import sentencepieces as sp
@@ -151,6 +153,78 @@ def test_boundaries_are_sampled_quantiles(make):
         assert {k for k, _ in sh.splitters(drawn, 64)} <= {x for k in drawn["key"] for x in (k, k + 1)}
 
 
+def plain_assignment(rows, drawn, n_shards, n_ranges, mean):
+    """Shard and slot by (rank_id): boundaries from the drawn (key, rank_id), then records one after another.
+
+    ``rows``: (rank_id, key, size). Whole keys are given out as the rule says: heavy ones first, each to the least laden shard,
+    then all ranges in order into what room is left.
+    """
+    rows, drawn = sorted(rows, key=lambda r: (r[1], r[0])), sorted(drawn)
+    keys = [k for k, _ in drawn]
+    cuts = {(keys[int(len(keys[1:]) * i / n_ranges)], sh.LOW) for i in range(1, n_ranges)}
+    for k in set(keys):
+        if 2 * keys.count(k) * n_ranges >= len(keys):
+            cuts |= {(k, sh.LOW), (k + 1, sh.LOW)}
+    most = 4 * sum(r[2] for r in rows) / n_ranges
+    while True:
+        order = sorted(cuts)
+        ranges = defaultdict(list)
+        for r in rows:
+            ranges[bisect.bisect_right(order, (r[1], r[0]))].append(r)
+        more = set(cuts)
+        for i, own in ranges.items():
+            weight = sum(r[2] for r in own) + mean * len(own)
+            if weight > most:
+                inside = [x for x in drawn if bisect.bisect_right(order, x) == i]
+                step = max(1, int(len(inside) * most / (2 * weight)))
+                one = own[0][1] == own[-1][1]
+                more |= {(own[0][1], rid) for _, rid in inside[::step]} if one else {(x, sh.LOW) for k, _ in inside[::step] for x in (k, k + 1)}
+        if more == cuts:
+            break
+        cuts = more
+    ranges = [ranges[i] for i in sorted(ranges)]
+    size, quota = [sum(r[2] for r in own) for own in ranges], sum(r[2] for r in rows) / n_shards
+    of_key = [own[0][1] if own[0][1] == own[-1][1] else None for own in ranges]
+    units = []  # ranges that go together
+    for i, k in enumerate(of_key):
+        together = sum(s for s, x in zip(size, of_key) if x == k) if k is not None else 0
+        if units and k is not None and of_key[i - 1] == k and together <= quota:
+            units[-1].append(i)
+        else:
+            units.append([i])
+    load, shard = [0.0] * n_shards, {}
+    weight = [sum(size[i] for i in u) for u in units]
+    for u in sorted(range(len(units)), key=lambda u: -weight[u]):
+        i = units[u][0]
+        if of_key[i] is not None and weight[u] > sh.HEAVY * quota and sum(s for s, x in zip(size, of_key) if x == of_key[i]) <= quota:
+            shard[u] = load.index(min(load))
+            load[shard[u]] += weight[u]
+    rest, room = [u for u in range(len(units)) if u not in shard], [max(quota - x, 0) for x in load]
+    scale, ends, upto = sum(weight[u] for u in rest) / max(sum(room), 1e-9), [], 0.0
+    for x in room:
+        ends.append((ends[-1] if ends else 0) + x * scale)
+    for u in rest:
+        shard[u] = min(bisect.bisect_right(ends, upto + weight[u] / 2), n_shards - 1)
+        upto += weight[u]
+    out, slot = {}, [0] * n_shards
+    for u, own in enumerate(units):
+        for r in (r for i in own for r in ranges[i]):
+            out[r[0]] = (shard[u], slot[shard[u]])
+            slot[shard[u]] += 1
+    return out
+
+
+def test_assignment_against_a_plain_one(make):
+    rng = np.random.default_rng(5)
+    rows = [(i, "x" * int(rng.integers(1, 400)) + str(i)) for i in range(900)] + [(1000 + i, "hot " * 20) for i in range(400)] + [(2000 + i, "warm " * 20) for i in range(60)] + [(3000, "z" * 30_000)]
+    d = sh.keyed(make(rows))
+    n, total = d.agg(F.count("*"), F.sum("size")).first()
+    luck = F.shiftrightunsigned(F.xxhash64("key", "rank_id"), 1) / float(1 << 63)
+    drawn = [(r.key, r.rank_id) for r in d.where(luck < (F.col("size") + total / n) * (8 * 8 * 4 / (2 * total))).collect()]
+    want = plain_assignment([(r.rank_id, r.key, r.size) for r in d.collect()], drawn, 8, 64, total / n)
+    assert len(drawn) > 50 and {r.doc_id: (r.shard, r.slot) for r in sh.assign(make(rows), 8, ranges=8, oversample=4).collect()} == want
+
+
 def test_overfull_ranges_are_subdivided():
     sums = pd.DataFrame({"range": [0, 1, 2], "low": [0, 10, 20], "high": [5, 19, 20], "weight": [10.0, 90.0, 90.0]})
     drawn = pd.DataFrame({"key": [1, 11, 12, 13, 14, 20, 20, 20, 20], "rank_id": [1, 2, 3, 4, 5, 6, 7, 8, 9]})
