@@ -95,6 +95,21 @@ def test_same_ids_as_the_library(coder, texts):
     assert [b for b, t in zip(back, texts) if "▁" not in t] == [t for t in texts if "▁" not in t]
 
 
+def test_texts_that_do_not_come_back_are_encoded_anew(coder):
+    enc, lib = coder
+    texts = ["one text of words", "another one", "a ▁ mark", "", "last text"]
+    [c] = sp.chunks(pa.array(texts), sp.STEP_BYTES)
+    total, flat = enc.encode(c)
+    cut = np.cumsum(total)
+    wrong = flat.copy()
+    wrong[cut[0]], wrong[-1] = 5000, 6000  # as if a unit had been taken for another
+    wrong = np.delete(wrong, cut[0] + 1)
+    count = total.copy()
+    count[1] -= 1
+    got = sp.mended(enc.m, pa.array(texts), c.rows, count, wrong, np.array([True, False, False, True, False]))
+    assert [x.tolist() for x in np.split(got[1], np.cumsum(got[0])[:-1])] == [lib.encode(t) for t in texts] and got[2].tolist() == [True, True, False, True, True]
+
+
 def test_same_ids_on_the_data(coder, docs, odd):
     enc, lib = coder
     got = {r.doc_id: r for r in sp.encode(docs).collect()}
