@@ -4,18 +4,23 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Checkpoint into the folder all executors share; one of its own only where the session names none and all is one machine (tests)."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and (not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster")):
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share; one of its own only where the session names none and all is one machine (tests)."""
+    sc, named = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
+    if sc.getCheckpointDir() is None:
+        if named is None and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="gristmill-"))
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="gristmill-"))
+    return named or sc.getCheckpointDir()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Checkpoint into the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -8,7 +8,11 @@ TABLES = {
     "file_hashes": "file_path string, content_hash string, last_processed timestamp, sample_id long",
     "failed_files": "failed_id long, file_path string, reason string, failed_at timestamp",
     "pipeline_state": "key string, value string",
+    "memo": "memo_key string, questions array<string>, answer string, made_at timestamp",
 }
+#: What a table's rows are replaced or deleted by; such tables are split into buckets by it.
+KEYS = {"file_hashes": "file_path", "failed_files": "file_path", "pipeline_state": "key", "memo": "memo_key"}
+FILE_LIST, FILE_CONTENTS = ("repo", "file_path", "size", "kept"), ("content_hash", "content", "error")
 CORPUS = "repo string, file_path string, size long, kept boolean, content_hash string, content string, error string"
 
 
