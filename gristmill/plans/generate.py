@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 import json
 import logging
 import re
@@ -13,19 +14,22 @@ from dataclasses import dataclass
 from http.client import HTTPException
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gristmill.functions.questions import parse_questions
-from gristmill.functions.text import memo_key, sha256
+from gristmill.functions.questions import clean_answer, parsed_or_whole, question_lines
+from gristmill.functions.text import memo_key, sha256, strip, truncate_context
 from gristmill.operators.ids import settle
 from gristmill.settings import TRUNCATE_KEEP, TRUNCATE_MARK, TRUNCATE_OVER, Settings
 
 log = logging.getLogger(__name__)
 
 ASK = "You write training questions about source code and text. Write questions that the given content alone answers, of different kinds and difficulty, one on each line, and nothing else."
-REPLY = "Reply to one training question. The content that comes with it is the authority: whatever it says counts, even against common belief, and you fill gaps with what is generally known. Give the answer and nothing around it."
+REPLY = "You see a passage and then a question that a reader of it asked. Answer in a few clear sentences, so that someone who has not seen the passage learns from the answer alone."
 
 
 def ask_prompt(content: str) -> list[dict]:
@@ -50,9 +54,15 @@ def retry_prompt(content: str) -> list[dict]:
 
 
 class Generator(Protocol):
-    """What a backend offers. None means failure; exceptions are failures of the one file or question."""
+    """What a backend offers: text. None means failure; exceptions are failures of the one file or question.
 
-    def questions(self, content: str, temperature: float, max_tokens: int) -> list[str] | None: ...
+    ``loose`` text is parsed for questions anywhere in it, and answers are cleaned; else each line that ends with a question
+    mark is one. A backend with ``batched`` = True takes lists of all but the last two arguments and returns a list.
+    """
+
+    loose: bool
+
+    def ask(self, content: str, temperature: float, max_tokens: int) -> str | None: ...
 
     def answer(self, question: str, content: str, temperature: float, max_tokens: int) -> str | None: ...
 
@@ -63,12 +73,13 @@ class StubGenerator:
 
     per_file: int = 2
     fail: str = ""
+    loose: bool = False
 
-    def questions(self, content: str, temperature: float, max_tokens: int) -> list[str] | None:
+    def ask(self, content: str, temperature: float, max_tokens: int) -> str | None:
         if self.fail and re.search(self.fail, content):
             return None
         words = list(dict.fromkeys(re.findall(r"\w+", content)))[: self.per_file]
-        return [f"What does {w} mean here?" for w in words] or None
+        return "\n".join(f"What does {w} mean here?" for w in words) or None
 
     def answer(self, question: str, content: str, temperature: float, max_tokens: int) -> str | None:
         return f"It is one of {len(content.split())} words."
@@ -135,20 +146,53 @@ class HttpGenerator:
                 log.warning("attempt %d: %s", attempt + 1, e)
         return None
 
-    def questions(self, content: str, temperature: float, max_tokens: int) -> list[str] | None:
+    def ask(self, content: str, temperature: float, max_tokens: int) -> str | None:
         if self.loose:
-            text = self.call(fenced_prompt(content), temperature, max_tokens) or self.call(retry_prompt(content), temperature, max_tokens)
-            return (parse_questions(text) or [text.strip()]) if text else None
-        text = self.call(ask_prompt(content), temperature, max_tokens)
-        return [q for x in (text or "").split("\n") if (q := x.strip()).endswith("?")] or None
+            return self.call(fenced_prompt(content), temperature, max_tokens) or self.call(retry_prompt(content), temperature, max_tokens)
+        return self.call(ask_prompt(content), temperature, max_tokens)
 
     def answer(self, question: str, content: str, temperature: float, max_tokens: int) -> str | None:
-        text = self.call(answer_prompt(question, shortened(content) if self.loose else content), temperature, max_tokens)
-        return (text.replace("Answer:", "").replace(question, "").strip() or None) if text and self.loose else text
+        return self.call(answer_prompt(question, shortened(content) if self.loose else content), temperature, max_tokens)
+
+
+def as_text(chat: list[dict]) -> str:
+    """A chat for a model without a chat template."""
+    return "\n\n".join(f"{m['role'].capitalize()}: {m['content']}" for m in chat)
+
+
+@dataclass
+class LocalGenerator:
+    """A model in the Python workers: ``load()`` is called once in each and gives ``generate(prompts, max_tokens)``.
+
+    ``generate`` gets at most ``batch`` prompts and returns a text for each. ``load`` may name a function as
+    ``package.module:function``; it must be importable, or be sent along, on executors. Prompts are
+    shortened, and the temperature isn't passed on.
+    """
+
+    load: str | Callable[[], Callable[[list[str], int], list[str]]]
+    batch: int = 8
+    loose: bool = True
+    batched: bool = True
+
+    def model(self) -> Callable[[list[str], int], list[str]]:
+        load = self.load
+        if isinstance(load, str):
+            module, _, name = load.partition(":")
+            load = getattr(importlib.import_module(module), name)
+        return load()
+
+    def prompt(self, args: list[str]) -> Column:
+        """The prompt for these columns: content, or question and content."""
+        hole = "\x00{}\x00".format
+        whole = as_text(fenced_prompt(hole("content")) if args == ["content"] else answer_prompt(hole("question"), hole("content")))
+        of = {hole("content"): truncate_context(F.col("content")), hole("question"): F.col("question")}
+        return F.concat(*[of.get(x, F.lit(x)) for x in re.split("(\x00.*?\x00)", whole)])
 
 
 #: Backends by name; a factory takes the settings.
-BACKENDS: dict[str, Callable[[Settings], Generator]] = {"stub": lambda s: StubGenerator(), "http": lambda s: HttpGenerator(s), "http-loose": lambda s: HttpGenerator(s, loose=True)}
+BACKENDS: dict[str, Callable[[Settings], Generator]] = {
+    "stub": lambda s: StubGenerator(), "http": lambda s: HttpGenerator(s), "http-loose": lambda s: HttpGenerator(s, loose=True), "local": lambda s: LocalGenerator(s.local_model, s.local_batch),
+}
 
 
 def generator(settings: Settings) -> Generator:
@@ -164,12 +208,8 @@ def _guarded(f: Callable, *args) -> tuple:
         return None, str(e)
 
 
-def _called(prompts: DataFrame, call: Callable, args: list[str], result: str, s: Settings) -> DataFrame:
-    """``prompts(_memo, ...)`` with each prompt once, dealt to ``model_tasks`` tasks, with result and error of its call.
-
-    Without the explicit count, as many tasks would call as adaptive execution leaves, often one.
-    """
-    tasks = s.model_tasks or prompts.sparkSession.sparkContext.defaultParallelism
+def _by_threads(prompts: DataFrame, call: Callable, args: list[str], s: Settings) -> DataFrame:
+    """A call for each prompt, ``files_in_flight`` at a time in a task."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with ThreadPoolExecutor(max(1, s.files_in_flight)) as pool:
@@ -177,29 +217,87 @@ def _called(prompts: DataFrame, call: Callable, args: list[str], result: str, s:
                 got = list(pool.map(lambda *x: _guarded(call, *x, s.temperature, s.max_tokens), *(b[a] for a in args)))
                 yield pd.DataFrame({"_memo": b["_memo"], "result": pd.Series([x for x, _ in got], dtype=object, index=b.index), "error": pd.Series([e for _, e in got], dtype=object, index=b.index)})
 
-    return prompts.select("_memo", *args).dropDuplicates(["_memo"]).repartition(tasks).mapInPandas(run, f"_memo string, result {result}, error string")
+    return prompts.mapInPandas(run, "_memo string, result string, error string")
+
+
+def _by_batches(prompts: DataFrame, g: LocalGenerator, args: list[str], s: Settings) -> DataFrame:
+    """Batches of at most ``g.batch`` prompts for a model that each worker loads once."""
+
+    def make() -> Callable:
+        generate = g.model()
+
+        def predict(asked: np.ndarray) -> dict[str, np.ndarray]:
+            n = len(asked)
+            got, error = _guarded(lambda: list(generate(asked.tolist(), s.max_tokens)))
+            if error is None and len(got) != n:
+                got, error = None, f"the model gave {len(got)} texts for {n} prompts"
+            # no text is an empty one, and so is no error: a prediction is never null
+            return {"result": np.array([x or "" for x in got or [""] * n], dtype=object), "error": np.array([error or ""] * n, dtype=object)}
+
+        return predict
+
+    model = predict_batch_udf(make, return_type=T.StructType().add("result", T.StringType()).add("error", T.StringType()), batch_size=g.batch)
+    return prompts.select("_memo", model(g.prompt(args)).alias("x")).select("_memo", F.nullif(F.col("x.result"), F.lit("")).alias("result"), F.nullif(F.col("x.error"), F.lit("")).alias("error"))
+
+
+def _called(prompts: DataFrame, g: Generator, call: Callable | None, args: list[str], s: Settings) -> DataFrame:
+    """(_memo, result, error) of ``prompts(_memo, ...)``, each asked once, dealt to ``model_tasks`` tasks, settled.
+
+    Without the explicit count, as many tasks would call as adaptive execution leaves, often one.
+    """
+    tasks = s.model_tasks or prompts.sparkSession.sparkContext.defaultParallelism
+    prompts = prompts.select("_memo", *args).dropDuplicates(["_memo"]).repartition(tasks)
+    return settle(_by_batches(prompts, g, args, s) if getattr(g, "batched", False) else _by_threads(prompts, call, args, s))
 
 
 def _memo(s: Settings, *args: str) -> Column:
     """Names a generation by all that it depends on."""
-    return memo_key(F.concat_ws("_", *[sha256(F.col(a)) for a in args]), F.lit(s.temperature), F.lit(s.max_tokens))
+    return memo_key(F.concat_ws("_", F.lit(s.backend), F.lit(s.model or s.local_model), *[sha256(F.col(a)) for a in args]), F.lit(s.temperature), F.lit(s.max_tokens))
 
 
-def ask(files: DataFrame, g: Generator, s: Settings) -> DataFrame:
-    """file_path, content, questions, error: a model call for each different content, up to ``files_in_flight`` at a time in a task.
+def _remembered(prompts: DataFrame, memo: DataFrame | None, column: str) -> tuple[DataFrame, DataFrame | None]:
+    """(prompts without a remembered result, (_memo, ``column``) of the others).
 
-    Calls are settled before they are joined, as they can't be repeated.
+    The memo is looked up by key: few prompts are broadcast to its scan; with many, both sides are shuffled, where Spark puts
+    a Bloom filter of the prompts' keys in front of the memo's exchange if that is large.
     """
-    files = files.select("file_path", "content").withColumn("_memo", _memo(s, "content"))
-    got = settle(_called(files, g.questions, ["content"], "array<string>", s))
-    return files.join(got, "_memo").select("file_path", "content", F.col("result").alias("questions"), "error")
+    if memo is None:
+        return prompts, None
+    wanted = settle(prompts.select("_memo").distinct())
+    few = wanted.count() <= FEW
+    known = settle(memo.where(F.col(column).isNotNull()).select(F.col("memo_key").alias("_memo"), column).join(F.broadcast(wanted) if few else wanted, "_memo", "left_semi"))
+    return prompts.join(known.select("_memo"), "_memo", "left_anti"), known
+
 
+#: Prompts (a key of 32 characters each) up to which their keys are broadcast.
+FEW = 200_000
 
-def answer(asked: DataFrame, g: Generator, s: Settings) -> DataFrame:
-    """``asked(file_path, place, question, content)`` with answer and error; a model call for each different question and content."""
+
+def ask(files: DataFrame, g: Generator, s: Settings, memo: DataFrame | None = None) -> DataFrame:
+    """_memo, file_path, content, questions, error and fresh: a model call for each different content that ``memo`` doesn't have.
+
+    Calls are settled before they are joined, as they can't be repeated; ``fresh`` marks questions that a call gave.
+    """
+    files = files.select("file_path", "content").withColumn("_memo", _memo(s, "content"))
+    left, known = _remembered(files, memo, "questions")
+    got = _called(left, g, None if getattr(g, "batched", False) else g.ask, ["content"], s)
+    parsed = parsed_or_whole if g.loose else question_lines
+    got = got.select("_memo", parsed(F.col("result")).alias("questions"), "error", F.lit(True).alias("fresh"))
+    if known is not None:
+        got = got.unionByName(known.select("_memo", "questions", F.lit(None).cast("string").alias("error"), F.lit(False).alias("fresh")))
+    return files.join(got, "_memo").select("_memo", "file_path", "content", "questions", "error", "fresh")
+
+
+def answer(asked: DataFrame, g: Generator, s: Settings, memo: DataFrame | None = None) -> DataFrame:
+    """_memo, file_path, place, question, answer, error and fresh for ``asked(file_path, place, question, content)``; a call for
+    each different question and content that ``memo`` doesn't have."""
     asked = asked.select("file_path", "place", "question", "content").withColumn("_memo", _memo(s, "question", "content"))
-    got = settle(_called(asked, g.answer, ["question", "content"], "string", s))
-    return asked.join(got, "_memo").select("file_path", "place", "question", F.col("result").alias("answer"), "error")
+    left, known = _remembered(asked, memo, "answer")
+    got = _called(left, g, None if getattr(g, "batched", False) else g.answer, ["question", "content"], s).select("_memo", "result", "error", F.lit(True).alias("fresh"))
+    if known is not None:
+        got = got.unionByName(known.select("_memo", F.col("answer").alias("result"), F.lit(None).cast("string").alias("error"), F.lit(False).alias("fresh")))
+    said = clean_answer(F.col("result"), F.col("question")) if g.loose else F.nullif(strip(F.col("result")), F.lit(""))
+    return asked.join(got, "_memo").select("_memo", "file_path", "place", "question", said.alias("answer"), "error", "fresh")
 
 
 def answers_batch(g: Generator, pairs: list[tuple[str, str]], s: Settings) -> list[str | None]:

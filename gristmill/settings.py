@@ -41,3 +41,12 @@ class Settings:
     by_repo: bool = False
     max_log_files: int = 5
     mark_seen: bool = False
+    #: Files of a repository that ``by_repo`` works on and commits at a time (0: all of them).
+    batch_files: int = 0
+    #: Days for which results of model calls are used again by later runs (0: not at all).
+    memo_days: float = 7.0
+    #: What loads the model of the "local" backend (``package.module:function``), and prompts in a batch.
+    local_model: str = ""
+    local_batch: int = 8
+    #: Lanes of requests and clones to one host; together they keep the pause between two requests.
+    lanes_per_host: int = 4

@@ -1,8 +1,10 @@
-"""The same work as streams: exactly-once micro-batches over a listing table, and question dedupe with bounded state."""
+"""The same work as streams: exactly-once micro-batches over changed files, and question dedupe with bounded state."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -14,20 +16,29 @@ from gristmill.plans.pipeline import process
 from gristmill.settings import Settings
 
 
-def prepare_stream(files: DataFrame, store: TableStore, g: Generator, settings: Settings, checkpoint: str, name: str = "files") -> StreamingQuery:
-    """Process a stream of (file_path, content_hash, content, error). The checkpoint is where a stopped run goes on.
+def query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a streaming query wrote into its checkpoint when it first began; a restart keeps it, another checkpoint has another."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata", wholetext=True).first()[0])["id"]
+
+
+def prepare_stream(files: DataFrame, store: TableStore, g: Generator, settings: Settings, checkpoint: str, **trigger) -> StreamingQuery:
+    """Process a stream of (file_path, content_hash, content, error), such as ``file_stream``. The checkpoint is where a stopped run goes on.
 
-    A batch's pairs, hashes and failures are committed together with its number, so a batch that ran before a crash is
-    left alone when it comes again, and one that did not get to its commit left nothing: each counts exactly once.
+    A batch's pairs, hashes and failures are committed together with its number under the checkpoint's own id, so a batch
+    that ran before a crash is left alone when it comes again, and one that did not get to its commit left nothing: each
+    counts exactly once. ``trigger`` as of ``writeStream.trigger``; without one, what is there now is worked on.
     """
+    known: list[str] = []
 
     def batch(df: DataFrame, epoch: int) -> None:
+        if not known:
+            known.append(query_id(df.sparkSession, checkpoint))
         with store.unit():
-            if store.first_time(name, epoch):
+            if store.first_time(known[0], epoch):
                 newest = latest(df, ["file_path"], [F.col("content_hash").desc_nulls_last()])
                 process(to_process(newest, store.read("file_hashes")), store, g, settings)
 
-    return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def fresh_questions(asked: DataFrame, event_time: str | None = None, delay: str = "7 days") -> DataFrame:
