@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from gristmill.plans import catalogue
+from gristmill.plans import catalogue, store_queries  # noqa: F401
 
 
 def plain(v):
