@@ -116,6 +116,8 @@ def by_repo(spark: SparkSession, settings: Settings, store: TableStore, g: Gener
     """One commit for each repository, or for each ``batch_files`` files of one, in order, which also keeps the place: a run
     that ends early goes on with the repository it was at, and with the last file of the last batch."""
     repos = repo_table(spark, settings.repos_dir)
+    if repos.isEmpty():  # the tree is taken as one
+        repos = spark.createDataFrame([(settings.repos_dir.rstrip("/") or "/",)], "repo string")
     state, done = store.load_state(), spark.createDataFrame([], "file_path string, success boolean, qa_count long")
     todo = [r.repo for r in resume(repos, "repo", state["current_repo_name"]).orderBy("repo").collect()]  # a name for each repository
     before = repos.count() - len(todo)

@@ -212,6 +212,14 @@ def test_prepare_by_repo_keeps_its_place(spark, world):
     assert set(names(pipeline.prepare(spark, s, store, StubGenerator(fail="BAD")).collect())) == {"b.py", "empty.py", "z.py"}
 
 
+def test_a_tree_without_repositories_is_one(spark, tmp_path):
+    (tmp_path / "t/d").mkdir(parents=True)
+    (tmp_path / "t/d/a.py").write_text("alpha")
+    s = Settings(repos_dir=f"{tmp_path}/t/", by_repo=True)
+    store = TableStore(spark, f"file://{tmp_path}/store", buckets=4)
+    assert names(pipeline.prepare(spark, s, store, StubGenerator()).collect()) == {"a.py": (True, 1)}
+
+
 def test_prepare_by_batches_keeps_its_place_within_a_repository(spark, world):
     s, store, repo = world
     (repo / "b.py").write_text("beta")
