@@ -187,11 +187,15 @@ class TableStore:
                 return base + 1
         raise Conflict(f"{ATTEMPTS} other writers came first")
 
+    def is_empty(self, table: str) -> bool:
+        """Whether nothing was ever stored, or all of it was deleted."""
+        return not (self._open or self._manifest()[1])["tables"][table]["pieces"]
+
     def append(self, table: str, df: DataFrame, id_column: str | None = None, order: list[str] | None = None) -> DataFrame:
         """Append and return the rows as written; ``id_column`` gets ids above any ever given out (also to deleted rows)."""
         with self.unit():
             if id_column:
-                df = settle(dense_ids(df, order or df.columns, id_column, 0))
+                df = dense_ids(df, order or df.columns, id_column, 0)  # the rows are settled there
                 n = df.count()
                 df = df.withColumn(id_column, F.col(id_column) + (self._reserve(table, n) if n else 0))
             pieces = self._write(table, df)
@@ -214,7 +218,9 @@ class TableStore:
 
     def delete(self, table: str, keys: DataFrame, key: str) -> None:
         """Delete the rows with one of these keys; rewrites only pieces that hold some, and nothing if there are none."""
-        with self.unit():
+        with self.unit() as u:
+            if not u["tables"][table]["pieces"]:
+                return
             keys = settle(keys.select(key).distinct())
             if old := self._pieces_with(table, keys, key):
                 self._change({"table": table, "drop": old, "add": self._write(table, self._rows(table, old).join(keys, key, "left_anti"))})

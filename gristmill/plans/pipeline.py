@@ -34,8 +34,8 @@ def scrape(spark: SparkSession, settings: Settings, list_path: str = "repos.txt"
 
 
 def remembered(store: TableStore, settings: Settings) -> DataFrame | None:
-    """The memo's rows that are young enough; None if there is to be no memo."""
-    if settings.memo_days <= 0:
+    """The memo's rows that are young enough; None if there is none, or is to be none."""
+    if settings.memo_days <= 0 or store.is_empty("memo"):
         return None
     return store.read("memo").where(F.col("made_at") > store.now - F.make_dt_interval(secs=F.lit(settings.memo_days * 86400).cast("decimal(18,6)")))
 
@@ -69,7 +69,7 @@ def process(files: DataFrame, store: TableStore, g: Generator, settings: Setting
             done = files.join(failures.select("file_path"), "file_path", "left_anti")
         store.save_hashes(done)
         store.remove("failed_files", good)
-        if memo is not None:
+        if settings.memo_days > 0:
             given = asked.where("fresh and questions is not null").select(F.col("_memo").alias("memo_key"), "questions", F.lit(None).cast("string").alias("answer"))
             said = answered.where("fresh and answer is not null").select(F.col("_memo").alias("memo_key"), F.lit(None).cast("array<string>").alias("questions"), "answer")
             store.upsert("memo", given.unionByName(said).dropDuplicates(["memo_key"]).withColumn("made_at", store.now), ["memo_key"])
