@@ -92,9 +92,13 @@ def count_words(docs: DataFrame, min_chars: int = MIN_CHARS, min_count: int = MI
 
 
 def placed(words: DataFrame, intervals) -> DataFrame:
-    """``words(word, n, m, ...)`` once for each of ``intervals`` (an array of structs lo, hi), with the block's key."""
+    """``words(word, n, m, ...)`` once for each of ``intervals`` (an array of structs lo, hi), with the block's key.
+
+    The key is what must be equal before the interval, and behind it from the end on: the beginning of the word, of the
+    reversed word, or both. So blocks with lo = 0 are ranges of the reversed dictionary, and those up to the end of the forward one.
+    """
     x = words.withColumn("x", F.explode(intervals)).select("word", "n", "m", F.col("x.lo").alias("lo"), F.col("x.hi").alias("hi"))
-    return x.withColumn("key", F.concat(F.substring("word", F.lit(1), F.col("lo")), F.right("word", F.greatest(F.col("m") - F.col("hi"), F.lit(0)))))
+    return x.withColumn("key", F.concat(F.substring("word", F.lit(1), F.col("lo")), F.reverse(F.right("word", F.greatest(F.col("m") - F.col("hi"), F.lit(0))))))
 
 
 def interval(lo, hi):
