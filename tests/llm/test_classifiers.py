@@ -1,4 +1,5 @@
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -148,3 +149,73 @@ def test_labelled_sample_is_bounded_and_distinct(spark, make):
     assert not d.where(held_out(F.col("doc_id")) & F.col("doc_id").isin(got["doc_id"].tolist())).count()
     again = labelled_sample(d.repartition(7), labels.repartition(3), "y", 300, 500, 2000).toPandas()
     assert sorted(map(tuple, again.itertuples(index=False))) == sorted(map(tuple, got.itertuples(index=False)))
+
+
+def plain_kernel(s, t):
+    """Sharpened cosine of the words' weighted triples of letters, by going over all of them."""
+
+    def triples(w):
+        out = defaultdict(float)
+        for i in range(len(w)):
+            for j in range(i + 1, len(w)):
+                for k in range(j + 1, min(len(w), i + tox.SPAN)):
+                    out[w[i] + w[j] + w[k]] += tox.DECAY ** (k - i + 1)
+        return out
+
+    a, b = triples(s), triples(t)
+    norm = np.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+    return sum(x * b.get(c, 0.0) for c, x in a.items()) / norm if norm else 0.0
+
+
+def test_landmarks_are_those_of_a_plain_choice():
+    """Words by how much they tell of toxic documents, each next one discounted by its likeness to those chosen."""
+    rng = np.random.default_rng(8)
+    bad, plain = ["idiot", "moron", "clown", "scum", "idiots", "trash"], [f"{a}{b}{c}" for a in ("bal", "tor", "min") for b in ("ev", "ul", "ar") for c in ("ne", "sto", "rix")]
+    docs, y = [], []
+    for i in range(160):
+        words = [plain[j] for j in rng.integers(0, len(plain), 12)]
+        if i % 4 == 0:
+            words[int(rng.integers(12))] = bad[int(rng.integers(len(bad)))]
+        docs.append(words)
+        y.append(1 if i % 4 == 0 else -1)
+    model = tox.fit([" ".join(w) + "." for w in docs], np.array(y))
+    n1, n0 = y.count(1), y.count(-1)
+    tells = {}
+    for w in sorted({x for d in docs for x in d}):
+        df1, df0 = (sum(w in d for d, z in zip(docs, y) if z == k) for k in (1, -1))
+        tells[w] = (np.log((df1 + 0.5) / (n1 + 1)) - np.log((df0 + 0.5) / (n0 + 1))) * np.sqrt(df1) if df1 >= 3 else 0.0
+    left, want = {w: x for w, x in tells.items() if x > 0}, []
+    while left and max(left.values()) > 0 and len(want) < tox.LANDMARKS:
+        best = max(sorted(left), key=left.get)
+        want.append(best)
+        left = {w: x * (1 - 0.9 * min(1.0, plain_kernel(w, best)) ** 2) for w, x in left.items() if w != best}
+    got = [w.decode() for w in model[0]]
+    assert got[: len(want)] == want and set(bad) <= set(want) and len(got) <= len(want) + tox.ORDINARY
+    # the Nystroem map of landmarks gives their kernel back, so that a weight for each landmark says the same
+    k = np.array([[plain_kernel(a, b) for b in got] for a in got])
+    k = np.where(k >= tox.CUT, k, 0) ** tox.POWER
+    value, vector = np.linalg.eigh(k)
+    feature = k @ (vector[:, value > 1e-6] / np.sqrt(value[value > 1e-6]))
+    assert np.abs(feature @ feature.T - k).max() < 1e-6 + np.abs(value[value <= 1e-6]).sum()
+    margin = {w: float(k[i] @ model[1]) for i, w in enumerate(got)}
+    assert min(margin[w] for w in bad) > max(margin[w] for w in got if w not in want)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_support_vectors_against_plain_descent(seed):
+    rng = np.random.default_rng(seed)
+    x, times = rng.normal(size=(60, 4)), rng.integers(1, 5, 60).astype(float)
+    y = np.where(x[:, 0] + 0.5 * rng.normal(size=60) > 0.4, 1.0, -1.0)
+    share = {k: times.sum() / (2 * times[y == k].sum()) for k in (1.0, -1.0)}
+
+    def slope(w):
+        out = np.append(w[:-1], 1e-6 * w[-1])
+        for r, k, t in zip(x, y, times):
+            a = np.append(r, 1.0)
+            out -= 2 * tox.COST * t * share[k] * max(0.0, 1 - k * float(a @ w)) * k * a
+        return out
+
+    w = np.zeros(5)
+    for _ in range(6000):
+        w = w - 4e-4 * slope(w)
+    assert np.abs(tox.support_vectors(x, y, times) - w).max() < 1e-3
