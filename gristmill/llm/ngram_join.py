@@ -10,7 +10,8 @@ A document is the set of its k-word shingles (64-bit hashes). Two link when ``10
    class alone are dropped. No frequency is estimated; no list is cut.
 3. Classes that meet in a short list are put into one cluster (components over list leaders: linear in the lists'
    lengths); every link lies within a cluster. A cluster of up to ``BLOCK`` classes and ``BLOCK_SHINGLES`` shingles is searched
-   whole, many to a task. Hot tokens, found in a sample, are counted and joined by broadcast, so that none fills a task.
+   whole, many to a task. Hot tokens, found in a sample, are joined by broadcast, with the sample's estimate for their rarity
+   and a lead that is no row, so that none fills a task.
 4. A larger cluster is searched in the way that compares less, by the lists' lengths. Dense (near copies of one text):
    blocks of some ``BLOCK`` classes or ``BLOCK_SHINGLES`` shingles, against those blocks whose sizes allow a link, so that a pair meets once. Sparse
    (texts that quote each other): list by list; a task holds the heads of some lists' members, a list over ``BLOCK`` is
@@ -312,23 +313,30 @@ def blocks_of(block: int) -> Column:
 
 
 def hot_tokens(heads: DataFrame) -> DataFrame:
-    """(token): those of the arrays ``head`` that many rows have, judged by a sample of rows."""
+    """(token, df): those of the arrays ``head`` that many rows have, and about how many, judged by a sample of rows."""
     total = heads.agg(F.coalesce(F.sum(F.size("head")), F.lit(0))).first()[0]
-    some = heads.sample(fraction=min(1.0, max(SAMPLED_PART, SAMPLED / max(1, total))), seed=7)
-    return durable(some.select(F.explode("head").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") >= HOT).select("token"))
+    part = min(1.0, max(SAMPLED_PART, SAMPLED / max(1, total)))
+    some = heads.sample(fraction=part, seed=7).select(F.explode("head").alias("token"))
+    return durable(some.groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") >= HOT).select("token", F.ceil(F.col("c") / part).cast("long").alias("df")))
 
 
-def by_token(rows: DataFrame, hot: DataFrame, summary, condition: str) -> DataFrame:
-    """``rows(token, ...)`` with the ``summary`` (aggregates) of their token, where ``condition`` holds for it.
+def with_df(tokens: DataFrame, hot: DataFrame) -> DataFrame:
+    """``tokens(token, ...)`` of two rows or more, with the number of rows that have the token: counted, or about so for hot ones.
 
-    What is known of hot tokens is a few rows: it is joined by broadcast, and their rows stay where they are. All others
-    are joined by shuffle, where no token has many rows.
+    Any order of tokens that is the same for all rows is right, so that hot tokens need no count: their rows meet the hot
+    table by broadcast and stay where they are. The others are joined by shuffle, where no token has many rows.
     """
-    if hot.isEmpty():
-        return rows.join(rows.groupBy("token").agg(*summary).where(condition), "token")
-    few = durable(join_small(rows, hot, "token", "left_semi").groupBy("token").agg(*summary).where(condition))
-    cold = join_small(rows, hot, "token", "left_anti")
-    return cold.join(cold.groupBy("token").agg(*summary).where(condition), "token").unionByName(join_small(rows, few, "token"))
+    cold = tokens if hot.isEmpty() else join_small(tokens, hot, "token", "left_anti")
+    counted = cold.join(cold.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "token")
+    return counted if hot.isEmpty() else counted.unionByName(join_small(tokens, hot, "token"))
+
+
+def with_lead(listed: DataFrame, hot: DataFrame) -> DataFrame:
+    """(row, lead): all rows of a list have one lead in common, its least row, or for a hot token a number below all rows."""
+    cold = listed if hot.isEmpty() else join_small(listed, hot.select("token"), "token", "left_anti")
+    led = cold.join(cold.groupBy("token").agg(F.min("row").alias("lead"), F.count("*").alias("c")).where("c > 1"), "token").select("row", "lead")
+    hub = F.lit(-(1 << 61)) - F.pmod("token", F.lit(1 << 60))
+    return led if hot.isEmpty() else led.unionByName(join_small(listed, hot.select("token"), "token").select("row", hub.alias("lead")))
 
 
 def links(docs: DataFrame, k: int, percent: int, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
@@ -342,14 +350,13 @@ def links(docs: DataFrame, k: int, percent: int, block: int = BLOCK) -> tuple[Da
     # Not settled once more: exploded rows take several times the room of the lists, and both uses below shuffle them at once.
     tokens = of.where("class = row and rep is not null").select(F.explode("head").alias("token"), "row", F.col("n_shingles").alias("n"))
     hot = hot_tokens(of.where("class = row and rep is not null"))
-    kept = by_token(tokens, hot, [F.count("*").alias("df")], "df > 1").groupBy("row").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
+    kept = with_df(tokens, hot).groupBy("row").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
     t, e = F.expr(f"({percent} * n + 99) div 100"), F.expr(f"({100 - percent} * n + 99) div 100")
     head = F.least(F.col("n"), F.col("n") - t + e)
     f = F.greatest(F.lit(1), F.expr(f"({percent * (100 - percent)} * n + 9999) div 10000"))
     room = head - f + 1 - (head - F.size("t"))  # shingles of one class come first in rarity, and take room
     listed = durable(kept.where(room > 0).select("row", "n", F.explode(F.slice("t", 1, room.cast("int"))).alias("x")).select("row", F.col("n").alias("n_shingles"), "x.token"))
-    led = by_token(listed.select("token", "row"), hot, [F.min("row").alias("lead"), F.count("*").alias("c")], "c > 1")
-    cluster = components(led.where("row <> lead").select(F.col("row").alias("a"), F.col("lead").alias("b"))).withColumnsRenamed({"node": "row", "component": "cluster"})
+    cluster = components(with_lead(listed.select("token", "row"), hot).where("row <> lead").select(F.col("row").alias("a"), F.col("lead").alias("b"))).withColumnsRenamed({"node": "row", "component": "cluster"})
 
     sized = durable(cluster.join(of.select("row", "key", "doc_id", "rep", "n_shingles", "sig"), "row"))
     large = durable(sized.groupBy("cluster").agg(F.count("*").alias("members"), blocks_of(block).alias("load")).where("load > 1").drop("load"))
