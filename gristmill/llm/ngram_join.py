@@ -12,6 +12,9 @@ A document is the set of its k-word shingles (64-bit hashes). Two link when ``10
    lengths); every link lies within a cluster. A cluster of up to ``BLOCK`` classes and ``BLOCK_SHINGLES`` shingles is searched
    whole, many to a task. Hot tokens, found in a sample, are joined by broadcast, with the sample's estimate for their rarity
    and a lead that is no row, so that none fills a task.
+   Short texts meet by chance in common phrases, and the more rows, the more of them are one cluster. So the classes of a
+   cluster of over ``FINE`` blocks are dealt anew: rarity is that of all shingles of their full sets among these classes, and of
+   n shingles the ``n - t + 1`` rarest (DivideSkip's ``L = t - 1``) make the short lists. Those that meet nobody there leave.
 4. A larger cluster is searched in the way that compares less, by the lists' lengths. Dense (near copies of one text):
    blocks of some ``BLOCK`` classes or ``BLOCK_SHINGLES`` shingles, against those blocks whose sizes allow a link, so that a pair meets once. Sparse
    (texts that quote each other): list by list; a task holds the heads of some lists' members, a list over ``BLOCK`` is
@@ -47,13 +50,18 @@ from gristmill.llm.components import components, forest
 BLOCK, TASK_SHINGLES = 512, 500_000
 #: Shingles of a block (8 bytes each, some five times that while it is searched); a longer text is a block of its own.
 BLOCK_SHINGLES = 4_000_000
+#: Binary searches in long lists that are done in one step.
+PROBES = 1 << 18
 #: Tokens that are sampled to find hot ones (or a part of all, if that is more), and occurrences in the sample that make one
 #: hot. A token that is missed or taken for hot changes the work only.
 SAMPLED, SAMPLED_PART, HOT = 2_000_000, 1e-4, 200
+#: Blocks of a cluster beyond which its classes are dealt anew by their full sets; up to that, comparing its blocks costs less.
+FINE = 16
 #: A large cluster is searched list by list if that meets so many times fewer pairs.
 SPARSE = 4
 SET = "row long, key long, doc_id long, n_shingles long, sig binary, head array<long>"
 TASK = "struct<cluster:bigint,b1:int,s1:int,b2:int,s2:int>"
+PARTS = "row long, n_shingles long, n_hot long, hot array<long>, cold array<long>"
 FULL = f"row long, doc_id long, task {TASK}, shingles binary"
 
 
@@ -122,6 +130,36 @@ def full_sets(k: int):
     return run
 
 
+def set_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The full sets of (row, shingles) as lists, with their sizes."""
+    for b in batches:
+        sets = b.column("shingles").to_pylist()
+        cut = np.concatenate([[0], np.cumsum([len(x) // 8 for x in sets], dtype=np.int64)])
+        lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(np.frombuffer(b"".join(sets), np.int64)))
+        yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(np.diff(cut)), lists], names=["row", "n_shingles", "head"])
+
+
+def without_hot(tokens: np.ndarray, rank: np.ndarray, percent: int):
+    """Sets as lists without the hot ``tokens`` (sorted), how many these were, and as many of them, rarest first, as a set's short lists may be."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, s = b.column("n_shingles").to_numpy(), b.column("head").flatten().to_numpy()
+            owner = np.repeat(np.arange(len(n)), n)
+            at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
+            is_hot = tokens[at] == s if len(tokens) else np.zeros(len(s), bool)
+            o = np.lexsort((rank[at[is_hot]], owner[is_hot]))
+            of, hot, n_hot = owner[is_hot][o], s[is_hot][o], np.bincount(owner[is_hot], minlength=len(n))
+            some = np.arange(len(of)) - np.repeat(np.cumsum(n_hot) - n_hot, n_hot) < (n + percent * -n // 100 + 1)[of]
+            lists = []
+            for who, what in ((of[some], hot[some]), (owner[~is_hot], s[~is_hot])):
+                ends = np.cumsum(np.bincount(who, minlength=len(n)))
+                lists.append(pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(what)))
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("n_shingles"), pa.array(n_hot), *lists], names=["row", "n_shingles", "n_hot", "hot", "cold"])
+
+    return run
+
+
 def of_sides(batches: Iterator[pa.RecordBatch]) -> tuple[pa.Table, int, bool]:
     """(rows of a task by side and number, each once; how many are looked up; whether among themselves).
 
@@ -145,6 +183,8 @@ class Lists:
         self.owner = owner[o]
         self.tokens, self.begin = np.unique(tokens[o], return_index=True)
         self.end = np.append(self.begin[1:], len(o)).astype(np.int64)
+        #: (list, set) of all entries as one ascending number, so that many lists are probed at once.
+        self.entry = np.repeat(np.arange(len(self.tokens)), self.end - self.begin) * len(sets) + self.owner
 
     def occur(self, query: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
         """(sets, shared) of all sets that share ``t`` shingles or more with the query, by DivideSkip."""
@@ -168,9 +208,11 @@ class Lists:
         ok = count >= t - n_long
         found, count = found[ok], count[ok]
         if len(found):
-            for a, b in zip(self.begin[long].tolist(), self.end[long].tolist()):
-                p = np.searchsorted(self.owner[a:b], found)
-                count = count + (self.owner[a:b][np.minimum(p, b - a - 1)] == found)
+            step = max(1, PROBES // len(found))
+            for i in range(0, len(long), step):
+                wanted = long[i : i + step, None] * len(self.n) + found
+                p = np.minimum(np.searchsorted(self.entry, wanted), len(self.entry) - 1)
+                count = count + (self.entry[p] == wanted).sum(axis=0)
         ok = count >= t
         return found[ok], count[ok]
 
@@ -331,14 +373,48 @@ def with_df(tokens: DataFrame, hot: DataFrame) -> DataFrame:
     return counted if hot.isEmpty() else counted.unionByName(join_small(tokens, hot, "token"))
 
 
-def with_lead(listed: DataFrame, hot: DataFrame) -> DataFrame:
-    """(row, lead): all rows of a list have one lead in common, its least row, or for a hot token a number below all rows."""
+def with_lead(listed: DataFrame, hot: DataFrame, below: int = 1 << 61) -> DataFrame:
+    """(row, lead): all rows of a list have one lead in common, its least row, or for a hot token a number below all rows (and ``-below``)."""
     cold = listed if hot.isEmpty() else join_small(listed, hot.select("token"), "token", "left_anti")
     led = cold.join(cold.groupBy("token").agg(F.min("row").alias("lead"), F.count("*").alias("c")).where("c > 1"), "token").select("row", "lead")
-    hub = F.lit(-(1 << 61)) - F.pmod("token", F.lit(1 << 60))
+    hub = F.lit(-below) - F.pmod("token", F.lit(1 << 60))
     return led if hot.isEmpty() else led.unionByName(join_small(listed, hot.select("token"), "token").select("row", hub.alias("lead")))
 
 
+def clusters(listed: DataFrame, hot: DataFrame, below: int = 1 << 61) -> DataFrame:
+    """(row, cluster) of the rows that meet others in ``listed(row, token, ...)``; further rows are leads of hot tokens."""
+    led = with_lead(listed.select("token", "row"), hot, below).where("row <> lead")
+    return components(led.select(F.col("row").alias("a"), F.col("lead").alias("b"))).withColumnsRenamed({"node": "row", "component": "cluster"})
+
+
+def rarest(full: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(row, n_shingles, token), the short lists that ``full(row, shingles)`` are in by rarity among themselves, and the hot tokens.
+
+    Any two that link share a list. Hot tokens come last, so tasks put them aside and no join picks out their rows.
+    """
+    sets = durable(full.mapInArrow(set_lists, "row long, n_shingles long, head array<long>"))
+    hot = hot_tokens(sets)
+    ranked = np.array([x["token"] for x in hot.orderBy("df", "token").collect()], np.int64)  # bounded by the sample
+    o = np.argsort(ranked)
+    parts = sets.mapInArrow(without_hot(ranked[o], o, percent), PARTS)
+    cold = parts.select(F.explode("cold").alias("token"), "row")
+    cold = cold.join(cold.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "token").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
+    t = F.coalesce(F.col("t.token"), F.array().cast("array<long>"))
+    kept = parts.drop("cold").join(cold, "row", "left").withColumn("t", t)
+    room = F.expr(f"n_hot + size(t) - ({percent} * n_shingles + 99) div 100 + 1")  # shingles of one class come first
+    return durable(kept.where(room > 0).select("row", "n_shingles", F.explode(F.slice(F.concat("t", "hot"), 1, room.cast("int"))).alias("token"))), hot
+
+
+def together(rows: int, total: int, number: int, block: int) -> Column:
+    """The task of a small cluster: some clusters of ``rows`` rows and ``total`` shingles in all have one. ``number`` < 0 sets these tasks apart."""
+    some = F.pmod(F.xxhash64("cluster"), F.lit(max(1, total // TASK_SHINGLES, rows // (2 * block)))).cast("int")
+    return F.struct(F.lit(number).cast("long").alias("cluster"), F.lit(0).alias("b1"), some.alias("s1"), F.lit(0).alias("b2"), F.lit(0).alias("s2"))
+
+
+def rows_and_shingles(sized: DataFrame) -> tuple[int, int]:
+    return tuple(sized.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first())
+
+
 def links(docs: DataFrame, k: int, percent: int, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(row, doc_id, n_shingles, sig, rep) of every row, rep being its class's least doc_id, and (node, component, links) of the doc_ids that stand for a class with a link."""
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", F.xxhash64("doc_id", "text"))  # a hot doc_id has many keys
@@ -356,19 +432,31 @@ def links(docs: DataFrame, k: int, percent: int, block: int = BLOCK) -> tuple[Da
     f = F.greatest(F.lit(1), F.expr(f"({percent * (100 - percent)} * n + 9999) div 10000"))
     room = head - f + 1 - (head - F.size("t"))  # shingles of one class come first in rarity, and take room
     listed = durable(kept.where(room > 0).select("row", "n", F.explode(F.slice("t", 1, room.cast("int"))).alias("x")).select("row", F.col("n").alias("n_shingles"), "x.token"))
-    cluster = components(with_lead(listed.select("token", "row"), hot).where("row <> lead").select(F.col("row").alias("a"), F.col("lead").alias("b"))).withColumnsRenamed({"node": "row", "component": "cluster"})
-
-    sized = durable(cluster.join(of.select("row", "key", "doc_id", "rep", "n_shingles", "sig"), "row"))
-    large = durable(sized.groupBy("cluster").agg(F.count("*").alias("members"), blocks_of(block).alias("load")).where("load > 1").drop("load"))
+    sized = durable(clusters(listed, hot).join(of.select("row", "key", "doc_id", "rep", "n_shingles", "sig"), "row"))
+    large = durable(sized.groupBy("cluster").agg(blocks_of(block).alias("load")).where("load > 1"))
     none = large.isEmpty()
-    rows, total = sized.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
-    group = F.struct(F.lit(-1).cast("long").alias("cluster"), F.lit(0).alias("b1"), F.pmod(F.xxhash64("cluster"), F.lit(max(1, total // TASK_SHINGLES, rows // (2 * block)))).cast("int").alias("s1"), F.lit(0).alias("b2"), F.lit(0).alias("s2"))
-    sized = sized.withColumn("task", group) if none else join_small(sized, large, "cluster", "left").withColumn("task", F.when(F.col("members").isNull(), group)).drop("members")
+    group = together(*rows_and_shingles(sized), -1, block)
+    sized = sized.withColumn("task", group) if none else join_small(sized, large, "cluster", "left").withColumn("task", F.when(F.col("load").isNull(), group))
     wanted = durable(sized.select("row", "key", "rep", "sig", "task"))
-    full = durable(join_small(cols.drop("doc_id"), wanted, "key").withColumnRenamed("rep", "doc_id").mapInArrow(full_sets(k), FULL))
+    texts = cols.drop("doc_id")
+    if not is_small(wanted):  # their keys may be: then other texts aren't moved
+        texts = join_small(texts, wanted.select("key"), "key", "left_semi")
+    full = durable(join_small(texts, wanted, "key").withColumnRenamed("rep", "doc_id").mapInArrow(full_sets(k), FULL))
     blocks, found = full.where("task is not null").withColumn("side", F.lit(-1)), None
     if not none:
-        sized = durable(size_bands(sized.where("task is null").select("row", "cluster", "n_shingles"), percent))
+        large, sized = full.where("task is null").drop("task"), sized.where("task is null").select("row", "cluster", "n_shingles", "load")
+        coarse = durable(sized.where(F.col("load") > FINE).select("row", "n_shingles"))
+        sized = sized.where(F.col("load") <= FINE).drop("load")
+        if not coarse.isEmpty():
+            again, hot = rarest(join_small(large.select("row", "shingles"), coarse.select("row"), "row"), percent)
+            dealt = durable(clusters(again, hot, 1 << 62).join(coarse, "row").select("row", "cluster", "n_shingles"))
+            still = durable(dealt.groupBy("cluster").agg(blocks_of(block).alias("load")).where("load > 1").select("cluster"))
+            small = durable(join_small(dealt, still, "cluster", "left_anti"))
+            small = durable(small.select("row", together(*rows_and_shingles(small), -2, block).alias("task"), F.lit(-1).alias("side")))
+            blocks = blocks.unionByName(join_small(large, small, "row").select(*blocks.columns))
+            sized = sized.unionByName(join_small(dealt, still, "cluster").select("row", "cluster", "n_shingles"))
+            listed = join_small(listed, coarse.select("row"), "row", "left_anti").unionByName(again)
+        sized = durable(size_bands(sized, percent))
         mine = durable(join_small(listed, sized.select("row", "cluster"), "row").select("row", "n_shingles", "cluster", "token"))
         lists = durable(mine.groupBy("cluster", "token").agg(F.count("*").alias("m"), blocks_of(block).alias("load")).where("m > 1"))
         mine = mine.drop("n_shingles")
@@ -377,7 +465,6 @@ def links(docs: DataFrame, k: int, percent: int, block: int = BLOCK) -> tuple[Da
         way = lists.groupBy("cluster").agg(F.sum(F.col("m") * F.col("m")).alias("met"), F.sum("m").alias("entries")).join(near, "cluster")
         way = durable(way.select("cluster", "entries", (SPARSE * F.col("met") < F.col("all")).alias("sparse")))
         dense, sparse = way.where("not sparse").select("cluster"), way.where("sparse").select("cluster", "entries")
-        large = full.where("task is null").drop("task")
         tasks = dense_tasks(join_small(sized, dense, "cluster"), join_small(bands, dense, "cluster"), block)
         blocks = blocks.unionByName(tasks.join(large, "row").select(*blocks.columns))
         if not sparse.isEmpty():

@@ -130,6 +130,45 @@ def test_hot_tokens_and_long_texts_change_no_result(make, monkeypatch, hot, shin
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_components(rows, 3, 90)
 
 
+def phrases(n, seed=11):
+    """Texts of two common lines of ten and twelve words of their own; a few near copies among them."""
+    rng = np.random.default_rng(seed)
+    common = [[f"c{i}x{x}" for x in range(12)] for i in range(10)]
+    rows = []
+    for d in range(n):
+        t = [x for i in rng.permutation(10)[:2] for x in common[i]] + [f"o{d}x{x}" for x in range(12)]
+        if d % 20 == 19:  # its last word changed
+            t = [*rows[-3][1].split()[:-1], f"v{d}"]
+        rows.append((d, " ".join(t)))
+    return rows
+
+
+def test_common_phrases_keep_no_texts_together(make, monkeypatch):
+    """Nearly all texts are one cluster by their heads; by the rarest shingles of their full sets only near copies are."""
+    met, bands = [], nj.size_bands
+    monkeypatch.setattr(nj, "size_bands", lambda sized, percent: met.append(sized.count()) or bands(sized, percent))
+    rows = phrases(500)
+    got = nj.joined(make(rows), 3, 90, 8)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_components(rows, 3, 90)
+    assert len({r.component_id for r in got.collect()}) == 475 and met == [0]
+
+
+@pytest.mark.parametrize("hot, k, percent, block", [(3, 3, 90, 4), (10**9, 3, 90, 4), (12, 2, 80, 3)])
+def test_clusters_dealt_anew_change_no_result(make, monkeypatch, hot, k, percent, block):
+    monkeypatch.setattr(nj, "FINE", 1)
+    monkeypatch.setattr(nj, "HOT", hot)
+    rows = near_copies(hot % 1000 + block, 48) + [(1000 + d, t) for d, t in quotes(120, 12)] + [(2000 + d, t) for d, t in phrases(60)]
+    got = nj.joined(make(rows), k, percent, block)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_components(rows, k, percent)
+
+
+def test_a_large_wanted_side_changes_no_result(make, monkeypatch):
+    monkeypatch.setattr(nj, "is_small", lambda *a: False)
+    rows = near_copies(7, 48) + [(1000 + d, t) for d, t in phrases(60)]
+    got = nj.joined(make(rows), 3, 90)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_components(rows, 3, 90)
+
+
 def test_a_hot_doc_id_costs_no_more(make):
     """Near copies, all different, under one doc_id and under one each."""
     base = [f"w{i}" for i in range(120)]
